@@ -1,0 +1,2 @@
+"""The studied workload is batch only: no streaming source, sink or state exists in it, so none is
+built here. All operators except those that rank or scale over a whole table read bounded history."""
