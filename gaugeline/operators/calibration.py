@@ -19,8 +19,12 @@ MIN_ROWS_BETWEEN = 13
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85]"
 
 
+# The white space of Latin-1.
+_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+
+
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(_SPACE))
 
 
 def _fields(lines: Column) -> Column:
@@ -62,7 +66,7 @@ def parse_logs(logs: DataFrame, content: str = "content") -> DataFrame:
     line.  The first paragraph holds metadata, which is copied to every other paragraph of the
     chapter; the heading line of a paragraph is skipped.  A projection and two explodes, no shuffle.
     """
-    others = [c for c in logs.columns if c != content]
+    others = [col(c) for c in logs.columns if c != content]
     lines = F.filter(
         F.split(_strip(col(content)), _LINE_END), lambda x: ~F.startswith(_strip(x), F.lit(EXPORT_HEADER))
     )
@@ -70,25 +74,26 @@ def parse_logs(logs: DataFrame, content: str = "content") -> DataFrame:
     paragraphs = F.filter(
         F.transform(F.split(_strip(F.col("__text")), "\n\n"), _strip), lambda p: F.length(p) > 0
     )
+    # Each step is a column of its own: an expression used inside a lambda runs once per element.
     opened = (
-        logs.select(*[col(c) for c in others], F.posexplode(chapters).alias("chapter", "__text"))
+        logs.select(*others, F.posexplode(chapters).alias("chapter", "__text"))
         .withColumn("__paras", paragraphs)
         .where(F.size("__paras") > 0)
         .withColumn("__meta", _fields(F.split(F.element_at("__paras", 1), "\n")))
     )
     body = F.slice(F.col("__paras"), 2, F.size("__paras"))
-    each = opened.select(
-        *[col(c) for c in others], "chapter", "__meta", F.posexplode(body).alias("paragraph", "__para")
+    each = (
+        opened.select(*others, "chapter", "__meta", F.posexplode(body).alias("paragraph", "__para"))
+        .withColumn("__lines", F.split(F.col("__para"), "\n"))
+        .withColumn("__data", _fields(F.slice("__lines", 2, F.size("__lines"))))
+        .withColumn("__all", F.concat("__meta", _numbered(F.col("__data"))))
+        .withColumn("fields", _as_map(F.col("__all")))
     )
-    text_lines = F.split(F.col("__para"), "\n")
-    data = _numbered(_fields(F.slice(text_lines, 2, F.size(text_lines))))
-    meta = _as_map(F.col("__meta"))
-    return each.withColumn("__data", data).select(
-        *[col(c) for c in others],
-        "chapter",
-        "paragraph",
-        F.coalesce(F.try_element_at(meta, F.lit("Parameter Type")), F.lit("Unknown")).alias("parameter_type"),
-        _as_map(F.concat("__meta", "__data")).alias("fields"),
+    # the type comes from the metadata alone
+    types = F.filter("__meta", lambda f: f["key"] == "Parameter Type")
+    kind = F.try_element_at(types, F.lit(-1))["value"]
+    return each.select(
+        *others, "chapter", "paragraph", F.coalesce(kind, F.lit("Unknown")).alias("parameter_type"), "fields"
     )
 
 
