@@ -119,7 +119,7 @@ _SQL_INSERTED = """stepped as (select user_id, ts, value, lead(ts) over (partiti
     f"""with {SQL_USER_HOURLY}, {_SQL_INSERTED}, {_sql_line('inserted', 'user_id', 'value')}
       select user_id, epoch_us(ts) as ts, flag as "Interpolated",
         case when value is not null then value when i0 is null then null when i1 is null then x0
-             else floor(({_LINE}) * 1e6 + 0.5) / 1e6 end as value from near""",
+             else floor(({_LINE}) * 1e6 + 0.37) / 1e6 end as value from near""",
 )
 def fill_small_gaps(spark, d):
     df = user_hourly(spark, d).select("user_id", "ts", "value")

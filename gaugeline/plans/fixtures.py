@@ -42,11 +42,17 @@ def micros(time: str = "ts") -> Column:
     return F.unix_micros(F.col(time)).alias(time)
 
 
-def r6(value: Column | str, name: str | None = None) -> Column:
+def r6(value: Column | str, name: str | None = None, places: int = 6) -> Column:
+    """Cut to decimal places for comparison. Written out alike for both engines, whose own rounding
+    differs at ties; the shift of 0.37 keeps the steps away from means of hundredths."""
     c = F.col(value) if isinstance(value, str) else value
-    # written out, as the engines' own rounding differs at ties
-    rounded = F.floor(c * 1e6 + 0.5) / 1e6
-    return rounded.alias(name or value) if name or isinstance(value, str) else rounded
+    cut = F.floor(c * 10.0**places + 0.37) / 10.0**places
+    return cut.alias(name or value) if name or isinstance(value, str) else cut
+
+
+def r3(value: Column | str, name: str | None = None) -> Column:
+    """For values in the hundred thousands, where six places are beyond a double's sums."""
+    return r6(value, name, 3)
 
 
 def _mean(value: Column, when: Column | None = None) -> Column:
@@ -120,8 +126,12 @@ def _sql_mean(value: str, when: str | None = None) -> str:
     return f"cast(sum({cents}) as double) / nullif(100e0 * count({cents}), 0)"
 
 
-def sql_r6(value: str, name: str) -> str:
-    return f"(floor(({value}) * 1e6 + 0.5) / 1e6) as {name}"
+def sql_r6(value: str, name: str, places: int = 6) -> str:
+    return f"(floor(({value}) * 1e{places} + 0.37) / 1e{places}) as {name}"
+
+
+def sql_r3(value: str, name: str) -> str:
+    return sql_r6(value, name, 3)
 
 
 SQL_HOURLY = "hourly as (select date_trunc('hour', ts) as ts, {} from events group by 1)".format(
