@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col, leading_number, parse_time
-from gaugeline.operators.ordered import Axis, Scan, scan
+from gaugeline.operators.ordered import Axis, Scan, scan, somewhere
 
 # Marks in the log format, and its time format.
 EXPORT_HEADER = "KorEXO Calibration File Export"
@@ -160,7 +160,7 @@ def calibration_jumps(
     asked = calibrations.select(
         *keys,
         F.struct(*[col(c) for c in payload]).alias("__p"),
-        col(time).alias("__u"),
+        somewhere(axis, col(time), F.struct(*[col(c) for c in payload])).alias("__u"),
         F.explode(F.array(F.lit(0), F.lit(2))).alias("__o"),
     ).withColumn("__n", F.lit(0))
     reading = F.struct(F.unix_micros(col(axis.time)).alias("u"), col(value).cast("double").alias("v"))
@@ -176,7 +176,7 @@ def calibration_jumps(
         F.max(F.when(F.col("__o") == 2, F.col("__right"))).alias("__right"),
         F.max(F.when(F.col("__o") == 2, F.col("__rows"))).alias("__rows"),
     )
-    pairs = pairs.withColumn("__t", F.col("__p")[time])
+    pairs = pairs.withColumn("__t", somewhere(axis, F.col("__p")[time], F.col("__p")))
     ordered = scan(pairs, axis.with_(time="__t", tie=("__rows",)), Scan(prior={"__prev": F.col("__rows")}))
     us = F.unix_micros("__t")
     left, right = F.col("__left"), F.col("__right")

@@ -24,6 +24,7 @@ from gaugeline.functions import (
 )
 from gaugeline.operators.gaps import dedup_time, drop_long_gaps, fill_small_gaps, interpolate
 from gaugeline.operators.ordered import Axis
+from gaugeline.sources.tables import Store, as_is
 
 Bounds = Mapping[str, tuple]
 
@@ -155,12 +156,14 @@ def add_source(
     sparse: bool = False,
     limits: Mapping[str, float] | DataFrame | None = None,
     basis: str = "row",
+    store: Store = as_is,
 ) -> DataFrame:
     """Join a further source by time and clean the new columns.
 
     With ``include_missing`` or ``sparse`` nothing is dropped or filled.  Otherwise runs of more
     than ``max_gap`` rows without any new value are dropped, and what is left is filled up to
     ``max_gap`` cells from a known value.  ``limits`` turns the new columns into 0/1 flags.
+    ``store`` is applied between the dropping and the filling, which both scan the whole table.
     """
     if source_time != axis.time and source_time in source.columns:
         source = source.withColumnRenamed(source_time, axis.time)
@@ -178,7 +181,7 @@ def add_source(
         return merged
     if limits is not None:
         merged = merged.select(*[col(c).cast("double").alias(c) if c in new else col(c) for c in merged.columns])
-    kept = drop_long_gaps(merged, axis, new, max_gap)
+    kept = store(drop_long_gaps(store(merged), axis, new, max_gap))
     return interpolate(kept, axis, new, limit=max_gap, direction="both", basis=basis)
 
 

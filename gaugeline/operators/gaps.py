@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col, round_half_even
-from gaugeline.operators.ordered import Axis, Scan, scan, _join_on
+from gaugeline.operators.ordered import Axis, Scan, place, scan, series_cols, unplace
 
 
 def dedup_time(df: DataFrame, axis: Axis, tie: Sequence[str]) -> DataFrame:
@@ -179,25 +179,25 @@ def segments(
     Optional columns: ``row`` (row number in the series), ``position`` (row number in the segment)
     and ``previous_position`` (the position of the row before).  One summary serves all of them.
     """
-    part = [*axis.key_cols, F.col("__b")]
-    order = axis.order()
-    inside = Window.partitionBy(*part).orderBy(*order)
+    inside = Window.partitionBy("__k").orderBy(*axis.order())
     step = int(step_hours * HOUR_US)
     us = F.unix_micros(col(axis.time))
     base = (
-        df.withColumn("__b", axis.bucket())
+        df.where(col(axis.time).isNotNull())
+        .withColumn("__k", place(axis))
         .withColumn("__lr", F.row_number().over(inside).cast("bigint"))
         .withColumn("__brk", (us - F.lag(us).over(inside) > step))
     )
     brk = F.coalesce(F.col("__brk"), F.lit(False))
-    summary = base.groupBy(*axis.key_cols, "__b").agg(
+    summary = base.groupBy("__k").agg(
         F.count(F.lit(1)).alias("__n"),
         F.min(us).alias("__lo"),
         F.max(us).alias("__hi"),
-        F.sum(brk.cast("bigint")).alias("__k"),
+        F.sum(brk.cast("bigint")).alias("__breaks"),
         F.max(F.when(brk, F.col("__lr"))).alias("__lastbrk"),
     )
-    by_bucket = Window.partitionBy(*axis.key_cols).orderBy("__b")
+    summary = summary.withColumns(unplace(axis))
+    by_bucket = Window.partitionBy(*series_cols(axis)).orderBy("__b")
     before = by_bucket.rowsBetween(*_BEFORE_ALL)
     previous_end = F.lag("__hi").over(by_bucket)
     opened = (
@@ -210,17 +210,16 @@ def segments(
             F.coalesce(F.col("__off") + F.col("__lastbrk"), F.when(F.col("__open"), F.col("__off") + 1)),
         )
     )
-    new = F.col("__k") + (F.col("__open") & ~F.col("__first")).cast("bigint")
+    new = F.col("__breaks") + (F.col("__open") & ~F.col("__first")).cast("bigint")
     carried = opened.select(
-        *axis.key_cols,
-        "__b",
+        "__k",
         "__off",
         "__open",
         (F.lit(1) + F.coalesce(F.sum(new).over(before), F.lit(0))
          + (F.col("__open") & ~F.col("__first")).cast("bigint")).alias("__seg0"),
         F.last("__start", True).over(before).alias("__start0"),
     )
-    joined = _join_on(base, carried, [*axis.keys, "__b"])
+    joined = base.join(carried, "__k", "left")
     up_to = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     strictly = inside.rowsBetween(*_BEFORE_ALL)
     rn = F.col("__off") + F.col("__lr")

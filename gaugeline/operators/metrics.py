@@ -71,8 +71,8 @@ def _balanced(values: DataFrame, by: Sequence[str], value: str, weights: Mapping
     """
     steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = values.groupBy(*_group(by)).agg(F.percentile_approx(col(value), steps, parts * 16).alias("__cuts"))
-    # one row per group, and groups are models and outputs named by the caller
-    held = values.join(F.broadcast(cuts), list(by))
+    # a row per group; Spark broadcasts it when it is small
+    held = values.join(cuts, list(by))
     bucket = F.size(F.filter("__cuts", lambda c: c < col(value)))
     axis = Axis(time=value, keys=by)
     return scan(held.withColumn("__part", bucket).drop("__cuts"), axis, Scan(total={n: col(w) for n, w in weights.items()}), bucket=F.col("__part")).drop("__part")
@@ -87,7 +87,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
     counts = df.where(finite(col(value))).groupBy(*_group(by), col(value)).agg(F.count(F.lit(1)).alias("__c"))
     ranked = _balanced(counts, by, value, {"__upto": "__c"})
     sizes = counts.groupBy(*_group(by)).agg(F.sum("__c").alias("n"))
-    rows = ranked.join(F.broadcast(sizes), list(by))
+    rows = ranked.join(sizes, list(by))
     before = F.col("__upto") - F.col("__c")
 
     def at(rank: Column) -> Column:
@@ -115,7 +115,7 @@ def error_spread(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     e = F.col("err")
     whiskers = (
-        errors.join(F.broadcast(box), list(by))  # one row per model and output
+        errors.join(box, list(by))
         .groupBy(*_group(by), "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(e >= F.col("q1") - reach, e)).alias("low"),
@@ -134,8 +134,7 @@ def binarize_predictions(preds: DataFrame, limits: Mapping[str, float] | DataFra
     ``limits`` is a mapping or the long table ``(param, limit)``.
     """
     if isinstance(limits, DataFrame):
-        # bounded: one row per output column
-        joined = preds.join(F.broadcast(limits.select("param", F.col("limit").alias("__limit"))), "param", "left")
+        joined = preds.join(limits.select("param", F.col("limit").alias("__limit")), "param", "left")
     else:
         if params is not None:
             require_limits(params, limits)
@@ -189,7 +188,7 @@ def score_counts(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 
 def _with_class_totals(steps: DataFrame, by: Sequence[str]) -> DataFrame:
     whole = steps.groupBy(*_group(by)).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return steps.join(F.broadcast(whole), list(by))  # one row per model
+    return steps.join(whole, list(by))
 
 
 def roc_points(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

@@ -75,6 +75,33 @@ class Scan:
     after: Mapping[str, Column] = field(default_factory=dict)
 
 
+def place(axis: Axis, bucket: Column | None = None) -> Column:
+    """Series and bucket of a row as one struct.
+
+    A struct is never null itself, so a join on it keeps rows without a time or key, infers no
+    null filter that would tell the two sides apart, and so lets Spark reuse one shuffle for both.
+    """
+    bucket = axis.bucket() if bucket is None else bucket
+    return F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(axis.keys)], bucket.cast("bigint").alias("b"))
+
+
+def unplace(axis: Axis) -> dict[str, Column]:
+    parts = {f"__s{i}": F.col("__k")[f"k{i}"] for i in range(len(axis.keys))}
+    return {**parts, "__b": F.col("__k")["b"]}
+
+
+def series_cols(axis: Axis) -> list[Column]:
+    return [F.col(f"__s{i}") for i in range(len(axis.keys))]
+
+
+def somewhere(axis: Axis, time: Column, salt: Column) -> Column:
+    """The time, or for points without one a time long before all data, where they find nothing.
+    Such points are spread over many buckets."""
+    width = int(axis.bucket_hours * HOUR_US)
+    early = F.timestamp_micros(F.lit(-(2**61)) + F.pmod(F.xxhash64(salt), F.lit(1 << 16)) * F.lit(width))
+    return F.coalesce(time, early)
+
+
 def _window(part: list[Column], order: list[Column], frame, descending: bool = False):
     # Frames that end "unbounded following" are rescanned for every row; a descending order with a
     # preceding frame gives the same values in one pass.
@@ -100,8 +127,10 @@ def scan(
     """
     backward = {**spec.last, **spec.prior}
     forward = {**spec.following, **spec.after}
-    base = df.withColumn("__b", axis.bucket() if bucket is None else bucket)
-    part = [*axis.key_cols, F.col("__b")]
+    if bucket is None:  # rows without a time have no place in the order
+        df = df.where(col(axis.time).isNotNull())
+    base = df.withColumn("__k", place(axis, bucket))
+    part = [F.col("__k")]
     order = axis.order()
     if position is not None:
         base = base.withColumn("__lr", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
@@ -120,12 +149,13 @@ def scan(
     sums += [F.sum(e).alias(f"__t_{n}") for n, e in spec.total.items()]
     sums += [F.max_by(hit(e, local), F.when(e.isNotNull(), stamp)).alias(f"__l_{n}") for n, e in backward.items()]
     sums += [F.min_by(hit(e, local), F.when(e.isNotNull(), stamp)).alias(f"__f_{n}") for n, e in forward.items()]
-    summary = base.groupBy(*axis.key_cols, "__b").agg(*sums)
+    summary = base.groupBy("__k").agg(*sums).withColumns(unplace(axis))
 
     # 2. what other buckets hand over
-    whole = Window.partitionBy(*axis.key_cols)
-    over_before = _window(axis.key_cols, [F.col("__b")], _BEFORE)
-    over_after = _window(axis.key_cols, [F.col("__b")], _BEFORE, descending=True)
+    series = series_cols(axis)
+    whole = Window.partitionBy(*series)
+    over_before = _window(series, [F.col("__b")], _BEFORE)
+    over_after = _window(series, [F.col("__b")], _BEFORE, descending=True)
     if position is not None:
         summary = summary.withColumn("__off", F.coalesce(F.sum("__n").over(over_before), F.lit(0)))
 
@@ -137,7 +167,7 @@ def scan(
             value.isNotNull(), F.struct((F.col("__off") + value["rn"]).alias("rn"), value["v"].alias("v"))
         )
 
-    carry = [*axis.key_cols, F.col("__b")]
+    carry = [F.col("__k")]
     if position is not None:
         carry.append(F.col("__off"))
     if size is not None:
@@ -148,7 +178,7 @@ def scan(
     carried = summary.select(*carry)
 
     # 3. finish inside the bucket
-    joined = _join_on(base, carried, [*axis.keys, "__b"])
+    joined = base.join(carried, "__k", "left")
     row = (F.col("__off") + F.col("__lr")) if position is not None else F.lit(0)
     up_to, before = _window(part, order, _UP_TO), _window(part, order, _BEFORE)
     down_to, behind = (_window(part, order, f, descending=True) for f in (_UP_TO, _BEFORE))
@@ -171,12 +201,6 @@ def scan(
     return joined.select(*out)
 
 
-def _join_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    # Left join on plain equality: rows without a time or key stay (with nothing handed over), and
-    # the hash partitioning of the windows before and after is kept, which a null-safe test breaks.
-    return left.join(right, list(names), "left")
-
-
 def last_before(
     points: DataFrame,
     history: DataFrame,
@@ -196,11 +220,12 @@ def last_before(
     found = F.struct(col(axis.time).alias("time"), *[col(v) for v in values])
     keys = axis.key_cols
     payload = [c for c in points.columns if c not in axis.keys]
+    whole = F.struct(*[col(c) for c in payload])
     asked = points.select(
         *keys,
-        col(point_time).alias("__u"),
+        somewhere(axis, col(point_time), whole).alias("__u"),
         F.lit(order).alias("__o"),
-        F.struct(*[col(c) for c in payload]).alias("__p"),
+        whole.alias("__p"),
     )
     known = history.select(*keys, col(axis.time).alias("__u"), F.lit(0).alias("__o"), found.alias("__h"))
     both = asked.unionByName(known, allowMissingColumns=True)

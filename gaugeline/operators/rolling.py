@@ -25,8 +25,12 @@ def rolling_sum(
         raise ValueError("hours must divide into whole microseconds per cell")
     width = length // cells
     us = F.unix_micros(col(axis.time))
-    x = F.coalesce(F.nanvl(col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
-    base = df.withColumn("__u", us).withColumn("__cell", F.floor(F.col("__u") / width).cast("bigint"))
+    # rows without a time add nothing; a hash spreads them over cells
+    x = F.when(us.isNull(), F.lit(0.0)).otherwise(
+        F.coalesce(F.nanvl(col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
+    )
+    cell = F.coalesce(F.floor(us / width).cast("bigint"), F.xxhash64(*[col(c) for c in df.columns]))
+    base = df.withColumn("__u", us).withColumn("__cell", cell)
     keys = axis.key_cols
 
     # head of the own cell; equal times all count

@@ -67,7 +67,7 @@ def unscale(
     df: DataFrame, params: DataFrame, columns: Sequence[str], *, param: str = "param", low: float = 0.0, high: float = 1.0
 ) -> DataFrame:
     """Undo the scaling of a long table: ``columns`` are restored by the row's ``param``."""
-    found = F.broadcast(params.select(col("param").alias(param), F.col("min").alias("__lo"), F.col("max").alias("__hi")))
+    found = params.select(col("param").alias(param), F.col("min").alias("__lo"), F.col("max").alias("__hi"))
     joined = df.join(found, param, "left")
     lo, hi = F.col("__lo"), F.col("__hi")
     out = []

@@ -307,7 +307,8 @@ def column_groups(spark, d):
 
 def log_texts(spark, d):
     """One log per event with a chapter for each of two sensors, in the export format."""
-    e = events(spark, d).repartition("event_id")  # as many logs in many files are spread over tasks
+    # as many logs in many files are spread over tasks
+    e = events(spark, d).repartition(spark.sparkContext.defaultParallelism, "event_id")
     v, when = F.col("value"), lambda t: F.date_format(t, "M/d/yyyy h:mm:ss a")
     number = lambda x: F.format_string("%.2f", x)
     earlier = F.timestamp_micros(F.unix_micros("ts") - F.col("user_id") * F.lit(60_000_000))

@@ -12,6 +12,7 @@ from gaugeline.plans.fixtures import (
     hour_number, hourly, limits_wide, order_hours, predictions, r3, r6, sql_r3, sql_r6, user_hourly,
 )
 from gaugeline.plans.registry import query
+from gaugeline.sources.tables import stored
 
 
 def _targets(df):
@@ -261,7 +262,7 @@ def baseline_sweep(spark, d):
 )
 def compare_models(spark, d):
     h = order_hours(spark, d)
-    preds = flows.baselines(_targets(h), h, PLAIN, ["value"], gap_hours=1, window_hours=550)
+    preds = stored(flows.baselines(_targets(h), h, PLAIN, ["value"], gap_hours=1, window_hours=550))
     found = flows.compare_models(preds, {"value": 150000.0})
     return found.select(
         "model", "n", r3("mae"), r3("rmse"), r6("r2"), "tn", "fp", "fn", "tp", r6("accuracy"), r6("f1"), r6("roc_auc")

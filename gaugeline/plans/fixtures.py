@@ -5,13 +5,11 @@ Means are taken from sums of whole hundredths, so both engines start from equal
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.operators.ordered import Axis
+from gaugeline.sources.tables import fresh_path as scratch  # noqa: F401
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -27,17 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *times: str) -> DataFrame
     return df.withColumns({t: F.col(t).cast("timestamp") for t in times}) if times else df
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a table written by a query: in the shared folder the session names, or a
-    temporary one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/gaugeline-{name}-{uuid.uuid4().hex}"
-
-
 def micros(time: str = "ts") -> Column:
     return F.unix_micros(F.col(time)).alias(time)
 

@@ -15,6 +15,7 @@ from gaugeline.operators import combine, forecast, gaps, metrics, samples, scali
 from gaugeline.operators.ordered import Axis
 from gaugeline.operators.rolling import rolling_sum
 from gaugeline.plans import site
+from gaugeline.sources.tables import Store, as_is
 
 
 def clean_weather(weather: DataFrame, axis: Axis, *, round_to_hour: bool = False) -> DataFrame:
@@ -51,14 +52,16 @@ def combine_dense(
     profiler: DataFrame,
     sources: Sequence[tuple[DataFrame, Mapping]],
     axis: Axis,
+    store: Store = as_is,
 ) -> DataFrame:
     """Join the cleaned primary series with further sources and number the segments.
 
-    Each source comes with the options of ``add_source``.
+    Each source comes with the options of ``add_source``.  ``store`` (see ``sources.tables``) writes
+    the table between the stages; use it on large data.
     """
-    df = profiler
+    df = store(profiler)
     for source, options in sources:
-        df = combine.add_source(df, source, axis, **options)
+        df = store(combine.add_source(df, source, axis, store=store, **options))
     return gaps.metadata_first(gaps.segments(df, axis))
 
 
@@ -92,9 +95,10 @@ def cut_tolerant(
     tolerance: float,
     to_scale: Sequence[str] = (),
     params: DataFrame | None = None,
+    store: Store = as_is,
 ) -> DataFrame:
     """Scaled, expanded fault-tolerant samples ``(sample_id, step, columns…)``."""
-    scaled = scaling.scale(combined, to_scale, params)
+    scaled = store(scaling.scale(combined, to_scale, params))
     ends = samples.tolerant_samples(scaled, axis, targets, predictors, length, tolerance)
     return samples.expand(ends, samples.number_rows(scaled, axis), axis.keys, length)
 
@@ -106,9 +110,10 @@ def cut_strict(
     length: int,
     to_scale: Sequence[str] = (),
     params: DataFrame | None = None,
+    store: Store = as_is,
 ) -> DataFrame:
     """Scaled, expanded samples without gaps before the last row."""
-    numbered = samples.number_rows(scaling.scale(combined, to_scale, params), axis)
+    numbered = store(samples.number_rows(scaling.scale(combined, to_scale, params), axis))
     ends = samples.strict_samples(numbered, axis, targets, length)
     return samples.expand(ends, numbered, axis.keys, length - 1)
 
@@ -148,7 +153,8 @@ def compare_models(
     order: Sequence[str] = ("sample_id",),
 ) -> DataFrame:
     """Regression scores of the predictions as they are, and class scores after undoing the scaling
-    and comparing with the limits; one row per model."""
+    and comparing with the limits; one row per model. Store the predictions first: each group of
+    scores reads them again."""
     first = metrics.first_samples(preds, num_samples, order)
     regression = metrics.regression_metrics(first)
     original = preds if params is None else scaling.unscale(preds, params, ["pred", "target"])

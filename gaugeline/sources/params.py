@@ -59,8 +59,7 @@ def catalogue_table(
 def route_source(outputs: DataFrame, catalogue: DataFrame, by: Sequence[str], default_window: float = 3) -> DataFrame:
     """For each request in ``by`` with its ``param`` rows: the source that serves it first in the
     catalogue and the window of the linear baseline; no source if none has any of its columns."""
-    # the catalogue has one row per known column
-    found = outputs.join(F.broadcast(catalogue), "param", "left")
+    found = outputs.join(catalogue, "param", "left")
     first = F.min_by(F.struct("source", "window_hours"), "priority")
     return (
         found.groupBy(*by)
