@@ -144,12 +144,12 @@ def _fit(rows: DataFrame, outputs: Sequence[str], parts: str) -> DataFrame:
     return rows.withColumns(slopes)
 
 
-def _cells_per_window(window_hours: float) -> int:
-    """A divisor of the window near its square root: cells and their number then stay small."""
+def _cells_per_window(window_hours: float, most_hours: float) -> int:
+    """Fewest equal cells of a whole-hour window that are no longer than a bucket of the axis."""
     whole = int(window_hours)
     if whole != window_hours or whole < 1:
         return 1
-    return min((k for k in range(1, whole + 1) if whole % k == 0), key=lambda k: abs(k - whole**0.5))
+    return next((k for k in range(1, whole + 1) if whole % k == 0 and whole / k <= most_hours), whole)
 
 
 def linear_forecast(
@@ -167,7 +167,7 @@ def linear_forecast(
     of parts.  A history row is read twice, not once per sample whose window covers it.
     """
     keys = axis.key_cols
-    cells = _cells_per_window(window_hours)
+    cells = _cells_per_window(window_hours, axis.bucket_hours)
     length = _hours(window_hours)
     width = length // cells
     if width * cells != length:
@@ -247,12 +247,11 @@ def linear_window_sweep(
 ) -> DataFrame:
     """The linear baseline for each of several whole-hour windows, with a column ``window_hours``.
 
-    The longest window is read once per sample; its rows are summed by age in hours and a window of
-    v hours merges the ages 1..v.  Work and output both are (samples x windows).
+    The rows of the longest window are read once per sample and walked backwards in time; the line
+    so far is taken at each window length.  Work and output both are (samples x windows).
     """
     keys = axis.key_cols
-    longest = max(windows)
-    width = longest * HOUR_US
+    width = max(windows) * HOUR_US
     us = F.unix_micros(col(axis.time))
     known = _complete(history, outputs).select(
         *keys, us.alias("__u"), F.floor(us / width).cast("bigint").alias("__cell"),
@@ -262,28 +261,31 @@ def linear_window_sweep(
     here = F.floor((F.col("__end") - 1) / width).cast("bigint")
     near = samples.select(*keys, col(SAMPLE), "__end", F.explode(F.array(here, here - 1)).alias("__cell"))
     inside = (F.col("__u") < F.col("__end")) & (F.col("__u") >= F.col("__end") - F.lit(width))
-    x = (F.col("__u") - F.col("__end")) / HOUR_US
-    age = F.ceil((F.col("__end") - F.col("__u")) / HOUR_US).cast("int")
-    ages = (
-        near.join(known, [*axis.keys, "__cell"])
-        .where(inside)
-        .withColumn("__x", x)
-        .groupBy(*keys, col(SAMPLE), age.alias("__age"))
-        .agg(_moments(F.col("__x"), F.col("__u"), outputs).alias("m"))
-    )
-    part = F.struct(F.col("__age").alias("age"), F.lit(0.0).alias("d"), F.col("m"))
-    gathered = ages.groupBy(*keys, col(SAMPLE)).agg(F.collect_list(part).alias("__all"))
-    rows = (
-        samples.join(gathered, [*axis.keys, SAMPLE], "left")
-        .withColumn("window_hours", F.explode(F.array(*[F.lit(int(w)) for w in windows])))
-        .withColumn("__parts", F.filter(F.col("__all"), lambda p: p["age"] <= F.col("window_hours")))
-    )
-    fitted = _fit(rows, outputs, "__parts")
+    seen = near.join(known, [*axis.keys, "__cell"]).where(inside).select(
+        *keys, col(SAMPLE), F.lit(0).alias("window_hours"),
+        ((F.col("__u") - F.col("__end")) / HOUR_US).alias("__x"), *[col(o) for o in outputs],
+    )
+    lengths = samples.select(
+        *keys, col(SAMPLE), "__end", "__steps", F.explode(F.array(*[F.lit(int(w)) for w in windows])).alias("window_hours")
+    ).withColumn("__x", -F.col("window_hours").cast("double"))
+    # rows exactly at the start of a window belong to it: they come before its mark
+    back = (
+        Window.partitionBy(*keys, col(SAMPLE))
+        .orderBy(F.col("__x").desc(), F.col("window_hours"))
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    x = F.col("__x")
+    lines = {}
+    for i, o in enumerate(outputs):
+        lines[f"__my{i}"] = F.regr_avgy(col(o), x).over(back)
+        lines[f"__mx{i}"] = F.regr_avgx(col(o), x).over(back)
+        lines[f"__slope{i}"] = F.coalesce(F.regr_slope(col(o), x).over(back), F.lit(0.0))
+    rows = lengths.unionByName(seen, allowMissingColumns=True).withColumns(lines).where(F.col("window_hours") > 0)
 
     def pred(s, i):
-        return F.col(f"__my{i}") + F.col(f"__slope{i}") * ((s["us"] - F.col("__end")) / HOUR_US - F.col("__mx"))
+        return F.col(f"__my{i}") + F.col(f"__slope{i}") * ((s["us"] - F.col("__end")) / HOUR_US - F.col(f"__mx{i}"))
 
-    return _long(fitted, axis, outputs, pred, ["window_hours"])
+    return _long(rows, axis, outputs, pred, ["window_hours"])
 
 
 # --- seasonal --------------------------------------------------------------------------------
