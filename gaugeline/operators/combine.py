@@ -135,11 +135,9 @@ def clean_profiler(
     df = clean_ranges(df, {**{s: () for s in sensors}, **{k: v for k, v in bounds.items() if k in df.columns}},
                       sentinels=sentinels)
     df = df.where(col(axis.time).isNotNull())
-    tie = list(tie) or list(sensors)
-    df = dedup_time(df, axis, tie)
-    # Rounding can bring two readings to one hour; the earlier one stays.
+    # Rounding can bring several readings to one hour; the earliest stays.
     df = df.withColumn("__raw", col(axis.time)).withColumn(axis.time, round_hour(col(axis.time)))
-    df = dedup_time(df, axis, ["__raw"])
+    df = dedup_time(df, axis, ["__raw", *(tie or sensors)])
     df = select(df, [*axis.keys, axis.time, *sensors])
     return fill_small_gaps(df, axis, sensors, max_gap=max_gap)
 

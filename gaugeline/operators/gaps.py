@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col, round_half_even
-from gaugeline.operators.ordered import Axis, Scan, place, scan, series_cols, unplace
+from gaugeline.operators.ordered import Axis, Scan, cut_evenly, place, scan, series_cols, unplace
 
 
 def dedup_time(df: DataFrame, axis: Axis, tie: Sequence[str]) -> DataFrame:
@@ -182,9 +182,13 @@ def segments(
     inside = Window.partitionBy("__k").orderBy(*axis.order())
     step = int(step_hours * HOUR_US)
     us = F.unix_micros(col(axis.time))
+    columns = df.columns
+    df = df.where(col(axis.time).isNotNull())
+    bucket = None
+    if axis.parts:
+        df, bucket = cut_evenly(df, axis), F.col("__part")
     base = (
-        df.where(col(axis.time).isNotNull())
-        .withColumn("__k", place(axis))
+        df.withColumn("__k", place(axis, bucket))
         .withColumn("__lr", F.row_number().over(inside).cast("bigint"))
         .withColumn("__brk", (us - F.lag(us).over(inside) > step))
     )
@@ -229,7 +233,7 @@ def segments(
     previous_start = F.when(F.col("__lr") == 1, F.col("__start0")).otherwise(
         F.coalesce(F.last(opened_here, True).over(strictly), border, F.col("__start0"))
     )
-    out = [col(c) for c in df.columns]
+    out = [col(c) for c in columns]
     out.append((F.col("__seg0") + F.sum(brk.cast("bigint")).over(up_to)).alias(name))
     if row:
         out.append(rn.alias(row))

@@ -63,19 +63,11 @@ def horizon_rmse(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 # --- distributions ---------------------------------------------------------------------------
 
 
-def _balanced(values: DataFrame, by: Sequence[str], value: str, weights: Mapping[str, str], parts: int = 256) -> DataFrame:
-    """Running totals of weights in order of distinct values, per group.
-
-    Distinct values are cut into ``parts`` buckets of about equal size at approximate percentiles;
-    the cut points decide only the balance, the totals are exact.
-    """
-    steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = values.groupBy(*_group(by)).agg(F.percentile_approx(col(value), steps, parts * 16).alias("__cuts"))
-    # a row per group; Spark broadcasts it when it is small
-    held = values.join(cuts, list(by))
-    bucket = F.size(F.filter("__cuts", lambda c: c < col(value)))
-    axis = Axis(time=value, keys=by)
-    return scan(held.withColumn("__part", bucket).drop("__cuts"), axis, Scan(total={n: col(w) for n, w in weights.items()}), bucket=F.col("__part")).drop("__part")
+def _running(values: DataFrame, by: Sequence[str], value: str, weights: Mapping[str, str]) -> DataFrame:
+    """Running totals of weights in order of distinct values, per group. Values may cluster, so the
+    buckets follow their distribution."""
+    totals = {n: col(w) for n, w in weights.items()}
+    return scan(values, Axis(time=value, keys=by, parts=256), Scan(total=totals))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
@@ -85,7 +77,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
     values are counted first and order statistics are read from running counts.
     """
     counts = df.where(finite(col(value))).groupBy(*_group(by), col(value)).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = _balanced(counts, by, value, {"__upto": "__c"})
+    ranked = _running(counts, by, value, {"__upto": "__c"})
     sizes = counts.groupBy(*_group(by)).agg(F.sum("__c").alias("n"))
     rows = ranked.join(sizes, list(by))
     before = F.col("__upto") - F.col("__c")
@@ -183,7 +175,7 @@ def score_counts(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
         .agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
         .withColumn("__down", -F.col("score"))
     )
-    return _balanced(counts, by, "__down", {"tp": "pos", "fp": "neg"}).drop("__down")
+    return _running(counts, by, "__down", {"tp": "pos", "fp": "neg"}).drop("__down")
 
 
 def _with_class_totals(steps: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -28,16 +28,21 @@ _UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
 @dataclass(frozen=True)
 class Axis:
-    """What orders a series: its time column, the columns that name the series, and the bucket width.
+    """What orders a series: its time column, the columns that name the series, and the buckets.
 
-    ``tie`` orders rows of equal time; without it times must be unique within a series.
-    Choose ``bucket_hours`` so that a bucket of the densest series fits a task comfortably.
+    ``tie`` orders rows of equal time; without it times must be unique within a series.  Keys are
+    never null.  On an hourly grid a bucket holds at most ``bucket_hours`` rows of a series.
+
+    ``parts`` is for series off the grid whose rows crowd into few hours, and for ordering by a
+    number instead of a time: buckets then are cut at approximate quantiles of the series, about
+    equally full whatever the distribution, at the price of one more pass over the order column.
     """
 
     time: str = "ts"
     keys: Sequence[str] = ()
     tie: Sequence[str] = ()
     bucket_hours: float = 24.0 * 7
+    parts: int | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "keys", tuple(self.keys))
@@ -75,6 +80,25 @@ class Scan:
     after: Mapping[str, Column] = field(default_factory=dict)
 
 
+def cut_evenly(df: DataFrame, axis: Axis, name: str = "__part") -> DataFrame:
+    """Number the rows of each series by ``axis.parts`` buckets of about equal size.
+
+    The cut points are approximate; they decide how full buckets are and nothing else, as any
+    cut in order gives the same scan. Rows of equal order value share a bucket.
+    """
+    value = col(axis.time)
+    value = (F.unix_micros(value) if df.schema[axis.time].dataType.typeName().startswith("timestamp") else value).cast("double")
+    steps = F.array(*[F.lit(i / axis.parts) for i in range(1, axis.parts)])
+    cuts = df.groupBy(*axis.key_cols).agg(F.percentile_approx(value, steps, axis.parts * 16).alias("__cuts"))
+    if axis.keys:  # a row per series; Spark broadcasts it when it is small
+        held = df.join(cuts, list(axis.keys))
+    else:
+        held = df.withColumn("__cuts", cuts.scalar())
+    # rank of the value among the cut points
+    rank = F.array_position(F.sort_array(F.array_append("__cuts", value)), value)
+    return held.withColumn(name, rank).drop("__cuts")
+
+
 def place(axis: Axis, bucket: Column | None = None) -> Column:
     """Series and bucket of a row as one struct.
 
@@ -127,8 +151,11 @@ def scan(
     """
     backward = {**spec.last, **spec.prior}
     forward = {**spec.following, **spec.after}
+    columns = df.columns
     if bucket is None:  # rows without a time have no place in the order
         df = df.where(col(axis.time).isNotNull())
+        if axis.parts:
+            df, bucket = cut_evenly(df, axis), F.col("__part")
     base = df.withColumn("__k", place(axis, bucket))
     part = [F.col("__k")]
     order = axis.order()
@@ -182,7 +209,7 @@ def scan(
     row = (F.col("__off") + F.col("__lr")) if position is not None else F.lit(0)
     up_to, before = _window(part, order, _UP_TO), _window(part, order, _BEFORE)
     down_to, behind = (_window(part, order, f, descending=True) for f in (_UP_TO, _BEFORE))
-    out = [col(c) for c in df.columns]
+    out = [col(c) for c in columns]
     if position is not None:
         out.append(row.cast("bigint").alias(position))
     if size is not None:

@@ -127,12 +127,12 @@ def tolerant_samples(spark, d):
     return _tolerant(spark, d).select("sample_id", "step", micros(), r6("click"), r6("purchase"))
 
 
-def _tolerant(spark, d):
-    return flows.cut_tolerant(hourly(spark, d), PLAIN, ["purchase"], INPUTS, 24, 0.1)
+def _tolerant(spark, d, tolerance=0.1):
+    return flows.cut_tolerant(hourly(spark, d), PLAIN, ["purchase"], INPUTS, 24, tolerance)
 
 
-def _loaded(spark, d, **options):
-    return samples.load_samples(_tolerant(spark, d), INPUTS, ["purchase"], input_rows=(0, 23), **options)
+def _loaded(spark, d, tolerance=0.1, **options):
+    return samples.load_samples(_tolerant(spark, d, tolerance), INPUTS, ["purchase"], input_rows=(0, 23), **options)
 
 
 _SQL_ROWS = f"""{_SQL_TOLERANT},
@@ -206,7 +206,7 @@ def random_split(spark, d):
 def _stored_samples(spark, d):
     """Samples written once: training reads them once per boosting round."""
     path = scratch(spark, "samples")
-    _loaded(spark, d, fault_tolerant=True).write.parquet(path)
+    _loaded(spark, d, 0.9, fault_tolerant=True).write.parquet(path)
     return spark.read.parquet(path)
 
 

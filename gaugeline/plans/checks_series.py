@@ -218,8 +218,9 @@ def combine_dense(spark, d):
 @query(
     "segment_profile",
     f"""with {SQL_HOURLY},
+      spine as (select unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from hourly),
       m as (select ts, case when click > 500 then null else click end as click, case when view > 500 then null else view end as view,
-              row_number() over (order by ts) as rn from hourly),
+              row_number() over (order by ts) as rn from spine left join hourly using (ts)),
       n as (select *, {', '.join(f'''last_value(case when {c} is not null then rn end ignore nulls) over (order by ts rows unbounded preceding) as {c}_i0,
             first_value(case when {c} is not null then rn end ignore nulls) over (order by ts rows between current row and unbounded following) as {c}_i1''' for c in ('click', 'view'))} from m),
       f as (select ts, {', '.join(f"{c} is not null or coalesce(rn - {c}_i0 <= 2, false) or coalesce({c}_i1 - rn <= 2, false) as has_{c}" for c in ('click', 'view'))} from n),

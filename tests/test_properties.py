@@ -35,9 +35,9 @@ def df(spark, frame):
     return spark.createDataFrame(rows, "k int, ts timestamp, v double").cache()
 
 
-@pytest.mark.parametrize("bucket", [1, 7, 24, 24 * 400])
-def test_scan_equals_windows(df, bucket):
-    axis = Axis(time="ts", keys=("k",), bucket_hours=bucket)
+@pytest.mark.parametrize("bucket, parts", [(1, None), (7, None), (24 * 400, None), (24, 5)])
+def test_scan_equals_windows(df, bucket, parts):
+    axis = Axis(time="ts", keys=("k",), bucket_hours=bucket, parts=parts)
     got = scan(
         df, axis,
         Scan(total={"t": F.col("v").isNotNull().cast("int")}, last={"l": F.col("v")}, prior={"p": F.col("ts")},
@@ -53,10 +53,10 @@ def test_scan_equals_windows(df, bucket):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-@pytest.mark.parametrize("bucket", [1, 24, 24 * 400])
-def test_no_keys_equal_one_key(df, bucket):
+@pytest.mark.parametrize("bucket, parts", [(1, None), (24, 7), (24 * 400, None)])
+def test_no_keys_equal_one_key(df, bucket, parts):
     one = df.where("k = 1")
-    plain, keyed = Axis(time="ts", bucket_hours=bucket), Axis(time="ts", keys=("k",), bucket_hours=24 * 400)
+    plain, keyed = Axis(time="ts", bucket_hours=bucket, parts=parts), Axis(time="ts", keys=("k",), bucket_hours=24 * 400)
     for op in (
         lambda a: gaps.segments(one, a, row="rn", position="p", previous_position="q"),
         lambda a: gaps.interpolate(one, a, ["v"], limit=2, direction="both"),
