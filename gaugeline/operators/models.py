@@ -26,7 +26,7 @@ def feature_vectors(samples: DataFrame, *, fill: float = 0.0, features: str = "f
 
 def _labelled(samples: DataFrame, label) -> DataFrame:
     # the booster is trained on the first output of a sample
-    return feature_vectors(samples).withColumn("label", label(F.element_at("target", 1)).cast("double")).where(
+    return feature_vectors(samples).withColumn("label", label(F.get("target", F.lit(0))).cast("double")).where(
         finite(F.col("label"))
     )
 
@@ -89,7 +89,7 @@ def loss_per_round(model: PipelineModel, samples: DataFrame, *, classes: bool =
 def predict(model: PipelineModel, samples: DataFrame, *, keep: Sequence[str] = ("sample_id",)) -> DataFrame:
     """``(keep…, pred, target)`` for the first output."""
     scored = model.transform(feature_vectors(samples))
-    return scored.select(*keep, F.col("prediction").alias("pred"), F.element_at("target", 1).alias("target"))
+    return scored.select(*keep, F.col("prediction").alias("pred"), F.get("target", F.lit(0)).alias("target"))
 
 
 def save(model: PipelineModel, path: str) -> None:

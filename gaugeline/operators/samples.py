@@ -235,6 +235,20 @@ def load_samples(
     return kept.where(whole)
 
 
+def target_rows(
+    rows: DataFrame, outputs: Sequence[str], *, time: str = "ts", output_rows: int = -1, keys: Sequence[str] = ()
+) -> DataFrame:
+    """What baselines forecast: the output rows of each sample as ``(keys…, sample_id, step, time,
+    outputs…)``, steps from 0. ``output_rows`` as in ``load_samples``."""
+    by = [*[col(k) for k in keys], F.col("sample_id")]
+    size = F.count(F.lit(1)).over(Window.partitionBy(*by))  # a sample is short
+    first = F.greatest(F.col("__n") + output_rows, F.lit(0)) if output_rows < 0 else F.lit(output_rows)
+    numbered = rows.withColumn("__n", size).withColumn("__first", first.cast("int"))
+    return numbered.where(F.col("step") >= F.col("__first")).select(
+        *by, (F.col("step") - F.col("__first")).alias("step"), col(time), *[col(o) for o in outputs]
+    )
+
+
 # --- splits ----------------------------------------------------------------------------------
 
 

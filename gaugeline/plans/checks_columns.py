@@ -369,6 +369,22 @@ def calibration_summary(spark, d):
     )
 
 
+@query(
+    "calibration_tables",
+    f"""with {_SQL_LOGS} select regexp_replace(kind, '[\\\\/*?:"<>|]', '_', 'g') as parameter, count(*) as n, count(*) filter (paragraph = 0) as corrected
+        from rows group by 1""",
+)
+def calibration_tables(spark, d):
+    """Summaries written as one table with a partition per parameter, and read back."""
+    path = scratch(spark, "summaries")
+    s = calibration.summarize(calibration.parse_logs(log_texts(spark, d)))
+    s = s.drop("timespan").withColumn("parameter", fn.file_safe(F.col("parameter_type")))
+    delimited.write_table(s, path, partition_by=["parameter"])
+    return spark.read.parquet(path).groupBy("parameter").agg(
+        F.count(F.lit(1)).alias("n"), F.count("correction1").alias("corrected")
+    )
+
+
 @query(
     "calibration_jump",
     f"""with {SQL_USER_HOURLY},

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeline.operators import forecast, metrics
+from gaugeline.operators import forecast, metrics, samples
 from gaugeline.operators.combine import limits_long
 from gaugeline.plans import flows
+from gaugeline.plans.checks_samples import _SQL_TOLERANT, INPUTS
 from gaugeline.plans.fixtures import (
     BY_USER, PLAIN, SQL_HOURLY, SQL_LIMITS, SQL_LIMITS_LONG, SQL_ORDER_HOURS, SQL_PREDICTIONS, SQL_USER_HOURLY,
     hour_number, hourly, limits_wide, order_hours, predictions, r3, r6, sql_r3, sql_r6, user_hourly,
@@ -237,6 +238,27 @@ def baseline_sweep(spark, d):
     return scores.select("model", "setting", "n", r6("mae"), r6("rmse"), r6("r2"))
 
 
+@query(
+    "evaluate_samples",
+    f"""with {SQL_HOURLY}, {_SQL_TOLERANT}, h as (select ts, purchase as v from hourly where purchase is not null),
+      t as (select ends.sample_id, c.ts, c.purchase as target from ends join cells c on c.rn = ends.end_rn),
+      naive as (select t.sample_id, h.v as pred, target from (select *, ts - interval 1 hour as cut from t) t asof left join h on t.cut > h.ts),
+      fits as (select t.sample_id, t.target, count(h.ts) as n, avg(h.v) as m, regr_intercept(h.v, epoch_us(h.ts) / 3600e6 - epoch_us(t.ts) / 3600e6) as a
+               from t left join h on h.ts < t.ts - interval 1 hour and h.ts >= t.ts - interval 25 hour group by 1, 2),
+      predictions as (select 'Naive' as model, * from naive union all select 'Linear', sample_id, case when n = 1 then m else a end, target from fits),
+      firsts as (select * from (select *, row_number() over (partition by model order by sample_id) as rk from predictions) where rk <= 200),
+      {_sql_scores('firsts', 'model')} select model, {_SCORES} from scores""",
+)
+def evaluate_samples(spark, d):
+    """Samples cut, their last rows forecast, and the forecasts of the first 200 samples scored."""
+    h = hourly(spark, d)
+    targets = samples.target_rows(flows.cut_tolerant(h, PLAIN, ["purchase"], INPUTS, 24, 0.1), ["purchase"])
+    naive = forecast.naive_forecast(targets, h, PLAIN, ["purchase"], 1).withColumn("model", F.lit("Naive"))
+    linear = forecast.linear_forecast(targets, h, PLAIN, ["purchase"], 24, 1).withColumn("model", F.lit("Linear"))
+    found = metrics.regression_metrics(metrics.first_samples(naive.unionByName(linear), 200))
+    return found.select("model", "n", r6("mae"), r6("rmse"), r6("r2"))
+
+
 @query(
     "compare_models",
     f"""with {SQL_ORDER_HOURS}, {_SQL_SEASONAL},

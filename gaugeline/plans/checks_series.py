@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.operators import combine, gaps
 from gaugeline.operators.rolling import rolling_sum as rolling
-from gaugeline.plans import flows
+from gaugeline.plans import flows, site
 from gaugeline.plans.fixtures import (
     BY_TYPE, BY_USER, PLAIN, SQL_HOURLY, SQL_TYPE_HOURLY, SQL_USER_HOURLY, events, hourly, micros, r6, sql_r6,
     type_hourly, user_hourly,
@@ -169,6 +169,47 @@ def add_source(spark, d):
     return joined.select("event_type", micros(), r6("value"), r6("extra"))
 
 
+@query(
+    "clean_profiler",
+    f"""with first_of as (select user_id, (u // 3600000000 + case when u % 3600000000 > 1800000000 or (u % 3600000000 = 1800000000
+              and (u // 3600000000) % 2 = 1) then 1 else 0 end) as h, arg_min(value, u) as raw
+            from (select user_id, value, epoch_us(ts) as u from events) group by 1, 2),
+      user_hourly as (select user_id, make_timestamp(h * 3600000000) as ts, case when raw < 1 or raw > 250 then null else raw end as value from first_of),
+      {_SQL_INSERTED}, {_sql_line('inserted', 'user_id', 'value')}
+      select user_id, epoch_us(ts) as ts, flag as "Interpolated",
+        round_even(case when value is not null then value when i0 is null then null when i1 is null then x0 else {_LINE} end, 2) as sensor from near""",
+)
+def clean_profiler(spark, d):
+    raw = events(spark, d).select("user_id", "ts", F.col("value").alias("parm(1)"))
+    clean = combine.clean_profiler(raw, BY_USER, names={"parm(1)": "sensor"}, sensors=["sensor"], bounds={"sensor": (1, 250)})
+    return clean.select("user_id", micros(), "Interpolated", "sensor")
+
+
+@query(
+    "clean_weather",
+    f"""with w as (select user_id, ts, case when value > 360 then null else value end as dir, value / 10 as speed, value / 5 as gust,
+             860 + value as pressure, 100 + value as longwave, value - 50 as short, value % 60 as rain, value - 20 as air, value / 8 as humid from events)
+      select user_id, epoch_us(ts) as ts,
+        {sql_r6('cos(radians(dir)) * case when speed > 100 then null else speed end', 'wind_x')},
+        {sql_r6('sin(radians(dir)) * case when speed > 100 then null else speed end', 'wind_y')},
+        {sql_r6('case when gust > 100 then null else gust end', 'gust')},
+        {sql_r6('case when pressure > 1080 then null else pressure end', 'pressure')},
+        {sql_r6('case when longwave > 750 then null else longwave end', 'longwave')},
+        {sql_r6('case when short < 0 then 0 when short > 900 then null else short end', 'short')},
+        {sql_r6('coalesce(sum(case when rain > 50 then null else rain end) over (partition by user_id order by ts range between interval 24 hour preceding and current row), 0)', 'rain')},
+        {sql_r6('air', 'air')}, {sql_r6('case when humid > 100 then null else humid end', 'humid')} from w""",
+)
+def clean_weather(spark, d):
+    v = F.col("value")
+    station = [v, v / 10, v / 5, v + 860, v + 100, v - 50, v % 60, v - 20, v / 8]
+    raw = events(spark, d).select(
+        "user_id", F.col("ts").alias("Time"), *[c.alias(n) for n, c in zip(site.WEATHER_NAMES, station)]
+    )
+    short = ["wind_x", "wind_y", "gust", "pressure", "longwave", "short", "rain", "air", "humid"]
+    clean = flows.clean_weather(raw, BY_USER).withColumnsRenamed(dict(zip(site.WEATHER_COLUMNS, short)))
+    return clean.select("user_id", micros(), *[r6(c) for c in short])
+
+
 # --- segments and rolling sums ---------------------------------------------------------------
 
 _SQL_SEGMENTS = """steps as (select *, coalesce(ts - lag(ts) over (partition by {key} order by ts) > interval 1 hour, false) as brk from {source}),
