@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col, leading_number, parse_time
-from gaugeline.operators.ordered import Axis, Scan, scan, somewhere
+from gaugeline.operators.ordered import Axis, Record, Scan, instant, instant_bucket, scan, somewhere
 
 # Marks in the log format, and its time format.
 EXPORT_HEADER = "KorEXO Calibration File Export"
@@ -157,24 +157,25 @@ def calibration_jumps(
     keys = axis.key_cols
     reach = int(reach_hours * HOUR_US)
     payload = [c for c in calibrations.columns if c not in axis.keys]
-    asked = calibrations.select(
-        *keys,
-        F.struct(*[col(c) for c in payload]).alias("__p"),
-        somewhere(axis, col(time), F.struct(*[col(c) for c in payload])).alias("__u"),
-        F.explode(F.array(F.lit(0), F.lit(2))).alias("__o"),
-    ).withColumn("__n", F.lit(0))
-    reading = F.struct(F.unix_micros(col(axis.time)).alias("u"), col(value).cast("double").alias("v"))
-    read = sensor.select(*keys, col(axis.time).alias("__u"), F.lit(1).alias("__o"), F.lit(1).alias("__n"), reading.alias("__h"))
-    walk = axis.with_(time="__u", tie=("__o",))
+    whole = F.struct(*[col(c) for c in payload])
+    asked = calibrations.select(*keys, whole.alias("__p"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("__o"))
+    at = somewhere(axis, F.col("__p")[time], F.col("__p"))
+    asked = asked.withColumn("__u", instant(at, F.col("__o")))
+    read = sensor.where(col(axis.time).isNotNull()).select(
+        *keys, F.lit(0).alias("__o"), instant(col(axis.time)).alias("__u"), col(value).cast("double").alias("__v")
+    )
+    is_row = F.col("__o") == 0
+    reading = Record(is_row, {"u": (F.col("__u") / 4).cast("bigint"), "v": F.col("__v")})
     seen = scan(
         asked.unionByName(read, allowMissingColumns=True),
-        walk,
-        Scan(total={"__rows": F.col("__n")}, last={"__left": F.col("__h")}, following={"__right": F.col("__h")}),
-    ).where(F.col("__o") != 1)
+        axis.with_(time="__u", tie=()),
+        Scan(total={"__rows": is_row.cast("bigint")}, last={"__left": reading}, following={"__right": reading}),
+        bucket=instant_bucket(axis, "__u"),
+    ).where(~is_row)
     pairs = seen.groupBy(*keys, "__p").agg(
-        F.max(F.when(F.col("__o") == 0, F.col("__left"))).alias("__left"),
-        F.max(F.when(F.col("__o") == 2, F.col("__right"))).alias("__right"),
-        F.max(F.when(F.col("__o") == 2, F.col("__rows"))).alias("__rows"),
+        F.max(F.when(F.col("__o") < 0, F.col("__left"))).alias("__left"),
+        F.max(F.when(F.col("__o") > 0, F.col("__right"))).alias("__right"),
+        F.max(F.when(F.col("__o") > 0, F.col("__rows"))).alias("__rows"),
     )
     pairs = pairs.withColumn("__t", somewhere(axis, F.col("__p")[time], F.col("__p")))
     ordered = scan(pairs, axis.with_(time="__t", tie=("__rows",)), Scan(prior={"__prev": F.col("__rows")}))

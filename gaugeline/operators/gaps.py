@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col, round_half_even
-from gaugeline.operators.ordered import Axis, Scan, cut_evenly, place, scan, series_cols, unplace
+from gaugeline.operators.ordered import Axis, Record, Scan, cut_evenly, place, scan, series_cols, unplace
 
 
 def dedup_time(df: DataFrame, axis: Axis, tie: Sequence[str]) -> DataFrame:
@@ -90,8 +90,9 @@ def interpolate(
     """
     if direction not in ("forward", "both") or basis not in ("row", "time"):
         raise ValueError("direction is forward or both; basis is row or time")
-    values = {c: (F.struct(col(axis.time).alias("t"), col(c).alias("x"))) for c in columns}
-    known = {c: F.when(col(c).isNotNull(), s) for c, s in values.items()}
+    known = {c: col(c) for c in columns}
+    if basis == "time":
+        known = {c: Record(col(c).isNotNull(), {"x": col(c), "t": F.unix_micros(col(axis.time))}) for c in columns}
     walked = scan(
         df,
         axis,
@@ -105,12 +106,10 @@ def interpolate(
     for i, c in enumerate(columns):
         p, q = F.col(f"__p{i}"), F.col(f"__q{i}")
         if basis == "row":
-            at, left, right = F.col("__rn"), p["rn"], q["rn"]
+            at, left, right, x0, x1 = F.col("__rn"), p["rn"], q["rn"], p["v"], q["v"]
         else:
-            at, left, right = (
-                F.unix_micros(t) / HOUR_US for t in (col(axis.time), p["v"]["t"], q["v"]["t"])
-            )
-        x0, x1 = p["v"]["x"], q["v"]["x"]
+            at, left, right = (t / HOUR_US for t in (F.unix_micros(col(axis.time)), p["v"]["t"], q["v"]["t"]))
+            x0, x1 = p["v"]["x"], q["v"]["x"]
         line = x0 + (x1 - x0) / (right - left) * (at - left)
         value = F.when(col(c).isNotNull(), col(c)).when(p.isNotNull() & q.isNotNull(), line)
         if direction == "forward":

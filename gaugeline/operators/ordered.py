@@ -62,22 +62,51 @@ class Axis:
         return F.floor(F.unix_micros(col(self.time)) / int(self.bucket_hours * HOUR_US)).cast("bigint")
 
 
+@dataclass(frozen=True)
+class Record:
+    """Values that belong together, as one struct; it counts as present where ``when`` holds."""
+
+    when: Column
+    fields: Mapping[str, Column]
+
+
+Value = Column | Record
+
+
 @dataclass(frozen=True)
 class Scan:
-    """Columns to add by ``scan``; each maps a new name to an expression.
+    """Columns to add by ``scan``; each maps a new name to a column or record.
 
     total      running sum up to and including the row (null counts as 0)
-    last       latest non-null value at or before the row
-    prior      latest non-null value strictly before the row
-    following  earliest non-null value at or after the row
-    after      earliest non-null value strictly after the row
+    last       latest value present at or before the row
+    prior      latest value present strictly before the row
+    following  earliest value present at or after the row
+    after      earliest value present strictly after the row
     """
 
     total: Mapping[str, Column] = field(default_factory=dict)
-    last: Mapping[str, Column] = field(default_factory=dict)
-    prior: Mapping[str, Column] = field(default_factory=dict)
-    following: Mapping[str, Column] = field(default_factory=dict)
-    after: Mapping[str, Column] = field(default_factory=dict)
+    last: Mapping[str, Value] = field(default_factory=dict)
+    prior: Mapping[str, Value] = field(default_factory=dict)
+    following: Mapping[str, Value] = field(default_factory=dict)
+    after: Mapping[str, Value] = field(default_factory=dict)
+
+
+def _present(value: Value) -> Column:
+    return value.when if isinstance(value, Record) else value.isNotNull()
+
+
+def _fields(value: Value) -> list[Column]:
+    return list(value.fields.values()) if isinstance(value, Record) else [value]
+
+
+def _assemble(value: Value, present: Column, parts: Sequence[Column], row: Column | None) -> Column:
+    """Put a value together from its parts, with the row number it came from if there is one."""
+    whole = F.struct(*[c.alias(n) for c, n in zip(parts, value.fields)]) if isinstance(value, Record) else parts[0]
+    if row is not None:
+        whole = F.struct(row.cast("bigint").alias("rn"), whole.alias("v"))
+    elif not isinstance(value, Record):
+        return whole
+    return F.when(present, whole)
 
 
 def cut_evenly(df: DataFrame, axis: Axis, name: str = "__part") -> DataFrame:
@@ -122,7 +151,7 @@ def somewhere(axis: Axis, time: Column, salt: Column) -> Column:
     """The time, or for points without one a time long before all data, where they find nothing.
     Such points are spread over many buckets."""
     width = int(axis.bucket_hours * HOUR_US)
-    early = F.timestamp_micros(F.lit(-(2**61)) + F.pmod(F.xxhash64(salt), F.lit(1 << 16)) * F.lit(width))
+    early = F.timestamp_micros(F.lit(-(2**60)) + F.pmod(F.xxhash64(salt), F.lit(1 << 16)) * F.lit(width))
     return F.coalesce(time, early)
 
 
@@ -160,22 +189,23 @@ def scan(
     part = [F.col("__k")]
     order = axis.order()
     if position is not None:
-        base = base.withColumn("__lr", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-
-    def hit(value: Column, row: Column) -> Column:
-        if position is None:
-            return value
-        return F.when(value.isNotNull(), F.struct(row.cast("bigint").alias("rn"), value.alias("v")))
+        number = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+        base = base.withColumn("__lr", number.cast("bigint"))
 
-    # 1. summary of each bucket
-    stamp = F.struct(*order)
-    local = F.col("__lr") if position is not None else F.lit(0)
+    # 1. summary of each bucket; single fields of fixed width keep it a hash aggregate
+    stamp = order[0] if len(order) == 1 else F.struct(*order)
     sums = []
     if position is not None or size is not None:
         sums.append(F.count(F.lit(1)).alias("__n"))
     sums += [F.sum(e).alias(f"__t_{n}") for n, e in spec.total.items()]
-    sums += [F.max_by(hit(e, local), F.when(e.isNotNull(), stamp)).alias(f"__l_{n}") for n, e in backward.items()]
-    sums += [F.min_by(hit(e, local), F.when(e.isNotNull(), stamp)).alias(f"__f_{n}") for n, e in forward.items()]
+    for names, pick, mark, prefix in ((backward, F.max_by, F.max, "__l"), (forward, F.min_by, F.min, "__f")):
+        for n, value in names.items():
+            at = F.when(_present(value), stamp)
+            sums += [pick(e, at).alias(f"{prefix}{i}_{n}") for i, e in enumerate(_fields(value))]
+            if position is not None:
+                sums.append(pick(F.col("__lr"), at).alias(f"{prefix}r_{n}"))
+            if isinstance(value, Record):
+                sums.append(mark(at).isNotNull().alias(f"{prefix}p_{n}"))
     summary = base.groupBy("__k").agg(*sums).withColumns(unplace(axis))
 
     # 2. what other buckets hand over
@@ -186,13 +216,11 @@ def scan(
     if position is not None:
         summary = summary.withColumn("__off", F.coalesce(F.sum("__n").over(over_before), F.lit(0)))
 
-    def handed(name: str) -> Column:
-        value = F.col(name)
-        if position is None:
-            return value
-        return F.when(
-            value.isNotNull(), F.struct((F.col("__off") + value["rn"]).alias("rn"), value["v"].alias("v"))
-        )
+    def handed(n: str, value: Value, prefix: str) -> Column:
+        parts = [F.col(f"{prefix}{i}_{n}") for i in range(len(_fields(value)))]
+        present = F.col(f"{prefix}p_{n}") if isinstance(value, Record) else parts[0].isNotNull()
+        row = None if position is None else F.col("__off") + F.col(f"{prefix}r_{n}")
+        return _assemble(value, present, parts, row)
 
     carry = [F.col("__k")]
     if position is not None:
@@ -200,18 +228,18 @@ def scan(
     if size is not None:
         carry.append(F.sum("__n").over(whole).alias("__size"))
     carry += [F.sum(f"__t_{n}").over(over_before).alias(f"__ct_{n}") for n in spec.total]
-    carry += [F.last(handed(f"__l_{n}"), True).over(over_before).alias(f"__cl_{n}") for n in backward]
-    carry += [F.last(handed(f"__f_{n}"), True).over(over_after).alias(f"__cf_{n}") for n in forward]
+    carry += [F.last(handed(n, v, "__l"), True).over(over_before).alias(f"__cl_{n}") for n, v in backward.items()]
+    carry += [F.last(handed(n, v, "__f"), True).over(over_after).alias(f"__cf_{n}") for n, v in forward.items()]
     carried = summary.select(*carry)
 
     # 3. finish inside the bucket
     joined = base.join(carried, "__k", "left")
-    row = (F.col("__off") + F.col("__lr")) if position is not None else F.lit(0)
+    row = None if position is None else F.col("__off") + F.col("__lr")
     up_to, before = _window(part, order, _UP_TO), _window(part, order, _BEFORE)
     down_to, behind = (_window(part, order, f, descending=True) for f in (_UP_TO, _BEFORE))
     out = [col(c) for c in columns]
     if position is not None:
-        out.append(row.cast("bigint").alias(position))
+        out.append(row.alias(position))
     if size is not None:
         out.append(F.col("__size").alias(size))
     for n, e in spec.total.items():
@@ -223,11 +251,25 @@ def scan(
         (spec.following, down_to, "__cf_"),
         (spec.after, behind, "__cf_"),
     ):
-        for n, e in names.items():
-            out.append(F.coalesce(F.last(hit(e, row), True).over(frame), F.col(prefix + n)).alias(n))
+        for n, value in names.items():
+            here = _assemble(value, _present(value), _fields(value), row)
+            out.append(F.coalesce(F.last(here, True).over(frame), F.col(prefix + n)).alias(n))
     return joined.select(*out)
 
 
+# Points and history share one order column: time in quarter microseconds, so that a point can
+# stand just before (-1) or just after (+1) history of the same time.
+
+
+def instant(time: Column, side: int | Column = 0) -> Column:
+    return F.unix_micros(time) * 4 + (F.lit(side) if isinstance(side, int) else side)
+
+
+def instant_bucket(axis: Axis, at: str) -> Column | None:
+    """Time bucket of an instant; none if the axis cuts evenly instead."""
+    return None if axis.parts else F.floor(col(at) / (4 * int(axis.bucket_hours * HOUR_US))).cast("bigint")
+
+
 def last_before(
     points: DataFrame,
     history: DataFrame,
@@ -243,21 +285,24 @@ def last_before(
     Points and history go through one ordered scan, so the work is linear in both and there is no
     range join.  ``hit`` holds ``struct(time, values…)`` or null. Lookback is unbounded.
     """
-    order = 1 if inclusive else -1
-    found = F.struct(col(axis.time).alias("time"), *[col(v) for v in values])
     keys = axis.key_cols
     payload = [c for c in points.columns if c not in axis.keys]
     whole = F.struct(*[col(c) for c in payload])
     asked = points.select(
         *keys,
-        somewhere(axis, col(point_time), whole).alias("__u"),
-        F.lit(order).alias("__o"),
+        instant(somewhere(axis, col(point_time), whole), 1 if inclusive else -1).alias("__u"),
         whole.alias("__p"),
     )
-    known = history.select(*keys, col(axis.time).alias("__u"), F.lit(0).alias("__o"), found.alias("__h"))
+    names = {f"__h{i}": v for i, v in enumerate(values)}
+    known = history.where(col(axis.time).isNotNull()).select(
+        *keys, instant(col(axis.time)).alias("__u"), col(axis.time).alias("__t"), *[col(v).alias(n) for n, v in names.items()]
+    )
     both = asked.unionByName(known, allowMissingColumns=True)
-    walked = scan(both, axis.with_(time="__u", tie=("__o",)), Scan(last={hit: F.col("__h")}))
-    return walked.where(F.col("__o") != 0).select(
+    found = Record(F.col("__t").isNotNull(), {"time": F.col("__t"), **{v: F.col(n) for n, v in names.items()}})
+    walked = scan(
+        both, axis.with_(time="__u", tie=()), Scan(last={hit: found}), bucket=instant_bucket(axis, "__u")
+    )
+    return walked.where(F.col("__t").isNull()).select(
         *keys, *[F.col("__p")[c].alias(c) for c in payload], F.col(hit)
     )
 

@@ -117,10 +117,10 @@ def gap_feasibility(
             *[col(t).isNotNull().alias(f"__has{i}") for i, t in enumerate(targets)],
             F.explode(F.array(*[F.lit(int(g)) for g in gaps])).alias("gap"),
         )
-        .withColumn("__at", F.timestamp_micros(F.unix_micros("__t") - F.col("gap") * F.lit(HOUR_US)))
+        .withColumn("__t", F.timestamp_micros(F.unix_micros("__t") - F.col("gap") * F.lit(HOUR_US)))
     )
     history = numbered.select(*axis.key_cols, col(axis.time), "__pos")
-    found = last_before(points, history, axis, point_time="__at", values=["__pos"], inclusive=True)
+    found = last_before(points, history, axis, point_time="__t", values=["__pos"], inclusive=True)
     ok = F.coalesce(F.col("hit.__pos") >= segment_rows, F.lit(False))
     counts = [F.count_if(F.col(f"__has{i}") & ok).alias(f"c{i}") for i in range(len(targets))]
     cells = [F.struct(F.lit(t).alias("param"), F.col(f"c{i}").alias("n")) for i, t in enumerate(targets)]
