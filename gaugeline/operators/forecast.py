@@ -8,6 +8,7 @@ return ``(keys…, sample, step, param, pred, target)`` so that they can be unio
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,56 +101,68 @@ def _moments(x: Column, us: Column, outputs: Sequence[str], over=None) -> Column
     )
 
 
-def _add_up(parts: Column, part_value) -> Column:
-    return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + part_value(p))
+def _centred(m: Column, outputs: Sequence[str], shift: float = 0.0) -> Column:
+    """Sums to count, means and sums of squares and products around the means; null without rows.
+    The mean of x is moved by ``shift`` hours to a common origin."""
+    n, x = m["n"], m["x"]
+    return F.when(
+        n > 0,
+        F.struct(
+            n.alias("n"),
+            ((x / n + shift) if shift else x / n).alias("x"),
+            (m["xx"] - x * x / n).alias("xx"),
+            m["lo"].alias("lo"),
+            m["hi"].alias("hi"),
+            F.array(*[m["y"][i] / n for i in range(len(outputs))]).alias("y"),
+            F.array(*[m["xy"][i] - x * m["y"][i] / n for i in range(len(outputs))]).alias("xy"),
+        ),
+    )
 
 
-def _fit(rows: DataFrame, outputs: Sequence[str], parts: str) -> DataFrame:
-    """Add ``__mx``, and ``__my``/``__slope`` per output, from the array column ``parts``.
+def _merge(rows: DataFrame, parts: Sequence[str], outputs: Sequence[str], name: str) -> DataFrame:
+    """Merge centred parts into one column.
 
-    A part holds sums around its own origin ``d`` (hours); parts are merged around their means, so
-    long windows lose no digits.  One point, or points at one time, give slope 0: the mean.
+    Merging around the means keeps the digits that raw sums over a long window would lose.
     """
-    held = F.filter(F.col(parts), lambda p: p["m"]["n"] > 0)
-    rows = rows.withColumn(parts, held)
-    n = _add_up(F.col(parts), lambda p: p["m"]["n"])
-    count = F.when(F.size(parts) > 0, n)
-    rows = rows.withColumn(
-        "__mx", _add_up(F.col(parts), lambda p: p["m"]["x"] + p["m"]["n"] * p["d"]) / count
-    ).withColumns(
-        {f"__my{i}": _add_up(F.col(parts), lambda p, i=i: p["m"]["y"][i]) / count for i in range(len(outputs))}
-    )
-    mx = F.col("__mx")
-
-    def centre(p):
-        return p["m"]["x"] / p["m"]["n"] + p["d"] - mx
 
-    sxx = _add_up(
-        F.col(parts),
-        lambda p: p["m"]["xx"] - p["m"]["x"] * p["m"]["x"] / p["m"]["n"] + p["m"]["n"] * centre(p) * centre(p),
-    )
-    spread = F.array_max(F.transform(F.col(parts), lambda p: p["m"]["hi"])) > F.array_min(
-        F.transform(F.col(parts), lambda p: p["m"]["lo"])
-    )
-    slopes = {}
-    for i in range(len(outputs)):
-        my = F.col(f"__my{i}")
-        sxy = _add_up(
-            F.col(parts),
-            lambda p, i=i, my=my: p["m"]["xy"][i]
-            - p["m"]["x"] * p["m"]["y"][i] / p["m"]["n"]
-            + p["m"]["n"] * centre(p) * (p["m"]["y"][i] / p["m"]["n"] - my),
-        )
-        slopes[f"__slope{i}"] = F.when(spread, sxy / sxx).otherwise(F.lit(0.0))
-    return rows.withColumns(slopes)
+    def total(of) -> Column:
+        return reduce(lambda a, b: a + b, [F.coalesce(of(F.col(m)), F.lit(0.0)) for m in parts])
+
+    def extreme(pick, field: str) -> Column:
+        found = [F.col(f"{m}.{field}") for m in parts]
+        return found[0] if len(found) == 1 else pick(*found)
+
+    n, mean = F.col("__n"), F.col("__x")
+    outs = range(len(outputs))
+    # means first, as columns: the sums of squares refer to them many times
+    rows = rows.withColumn("__n", F.nullif(total(lambda m: m["n"]), F.lit(0.0)))
+    rows = rows.withColumns(
+        {
+            "__x": total(lambda m: m["n"] * m["x"]) / n,
+            **{f"__y{i}": total(lambda m, i=i: m["n"] * m["y"][i]) / n for i in outs},
+        }
+    )
+    merged = F.struct(
+        n.alias("n"),
+        mean.alias("x"),
+        total(lambda m: m["xx"] + m["n"] * (m["x"] - mean) * (m["x"] - mean)).alias("xx"),
+        extreme(F.least, "lo").alias("lo"),
+        extreme(F.greatest, "hi").alias("hi"),
+        F.array(*[F.col(f"__y{i}") for i in outs]).alias("y"),
+        F.array(
+            *[
+                total(lambda m, i=i: m["xy"][i] + m["n"] * (m["x"] - mean) * (m["y"][i] - F.col(f"__y{i}")))
+                for i in outs
+            ]
+        ).alias("xy"),
+    )
+    return rows.withColumn(name, F.when(n.isNotNull(), merged)).drop("__n", "__x", *[f"__y{i}" for i in outs])
 
 
 def _cells_per_window(window_hours: float, most_hours: float) -> int:
-    """Fewest equal cells of a whole-hour window that are no longer than a bucket of the axis."""
-    whole = int(window_hours)
-    if whole != window_hours or whole < 1:
-        return 1
-    return next((k for k in range(1, whole + 1) if whole % k == 0 and whole / k <= most_hours), whole)
+    """Few equal cells per window, if possible no longer than a bucket of the axis. An hour has a
+    whole number of microseconds for each of these divisors."""
+    return next((k for k in (1, 2, 3, 4, 5, 6, 8) if window_hours / k <= most_hours), 8)
 
 
 def linear_forecast(
@@ -185,7 +198,7 @@ def linear_forecast(
         "__end", F.col("__t0") - F.lit(_hours(gap_hours))
     )
 
-    def ask(points: DataFrame, at: Column, descending: bool, name: str) -> DataFrame:
+    def ask(points: DataFrame, at: Column, descending: bool, name: str, shift: float) -> DataFrame:
         """Running sums of the cell that holds ``at``: rows before it, or rows at and after it."""
         carried = [c for c in points.columns if c not in axis.keys]
         asked = points.select(
@@ -198,11 +211,13 @@ def linear_forecast(
         return (
             both.select(*keys, "__o", "__p", "__cell", _moments(x, seen_us, outputs, run).alias(name))
             .where(F.col("__o") == 0)
-            .select(*keys, *[F.col("__p")[c].alias(c) for c in carried], F.col("__cell").alias(f"{name}_cell"), name)
+            .select(*keys, *[F.col("__p")[c].alias(c) for c in carried], F.col("__cell").alias(f"{name}_cell"),
+                    _centred(F.col(name), outputs, shift).alias(name))
         )
 
-    with_tail = ask(samples, F.col("__end") - length, True, "__tail")
-    with_head = ask(with_tail, F.col("__end"), False, "__head")
+    hours = width / HOUR_US
+    with_tail = ask(samples, F.col("__end") - length, True, "__tail", 0.0)
+    with_head = ask(with_tail, F.col("__end"), False, "__head", cells * hours)
 
     asked_cells = samples.select(*keys, cell_of(F.col("__end")).alias("__cell"), F.lit(0).alias("__o")).distinct()
     blocks = (
@@ -210,29 +225,28 @@ def linear_forecast(
         .groupBy(*keys, "__cell")
         .agg(_moments(x, seen_us, outputs).alias("m"))
     )
-    between = Window.partitionBy(*keys).orderBy("__cell").rangeBetween(-(cells - 1), -1)
-    part = F.struct(F.col("__cell").alias("cell"), F.col("m"))
-    middle = blocks.select(
-        *keys,
-        F.col("__cell").alias("__head_cell"),
-        (F.collect_list(F.when(F.col("m.n") > 0, part)).over(between) if cells > 1
-         else F.array().cast("array<struct<cell:bigint,m:struct<n:double,x:double,xx:double,lo:bigint,hi:bigint,y:array<double>,xy:array<double>>>>")).alias("__mid"),
-    )
-    rows = with_head.join(middle, [*axis.keys, "__head_cell"], "left")
-    hours = width / HOUR_US
-    parts = F.concat(
-        F.array(F.struct(F.lit(0.0).alias("d"), F.col("__tail").alias("m"))),
-        F.transform(
-            F.col("__mid"),
-            lambda p: F.struct(((p["cell"] - F.col("__tail_cell")) * F.lit(hours)).alias("d"), p["m"].alias("m")),
-        ),
-        F.array(F.struct(F.lit(float(cells * hours)).alias("d"), F.col("__head").alias("m"))),
-    )
-    fitted = _fit(rows.withColumn("__parts", parts), outputs, "__parts")
+    rows = with_head
+    parts = ["__tail", "__head"]
+    if cells > 1:
+        # the whole cells depend on the cell of the head alone, so they are merged once per cell
+        in_order = Window.partitionBy(*keys).orderBy("__cell")
+        middle = blocks.select(
+            *keys,
+            F.col("__cell").alias("__head_cell"),
+            *[F.first("m").over(in_order.rangeBetween(k - cells, k - cells)).alias(f"__whole{k}") for k in range(1, cells)],
+        )
+        whole = {f"__whole{k}": _centred(F.col(f"__whole{k}"), outputs, k * hours) for k in range(1, cells)}
+        middle = _merge(middle.withColumns(whole), list(whole), outputs, "__mid").select(*keys, "__head_cell", "__mid")
+        rows = rows.join(middle, [*axis.keys, "__head_cell"], "left")
+        parts.insert(1, "__mid")
+    fitted = _merge(rows, parts, outputs, "__all")
+    line = F.col("__all")
     origin = F.col("__tail_cell") * F.lit(width)
 
     def pred(s, i):
-        return F.col(f"__my{i}") + F.col(f"__slope{i}") * ((s["us"] - origin) / HOUR_US - F.col("__mx"))
+        # one point, or points at one time, give their mean
+        slope = F.when(line["hi"] > line["lo"], line["xy"][i] / F.nullif(line["xx"], F.lit(0.0))).otherwise(F.lit(0.0))
+        return line["y"][i] + slope * ((s["us"] - origin) / HOUR_US - line["x"])
 
     return _long(fitted, axis, outputs, pred)
 
