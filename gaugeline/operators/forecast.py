@@ -101,21 +101,24 @@ def _moments(x: Column, us: Column, outputs: Sequence[str], over=None) -> Column
     )
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """a / b, and 0 for b = 0: never null, which keeps the generated code short."""
+    return F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
+
+
 def _centred(m: Column, outputs: Sequence[str], shift: float = 0.0) -> Column:
-    """Sums to count, means and sums of squares and products around the means; null without rows.
+    """Sums to count, means and sums of squares and products around the means; zeros without rows.
     The mean of x is moved by ``shift`` hours to a common origin."""
-    n, x = m["n"], m["x"]
-    return F.when(
-        n > 0,
-        F.struct(
-            n.alias("n"),
-            ((x / n + shift) if shift else x / n).alias("x"),
-            (m["xx"] - x * x / n).alias("xx"),
-            m["lo"].alias("lo"),
-            m["hi"].alias("hi"),
-            F.array(*[m["y"][i] / n for i in range(len(outputs))]).alias("y"),
-            F.array(*[m["xy"][i] - x * m["y"][i] / n for i in range(len(outputs))]).alias("xy"),
-        ),
+    n, x = (F.coalesce(m[f], F.lit(0.0)) for f in ("n", "x"))
+    ys = [F.coalesce(m["y"][i], F.lit(0.0)) for i in range(len(outputs))]
+    return F.struct(
+        n.alias("n"),
+        ((_ratio(x, n) + shift) if shift else _ratio(x, n)).alias("x"),
+        (F.coalesce(m["xx"], F.lit(0.0)) - _ratio(x * x, n)).alias("xx"),
+        m["lo"].alias("lo"),
+        m["hi"].alias("hi"),
+        F.array(*[_ratio(y, n) for y in ys]).alias("y"),
+        F.array(*[F.coalesce(m["xy"][i], F.lit(0.0)) - _ratio(x * y, n) for i, y in enumerate(ys)]).alias("xy"),
     )
 
 
@@ -126,7 +129,7 @@ def _merge(rows: DataFrame, parts: Sequence[str], outputs: Sequence[str], name:
     """
 
     def total(of) -> Column:
-        return reduce(lambda a, b: a + b, [F.coalesce(of(F.col(m)), F.lit(0.0)) for m in parts])
+        return reduce(lambda a, b: a + b, [of(F.col(m)) for m in parts])
 
     def extreme(pick, field: str) -> Column:
         found = [F.col(f"{m}.{field}") for m in parts]
@@ -135,11 +138,11 @@ def _merge(rows: DataFrame, parts: Sequence[str], outputs: Sequence[str], name:
     n, mean = F.col("__n"), F.col("__x")
     outs = range(len(outputs))
     # means first, as columns: the sums of squares refer to them many times
-    rows = rows.withColumn("__n", F.nullif(total(lambda m: m["n"]), F.lit(0.0)))
+    rows = rows.withColumn("__n", total(lambda m: m["n"]))
     rows = rows.withColumns(
         {
-            "__x": total(lambda m: m["n"] * m["x"]) / n,
-            **{f"__y{i}": total(lambda m, i=i: m["n"] * m["y"][i]) / n for i in outs},
+            "__x": _ratio(total(lambda m: m["n"] * m["x"]), n),
+            **{f"__y{i}": _ratio(total(lambda m, i=i: m["n"] * m["y"][i]), n) for i in outs},
         }
     )
     merged = F.struct(
@@ -156,7 +159,7 @@ def _merge(rows: DataFrame, parts: Sequence[str], outputs: Sequence[str], name:
             ]
         ).alias("xy"),
     )
-    return rows.withColumn(name, F.when(n.isNotNull(), merged)).drop("__n", "__x", *[f"__y{i}" for i in outs])
+    return rows.withColumn(name, merged).drop("__n", "__x", *[f"__y{i}" for i in outs])
 
 
 def _cells_per_window(window_hours: float, most_hours: float) -> int:
@@ -245,8 +248,8 @@ def linear_forecast(
 
     def pred(s, i):
         # one point, or points at one time, give their mean
-        slope = F.when(line["hi"] > line["lo"], line["xy"][i] / F.nullif(line["xx"], F.lit(0.0))).otherwise(F.lit(0.0))
-        return line["y"][i] + slope * ((s["us"] - origin) / HOUR_US - line["x"])
+        slope = F.when(line["hi"] > line["lo"], _ratio(line["xy"][i], line["xx"])).otherwise(F.lit(0.0))
+        return F.when(line["n"] > 0, line["y"][i] + slope * ((s["us"] - origin) / HOUR_US - line["x"]))
 
     return _long(fitted, axis, outputs, pred)
 
