@@ -252,7 +252,8 @@ def baseline_sweep(spark, d):
 def evaluate_samples(spark, d):
     """Samples cut, their last rows forecast, and the forecasts of the first 200 samples scored."""
     h = hourly(spark, d)
-    targets = samples.target_rows(flows.cut_tolerant(h, PLAIN, ["purchase"], INPUTS, 24, 0.1), ["purchase"])
+    cut = stored(flows.cut_tolerant(h, PLAIN, ["purchase"], INPUTS, 24, 0.1))
+    targets = samples.target_rows(cut, ["purchase"])
     naive = forecast.naive_forecast(targets, h, PLAIN, ["purchase"], 1).withColumn("model", F.lit("Naive"))
     linear = forecast.linear_forecast(targets, h, PLAIN, ["purchase"], 24, 1).withColumn("model", F.lit("Linear"))
     found = metrics.regression_metrics(metrics.first_samples(naive.unionByName(linear), 200))

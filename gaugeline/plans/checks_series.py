@@ -213,7 +213,7 @@ def clean_weather(spark, d):
 # --- segments and rolling sums ---------------------------------------------------------------
 
 _SQL_SEGMENTS = """steps as (select *, coalesce(ts - lag(ts) over (partition by {key} order by ts) > interval 1 hour, false) as brk from {source}),
-      seg as (select *, 1 + sum(case when brk then 1 else 0 end) over (partition by {key} order by ts rows unbounded preceding) as segment from steps),
+      seg as (select *, cast(1 + sum(case when brk then 1 else 0 end) over (partition by {key} order by ts rows unbounded preceding) as bigint) as segment from steps),
       numbered as (select *, row_number() over (partition by {key} order by ts) as rn,
         row_number() over (partition by {key}, segment order by ts) as pos from seg)"""
 
@@ -266,7 +266,7 @@ def combine_dense(spark, d):
             first_value(case when {c} is not null then rn end ignore nulls) over (order by ts rows between current row and unbounded following) as {c}_i1''' for c in ('click', 'view'))} from m),
       f as (select ts, {', '.join(f"{c} is not null or coalesce(rn - {c}_i0 <= 2, false) or coalesce({c}_i1 - rn <= 2, false) as has_{c}" for c in ('click', 'view'))} from n),
       k as (select ts from f where has_click and has_view),
-      s as (select *, sum(case when gap then 1 else 0 end) over (order by ts) + 1 as segment
+      s as (select *, cast(sum(case when gap then 1 else 0 end) over (order by ts) + 1 as bigint) as segment
             from (select ts, coalesce(ts - lag(ts) over (order by ts) > interval 1 hour, false) as gap from k))
       select segment as "Segment", count(*) as n, epoch_us(min(ts)) as first, epoch_us(max(ts)) as last from s group by 1""",
 )
