@@ -12,6 +12,7 @@ from gaugeline.plans.fixtures import (
     type_hourly, user_hourly,
 )
 from gaugeline.plans.registry import query
+from gaugeline.sources.tables import stored
 
 
 @query(
@@ -273,7 +274,7 @@ def combine_dense(spark, d):
 def segment_profile(spark, d):
     """Range rules, continuous spine, limited fill, segments, and the size of each segment."""
     df = combine.clean_ranges(hourly(spark, d).select("ts", "click", "view"), {"click": (None, 500), "view": (None, 500)})
-    whole = gaps.align(gaps.hourly_spine([df], PLAIN), df, PLAIN)
+    whole = stored(gaps.align(gaps.hourly_spine([df], PLAIN), df, PLAIN))
     filled = gaps.interpolate(whole, PLAIN, ["click", "view"], limit=2, direction="both")
     numbered = gaps.segments(filled.dropna(subset=["click", "view"]), PLAIN)
     return numbered.groupBy("Segment").agg(
