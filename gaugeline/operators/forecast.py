@@ -363,74 +363,75 @@ def _other_years(df: DataFrame, by: Sequence[Column], names: Sequence[str]) -> D
     )
 
 
+# Places on the minute axis for sums without a time of day, far from minutes and from each other.
+_NEAR_SLOT, _WIDE_SLOT, _ALL_SLOT = 100_000, 200_000, 300_000
+
+
 def _season_means(cells: DataFrame, asks: DataFrame, axis: Axis, diurnal_hours: float) -> DataFrame:
     """Mean for each asked (keys, param, year, day, minute) over the first season tier with rows.
 
     ``cells`` is history summed per (keys, param, year, day, minute): rows ``n``, values ``nn``, sum
     ``s``.  From here on sizes are bounded by the calendar (years x 366 days x minutes in use), not
-    by the data.  Days meet by listing the days near each cell's day, minutes by a range window.
+    by the data.  All four tiers lie in one table of (day, slot, year): a slot is a minute, or stands
+    for the near days, the wide days, or everything.  Days meet by listing the days near each
+    cell's day, minutes by a range window, years by sums before and after.
     """
     by = [*axis.keys, "param"]
     at = [col(b) for b in by]
-    days = cells.groupBy(*at, "year", "doy").agg(*_sum_all())
-
-    # nearest days and time of day
+    spot = [*at, F.col("day"), F.col("slot"), F.col("year")]
     minutes = int(diurnal_hours * 60)
+    days = cells.groupBy(*at, "year", "doy").agg(*_sum_all())
     asked_days = asks.select(*at, "day").distinct()
-    close = (
-        cells.withColumn("day", F.explode(_days_near(F.col("doy"), NEAR_DAYS)))
-        .join(asked_days, [*by, "day"], "left_semi")
-        .groupBy(*at, "day", "year", "minute")
-        .agg(*_sum_all())
+
+    def spread(df: DataFrame, reach: int) -> DataFrame:
+        near = df.withColumn("day", F.explode(_days_near(F.col("doy"), reach)))
+        return near.join(asked_days, [*by, "day"], "left_semi")
+
+    gap = F.abs(F.col("doy") - F.col("day"))
+    wide = F.lit(_WIDE_SLOT)
+    slots = F.when(F.least(gap, 365 - gap) <= NEAR_DAYS, F.array(F.lit(_NEAR_SLOT), wide)).otherwise(F.array(wide))
+    by_minute = spread(cells, NEAR_DAYS).withColumn("slot", F.col("minute")).select(*spot, *_SUMS)
+    by_day = spread(days, WIDE_DAYS).withColumn("slot", F.explode(slots)).select(*spot, *_SUMS)
+    whole = days.withColumn("day", F.lit(0)).withColumn("slot", F.lit(_ALL_SLOT)).select(*spot, *_SUMS)
+
+    # Rows of zeros: where a sum is asked for, and, at asked minutes, for the other years of that day,
+    # so that each year has a sum of its minutes around.
+    places = [("day", F.col("minute")), ("day", F.lit(_NEAR_SLOT)), ("day", wide), (None, F.lit(_ALL_SLOT))]
+    asked = asks.withColumn(
+        "__p",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(t).alias("tier"), (F.col("day") if d else F.lit(0)).alias("day"), sl.alias("slot"))
+                    for t, (d, sl) in enumerate(places)
+                ]
+            )
+        ),
+    ).select(*at, "year", F.col("day").alias("__day"), "minute", "__p.tier", "__p.day", "__p.slot")
+    own = asked.select(*spot, *_zeros(), F.lit(1).alias("asked"))
+    years = by_minute.select(*at, "day", "year").distinct()
+    others = (
+        asks.select(*at, "day", F.col("minute").alias("slot")).distinct().join(years, [*by, "day"])
+        .select(*spot, *_zeros(), F.lit(1).alias("asked"))
     )
-    years = close.select(*at, "day", "year").union(asks.select(*at, "day", "year")).distinct()
-    slots = asks.select(*at, "day", "minute").distinct()
-    wanted = slots.join(years, [*by, "day"])  # minutes in use x years of one day
-    grid = (
-        close.withColumn("asked", F.lit(0))
-        .unionByName(wanted.select(*at, "day", "year", "minute", *_zeros(), F.lit(1).alias("asked")))
-        .groupBy(*at, "day", "year", "minute")
+    data = by_minute.unionByName(by_day).unionByName(whole).withColumn("asked", F.lit(0))
+    table = (
+        data.unionByName(own).unionByName(others)
+        .groupBy(*spot)
         .agg(*_sum_all(), F.max("asked").alias("asked"))
     )
-    reach = Window.partitionBy(*at, "day", "year").orderBy("minute").rangeBetween(-minutes, minutes)
-    hour_sums = grid.withColumns({n: F.sum(n).over(reach) for n in _SUMS}).where("asked = 1").drop("asked")
-    hour_tier = _other_years(hour_sums, [*at, F.col("day"), F.col("minute")], _SUMS).withColumnsRenamed(
-        {n: f"{n}1" for n in _SUMS}
-    )
-
-    # nearest and wider days
-    names = [f"{n}{t}" for t in (2, 3) for n in _SUMS]
-    spread = (
-        days.withColumn("day", F.explode(_days_near(F.col("doy"), WIDE_DAYS)))
-        .join(asked_days, [*by, "day"], "left_semi")
+    reach = Window.partitionBy(*at, "day", "year").orderBy("slot").rangeBetween(-minutes, minutes)
+    around = table.withColumns({n: F.sum(n).over(reach) for n in _SUMS}).where(
+        (F.col("asked") == 1) | (F.col("slot") >= _NEAR_SLOT)
     )
-    gap = F.abs(F.col("doy") - F.col("day"))
-    near = F.least(gap, 365 - gap) <= NEAR_DAYS
-    spread = spread.select(
-        *at, "day", "year",
-        *[F.when(near, F.col(n)).otherwise(F.lit(0)).alias(f"{n}2") for n in _SUMS],
-        *[F.col(n).alias(f"{n}3") for n in _SUMS],
-    ).unionByName(asks.select(*at, "day", "year").distinct().select("*", *_zeros(names)))
-    day_tier = _other_years(
-        spread.groupBy(*at, "day", "year").agg(*_sum_all(names)), [*at, F.col("day")], names
+    sums = _other_years(around.drop("asked"), [*at, F.col("day"), F.col("slot")], _SUMS)
+    found = asked.join(sums, [*by, "day", "slot", "year"]).groupBy(
+        *at, "year", F.col("__day").alias("day"), "minute"
     )
-
-    # everything
-    all_names = [f"{n}4" for n in _SUMS]
-    whole = days.select(*at, "year", *[F.col(n).alias(f"{n}4") for n in _SUMS]).unionByName(
-        asks.select(*at, "year").distinct().select("*", *_zeros(all_names))
-    )
-    all_tier = _other_years(whole.groupBy(*at, "year").agg(*_sum_all(all_names)), at, all_names)
-
-    joined = (
-        asks.join(hour_tier, [*by, "day", "minute", "year"], "left")
-        .join(day_tier, [*by, "day", "year"], "left")
-        .join(all_tier, [*by, "year"], "left")
+    filled = F.when(F.col("n") > 0, F.col("tier"))
+    return found.agg(F.min_by("s", filled).alias("__s"), F.min_by("nn", filled).alias("__nn")).select(
+        *at, "year", "day", "minute", F.try_divide("__s", F.nullif(F.col("__nn"), F.lit(0))).alias("pred")
     )
-    mean = F.when(F.lit(False), F.lit(0.0))
-    for t in (1, 2, 3, 4):
-        mean = mean.when(F.col(f"n{t}") > 0, F.try_divide(F.col(f"s{t}"), F.nullif(F.col(f"nn{t}"), F.lit(0))))
-    return joined.select(*at, "year", "day", "minute", mean.alias("pred"))
 
 
 def _cells(values: DataFrame, axis: Axis) -> DataFrame:
