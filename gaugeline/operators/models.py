@@ -121,9 +121,3 @@ def score_batches(
     scored = samples.withColumn("pred", run(dense))
     usable = ~F.exists("pred", lambda v: ~finite(v)) & ~F.exists("target", lambda v: ~finite(v))
     return scored.where(usable).select(*keep, "pred", "target")
-
-
-__all__ = [
-    "feature_vectors", "fit_classifier", "fit_regressor", "load", "loss_per_round", "predict", "save",
-    "score_batches",
-]

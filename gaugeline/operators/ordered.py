@@ -3,7 +3,8 @@
 A window over ``partitionBy(key)`` sends one series to one task, and a window without keys sends the
 whole table.  The scans here cut each series into time buckets instead:
 
-1. a small summary per (key, bucket) is aggregated (map-side combine, no raw rows in the shuffle);
+1. a small summary per (key, bucket) is aggregated, combined before the shuffle; where row numbers are
+   asked for, it is taken after the shuffle by (key, bucket) that step 3 needs anyway;
 2. the summary is scanned in order of the bucket, which yields what earlier or later buckets hand over;
 3. the handed-over values are joined back on (key, bucket) and each bucket is finished on its own.
 

@@ -8,11 +8,11 @@ from gaugeline import functions as fn
 from gaugeline.operators import calibration, combine, scaling
 from gaugeline.plans.fixtures import (
     BY_USER, SQL_HOURLY, SQL_LIMITS, SQL_LIMITS_LONG, SQL_ORDER_HOURS, SQL_PREDICTIONS, SQL_USER_HOURLY,
-    TYPES, events, hour_number, hourly, limits_wide, micros, order_hours, predictions, r6, scratch, sql_r6,
+    TYPES, events, hourly, limits_wide, micros, order_hours, predictions, r6, scratch, sql_r6,
     table, user_hourly,
 )
 from gaugeline.plans.registry import query
-from gaugeline.sources import delimited, logs, params
+from gaugeline.sources import delimited, params
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -407,6 +407,3 @@ def calibration_jump(spark, d):
     cal = events(spark, d).where("event_type = 'signup'").select("user_id", "event_id", F.col("ts").alias("t"))
     jumps = calibration.calibration_jumps(cal, user_hourly(spark, d), BY_USER, "high", time="t")
     return jumps.select("event_id", r6("before"), r6("after"), r6("difference"), "between_count")
-
-
-__all__ = ["hour_number", "logs"]

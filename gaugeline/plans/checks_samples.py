@@ -9,7 +9,7 @@ from gaugeline.operators import models, samples
 from gaugeline.plans import flows
 from gaugeline.plans.checks_series import _SQL_SEGMENTS
 from gaugeline.plans.fixtures import (
-    BY_TYPE, BY_USER, PLAIN, SQL_HOURLY, SQL_TYPE_HOURLY, SQL_USER_HOURLY, TYPES, hourly, micros, r6, scratch,
+    BY_TYPE, BY_USER, PLAIN, SQL_HOURLY, SQL_TYPE_HOURLY, SQL_USER_HOURLY, hourly, micros, r6, scratch,
     sql_r6, table, type_hourly, user_hourly,
 )
 from gaugeline.plans.registry import query
@@ -250,6 +250,3 @@ def _mean_of_inputs():
 def score_samples(spark, d):
     scored = models.score_batches(_loaded(spark, d, fault_tolerant=True), _mean_of_inputs, size=92)
     return scored.select("sample_id", r6(F.col("pred")[0], "pred"), r6(F.col("target")[0], "target"))
-
-
-__all__ = ["TYPES"]
