@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gaugeline.llm.columns import beside
 from gaugeline.llm.pieces import PieceCoder, encoded
 
 NONE = np.int64(1) << 40
@@ -190,12 +191,12 @@ def coder(path: str) -> PieceCoder:
 def _replace(docs: DataFrame, fields: list[T.StructField], make) -> DataFrame:
     """All columns and new ones; ``make(batch)`` gives the new columns' arrays."""
     new = [f.name for f in fields]
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in new] + fields)
+    columns = beside(docs.columns, new)
+    schema = T.StructType([docs.schema[c] for c in columns] + fields)
 
     def run(batches):
         for batch in batches:
-            kept = [c for c in batch.schema.names if c not in new]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + make(batch), names=kept + new)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + make(batch), names=columns + new)
 
     return docs.mapInArrow(run, schema)
 

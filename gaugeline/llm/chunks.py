@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from gaugeline.sources.tables import fresh_path
 
 CHUNK_BYTES = 4 << 20
+_MOST_BUCKETS = 100_000  # Spark's own limit
 #: Low bits of a packed key.
 MULTI, ANCHOR = np.uint64(1), np.uint64(2)
 
@@ -32,13 +34,13 @@ FOUND = "chunk bigint, keys binary, later binary"
 def write_chunks(docs: DataFrame, text: str, chunk_bytes: int | None = None) -> tuple[DataFrame, int]:
     """``(chunk, rows)`` with all columns of the documents inside ``rows``, and the number of buckets.
 
-    A chunk holds about ``chunk_bytes`` of text (one long text may exceed it); by default 4 MB, more
-    beyond 16 GB, so that rows of the exchange do not grow with the square of the input.
+    A chunk holds about ``chunk_bytes`` of text (one long text may exceed it); by default 2 MB, more
+    beyond 8 GB, so that rows of the exchange do not grow with the square of the input.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     size = chunk_bytes or min(64 << 20, max(CHUNK_BYTES, total // 4096))
-    buckets = max(1 + total // (2 * size), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(_MOST_BUCKETS, max(1 + total // (2 * size), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     schema = T.StructType(
         [T.StructField("chunk", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(docs.schema.fields)))]
     )
@@ -55,7 +57,7 @@ def write_chunks(docs: DataFrame, text: str, chunk_bytes: int | None = None) ->
             )
 
         for batch in batches:
-            _, offsets = text_places(batch.column(text))
+            offsets = text_places(batch.column(text))
             at = 0
             while at < batch.num_rows:
                 to = int(np.searchsorted(offsets, offsets[at] + size - weight, "right")) - 1
@@ -76,11 +78,9 @@ def write_chunks(docs: DataFrame, text: str, chunk_bytes: int | None = None) ->
     return spark.table(name), buckets
 
 
-def text_places(texts: pa.Array) -> tuple[None, np.ndarray]:
-    import pyarrow.compute as pc
-
+def text_places(texts: pa.Array) -> np.ndarray:
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return None, np.concatenate([[0], np.cumsum(lengths)])
+    return np.concatenate([[0], np.cumsum(lengths)])
 
 
 def pack_keys(

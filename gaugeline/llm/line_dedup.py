@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.llm import chunks as C
+from gaugeline.llm.columns import beside, unused
 from gaugeline.llm.words import line_spans, run_hashes, span_hashes, text_bytes, word_spans
 
 MIN_WORDS = 40
@@ -83,7 +84,9 @@ def delete_repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", m
     if min_words < 1:
         raise ValueError("min_words must be positive")
     chunks, buckets = C.write_chunks(docs, text)
-    columns = docs.columns
+    left_text = unused(docs.columns, "left_text")
+    new = ["n_lines", "n_deleted", left_text]
+    columns = beside(docs.columns, new)
 
     def probe(chunk, rows, _):
         *_, first, hashes, before = _lines(rows, text)
@@ -119,20 +122,14 @@ def delete_repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", m
             _joined(data, starts[a:b][~gone[a:b]], ends[a:b][~gone[a:b]]) if n else None
             for a, b, n in zip(first[:-1], first[1:], deleted, strict=True)
         ]
-        added = {
-            "n_lines": pa.array(np.diff(first), pa.int64()), "n_deleted": pa.array(deleted, pa.int64()),
-            "_left_text": pa.array(left, pa.string()),
-        }
-        kept = [(f, rows.field(f)) for f in columns if f not in added]
-        yield pa.RecordBatch.from_arrays([a for _, a in kept] + list(added.values()), names=[f for f, _ in kept] + list(added))
+        added = [pa.array(np.diff(first), pa.int64()), pa.array(deleted, pa.int64()), pa.array(left, pa.string())]
+        yield pa.RecordBatch.from_arrays([rows.field(c) for c in columns] + added, names=columns + new)
 
     shared = C.repeated(C.each_chunk(chunks, None, probe, C.PROBES), _FINGER_WIDTH)
     windows = C.repeated(C.each_chunk(chunks, shared, extend, C.PROBES), _WINDOW_WIDTH)
-    new = ["n_lines", "n_deleted", "_left_text"]
-    fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType()), T.StructField("_left_text", T.StringType())]
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in new] + fields)
-    done = C.each_chunk(chunks, windows, finish, schema)
-    return done.withColumn(text, F.coalesce("_left_text", text)).drop("_left_text")
+    fields = [T.StructField(n, T.LongType()) for n in new[:2]] + [T.StructField(left_text, T.StringType())]
+    done = C.each_chunk(chunks, windows, finish, T.StructType([docs.schema[c] for c in columns] + fields))
+    return done.withColumn(text, F.coalesce(left_text, text)).drop(left_text)
 
 
 def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:

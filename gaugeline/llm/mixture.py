@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeline.llm.columns import beside
 from gaugeline.llm.words import n_words, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -103,7 +104,7 @@ def mix(
     order, null last.  Without ``keep_text`` the text column is left out and not moved."""
     spark = docs.sparkSession
     names = ["size", "source_size", "target", "taken"]
-    kept = [c for c in docs.columns if c not in names and (keep_text or c != text)]
+    kept = [c for c in beside(docs.columns, names) if keep_text or c != text]
     sized = docs.select(
         F.struct(*[F.col(c) for c in kept]).alias("doc"), F.col(source).alias("source"), F.col(key).alias("key"),
         n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("hash"),

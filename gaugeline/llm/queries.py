@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import byte_bpe, line_dedup, mixture, substring_dedup, token_files
+from gaugeline.llm import byte_bpe, embedding_dedup, line_dedup, mixture, ngram_join, pii, quality_rules, substring_dedup, token_files, warc
 from gaugeline.llm.ship import ship
 from gaugeline.sources.tables import fresh_path
 
@@ -69,3 +69,58 @@ def op10(spark, sf_dir):
     return out.select(
         "doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256")
     )
+
+
+@query("op1_quality_rules")
+def op1(spark, sf_dir):
+    """Measures, base rule and the verdict of the learned list."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_rules.learn_and_judge(docs, table(spark, sf_dir, "labels"), keep_text=False)
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
+@query("op9_embedding_dedup")
+def op9(spark, sf_dir):
+    """Links, component and choice for every vector."""
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
+        "vec_id", "n_links", "component_id", "kept"
+    )
+
+
+@query("op5_ngram_join")
+def op5(spark, sf_dir):
+    """Class and number of links of every document."""
+    out = ngram_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links", "kept")
+
+
+@query("op2_pii")
+def op2(spark, sf_dir):
+    """Spans of personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.sha2(listed(F.filter("spans", lambda s: ~s["added"])), 256)
+    counts = [f"n_{k}" for k in pii.KINDS]
+    return found.select("doc_id", *counts, base.alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_added")
+
+
+#: Payloads below 100 bytes are all responses; of larger equal ones the least id is.
+_OP3_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+from f
+"""
+
+
+@query("op3_warc", _OP3_SQL)
+def op3(spark, sf_dir):
+    """Write all pages into archives and read them back."""
+    folder = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.pages(warc.read(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.llm import chunks as C
+from gaugeline.llm.columns import beside, unused
 from gaugeline.llm.words import covered, gram_hashes, span_hashes, text_bytes, word_spans
 
 WINDOW = 35
@@ -54,7 +55,8 @@ def repeats(docs: DataFrame, text: str, window: int, render, fields: list[T.Stru
     """All columns of the documents and the fields that ``render`` gives for the words of a chunk."""
     block = (window + 1) // 2
     chunks, buckets = C.write_chunks(docs, text)
-    columns = docs.columns
+    new = [f.name for f in fields]
+    columns = beside(docs.columns, new)
 
     def probe(chunk, rows, _):
         *_, first, hashes = _words(rows, text)
@@ -74,13 +76,11 @@ def repeats(docs: DataFrame, text: str, window: int, render, fields: list[T.Stru
         repeated = begin[C.among(C.short(full, _WINDOW_WIDTH), C.found_keys(found, _WINDOW_WIDTH))]
         gone = covered(repeated, window, len(starts))
         added = render(data, starts, ends, first, gone)
-        kept = [(f, rows.field(f)) for f in columns if f not in added]
-        yield pa.RecordBatch.from_arrays([a for _, a in kept] + list(added.values()), names=[f for f, _ in kept] + list(added))
+        yield pa.RecordBatch.from_arrays([rows.field(c) for c in columns] + [added[n] for n in new], names=columns + new)
 
     hits = C.repeated(C.each_chunk(chunks, None, probe, C.PROBES), _PROBE_WIDTH, need_anchor=True)
     windows = C.repeated(C.each_chunk(chunks, hits, extend, C.PROBES), _WINDOW_WIDTH)
-    new = {f.name for f in fields}
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in new] + fields)
+    schema = T.StructType([docs.schema[c] for c in columns] + fields)
     return C.each_chunk(chunks, windows, finish, schema)
 
 
@@ -115,6 +115,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     """The documents with ``text`` left without the words of repeated windows (kept words joined by
     one space; texts that lose nothing stay as they are), plus ``n_words`` and ``n_removed``."""
 
+    left = unused(docs.columns, "left_text")
+
     def render(data, starts, ends, first, gone):
         counts, removed = np.diff(first), np.diff(np.r_[0, np.cumsum(gone)][first])
         kept = [
@@ -123,12 +125,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
         ]
         return {
             "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-            "_kept_text": pa.array(kept, pa.string()),
+            left: pa.array(kept, pa.string()),
         }
 
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("_kept_text", T.StringType())]
-    found = repeats(docs, text, window, with_text, fields)
-    return found.withColumn(text, F.coalesce("_kept_text", text)).drop("_kept_text")
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(left, T.StringType())]
+    found = repeats(docs, text, window, render, fields)
+    return found.withColumn(text, F.coalesce(left, text)).drop(left)
 
 
 def repeat_digests(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
