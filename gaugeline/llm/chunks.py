@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from gaugeline.sources.tables import fresh_path
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _MOST_BUCKETS = 100_000  # Spark's own limit
 #: Low bits of a packed key.
 MULTI, ANCHOR = np.uint64(1), np.uint64(2)
