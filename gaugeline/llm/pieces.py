@@ -22,7 +22,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Texts are taken in groups of about so many bytes, to bound the arrays.
 GROUP_BYTES = 2 << 20
 #: Distinct pieces remembered by a worker before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 _UNKNOWN = 255
 _classes = np.full(0x110000, _UNKNOWN, np.uint8)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from gaugeline.llm.pieces import PieceCoder, encoded
 
 FILE_BYTES = 32 << 20
+_ABREAST = 4096
 _HEAD = struct.Struct("<QI")
 _START = struct.Struct("<BBq")
 _CRC = struct.Struct("<I")
@@ -95,7 +96,11 @@ def coder(path: str) -> tuple[PieceCoder, int]:
     library.encode_special_tokens = True
 
     def encode_new(pieces: list[bytes]) -> list:
-        return [e.ids for e in library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        ids: list = []
+        for at in range(0, len(pieces), _ABREAST):  # the library's results are large; only their ids stay
+            some = library.encode_batch_fast([p.decode() for p in pieces[at : at + _ABREAST]], add_special_tokens=False)
+            ids += [np.array(e.ids, np.uint32) for e in some]
+        return ids
 
     return PieceCoder(encode_new), 2 if library.get_vocab_size() <= 1 << 16 else 4
 
