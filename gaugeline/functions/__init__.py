@@ -2,7 +2,6 @@ from gaugeline.functions.columns import (  # noqa: F401
     HOUR_US,
     binary_label,
     blank_to_null,
-    circular_day_distance,
     clamp,
     col,
     decompose,
@@ -22,7 +21,6 @@ from gaugeline.functions.columns import (  # noqa: F401
     round_half_even,
     row_flag,
     season_keys,
-    seconds_between,
     sentinels_to_null,
     to_number,
     to_number_comma,

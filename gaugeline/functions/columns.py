@@ -85,10 +85,6 @@ def round_hour(time: Column) -> Column:
     return F.timestamp_micros((whole + F.when(up, 1).otherwise(0)) * F.lit(HOUR_US))
 
 
-def seconds_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6
-
-
 def season_keys(time: Column) -> list[Column]:
     return [
         F.year(time).alias("year"),
@@ -101,11 +97,6 @@ def hour_of_year(time: Column) -> Column:
     return (F.dayofyear(time) - 1) * 24 + F.hour(time)
 
 
-def circular_day_distance(a: Column, b: Column) -> Column:
-    gap = F.abs(a - b)
-    return F.least(gap, F.lit(365) - gap)
-
-
 def in_time_range(time: Column, start=None, end=None, closed: str = "left") -> Column:
     """``closed``: left ``[a,b)``, right ``(a,b]``, both ``[a,b]`` or neither ``(a,b)``."""
     if closed not in ("left", "right", "both", "neither"):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col, leading_number, parse_time
-from gaugeline.operators.ordered import Axis, Record, Scan, instant, instant_bucket, scan, somewhere
+from gaugeline.operators.ordered import Axis, Record, Scan, instant, instant_bucket, scan
 
 # Marks in the log format, and its time format.
 EXPORT_HEADER = "KorEXO Calibration File Export"
@@ -39,6 +39,11 @@ def _fields(lines: Column) -> Column:
     )
 
 
+def _keys_differ(fields: Column) -> Column:
+    keys = F.transform(fields, lambda f: f["key"])
+    return F.size(F.array_distinct(keys)) == F.size(keys)
+
+
 def _numbered(fields: Column) -> Column:
     """A key that repeats becomes ``"key n"``."""
 
@@ -47,7 +52,7 @@ def _numbered(fields: Column) -> Column:
         text = F.when(n == 1, f["key"]).otherwise(F.concat_ws(" ", f["key"], n.cast("string")))
         return F.struct(text.alias("key"), f["value"].alias("value"))
 
-    return F.transform(fields, name)
+    return F.when(_keys_differ(fields), fields).otherwise(F.transform(fields, name))
 
 
 def _as_map(fields: Column) -> Column:
@@ -55,7 +60,7 @@ def _as_map(fields: Column) -> Column:
     last = F.filter(
         fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)), lambda g: g["key"] == f["key"])
     )
-    return F.map_from_entries(last)
+    return F.when(_keys_differ(fields), F.map_from_entries(fields)).otherwise(F.map_from_entries(last))
 
 
 def parse_logs(logs: DataFrame, content: str = "content") -> DataFrame:
@@ -144,51 +149,66 @@ def calibration_jumps(
     reach_hours: float = 24,
     min_rows: int = MIN_ROWS_BETWEEN,
 ) -> DataFrame:
-    """Add the sensor values around each calibration and their absolute difference.
+    """Add the sensor values around each calibration and their absolute difference; one row for each
+    input row.
 
     ``before`` comes from the last sensor row in ``[t - reach, t)``, ``after`` from the first in
     ``(t, t + reach]``; a null value in that row stays null.  ``between_count`` counts sensor rows
     since the previous calibration, ``(previous, t]``.  The values are null for the first
-    calibration, with fewer than ``min_rows`` rows between, or if a side is empty.
+    calibration, with fewer than ``min_rows`` rows between, or if a side is empty.  Of calibrations of
+    one time the first, in order of their columns, counts; no rows lie between it and the others.  A
+    calibration without a time finds nothing.
 
-    Each calibration enters the ordered scan twice, just before and just after sensor rows of its
-    time, so one pass gives both neighbours and the running row count.
+    Calibration times, each once, enter one ordered scan just before and just after sensor rows of
+    their time: the first mark sees the row before, the second the row after, and the distance of the
+    second from the previous time's second mark is the row count.
     """
     keys = axis.key_cols
     reach = int(reach_hours * HOUR_US)
     payload = [c for c in calibrations.columns if c not in axis.keys]
     whole = F.struct(*[col(c) for c in payload])
-    asked = calibrations.select(*keys, whole.alias("__p"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("__o"))
-    at = somewhere(axis, F.col("__p")[time], F.col("__p"))
-    asked = asked.withColumn("__u", instant(at, F.col("__o")))
+    # equal calibrations are counted and dealt out again at the end
+    counted = calibrations.select(*keys, whole.alias("__p")).groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    at = F.col("__p")[time]
+    times = counted.where(at.isNotNull()).groupBy(*keys, at.alias("__t")).agg(F.min("__p").alias("__first"))
+    asked = times.select(*keys, "__t", "__first", F.explode(F.array(F.lit(-1), F.lit(1))).alias("__o"))
+    asked = asked.withColumn("__u", instant(F.col("__t"), F.col("__o")))
     read = sensor.where(col(axis.time).isNotNull()).select(
         *keys, F.lit(0).alias("__o"), instant(col(axis.time)).alias("__u"), col(value).cast("double").alias("__v")
     )
-    is_row = F.col("__o") == 0
-    reading = Record(is_row, {"u": (F.col("__u") / 4).cast("bigint"), "v": F.col("__v")})
+    o = F.col("__o")
+    reading = Record(o == 0, {"u": (F.col("__u") / 4).cast("bigint"), "v": F.col("__v")})
     seen = scan(
         asked.unionByName(read, allowMissingColumns=True),
         axis.with_(time="__u", tie=()),
-        Scan(total={"__rows": is_row.cast("bigint")}, last={"__left": reading}, following={"__right": reading}),
+        Scan(last={"__left": reading}, following={"__right": reading}, prior={"__prev": Record(o > 0, {"u": F.col("__u")})}),
         bucket=instant_bucket(axis, "__u"),
-    ).where(~is_row)
-    pairs = seen.groupBy(*keys, "__p").agg(
-        F.max(F.when(F.col("__o") < 0, F.col("__left"))).alias("__left"),
-        F.max(F.when(F.col("__o") > 0, F.col("__right"))).alias("__right"),
-        F.max(F.when(F.col("__o") > 0, F.col("__rows"))).alias("__rows"),
+        position="__rn",
+    ).where(o != 0)
+    # between two second marks stand the rows and the first mark of the later time
+    between = F.col("__rn") - F.col("__prev.rn") - 2
+    found = seen.groupBy(*keys, "__t", "__first").agg(
+        F.max(F.when(o < 0, F.col("__left.v"))).alias("__left"),
+        F.max(F.when(o > 0, F.col("__right.v"))).alias("__right"),
+        F.max(F.when(o > 0, between)).alias("__rows"),
     )
-    pairs = pairs.withColumn("__t", somewhere(axis, F.col("__p")[time], F.col("__p")))
-    ordered = scan(pairs, axis.with_(time="__t", tie=("__rows",)), Scan(prior={"__prev": F.col("__rows")}))
     us = F.unix_micros("__t")
-    left, right = F.col("__left"), F.col("__right")
-    count = F.col("__rows") - F.col("__prev")
-    usable = (count >= min_rows) & (left["u"] >= us - reach) & (right["u"] <= us + reach)
-    before, after = F.when(usable, left["v"]), F.when(usable, right["v"])
-    return ordered.select(
+    left, right, rows = F.col("__left"), F.col("__right"), F.col("__rows")
+    usable = (rows >= min_rows) & (left["u"] >= us - reach) & (right["u"] <= us + reach)
+    jumps = found.select(
+        F.struct(*keys, F.col("__t").alias("t")).alias("__at"), "__first",
+        F.when(usable, left["v"]).alias("__before"), F.when(usable, right["v"]).alias("__after"), "__rows",
+    )
+    copies = counted.select(
+        *keys, "__p", F.struct(*keys, at.alias("t")).alias("__at"), F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__copy")
+    ).join(jumps, "__at", "left")
+    counts = (F.col("__copy") == 1) & F.coalesce(F.col("__p") == F.col("__first"), F.lit(False))
+    before, after = F.when(counts, F.col("__before")), F.when(counts, F.col("__after"))
+    return copies.select(
         *keys,
         *[F.col("__p")[c].alias(c) for c in payload],
         before.alias("before"),
         after.alias("after"),
         F.abs(after - before).alias("difference"),
-        F.coalesce(count, F.lit(0)).alias("between_count"),
+        F.coalesce(F.when(counts, rows), F.lit(0)).cast("bigint").alias("between_count"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -23,7 +23,7 @@ from gaugeline.functions import (
     to_number,
 )
 from gaugeline.operators.gaps import dedup_time, drop_long_gaps, fill_small_gaps, interpolate
-from gaugeline.operators.ordered import Axis
+from gaugeline.operators.ordered import Axis, join_keys
 from gaugeline.sources.tables import Store, as_is
 
 Bounds = Mapping[str, tuple]
@@ -83,20 +83,20 @@ def require_limits(columns: Sequence[str], limits: Mapping[str, float] | DataFra
         raise ValueError(f"no limit for column(s): {', '.join(missing)}")
 
 
-def limit_of(limits: Mapping[str, float] | DataFrame, name: str) -> Column:
-    """A limit as an expression: a literal, or a scalar subquery on the one-row limit table."""
-    if isinstance(limits, DataFrame):
-        return limits.select(col(name).cast("double")).scalar()
-    return F.lit(float(limits[name]))
-
-
 def binarize(
     df: DataFrame, columns: Sequence[str], limits: Mapping[str, float] | DataFrame, flag: str | None = "anomaly"
 ) -> DataFrame:
-    """Replace values by 1 (above the limit) or 0; null stays. ``flag`` sums up the row."""
+    """Replace values by 1 (above the limit) or 0; null stays. ``flag`` sums up the row.
+
+    A limit table is read once, as one struct."""
     require_limits(columns, limits)
-    binary = {c: exceeds(col(c), limit_of(limits, c)) for c in columns}
-    out = df.select(*[binary[c].alias(c) if c in binary else col(c) for c in df.columns])
+    if isinstance(limits, DataFrame):
+        row = limits.select(F.struct(*[col(c).cast("double").alias(f"l{i}") for i, c in enumerate(columns)]).alias("l"))
+        df, limit = df.withColumn("__limits", row.scalar()), {c: F.col("__limits")[f"l{i}"] for i, c in enumerate(columns)}
+    else:
+        limit = {c: F.lit(float(limits[c])) for c in columns}
+    binary = {c: exceeds(col(c), limit[c]) for c in columns}
+    out = df.select(*[binary[c].alias(c) if c in binary else col(c) for c in df.columns if c != "__limits"])
     if flag is None:
         return out
     return out.withColumn(flag, row_flag([col(c) for c in columns]))
@@ -129,8 +129,10 @@ def clean_profiler(
     tie: Sequence[str] = (),
     max_gap: int = 6,
     sentinels: Sequence[float] = (-9999.0,),
+    store: Store = as_is,
 ) -> DataFrame:
-    """The primary series: rename, range rules, one row per hour, small gaps filled and flagged."""
+    """The primary series: rename, range rules, one row per hour, small gaps filled and flagged.
+    ``store`` is applied before each of the two scans."""
     df = rename(df, names)
     df = clean_ranges(df, {**{s: () for s in sensors}, **{k: v for k, v in bounds.items() if k in df.columns}},
                       sentinels=sentinels)
@@ -139,7 +141,7 @@ def clean_profiler(
     df = df.withColumn("__raw", col(axis.time)).withColumn(axis.time, round_hour(col(axis.time)))
     df = dedup_time(df, axis, ["__raw", *(tie or sensors)])
     df = select(df, [*axis.keys, axis.time, *sensors])
-    return fill_small_gaps(df, axis, sensors, max_gap=max_gap)
+    return fill_small_gaps(store(df), axis, sensors, max_gap=max_gap, store=store)
 
 
 def add_source(
@@ -167,12 +169,14 @@ def add_source(
         source = source.withColumnRenamed(source_time, axis.time)
     if round_to_hour:
         source = source.withColumn(axis.time, round_hour(col(axis.time)))
-    new = [c for c in source.columns if c not in df.columns and c != axis.time]
+    new = [c for c in source.columns if c != axis.time and c not in axis.keys]
+    twice = [c for c in new if c in df.columns]
+    if twice:
+        raise ValueError(f"column(s) in both tables: {', '.join(twice)}")
     source = to_numbers(select(source, [*axis.keys, axis.time, *new]), new)
     if limits is not None:
         source = binarize(source, new, limits, flag=None)
-    merged = df.join(source, [*axis.keys, axis.time], "left")
-    merged = select(merged, [*df.columns, *new])
+    merged = select(join_keys(df, source, [*axis.keys, axis.time], "left"), [*df.columns, *new])
     if limits is not None:
         merged = merged.withColumn("anomaly", row_flag([col(c) for c in new]))
     if sparse or include_missing:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col
-from gaugeline.operators.ordered import Axis, last_before
+from gaugeline.operators.ordered import Axis, join_keys, last_before
 
 SAMPLE, STEP = "sample_id", "step"
 
@@ -240,7 +240,7 @@ def linear_forecast(
         )
         whole = {f"__whole{k}": _centred(F.col(f"__whole{k}"), outputs, k * hours) for k in range(1, cells)}
         middle = _merge(middle.withColumns(whole), list(whole), outputs, "__mid").select(*keys, "__head_cell", "__mid")
-        rows = rows.join(middle, [*axis.keys, "__head_cell"], "left")
+        rows = join_keys(rows, middle, [*axis.keys, "__head_cell"], "left")
         parts.insert(1, "__mid")
     fitted = _merge(rows, parts, outputs, "__all")
     line = F.col("__all")
@@ -335,16 +335,6 @@ def _minute(time: Column) -> Column:
     return F.hour(time) * 60 + F.minute(time)
 
 
-def _days_near(day: Column, reach: int) -> Column:
-    """Days of the year whose circular distance min(d, 365 - d) to ``day`` is at most ``reach``."""
-    runs = [F.sequence(day + F.lit(m - reach), day + F.lit(m + reach)) for m in (0, 365, -365)]
-    close = F.filter(
-        F.concat(*runs),
-        lambda d: (d >= 1) & (d <= 366) & (F.least(F.abs(d - day), 365 - F.abs(d - day)) <= reach),
-    )
-    return F.array_distinct(close)
-
-
 def _sum_all(names: Sequence[str] = _SUMS) -> list[Column]:
     return [F.sum(n).alias(n) for n in names]
 
@@ -353,85 +343,77 @@ def _zeros(names: Sequence[str] = _SUMS) -> list[Column]:
     return [(F.lit(0.0) if n.startswith("s") else F.lit(0).cast("bigint")).alias(n) for n in names]
 
 
-def _other_years(df: DataFrame, by: Sequence[Column], names: Sequence[str]) -> DataFrame:
-    """Replace sums by the sums over the other years; before and after are added, never subtracted."""
-    year = Window.partitionBy(*by).orderBy("year")
-    before = year.rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*by).orderBy(F.col("year").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns(
-        {n: F.coalesce(F.sum(n).over(before), F.lit(0)) + F.coalesce(F.sum(n).over(after), F.lit(0)) for n in names}
-    )
+def _place(day: Column) -> Column:
+    """Place of a day of the year (1..366) on a circle of 365, where day 366 falls on day 1."""
+    return F.pmod(day - 1, F.lit(365))
 
 
-# Places on the minute axis for sums without a time of day, far from minutes and from each other.
-_NEAR_SLOT, _WIDE_SLOT, _ALL_SLOT = 100_000, 200_000, 300_000
+def _sums_over(window, names: Sequence[str], suffix: str) -> dict[str, Column]:
+    return {f"{n}{suffix}": F.sum(n).over(window) for n in names}
 
 
 def _season_means(cells: DataFrame, asks: DataFrame, axis: Axis, diurnal_hours: float) -> DataFrame:
     """Mean for each asked (keys, param, year, day, minute) over the first season tier with rows.
 
     ``cells`` is history summed per (keys, param, year, day, minute): rows ``n``, values ``nn``, sum
-    ``s``.  From here on sizes are bounded by the calendar (years x 366 days x minutes in use), not
-    by the data.  All four tiers lie in one table of (day, slot, year): a slot is a minute, or stands
-    for the near days, the wide days, or everything.  Days meet by listing the days near each
-    cell's day, minutes by a range window, years by sums before and after.
+    ``s``.  A tier's sum over the other years is its sum over all years (year 0 below) less that of the
+    asked year; counts are whole numbers, so an empty tier is exactly empty.
+
+    Two range windows follow each other: over days for each minute, then over minutes for each asked
+    day.  The year is a circle: its first and last days are repeated beyond the other end, the only
+    copies made.  Rows of zeros give each asked day a place for every minute in use.  Sizes are bounded
+    by the calendar, not by the data.
     """
     by = [*axis.keys, "param"]
     at = [col(b) for b in by]
-    spot = [*at, F.col("day"), F.col("slot"), F.col("year")]
     minutes = int(diurnal_hours * 60)
-    days = cells.groupBy(*at, "year", "doy").agg(*_sum_all())
-    asked_days = asks.select(*at, "day").distinct()
-
-    def spread(df: DataFrame, reach: int) -> DataFrame:
-        near = df.withColumn("day", F.explode(_days_near(F.col("doy"), reach)))
-        return near.join(asked_days, [*by, "day"], "left_semi")
-
-    gap = F.abs(F.col("doy") - F.col("day"))
-    wide = F.lit(_WIDE_SLOT)
-    slots = F.when(F.least(gap, 365 - gap) <= NEAR_DAYS, F.array(F.lit(_NEAR_SLOT), wide)).otherwise(F.array(wide))
-    by_minute = spread(cells, NEAR_DAYS).withColumn("slot", F.col("minute")).select(*spot, *_SUMS)
-    by_day = spread(days, WIDE_DAYS).withColumn("slot", F.explode(slots)).select(*spot, *_SUMS)
-    whole = days.withColumn("day", F.lit(0)).withColumn("slot", F.lit(_ALL_SLOT)).select(*spot, *_SUMS)
-
-    # Rows of zeros: where a sum is asked for, and, at asked minutes, for the other years of that day,
-    # so that each year has a sum of its minutes around.
-    places = [("day", F.col("minute")), ("day", F.lit(_NEAR_SLOT)), ("day", wide), (None, F.lit(_ALL_SLOT))]
-    asked = asks.withColumn(
-        "__p",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(t).alias("tier"), (F.col("day") if d else F.lit(0)).alias("day"), sl.alias("slot"))
-                    for t, (d, sl) in enumerate(places)
-                ]
-            )
-        ),
-    ).select(*at, "year", F.col("day").alias("__day"), "minute", "__p.tier", "__p.day", "__p.slot")
-    own = asked.select(*spot, *_zeros(), F.lit(1).alias("asked"))
-    years = by_minute.select(*at, "day", "year").distinct()
-    others = (
-        asks.select(*at, "day", F.col("minute").alias("slot")).distinct().join(years, [*by, "day"])
-        .select(*spot, *_zeros(), F.lit(1).alias("asked"))
+    years = F.explode(F.array(F.col("year"), F.lit(0)))
+    sums = cells.select(*at, years.alias("year"), _place(F.col("doy")).alias("p"), "minute", *_SUMS)
+    both = asks.select(*at, F.col("year").alias("ask"), years.alias("year"), _place(F.col("day")).alias("p"), "minute").distinct()
+    in_use = cells.groupBy(*at).agg(F.collect_set("minute").alias("__minutes"))
+    grid = join_keys(both.select(*at, "year", "p").distinct(), in_use, by).select(
+        *at, "year", "p", F.explode("__minutes").alias("minute"), *_zeros()
     )
-    data = by_minute.unionByName(by_day).unionByName(whole).withColumn("asked", F.lit(0))
-    table = (
-        data.unionByName(own).unionByName(others)
-        .groupBy(*spot)
-        .agg(*_sum_all(), F.max("asked").alias("asked"))
+    spot = [*at, F.col("year"), F.col("p"), F.col("minute")]
+    table = sums.unionByName(grid).groupBy(*spot).agg(*_sum_all())
+
+    turn = F.when(F.col("p") < WIDE_DAYS, F.array(F.lit(0), F.lit(365))).when(
+        F.col("p") >= 365 - WIDE_DAYS, F.array(F.lit(0), F.lit(-365))
+    ).otherwise(F.array(F.lit(0)))
+    circle = table.withColumn("__turn", F.explode(turn)).withColumn("__at", F.col("p") + F.col("__turn"))
+    days = Window.partitionBy(*at, "year", "minute").orderBy("__at")
+    near = _sums_over(days.rangeBetween(-NEAR_DAYS, NEAR_DAYS), _SUMS, "_near")
+    wide = _sums_over(days.rangeBetween(-WIDE_DAYS, WIDE_DAYS), _SUMS, "_wide")
+    by_minute = circle.withColumns({**near, **wide}).where("__turn = 0").select(*spot, *near, *wide)
+
+    day = Window.partitionBy(*at, "year", "p")
+    around = day.orderBy("minute").rangeBetween(-minutes, minutes)
+    marked = both.unionByName(by_minute, allowMissingColumns=True)
+    tiers = {
+        **{f"__t0{n}": F.sum(f"{n}_near").over(around) for n in _SUMS},
+        **{f"__t1{n}": F.sum(f"{n}_near").over(day) for n in _SUMS},
+        **{f"__t2{n}": F.sum(f"{n}_wide").over(day) for n in _SUMS},
+    }
+    # an asked place has its own row; the place of all years is asked once for each year
+    found = marked.withColumns(tiers).where("ask is not null")
+    sign = F.when(F.col("year") == 0, 1).otherwise(-1)
+    other = found.groupBy(*at, F.col("ask").alias("year"), "p", "minute").agg(
+        *[F.sum(sign * F.coalesce(F.col(t), F.lit(0))).alias(t) for t in tiers]
     )
-    reach = Window.partitionBy(*at, "day", "year").orderBy("slot").rangeBetween(-minutes, minutes)
-    around = table.withColumns({n: F.sum(n).over(reach) for n in _SUMS}).where(
-        (F.col("asked") == 1) | (F.col("slot") >= _NEAR_SLOT)
-    )
-    sums = _other_years(around.drop("asked"), [*at, F.col("day"), F.col("slot")], _SUMS)
-    found = asked.join(sums, [*by, "day", "slot", "year"]).groupBy(
-        *at, "year", F.col("__day").alias("day"), "minute"
-    )
-    filled = F.when(F.col("n") > 0, F.col("tier"))
-    return found.agg(F.min_by("s", filled).alias("__s"), F.min_by("nn", filled).alias("__nn")).select(
-        *at, "year", "day", "minute", F.try_divide("__s", F.nullif(F.col("__nn"), F.lit(0))).alias("pred")
+    # the last tier: everything of the other years
+    whole = cells.groupBy(*at, "year").agg(*_sum_all()).groupBy(*at).agg(
+        *[F.sum(n).alias(f"__all_{n}") for n in _SUMS],
+        F.map_from_entries(F.collect_list(F.struct("year", F.struct(*_SUMS)))).alias("__by_year"),
     )
+    own = F.try_element_at("__by_year", F.col("year"))
+    joined = join_keys(other, whole, by, "left")
+    joined = joined.withColumns({f"__t3{n}": F.coalesce(F.col(f"__all_{n}"), F.lit(0)) - F.coalesce(own[n], F.lit(0)) for n in _SUMS})
+
+    def mean(t: int) -> Column:
+        return F.try_divide(f"__t{t}s", F.nullif(F.col(f"__t{t}nn"), F.lit(0)))
+
+    first = F.when(F.col("__t0n") > 0, mean(0)).when(F.col("__t1n") > 0, mean(1)).when(F.col("__t2n") > 0, mean(2)).otherwise(mean(3))
+    return joined.select(*at, "year", "p", "minute", first.alias("pred"))
 
 
 def _cells(values: DataFrame, axis: Axis) -> DataFrame:
@@ -461,13 +443,12 @@ def seasonal_forecast(
         .unpivot(ids, [col(o) for o in outputs], "param", "target")
         .select(
             *axis.key_cols, col(SAMPLE), col(STEP), "param", "target",
-            F.year(t).alias("year"), F.dayofyear(t).alias("day"), _minute(t).alias("minute"),
+            F.year(t).alias("year"), F.dayofyear(t).alias("day"), _minute(t).alias("minute"), _place(F.dayofyear(t)).alias("p"),
         )
     )
-    slot = [*axis.keys, "param", "year", "day", "minute"]
-    asks = wanted.select(*[col(s) for s in slot]).distinct()
+    asks = wanted.select(*axis.key_cols, "param", "year", "day", "minute")
     means = _season_means(_cells(values_long(history, axis, outputs, secondary), axis), asks, axis, diurnal_hours)
-    return wanted.join(means, slot, "left").select(
+    return join_keys(wanted, means, [*axis.keys, "param", "year", "p", "minute"], "left").select(
         *axis.key_cols, col(SAMPLE), col(STEP), "param", "pred", "target"
     )
 
@@ -497,11 +478,11 @@ def season_curve(
         *axis.key_cols, "hour_no", F.explode(F.array(*[F.lit(o) for o in outputs])).alias("param"),
         F.dayofyear(at).alias("day"), (F.hour(at) * 60).alias("minute"),
     )
-    # One common "other" year: no year is left out.
-    merged = cells.groupBy(*by, "doy", "minute").agg(*_sum_all()).withColumn("year", F.lit(0))
-    asks = curve.select(*by, F.lit(1).alias("year"), "day", "minute").distinct()
-    means = _season_means(merged, asks, axis, diurnal_hours).drop("year")
-    return curve.join(means, [*axis.keys, "param", "day", "minute"], "left").select(
+    # a year before all history: no year is left out
+    asks = curve.select(*by, F.lit(-1).alias("year"), "day", "minute")
+    means = _season_means(cells, asks, axis, diurnal_hours).drop("year")
+    curve = curve.withColumn("p", _place(F.col("day")))
+    return join_keys(curve, means, [*axis.keys, "param", "p", "minute"], "left").select(
         *by, "hour_no", F.col("day").alias("doy"), (F.col("minute") / 60).cast("int").alias("hour"), F.col("pred").alias("value")
     )
 

@@ -9,18 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col, round_half_even
-from gaugeline.operators.ordered import Axis, Record, Scan, cut_evenly, place, scan, series_cols, unplace
+from gaugeline.operators.ordered import Axis, Record, Scan, cut_evenly, join_keys, place, scan, series_cols, unplace
+from gaugeline.sources.tables import Store, as_is
 
 
 def dedup_time(df: DataFrame, axis: Axis, tie: Sequence[str]) -> DataFrame:
-    """First row of each time, by the order of ``tie``.
+    """First row of each time, by the order of ``tie``; rows that miss a tie column come last.
 
     An aggregate rather than a ranking window: copies of one time combine before the shuffle, so a
     time that holds a large share of the rows is no hot group.
     """
     by = [*axis.keys, axis.time]
     rest = [c for c in df.columns if c not in by]
-    first = F.min_by(F.struct(*[col(c) for c in rest]), F.struct(*[col(t) for t in tie])).alias("__first")
+    order = [c for t in tie for c in (col(t).isNull(), col(t))]
+    first = F.min_by(F.struct(*[col(c) for c in rest]), F.struct(*order)).alias("__first")
     picked = df.groupBy(*[col(c) for c in by]).agg(first)
     return picked.select(*[col(c) if c in by else F.col("__first")[c].alias(c) for c in df.columns])
 
@@ -43,7 +45,7 @@ def hourly_spine(sources: Sequence[DataFrame], axis: Axis) -> DataFrame:
 
 def align(spine: DataFrame, source: DataFrame, axis: Axis) -> DataFrame:
     """A source laid onto the spine; hours without a reading are null. Times must be unique."""
-    return spine.join(source, [*axis.keys, axis.time], "left")
+    return join_keys(spine, source, [*axis.keys, axis.time], "left")
 
 
 def insert_missing_hours(df: DataFrame, axis: Axis, max_gap: int = 6, flag: str = "Interpolated") -> DataFrame:
@@ -136,10 +138,11 @@ def fill_small_gaps(
     flag: str = "Interpolated",
     limit: int | None = None,
     places: int | None = 2,
+    store: Store = as_is,
 ) -> DataFrame:
     """Insert missing hours in small gaps, then fill by position. Without ``limit`` long null runs
-    of present rows are filled too."""
-    whole = insert_missing_hours(df, axis, max_gap, flag)
+    of present rows are filled too.  ``store`` is applied between the two scans."""
+    whole = store(insert_missing_hours(df, axis, max_gap, flag))
     return interpolate(whole, axis, columns, limit=limit, places=places)
 
 

@@ -63,11 +63,24 @@ def horizon_rmse(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 # --- distributions ---------------------------------------------------------------------------
 
 
-def _running(values: DataFrame, by: Sequence[str], value: str, weights: Mapping[str, str]) -> DataFrame:
-    """Running totals of weights in order of distinct values, per group. Values may cluster, so the
-    buckets follow their distribution."""
-    totals = {n: col(w) for n, w in weights.items()}
-    return scan(values, Axis(time=value, keys=by, parts=256), Scan(total=totals))
+def _running(
+    values: DataFrame, by: Sequence[str], value: str, weights: Mapping[str, str], whole: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Running totals of weights in order of distinct values, and whole sums, per group. Values may
+    cluster, so the buckets follow their distribution."""
+    sums = [{n: col(w) for n, w in (given or {}).items()} for given in (weights, whole)]
+    return scan(values, Axis(time=value, keys=by, parts=256), Scan(total=sums[0], whole=sums[1]))
+
+
+def group_value(table: DataFrame, by: Sequence[str], fields: Sequence[str]) -> Column:
+    """Fields of the row of a small table that has the group of the current row, as a struct.
+
+    The table has one row per group and comes as one scalar map, so large tables are not shuffled by
+    a few group names.
+    """
+    key = F.struct(*[col(b).alias(f"k{i}") for i, b in enumerate(by)])
+    entry = F.struct(key.alias("key"), F.struct(*[col(f) for f in fields]).alias("value"))
+    return F.try_element_at(table.agg(F.map_from_entries(F.collect_list(entry))).scalar(), key)
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
@@ -77,9 +90,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
     values are counted first and order statistics are read from running counts.
     """
     counts = df.where(finite(col(value))).groupBy(*_group(by), col(value)).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = _running(counts, by, value, {"__upto": "__c"})
-    sizes = counts.groupBy(*_group(by)).agg(F.sum("__c").alias("n"))
-    rows = ranked.join(sizes, list(by))
+    rows = _running(counts, by, value, {"__upto": "__c"}, {"n": "__c"})
     before = F.col("__upto") - F.col("__c")
 
     def at(rank: Column) -> Column:
@@ -106,9 +117,11 @@ def error_spread(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     box = box.select(*_group(by), "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     e = F.col("err")
+    boxes = ["n", "q1", "median", "q3"]
     whiskers = (
-        errors.join(box, list(by))
-        .groupBy(*_group(by), "n", "q1", "median", "q3")
+        errors.withColumn("__b", group_value(box, by, boxes))
+        .select(*_group(by), "err", "__b.*")
+        .groupBy(*_group(by), *boxes)
         .agg(
             F.min(F.when(e >= F.col("q1") - reach, e)).alias("low"),
             F.max(F.when(e <= F.col("q3") + reach, e)).alias("high"),
@@ -121,18 +134,23 @@ def error_spread(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 
 
 def binarize_predictions(preds: DataFrame, limits: Mapping[str, float] | DataFrame, params: Sequence[str] | None = None) -> DataFrame:
-    """Threshold predictions and targets by the limit of their output; missing counts as 0.
+    """Threshold predictions and targets by the limit of their output; a missing value counts as 0.
 
-    ``limits`` is a mapping or the long table ``(param, limit)``.
+    ``limits`` is a mapping or the long table ``(param, limit)``, one row per output.  An output
+    without a limit is an error: at once for ``params``, else when its rows are read.
     """
     if isinstance(limits, DataFrame):
-        joined = preds.join(limits.select("param", F.col("limit").alias("__limit")), "param", "left")
+        table = limits.where("limit is not null").agg(
+            F.map_from_entries(F.collect_list(F.struct("param", F.col("limit").cast("double"))))
+        ).scalar()
     else:
         if params is not None:
             require_limits(params, limits)
         table = F.create_map(*[F.lit(x) for kv in limits.items() for x in (kv[0], float(kv[1]))])
-        joined = preds.withColumn("__limit", F.try_element_at(table, F.col("param")))
-    return joined.select(
+    known = F.try_element_at(table, F.col("param"))
+    missing = F.raise_error(F.concat(F.lit("no limit for column: "), F.coalesce(F.col("param"), F.lit("null"))))
+    limit = F.coalesce(known, missing.cast("double"))
+    return preds.withColumn("__limit", limit).select(
         *[
             exceeds_or_zero(col(c), F.col("__limit")).alias(c) if c in ("pred", "target") else col(c)
             for c in preds.columns
@@ -166,8 +184,8 @@ def classification_metrics(preds: DataFrame, by: Sequence[str] = ("model",)) ->
 
 
 def score_counts(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Per distinct score, from the highest: positives and negatives at it (``pos``, ``neg``) and
-    down to it (``tp``, ``fp``). Equal scores form one step."""
+    """Per distinct score, from the highest: positives and negatives at it (``pos``, ``neg``), down to
+    it (``tp``, ``fp``) and in all (``p``, ``n``). Equal scores form one step."""
     positive = (F.col("target") == 1).cast("bigint")
     counts = (
         preds.where(_usable())
@@ -175,19 +193,21 @@ def score_counts(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
         .agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
         .withColumn("__down", -F.col("score"))
     )
-    return _running(counts, by, "__down", {"tp": "pos", "fp": "neg"}).drop("__down")
+    return _running(counts, by, "__down", {"tp": "pos", "fp": "neg"}, {"p": "pos", "n": "neg"}).drop("__down")
 
 
-def _with_class_totals(steps: DataFrame, by: Sequence[str]) -> DataFrame:
-    whole = steps.groupBy(*_group(by)).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return steps.join(whole, list(by))
+def _with_end(steps: DataFrame, by: Sequence[str], end: dict[str, float]) -> DataFrame:
+    """Points and, for each group, the point of the curve that no score stands for (null score)."""
+    groups = steps.select(*_group(by)).distinct()
+    return steps.unionByName(groups.select(*_group(by), F.lit(None).cast("double").alias("score"), *[F.lit(v).alias(k) for k, v in end.items()]))
 
 
 def roc_points(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    steps = _with_class_totals(score_counts(preds, by), by)
-    return steps.select(
+    """Points of the ROC curve by score; the start (0, 0) has no score."""
+    steps = score_counts(preds, by).select(
         *_group(by), "score", F.try_divide("fp", "n").alias("fpr"), F.try_divide("tp", "p").alias("tpr")
     )
+    return _with_end(steps, by, {"fpr": 0.0, "tpr": 0.0})
 
 
 def roc_auc(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -200,12 +220,13 @@ def roc_auc(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 
 
 def pr_points(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    steps = _with_class_totals(score_counts(preds, by), by)
-    return steps.select(
+    """Points of precision over recall by score; the end, recall 0 and precision 1, has no score."""
+    steps = score_counts(preds, by).select(
         *_group(by), "score",
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         F.coalesce(F.try_divide("tp", "p"), F.lit(1.0)).alias("recall"),
     )
+    return _with_end(steps, by, {"precision": 1.0, "recall": 0.0})
 
 
 def pr_auc(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

@@ -31,8 +31,8 @@ _UP_TO = (Window.unboundedPreceding, Window.currentRow)
 class Axis:
     """What orders a series: its time column, the columns that name the series, and the buckets.
 
-    ``tie`` orders rows of equal time; without it times must be unique within a series.  Keys are
-    never null.  On an hourly grid a bucket holds at most ``bucket_hours`` rows of a series.
+    ``tie`` orders rows of equal time; without it times must be unique within a series.  A null key
+    names a series of its own.  On an hourly grid a bucket holds at most ``bucket_hours`` rows of a series.
 
     ``parts`` is for series off the grid whose rows crowd into few hours, and for ordering by a
     number instead of a time: buckets then are cut at approximate quantiles of the series, about
@@ -79,6 +79,7 @@ class Scan:
     """Columns to add by ``scan``; each maps a new name to a column or record.
 
     total      running sum up to and including the row (null counts as 0)
+    whole      sum over the whole series
     last       latest value present at or before the row
     prior      latest value present strictly before the row
     following  earliest value present at or after the row
@@ -86,6 +87,7 @@ class Scan:
     """
 
     total: Mapping[str, Column] = field(default_factory=dict)
+    whole: Mapping[str, Column] = field(default_factory=dict)
     last: Mapping[str, Value] = field(default_factory=dict)
     prior: Mapping[str, Value] = field(default_factory=dict)
     following: Mapping[str, Value] = field(default_factory=dict)
@@ -121,12 +123,27 @@ def cut_evenly(df: DataFrame, axis: Axis, name: str = "__part") -> DataFrame:
     steps = F.array(*[F.lit(i / axis.parts) for i in range(1, axis.parts)])
     cuts = df.groupBy(*axis.key_cols).agg(F.percentile_approx(value, steps, axis.parts * 16).alias("__cuts"))
     if axis.keys:  # a row per series; Spark broadcasts it when it is small
-        held = df.join(cuts, list(axis.keys))
+        held = join_keys(df, cuts, axis.keys)
     else:
         held = df.withColumn("__cuts", cuts.scalar())
-    # rank of the value among the cut points
-    rank = F.array_position(F.sort_array(F.array_append("__cuts", value)), value)
-    return held.withColumn(name, rank).drop("__cuts")
+    return held.withColumn(name, _cuts_below(F.col("__cuts"), value, axis.parts)).drop("__cuts")
+
+
+def _cuts_below(cuts: Column, value: Column, parts: int) -> Column:
+    """How many of the sorted cut points lie below the value, by halving."""
+    steps = [F.lit(1 << k) for k in range(max(parts - 1, 1).bit_length() - 1, -1, -1)]
+
+    def ahead(at: Column, step: Column) -> Column:
+        return at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(0)
+
+    return F.aggregate(F.array(*steps), F.lit(0), ahead).cast("bigint")
+
+
+def join_keys(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by columns of equal names in which null equals null; the left side's columns stay."""
+    renamed = right.withColumnsRenamed({n: f"__right_{i}" for i, n in enumerate(names)})
+    same = [left[f"`{n}`"].eqNullSafe(renamed[f"__right_{i}"]) for i, n in enumerate(names)]
+    return left.join(renamed, same, how).drop(*[f"__right_{i}" for i in range(len(names))])
 
 
 def place(axis: Axis, bucket: Column | None = None) -> Column:
@@ -199,6 +216,7 @@ def scan(
     if position is not None or size is not None:
         sums.append(F.count(F.lit(1)).alias("__n"))
     sums += [F.sum(e).alias(f"__t_{n}") for n, e in spec.total.items()]
+    sums += [F.sum(e).alias(f"__w_{n}") for n, e in spec.whole.items()]
     for names, pick, mark, prefix in ((backward, F.max_by, F.max, "__l"), (forward, F.min_by, F.min, "__f")):
         for n, value in names.items():
             at = F.when(_present(value), stamp)
@@ -229,6 +247,7 @@ def scan(
     if size is not None:
         carry.append(F.sum("__n").over(whole).alias("__size"))
     carry += [F.sum(f"__t_{n}").over(over_before).alias(f"__ct_{n}") for n in spec.total]
+    carry += [F.sum(f"__w_{n}").over(whole).alias(f"__cw_{n}") for n in spec.whole]
     carry += [F.last(handed(n, v, "__l"), True).over(over_before).alias(f"__cl_{n}") for n, v in backward.items()]
     carry += [F.last(handed(n, v, "__f"), True).over(over_after).alias(f"__cf_{n}") for n, v in forward.items()]
     carried = summary.select(*carry)
@@ -246,6 +265,7 @@ def scan(
     for n, e in spec.total.items():
         inside = F.coalesce(F.sum(e).over(up_to), F.lit(0))
         out.append((inside + F.coalesce(F.col(f"__ct_{n}"), F.lit(0))).alias(n))
+    out += [F.col(f"__cw_{n}").alias(n) for n in spec.whole]
     for names, frame, prefix in (
         (spec.last, up_to, "__cl_"),
         (spec.prior, before, "__cl_"),

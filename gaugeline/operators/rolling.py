@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col
-from gaugeline.operators.ordered import Axis
+from gaugeline.operators.ordered import Axis, join_keys
 
 
 def rolling_sum(
@@ -17,7 +17,8 @@ def rolling_sum(
     The interval is cut into ``cells`` equal cells of the time line.  A row's sum is the tail of the
     cell that holds ``t - hours``, the cells between, and the head of its own cell.  Each part
     is a plain running sum, so the cost does not depend on how many readings an interval holds, no
-    sum is found by subtracting, and a task sees one cell of one series at a time.
+    sum is found by subtracting, and a task sees one cell, or the totals of two intervals, of one
+    series at a time.
     """
     name = name or f"rolling {value}"
     length = int(hours * HOUR_US)
@@ -38,16 +39,17 @@ def rolling_sum(
     head = F.sum(x).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     rows = base.withColumn("__head", head)
 
-    # sum of the cells strictly between, listed at the cell of the row
+    # sum of the cells strictly between, listed at the cell of the row; cells stand in blocks as long as
+    # the interval, and each block sees its own cells and those of the block before
     totals = base.groupBy(*keys, "__cell").agg(F.sum(x).alias("__s"))
-    series = Window.partitionBy(*keys).orderBy("__cell")
-    between = totals.select(
-        *keys, "__cell", F.sum("__s").over(series.rangeBetween(-(cells - 1), -1)).alias("__mid")
-    )
+    block = F.floor(F.col("__cell") / cells)
+    spread = totals.withColumn("__block", F.explode(F.array(block, block + 1)))
+    near = Window.partitionBy(*keys, "__block").orderBy("__cell").rangeBetween(-(cells - 1), -1)
+    between = spread.withColumn("__mid", F.sum("__s").over(near)).where(F.col("__block") == block).select(*keys, "__cell", "__mid")
 
     # tail of the cell that holds t - hours: ask there, carrying the row
     payload = F.struct(*[col(c) for c in df.columns], F.col("__head"), F.coalesce("__mid", F.lit(0.0)).alias("__mid"))
-    asked = rows.join(between, [*axis.keys, "__cell"], "left").select(
+    asked = join_keys(rows, between, [*axis.keys, "__cell"], "left").select(
         *keys,
         (F.col("__u") - length).alias("__u"),
         (F.col("__cell") - cells).alias("__cell"),

@@ -10,12 +10,12 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col, first_integer, nan_to_null
 from gaugeline.operators.gaps import segments
-from gaugeline.operators.ordered import Axis, Scan, block_window, last_before, scan, with_context
+from gaugeline.operators.ordered import Axis, Scan, block_window, instant, instant_bucket, scan, with_context
 
 
 def all_present(columns: Sequence[str]) -> Column:
@@ -32,9 +32,11 @@ def missing_share(
     """Number the rows and add ``miss_<span>``: the share of missing predictor cells in the previous
     ``span`` rows, the row itself excluded; null for the first row, shorter at the start.
 
-    Cells are counted by running totals, so a span costs one look back instead of ``span`` reads.
+    Cells are counted by running totals, so a span costs one look back instead of ``span`` reads.  Rows
+    that have a column ``row`` keep their numbers.
     """
-    numbered = scan(df, axis, Scan(total={"__seen": _present_count(predictors)}), position=row)
+    position = None if row in df.columns else row
+    numbered = scan(df, axis, Scan(total={"__seen": _present_count(predictors)}), position=position)
     numbered = numbered.withColumn("__upto", F.col("__seen") - _present_count(predictors))
     blocks = with_context(numbered, axis.keys, row, max(spans) + 1)
     inside = block_window(axis.keys, row)
@@ -68,24 +70,35 @@ def coverage_sweep(
     spans: Sequence[int],
     tolerances: Sequence[int] = range(0, 101, 10),
 ) -> DataFrame:
-    """Number of valid rows for each target set, span and tolerance (percent), from one pass."""
-    shared = missing_share(df, axis, predictors, [s for s in spans if s > 0])
-    counts, cells = [], []
-    for name, targets in target_sets.items():
-        for span in spans:
-            for tol in tolerances:
-                alias = f"c{len(counts)}"
-                if span > 0:
-                    ok = all_present(targets) & (F.col(f"miss_{span}") <= tol / 100)
-                else:  # an empty window never qualifies
-                    ok = F.lit(False)
-                counts.append(F.count_if(ok).alias(alias))
-                cells.append(
-                    F.struct(
-                        F.lit(name).alias("targets"), F.lit(span).alias("span"), F.lit(tol).alias("tolerance"), F.col(alias).alias("n")
-                    )
-                )
-    return shared.groupBy(*axis.key_cols).agg(*counts).select(*axis.key_cols, F.inline(F.array(*cells)))
+    """Number of valid rows for each target set, span and tolerance (percent), from one pass.
+
+    A row counts at the first tolerance that it meets; running sums over the tolerances do the rest.
+    The counts before the running sum are one aggregate per target set.
+    """
+    steps = sorted(tolerances)
+    read = [s for s in spans if s > 0]
+    rows = missing_share(df, axis, predictors, read) if read else df.where(F.lit(False))
+    names = [f"__n{i}" for i in range(len(target_sets))]
+
+    def first_met(share: Column) -> Column:
+        return reduce(lambda a, b: a + b, [(share > t / 100).cast("int") for t in steps])
+
+    met = [F.struct(F.lit(s).alias("span"), first_met(F.col(f"miss_{s}")).alias("k")) for s in read]
+    has = [all_present(t).cast("bigint").alias(n) for t, n in zip(target_sets.values(), names)]
+    keys = axis.key_cols
+    if read:
+        seen = rows.select(*keys, *has, F.inline(F.array(*met))).groupBy(*keys, "span", "k").agg(*[F.sum(n).alias(n) for n in names])
+    else:  # an empty window never qualifies
+        seen = rows.select(*keys, F.lit(0).alias("span"), F.lit(0).alias("k"), *has)
+    places = F.array(*[F.struct(F.lit(s).alias("span"), F.lit(k).alias("k")) for s in spans for k in range(len(steps))])
+    zeros = df.select(*keys).distinct() if axis.keys else df.groupBy().count().select()
+    zeros = zeros.select(*keys, F.inline(places)).withColumns({n: F.lit(0).cast("bigint") for n in names})
+    upto = Window.partitionBy(*keys, "span").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    counted = seen.where(F.col("k") < len(steps)).unionByName(zeros).groupBy(*keys, "span", "k").agg(*[F.sum(n).alias(n) for n in names])
+    counted = counted.withColumns({n: F.sum(n).over(upto) for n in names})
+    cells = [F.struct(F.lit(t).alias("targets"), F.col(n).alias("n")) for t, n in zip(target_sets, names)]
+    tolerance = F.element_at(F.array(*[F.lit(t) for t in steps]), F.col("k") + 1).alias("tolerance")
+    return counted.select(*keys, "span", tolerance, F.inline(F.array(*cells))).select(*keys, "targets", "span", "tolerance", "n")
 
 
 def gapless_counts(
@@ -106,27 +119,46 @@ def gap_feasibility(
     df: DataFrame, axis: Axis, targets: Sequence[str], segment_rows: int, gaps: Sequence[int] = range(0, 167, 5)
 ) -> DataFrame:
     """For each target and gap: target rows for which the last row at or before (time - gap) has at
-    least ``segment_rows`` rows up to it in its segment."""
-    numbered = segments(df, axis, position="__pos")
-    present = reduce(lambda a, b: a | b, [col(t).isNotNull() for t in targets])
-    points = (
-        df.where(present)
-        .select(
-            *axis.key_cols,
-            col(axis.time).alias("__t"),
-            *[col(t).isNotNull().alias(f"__has{i}") for i, t in enumerate(targets)],
-            F.explode(F.array(*[F.lit(int(g)) for g in gaps])).alias("gap"),
-        )
-        .withColumn("__t", F.timestamp_micros(F.unix_micros("__t") - F.col("gap") * F.lit(HOUR_US)))
+    least ``segment_rows`` rows up to it in its segment.
+
+    That holds from a segment's row of that number up to the next segment: one interval per segment.
+    Shifted by the gap, its two ends ask how many targets lie before them; targets are read once and
+    only ends are copied for the gaps.
+    """
+    keys = axis.key_cols
+    numbered = segments(df.where(col(axis.time).isNotNull()), axis, position="__pos")
+    ends = numbered.where((F.col("__pos") == segment_rows) | (F.col("__pos") == 1)).select(
+        *keys, F.unix_micros(col(axis.time)).alias("__u"), F.col("__pos").alias("__pos")
     )
-    history = numbered.select(*axis.key_cols, col(axis.time), "__pos")
-    found = last_before(points, history, axis, point_time="__t", values=["__pos"], inclusive=True)
-    ok = F.coalesce(F.col("hit.__pos") >= segment_rows, F.lit(False))
-    counts = [F.count_if(F.col(f"__has{i}") & ok).alias(f"c{i}") for i in range(len(targets))]
-    cells = [F.struct(F.lit(t).alias("param"), F.col(f"c{i}").alias("n")) for i, t in enumerate(targets)]
-    return found.groupBy(*axis.key_cols, "gap").agg(*counts).select(
-        *axis.key_cols, "gap", F.inline(F.array(*cells))
+    # the n-th row opens, a first row closes what was open before it
+    walked = scan(
+        ends.withColumn("__t", F.timestamp_micros("__u")), axis.with_(time="__t", tie=("__pos",)), Scan(prior={"__was": F.col("__pos")}),
     )
+    closes = (F.col("__pos") == 1) & F.coalesce(F.col("__was") == segment_rows, F.lit(False))
+    sign = F.when(F.col("__pos") == segment_rows, 1).otherwise(0) - F.when(closes, 1).otherwise(0)
+    at = F.col("__u") + F.col("gap") * F.lit(HOUR_US)
+    asked = walked.withColumn("__sign", sign).where("__sign != 0").select(
+        *keys, "__u", "__sign", F.explode(F.array(*[F.lit(int(g)) for g in gaps])).alias("gap")
+    ).select(*keys, "gap", "__sign", F.timestamp_micros(at).alias("__t"))
+    has = {f"__has{i}": col(t).isNotNull() for i, t in enumerate(targets)}
+    read = df.where(col(axis.time).isNotNull()).select(*keys, col(axis.time).alias("__t"), *[h.cast("bigint").alias(n) for n, h in has.items()])
+    both = asked.unionByName(read, allowMissingColumns=True)
+    # a target at the very time of an end lies behind it
+    both = both.withColumn("__u", instant(F.col("__t"), F.when(F.col("gap").isNull(), 0).otherwise(-1)))
+    counted = scan(
+        both, axis.with_(time="__u", tie=()), Scan(total={f"__c{i}": F.col(n) for i, n in enumerate(has)}, whole={f"__w{i}": F.col(n) for i, n in enumerate(has)}),
+        bucket=instant_bucket(axis, "__u"),
+    ).where("gap is not null")
+    # behind an opening end lie all targets but those before it
+    sums = [F.sum(F.col("__sign") * (F.col(f"__w{i}") - F.col(f"__c{i}"))).alias(f"__n{i}") for i in range(len(targets))]
+    found = counted.groupBy(*keys, "gap").agg(*sums)
+    # gaps for which no end lies in reach count 0
+    whole = df.select(*keys).distinct() if axis.keys else df.groupBy().count().select()
+    zeros = whole.select(*keys, F.explode(F.array(*[F.lit(int(g)) for g in gaps])).alias("gap"))
+    zeros = zeros.select(*keys, "gap", *[F.lit(0).cast("bigint").alias(f"__n{i}") for i in range(len(targets))])
+    done = found.unionByName(zeros).groupBy(*keys, "gap").agg(*[F.sum(f"__n{i}").alias(f"__n{i}") for i in range(len(targets))])
+    cells = [F.struct(F.lit(t).alias("param"), F.col(f"__n{i}").alias("n")) for i, t in enumerate(targets)]
+    return done.select(*keys, "gap", F.inline(F.array(*cells)))
 
 
 # --- cutting ---------------------------------------------------------------------------------
@@ -187,6 +219,18 @@ def expand(ends: DataFrame, numbered: DataFrame, keys: Sequence[str], back: int,
 # --- loading ---------------------------------------------------------------------------------
 
 
+def write_samples(rows: DataFrame, path: str, *, buckets: int = 256, keys: Sequence[str] = ()) -> None:
+    """Overwrite the samples table: rows of ``expand`` in folders by a hash of the sample, so that a
+    manifest of samples can be read from few of them.  The folder column is ``bucket``."""
+    by = [*[col(k) for k in keys], F.col("sample_id")]
+    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
+    rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
 def load_samples(
     rows: DataFrame,
     input_columns: Sequence[str],
@@ -252,30 +296,40 @@ def target_rows(
 # --- splits ----------------------------------------------------------------------------------
 
 
-def _first_k(names: DataFrame, place: Column, bucket: Column, k: Column, sample: str) -> DataFrame:
-    """Mark the first k names in order of (place, name) with ``__first``, without sorting all of them.
+def _first_k(names: DataFrame, places: Sequence[Column], k: Column, sample: str) -> DataFrame:
+    """Mark the first k names in order of (places…, name) with ``__first``, without sorting all of them.
 
-    Names are counted per place, the counts are added up by an ordered scan, and only the names at
-    the place where the count passes k are ranked.
+    Names are counted per first place, the counts are added up by an ordered scan, and only names at
+    the place where the count passes k are counted by the second place, and so on; what shares all
+    places is ranked.
     """
-    placed = names.withColumn("__place", place)
-    counts = placed.groupBy("__place").agg(F.count(F.lit(1)).alias("__c")).withColumn("__bucket", bucket)
-    summed = scan(
-        counts, Axis(time="__place"), Scan(total={"__upto": F.col("__c")}), bucket=F.col("__bucket")
-    )
-    cut = summed.where(F.col("__upto") >= k).agg(
-        F.min("__place").alias("place"), F.min_by(F.col("__upto") - F.col("__c"), "__place").alias("before")
-    ).select(F.struct("place", "before").alias("c"))
-    # place of the cut is null when k exceeds the number of names: all are first
-    marked = placed.withColumn("__cut", cut.scalar())
-    at = F.col("__cut.place")
-    outside = marked.where(at.isNull() | (F.col("__place") != at)).withColumn(
-        "__first", at.isNull() | (F.col("__place") < at)
-    )
     others = [col(c) for c in names.columns if c != sample]
-    rank = F.row_number().over(Window.partitionBy("__place").orderBy(col(sample), *others))
-    inside = marked.where(F.col("__place") == at).withColumn("__first", F.col("__cut.before") + rank <= k)
-    return outside.unionByName(inside).drop("__place", "__cut")
+    columns = names.columns
+    rest, left, done = names, k, []
+    for place in places:
+        placed = rest.withColumn("__place", place)
+        counts = placed.groupBy("__place").agg(F.count(F.lit(1)).alias("__c"))
+        summed = scan(counts, Axis(time="__place", parts=256), Scan(total={"__upto": F.col("__c")}))
+        cut = summed.where(F.col("__upto") >= left).agg(
+            F.min("__place").alias("place"), F.min_by(F.col("__upto") - F.col("__c"), "__place").alias("before")
+        ).select(F.struct("place", "before").alias("c"))
+        # place of the cut is null when k exceeds the number of names: all are first
+        marked = placed.withColumn("__cut", cut.scalar())
+        at = F.col("__cut.place")
+        outside = marked.where(at.isNull() | (F.col("__place") != at)).withColumn(
+            "__first", at.isNull() | (F.col("__place") < at)
+        )
+        done.append(outside.select(*[col(c) for c in columns], "__first"))
+        rest = marked.where(F.col("__place") == at).select(*[col(c) for c in columns])
+        left = left - cut.select("c.before").scalar()
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(col(sample), *others))
+    done.append(rest.withColumn("__first", rank <= left))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _digest(text: Column) -> Column:
+    """60 bits of the MD5 digest, as other engines compute it."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def _count(names: DataFrame) -> Column:
@@ -283,19 +337,25 @@ def _count(names: DataFrame) -> Column:
 
 
 def temporal_split(names: DataFrame, test_size: float = 0.2, sample: str = "sample_id") -> DataFrame:
-    """``(sample_id, split)``: by the number in the name, the first ``int(n * (1 - test_size))`` train."""
-    place = first_integer(col(sample))
+    """``(sample_id, split)``: by the number in the name, the first ``int(n * (1 - test_size))`` train;
+    names of one number are ordered by digest."""
     k = F.floor(_count(names) * F.lit(1 - test_size))
-    marked = _first_k(names, place, F.floor(F.col("__place") / 4096), k, sample)
+    marked = _first_k(names, [first_integer(col(sample)), _digest(_whole_name(names, sample))], k, sample)
     return marked.select(*[col(c) for c in names.columns], F.when(F.col("__first"), "train").otherwise("test").alias("split"))
 
 
+def _whole_name(names: DataFrame, sample: str) -> Column:
+    """The name and, for keyed samples, the other columns."""
+    others = [c for c in names.columns if c != sample]
+    return F.concat_ws("|", col(sample), *[col(c).cast("string") for c in others])
+
+
 def random_split(names: DataFrame, test_size: float = 0.2, seed: int = 10, sample: str = "sample_id") -> DataFrame:
     """Seeded split with ``ceil(n * test_size)`` test samples; the same names give the same split on
-    any cluster, as the order is a hash of name and seed."""
-    place = F.xxhash64(*[col(c) for c in names.columns], F.lit(seed))
+    any cluster, as the order is a digest of name and seed."""
     k = F.ceil(_count(names) * F.lit(test_size))
-    marked = _first_k(names, place, F.shiftright(F.col("__place"), 48), k, sample)
+    place = _digest(F.concat_ws("|", _whole_name(names, sample), F.lit(str(seed))))
+    marked = _first_k(names, [place], k, sample)
     return marked.select(*[col(c) for c in names.columns], F.when(F.col("__first"), "test").otherwise("train").alias("split"))
 
 

@@ -11,8 +11,10 @@ from gaugeline.plans.fixtures import (
     TYPES, events, hourly, limits_wide, micros, order_hours, predictions, r6, scratch, sql_r6,
     table, user_hourly,
 )
+from gaugeline.plans import site
 from gaugeline.plans.registry import query
 from gaugeline.sources import delimited, params
+from gaugeline.sources.tables import stored
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -40,6 +42,31 @@ def read_decimal_comma(spark, d):
     return read.select(F.col("event_id").cast("bigint").alias("event_id"), micros("Time").alias("ts"), "v", "w")
 
 
+@query(
+    "read_decimal_point",
+    """select event_id, epoch_us(date_trunc('second', ts)) as ts, case when event_id % 5 < 2 then round(value, 2) end as v from events""",
+)
+def read_decimal_point(spark, d):
+    """A table written with commas and decimal points, with marks for missing values, and read back."""
+    kind = F.pmod("event_id", F.lit(5))
+    text = F.format_string("%.2f", F.col("value"))
+    v = F.when(kind < 2, text).when(kind == 2, F.regexp_replace(text, r"\.", ",")).when(kind == 3, "NA").otherwise("")
+    raw = events(spark, d).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Time"), v.alias("v"), F.col("event_id").cast("string").alias("event_id"))
+    path = scratch(spark, "point")
+    delimited.write_table(raw, path, format="csv")
+    read = delimited.read_measurements(spark, path, raw.columns, sep=",", decimal="point", texts=["event_id"])
+    return read.select(F.col("event_id").cast("bigint").alias("event_id"), micros("Time").alias("ts"), "v")
+
+
+@query("read_limits", f"with {SQL_LIMITS}, {SQL_LIMITS_LONG} select param, round(lim, 4) as \"limit\" from limits_long")
+def read_limits(spark, d):
+    """The limits written as a file with semicolons and a byte-order mark, and read back."""
+    values = F.concat_ws(";", *[F.format_string("%.4f", F.col(t)) for t in TYPES])
+    path = scratch(spark, "limits")
+    limits_wide(spark, d).select(F.concat(F.lit("\ufeff" + ";".join(TYPES) + "\n"), values)).coalesce(1).write.text(path)
+    return combine.limits_long(delimited.read_limits(spark, path))
+
+
 @query("limits_long", f"with {SQL_LIMITS}, {SQL_LIMITS_LONG} select param, {sql_r6('lim', '\"limit\"')} from limits_long")
 def limits_long(spark, d):
     return combine.limits_long(limits_wide(spark, d)).select("param", r6("limit"))
@@ -56,20 +83,23 @@ def norm_params(spark, d):
     return params.load_params(spark, path).select("param", r6("min"), r6("max"))
 
 
-_CATALOGUE = [("lab", ["purchase"], 550), ("plant", ["signup"], 3), ("profiler", ["click", "view"], 3), ("weather", ["error"], 3)]
+#: A column of the site for each event type; views have none.
+_SITE_COLUMNS = {"purchase": "Sink (Zn)", "signup": "SCADA - pH", "click": "Pfl - pH", "error": "Humidity (%)"}
 
 
 @query(
     "route_source",
-    """with c(param, source, p, w) as (values ('purchase','lab',0,550e0), ('signup','plant',1,3e0),
-         ('click','profiler',2,3e0), ('view','profiler',2,3e0), ('error','weather',3,3e0))
-       select user_id, epoch_us(hour) as hour, arg_min(source, p) as source, arg_min(w, p) as window_hours
+    """with c(param, source, p, w) as (values ('purchase','lab',0,550e0), ('signup','scada',1,3e0),
+         ('click','profiler',2,3e0), ('error','weather',3,3e0))
+       select user_id, epoch_us(hour) as hour, arg_min(source, p) as source, coalesce(arg_min(w, p), 3) as window_hours
        from (select distinct user_id, date_trunc('hour', ts) as hour, event_type from events) e
        left join c on c.param = e.event_type group by 1, 2""",
 )
 def route_source(spark, d):
-    asked = events(spark, d).select("user_id", F.date_trunc("hour", "ts").alias("hour"), F.col("event_type").alias("param")).distinct()
-    found = params.route_source(asked, params.catalogue_table(spark, _CATALOGUE), ["user_id", "hour"])
+    names = F.create_map(*[F.lit(x) for kv in _SITE_COLUMNS.items() for x in kv])
+    param = F.try_element_at(names, F.col("event_type")).alias("param")
+    asked = events(spark, d).select("user_id", F.date_trunc("hour", "ts").alias("hour"), param).distinct()
+    found = params.route_source(asked, params.catalogue_table(spark, site.SOURCE_CATALOGUE), ["user_id", "hour"])
     return found.select("user_id", micros("hour"), "source", "window_hours")
 
 
@@ -187,7 +217,7 @@ def binarize(spark, d):
     f"""with {SQL_HOURLY}, {SQL_LIMITS}, {SQL_LIMITS_LONG}, {SQL_PREDICTIONS}
       select sample_id, step, model, param, case when pred > lim then 1 else 0 end as pred,
              case when target > lim then 1 else 0 end as target
-      from predictions left join limits_long using (param)""",
+      from predictions join limits_long using (param)""",
 )
 def binarize_predictions(spark, d):
     from gaugeline.operators import metrics
@@ -319,7 +349,8 @@ def log_texts(spark, d):
             F.lit("\r\nCalibration End Time=,"), when(F.col("ts")), F.lit("\r\nCalibration Status=, "), F.col("event_type"),
             F.lit(f"\r\nParameter Type=,{kind}\r\n\r\n[Cal Point 1]\r\nStandard=,7.00 {unit}\r\nPre Calibration Value=,"),
             number(v), F.lit(f" {unit}\r\nPost Calibration Value=,"), number(v + shift), F.lit("\r\nno pair here\r\nPre Calibration Value=,"),
-            number(v * 2), F.lit("\r\nPost Calibration Value=,n/a\r\nCalibration Status=,overridden\r\n\r\n\r\n[Cal Point 2]\r\nStandard=,4.00 "),
+            number(v * 2), F.lit("\r\nPost Calibration Value=,n/a\r\nPre Calibration Value=,"), number(v * 3), F.lit("\r\nPost Calibration Value=,"),
+            number(v * 3 + 0.25), F.lit("\r\nCalibration Status=,overridden\r\n\r\n\r\n[Cal Point 2]\r\nStandard=,4.00 "),
             F.lit(f"{unit}\r\nPre Calibration Value=,"), number(v + 1), F.lit("\r\n"),
         )
 
@@ -340,7 +371,7 @@ _SQL_LOGS = """rows as (select e.*, c.chapter, c.kind, c.shift, p.paragraph from
           case when paragraph = 0 then printf('%.2f', value) || ' ' || (case chapter when 0 then 'pH' else 'µS/cm' end)
                else printf('%.2f', value + 1) end as pre,
           case when paragraph = 0 then printf('%.2f', value * 2) end as pre2,
-          case when paragraph = 0 then 10 else 7 end as n_fields
+          case when paragraph = 0 then 12 else 7 end as n_fields
         from rows""",
 )
 def parse_calibration_logs(spark, d):
@@ -358,14 +389,15 @@ def parse_calibration_logs(spark, d):
           user_id * 60e0 as timespan_seconds,
           case when paragraph = 0 then round(value, 2) else round(value + 1, 2) end as pre1,
           case when paragraph = 0 then {sql_r6('shift', '').rsplit(' as', 1)[0]} end as correction1,
-          case when paragraph = 0 then round(value * 2, 2) end as pre2, cast(null as double) as correction2
+          case when paragraph = 0 then round(value * 2, 2) end as pre2, cast(null as double) as correction2,
+          case when paragraph = 0 then round(value * 3, 2) end as pre3, case when paragraph = 0 then 0.25e0 end as correction3
         from rows""",
 )
 def calibration_summary(spark, d):
     s = calibration.summarize(calibration.parse_logs(log_texts(spark, d)))
     return s.select(
         "event_id", "chapter", "paragraph", "parameter_type", micros("calibration_end"), "timespan_seconds",
-        "pre1", r6("correction1"), "pre2", r6("correction2"),
+        "pre1", r6("correction1"), "pre2", r6("correction2"), "pre3", r6("correction3"),
     )
 
 
@@ -388,13 +420,15 @@ def calibration_tables(spark, d):
 @query(
     "calibration_jump",
     f"""with {SQL_USER_HOURLY},
-      cal as (select user_id, event_id, ts as t, lag(ts) over (partition by user_id order by ts) as prev
-              from events where event_type = 'signup'),
-      j as (select c.user_id, c.event_id, c.t, c.prev,
+      twice as (select user_id, event_id, ts as t from events where event_type = 'signup'
+                union all select user_id, event_id, ts from events where event_type = 'signup' and event_id % 3 = 0),
+      cal as (select user_id, event_id, t, row_number() over (partition by user_id order by t, event_id) as no,
+                lag(t) over (partition by user_id order by t, event_id) as prev from twice),
+      j as (select c.user_id, c.event_id, c.no, c.t, c.prev,
               count(*) filter (s.ts > c.prev and s.ts <= c.t) as n,
               max(s.ts) filter (s.ts < c.t and s.ts >= c.t - interval 24 hour) as b,
               min(s.ts) filter (s.ts > c.t and s.ts <= c.t + interval 24 hour) as a
-            from cal c left join user_hourly s on s.user_id = c.user_id group by 1, 2, 3, 4),
+            from cal c left join user_hourly s on s.user_id = c.user_id group by 1, 2, 3, 4, 5),
       k as (select j.*, (prev is not null and n >= 13 and a is not null and b is not null) as ok from j)
       select k.event_id, case when ok then {sql_r6('bv.high', '').rsplit(' as', 1)[0]} end as before,
              case when ok then {sql_r6('av.high', '').rsplit(' as', 1)[0]} end as after,
@@ -404,6 +438,24 @@ def calibration_tables(spark, d):
              left join user_hourly av on av.user_id = k.user_id and av.ts = k.a""",
 )
 def calibration_jump(spark, d):
+    return _jumps(spark, d).select("event_id", r6("before"), r6("after"), r6("difference"), "between_count")
+
+
+def _jumps(spark, d):
+    """Some calibrations stand in the logs twice."""
     cal = events(spark, d).where("event_type = 'signup'").select("user_id", "event_id", F.col("ts").alias("t"))
-    jumps = calibration.calibration_jumps(cal, user_hourly(spark, d), BY_USER, "high", time="t")
-    return jumps.select("event_id", r6("before"), r6("after"), r6("difference"), "between_count")
+    cal = cal.union(cal.where("event_id % 3 = 0"))
+    return calibration.calibration_jumps(cal, stored(user_hourly(spark, d)), BY_USER, "high", time="t")
+
+
+@query(
+    "corrections_table",
+    """select case when user_id % 2 = 0 then 'pH' else 'Sp Cond (µS_cm)' end as parameter, count(*) as n
+       from (select * from events where event_type = 'signup' union all select * from events where event_type = 'signup' and event_id % 3 = 0) group by 1""",
+)
+def corrections_table(spark, d):
+    """Jumps written as a table with a partition per parameter, and read back."""
+    path = scratch(spark, "corrections")
+    kind = F.when(F.pmod("user_id", F.lit(2)) == 0, "pH").otherwise("Sp Cond (µS/cm)")
+    delimited.write_corrections(_jumps(spark, d).withColumn("parameter_type", kind), path)
+    return spark.read.parquet(path).groupBy("parameter").agg(F.count(F.lit(1)).alias("n"))

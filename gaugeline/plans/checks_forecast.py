@@ -13,6 +13,7 @@ from gaugeline.plans.fixtures import (
     hour_number, hourly, limits_wide, order_hours, predictions, r3, r6, sql_r3, sql_r6, user_hourly,
 )
 from gaugeline.plans.registry import query
+from gaugeline.sources import params
 from gaugeline.sources.tables import stored
 
 
@@ -21,37 +22,50 @@ def _targets(df):
     return df.withColumn("sample_id", hour_number()).withColumn("step", F.lit(0))
 
 
+def _steps(df):
+    """Three hours make a sample; hours without a row leave it shorter."""
+    hour = hour_number()
+    return df.withColumn("sample_id", F.floor(hour / 3).cast("bigint")).withColumn("step", F.pmod(hour, F.lit(3)).cast("int"))
+
+
+_SQL_STARTS = """t as (select *, epoch_us(ts) // 3600000000 // 3 as sample_id, cast(epoch_us(ts) // 3600000000 % 3 as int) as step from user_hourly),
+      starts as (select user_id, sample_id, min(ts) as t0 from t group by 1, 2)"""
+
+
 def _shown(preds, *ids):
     return preds.select(*ids, "sample_id", "step", "param", r6("pred"), r6("target"))
 
 
 @query(
     "naive_forecast",
-    f"""with {SQL_USER_HOURLY}, t as (select *, ts - interval 5 hour as cut from user_hourly),
-      h as (select * from user_hourly where high is not null)
-      select t.user_id, epoch_us(t.ts) // 3600000000 as sample_id, 0 as step, p.param, {sql_r6('p.pred', 'pred')}, {sql_r6('p.target', 'target')}
-      from t asof left join h on h.user_id = t.user_id and t.cut > h.ts,
-        lateral (values ('value', h.value, t.value), ('high', h.high, t.high)) as p(param, pred, target)""",
+    f"""with {SQL_USER_HOURLY}, {_SQL_STARTS},
+      h as (select * from user_hourly where high is not null),
+      found as (select s.user_id, s.sample_id, h.value, h.high
+                from (select *, t0 - interval 5 hour as cut from starts) s asof left join h on h.user_id = s.user_id and s.cut > h.ts)
+      select t.user_id, t.sample_id, t.step, p.param, {sql_r6('p.pred', 'pred')}, {sql_r6('p.target', 'target')}
+      from t join found f using (user_id, sample_id),
+        lateral (values ('value', f.value, t.value), ('high', f.high, t.high)) as p(param, pred, target)""",
 )
 def naive_forecast(spark, d):
     h = user_hourly(spark, d)
-    return _shown(forecast.naive_forecast(_targets(h), h, BY_USER, ["value", "high"], 5), "user_id")
+    return _shown(forecast.naive_forecast(_steps(h), h, BY_USER, ["value", "high"], 5), "user_id")
 
 
 @query(
     "linear_forecast",
-    f"""with {SQL_USER_HOURLY},
-      j as (select t.user_id, t.ts, t.value as target, count(h.ts) as n, avg(h.value) as m,
-              regr_slope(h.value, epoch_us(h.ts) / 3600e6 - epoch_us(t.ts) / 3600e6) as b,
-              regr_intercept(h.value, epoch_us(h.ts) / 3600e6 - epoch_us(t.ts) / 3600e6) as a
-            from user_hourly t left join user_hourly h on h.user_id = t.user_id and h.ts < t.ts - interval 5 hour
-              and h.ts >= t.ts - interval 53 hour group by 1, 2, 3)
-      select user_id, epoch_us(ts) // 3600000000 as sample_id, 0 as step, 'value' as param,
-        {sql_r6('case when n = 0 then null when n = 1 then m else a end', 'pred')}, {sql_r6('target', 'target')} from j""",
+    f"""with {SQL_USER_HOURLY}, {_SQL_STARTS},
+      j as (select s.user_id, s.sample_id, s.t0, count(h.ts) as n, avg(h.value) as m,
+              regr_slope(h.value, epoch_us(h.ts) / 3600e6 - epoch_us(s.t0) / 3600e6) as b,
+              regr_intercept(h.value, epoch_us(h.ts) / 3600e6 - epoch_us(s.t0) / 3600e6) as a
+            from starts s left join user_hourly h on h.user_id = s.user_id and h.ts < s.t0 - interval 5 hour
+              and h.ts >= s.t0 - interval 53 hour group by 1, 2, 3)
+      select user_id, sample_id, t.step, 'value' as param,
+        {sql_r6('case when n = 0 then null when n = 1 then m else a + b * (epoch_us(t.ts) - epoch_us(t0)) / 3600e6 end', 'pred')},
+        {sql_r6('t.value', 'target')} from t join j using (user_id, sample_id)""",
 )
 def linear_forecast(spark, d):
     h = user_hourly(spark, d)
-    return _shown(forecast.linear_forecast(_targets(h), h, BY_USER, ["value"], 48, 5), "user_id")
+    return _shown(forecast.linear_forecast(_steps(h), h, BY_USER, ["value"], 48, 5), "user_id")
 
 
 def _sql_season(target_year: str, day: str, minute: str, source: str = "order_hours", where: str = "true") -> str:
@@ -82,24 +96,48 @@ def seasonal_forecast(spark, d):
     return preds.select("sample_id", "step", "param", r3("pred"), r3("target"))
 
 
+_SQL_SECOND = _sql_season("year(ts)", "dayofyear(ts)", "hour(ts) * 60 + minute(ts)", source="second", where="y <> ty").format(asked="order_hours")
+
+
+@query(
+    "seasonal_secondary",
+    f"""with {SQL_ORDER_HOURS}, second as (select ts, value * 2 as value from order_hours where hour(ts) < 12), {_SQL_SECOND}
+      select epoch_us(ts) // 3600000000 as sample_id, 0 as step, 'value' as param, {sql_r3('pred', 'pred')}, {sql_r3('value', 'target')}
+      from order_hours join season on ty = year(ts) and td = dayofyear(ts) and tm = hour(ts) * 60 + minute(ts)""",
+)
+def seasonal_secondary(spark, d):
+    """A column of the secondary source takes the place of the history's."""
+    h = order_hours(spark, d)
+    second = h.where(F.hour("ts") < 12).withColumn("value", F.col("value") * 2)
+    preds = forecast.seasonal_forecast(_targets(h), h, PLAIN, ["value"], secondary=second)
+    return preds.select("sample_id", "step", "param", r3("pred"), r3("target"))
+
+
 @query(
     "season_curve",
-    f"""with {SQL_ORDER_HOURS},
+    f"""with {SQL_ORDER_HOURS}, gappy as (select ts, case when month(ts) = 3 then null else value end as value from order_hours),
       start as (select make_timestamp(max(year(ts)) + 1, 1, 1, 0, 0, 0) as t0 from order_hours),
       hours as (select k as hour_no, t0 + k * interval 1 hour as ts from start, generate_series(0, 8783) g(k)),
-      {_sql_season('1', 'dayofyear(ts)', 'hour(ts) * 60').format(asked='hours')}
-      select 'value' as param, hour_no, dayofyear(ts) as doy, hour(ts) as hour, {sql_r3('pred', 'value')}
-      from hours join season on td = dayofyear(ts) and tm = hour(ts) * 60""",
+      {_sql_season('1', 'dayofyear(ts)', 'hour(ts) * 60', source='gappy').format(asked='hours')},
+      curve as (select hour_no, dayofyear(ts) as doy, hour(ts) as hour, pred from hours join season on td = dayofyear(ts) and tm = hour(ts) * 60),
+      near_ as (select *,
+        last_value(case when pred is not null then hour_no end ignore nulls) over (order by hour_no rows unbounded preceding) as i0,
+        last_value(pred ignore nulls) over (order by hour_no rows unbounded preceding) as x0,
+        first_value(case when pred is not null then hour_no end ignore nulls) over (order by hour_no rows between current row and unbounded following) as i1,
+        first_value(pred ignore nulls) over (order by hour_no rows between current row and unbounded following) as x1 from curve)
+      select 'value' as param, hour_no, doy, hour,
+        {sql_r3('case when pred is not null then pred when x0 is null then x1 when x1 is null then x0 else x0 + (x1 - x0) / (i1 - i0) * (hour_no - i0) end', 'value')} from near_""",
 )
 def season_curve(spark, d):
-    curve = forecast.season_curve(order_hours(spark, d), PLAIN, ["value"])
+    """A history without any value in March, so that the curve has hours to fill."""
+    h = order_hours(spark, d).withColumn("value", F.when(F.month("ts") != 3, F.col("value")))
+    curve = forecast.season_curve(h, PLAIN, ["value"])
     return forecast.fill_curve(curve).withColumn("value", r3("value"))
 
 
 # --- metrics ---------------------------------------------------------------------------------
 
 _USED = "from predictions where pred is not null and target is not null"
-_FIRST = "firsts as (select * from (select *, dense_rank() over (partition by model order by sample_id) as rk from predictions) where rk <= 200)"
 _SCORES = f"""n as n, {sql_r6('mae', 'mae')}, {sql_r6('rmse', 'rmse')}, {sql_r6('r2', 'r2')}"""
 
 
@@ -111,11 +149,25 @@ def _sql_scores(source: str, by: str) -> str:
 
 @query(
     "regression_metrics",
-    f"with {SQL_HOURLY}, {SQL_PREDICTIONS}, {_FIRST}, {_sql_scores('firsts', 'model')} select model, {_SCORES} from scores",
+    f"with {SQL_HOURLY}, {SQL_PREDICTIONS}, {_sql_scores('predictions', 'model')} select model, {_SCORES} from scores",
 )
 def regression_metrics(spark, d):
-    first = metrics.first_samples(predictions(spark, d), 200)
-    return metrics.regression_metrics(first).select("model", "n", r6("mae"), r6("rmse"), r6("r2"))
+    return metrics.regression_metrics(predictions(spark, d)).select("model", "n", r6("mae"), r6("rmse"), r6("r2"))
+
+
+@query(
+    "first_samples",
+    f"""with {SQL_HOURLY}, {SQL_PREDICTIONS},
+      ranked as (select *, dense_rank() over (partition by model order by sample_id) as s, row_number() over (partition by model order by sample_id, step, param) as v
+                 from predictions)
+      select 'samples' as kind, model, sample_id, step, param from ranked where s <= 50
+      union all select 'values', model, sample_id, step, param from ranked where v <= 50""",
+)
+def first_samples(spark, d):
+    """The optional restriction of an evaluation to its first samples or values."""
+    p, ids = predictions(spark, d), ["model", "sample_id", "step", "param"]
+    both = metrics.first_samples(p, 50).withColumn("kind", F.lit("samples"))
+    return both.unionByName(metrics.first_values(p, 50).withColumn("kind", F.lit("values"))).select("kind", *ids)
 
 
 @query(
@@ -140,21 +192,20 @@ def error_spread(spark, d):
 
 
 _SQL_BINARY = f"""flags as (select model, sample_id, step, param, case when pred > lim then 1 else 0 end as pred, case when target > lim then 1 else 0 end as target
-      from predictions join limits_long using (param)),
-  firsts as (select * from (select *, row_number() over (partition by model order by sample_id, step, param) as rk from flags) where rk <= 200)"""
+      from predictions join limits_long using (param))"""
 
 
 @query(
     "classification_metrics",
     f"""with {SQL_HOURLY}, {SQL_LIMITS}, {SQL_LIMITS_LONG}, {SQL_PREDICTIONS}, {_SQL_BINARY},
       c as (select model, count(*) filter (pred = 0 and target = 0) as tn, count(*) filter (pred = 1 and target = 0) as fp,
-              count(*) filter (pred = 0 and target = 1) as fn, count(*) filter (pred = 1 and target = 1) as tp from firsts group by 1)
+              count(*) filter (pred = 0 and target = 1) as fn, count(*) filter (pred = 1 and target = 1) as tp from flags group by 1)
       select model, tn, fp, fn, tp, {sql_r6('(tp + tn) / (tp + tn + fp + fn)', 'accuracy')}, {sql_r6('coalesce(tp / nullif(tp + fp, 0), 0)', '"precision"')},
         {sql_r6('coalesce(tp / nullif(tp + fn, 0), 0)', 'recall')}, {sql_r6('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)', 'f1')} from c""",
 )
 def classification_metrics(spark, d):
     binary = metrics.binarize_predictions(predictions(spark, d), limits_long(limits_wide(spark, d)))
-    found = metrics.classification_metrics(metrics.first_values(binary, 200))
+    found = metrics.classification_metrics(binary)
     return found.select("model", "tn", "fp", "fn", "tp", *[r6(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
@@ -179,7 +230,8 @@ def roc_auc(spark, d):
 
 @query(
     "roc_points",
-    f"with {SQL_HOURLY}, {SQL_PREDICTIONS}, {_SQL_STEPS} select model, {sql_r6('score', 'score')}, {sql_r6('fp / n', 'fpr')}, {sql_r6('tp / p', 'tpr')} from steps",
+    f"with {SQL_HOURLY}, {SQL_PREDICTIONS}, {_SQL_STEPS} select model, {sql_r6('score', 'score')}, {sql_r6('fp / n', 'fpr')}, {sql_r6('tp / p', 'tpr')} from steps "
+    "union all select distinct model, cast(null as double), 0e0, 0e0 from steps",
 )
 def roc_points(spark, d):
     return metrics.roc_points(_scored(spark, d)).select("model", r6("score"), r6("fpr"), r6("tpr"))
@@ -198,7 +250,8 @@ def pr_auc(spark, d):
 
 @query(
     "pr_points",
-    f"with {SQL_HOURLY}, {SQL_PREDICTIONS}, {_SQL_STEPS} select model, {sql_r6('score', 'score')}, {sql_r6('tp / (tp + fp)', '"precision"')}, {sql_r6('tp / p', 'recall')} from steps",
+    f"with {SQL_HOURLY}, {SQL_PREDICTIONS}, {_SQL_STEPS} select model, {sql_r6('score', 'score')}, {sql_r6('tp / (tp + fp)', '"precision"')}, {sql_r6('tp / p', 'recall')} from steps "
+    "union all select distinct model, cast(null as double), 1e0, 0e0 from steps",
 )
 def pr_points(spark, d):
     return metrics.pr_points(_scored(spark, d)).select("model", r6("score"), r6("precision"), r6("recall"))
@@ -220,8 +273,7 @@ _NAIVE_GAPS, _WINDOWS = range(1, 97, 2), range(1, 60)
                group by 1, 2, 3),
       predictions as (select model, setting, epoch_us(ts) as sample_id, pred, target from naive
         union all select 'linear', setting, epoch_us(ts), case when n = 1 then m else a end, target from fits),
-      firsts as (select * from (select *, dense_rank() over (partition by model, setting order by sample_id) as rk from predictions) where rk <= 200),
-      {_sql_scores('firsts', 'model, setting')}
+      {_sql_scores('predictions', 'model, setting')}
       select model, setting, {_SCORES} from scores""",
 )
 def baseline_sweep(spark, d):
@@ -234,7 +286,7 @@ def baseline_sweep(spark, d):
         linear.withColumn("setting", F.col("window_hours").cast("bigint")).drop("window_hours").withColumn("model", F.lit("linear"))
     )
     by = ("model", "setting")
-    scores = metrics.regression_metrics(metrics.first_samples(both, 200, by=by), by)
+    scores = metrics.regression_metrics(both, by)
     return scores.select("model", "setting", "n", r6("mae"), r6("rmse"), r6("r2"))
 
 
@@ -246,17 +298,16 @@ def baseline_sweep(spark, d):
       fits as (select t.sample_id, t.target, count(h.ts) as n, avg(h.v) as m, regr_intercept(h.v, epoch_us(h.ts) / 3600e6 - epoch_us(t.ts) / 3600e6) as a
                from t left join h on h.ts < t.ts - interval 1 hour and h.ts >= t.ts - interval 25 hour group by 1, 2),
       predictions as (select 'Naive' as model, * from naive union all select 'Linear', sample_id, case when n = 1 then m else a end, target from fits),
-      firsts as (select * from (select *, row_number() over (partition by model order by sample_id) as rk from predictions) where rk <= 200),
-      {_sql_scores('firsts', 'model')} select model, {_SCORES} from scores""",
+      {_sql_scores('predictions', 'model')} select model, {_SCORES} from scores""",
 )
 def evaluate_samples(spark, d):
-    """Samples cut, their last rows forecast, and the forecasts of the first 200 samples scored."""
+    """Samples cut, their last rows forecast, and the forecasts scored."""
     h = hourly(spark, d)
     cut = stored(flows.cut_tolerant(h, PLAIN, ["purchase"], INPUTS, 24, 0.1))
     targets = samples.target_rows(cut, ["purchase"])
     naive = forecast.naive_forecast(targets, h, PLAIN, ["purchase"], 1).withColumn("model", F.lit("Naive"))
     linear = forecast.linear_forecast(targets, h, PLAIN, ["purchase"], 24, 1).withColumn("model", F.lit("Linear"))
-    found = metrics.regression_metrics(metrics.first_samples(naive.unionByName(linear), 200))
+    found = metrics.regression_metrics(naive.unionByName(linear))
     return found.select("model", "n", r6("mae"), r6("rmse"), r6("r2"))
 
 
@@ -273,20 +324,26 @@ def evaluate_samples(spark, d):
         union all select 'Linear', epoch_us(ts) // 3600000000, case when n = 1 then m else a end, target from fits
         union all select 'Seasonal', epoch_us(ts) // 3600000000, pred, value from order_hours
           join season on ty = year(ts) and td = dayofyear(ts) and tm = hour(ts) * 60 + minute(ts)),
-      firsts as (select * from (select *, row_number() over (partition by model order by sample_id) as rk from predictions) where rk <= 200),
-      {_sql_scores('firsts', 'model')},
-      bins as (select model, case when pred > 150000 then 1 else 0 end as p, case when target > 150000 then 1 else 0 end as t from firsts),
+      {_sql_scores('predictions', 'model')},
+      bins as (select model, case when pred > 150000 then 1 else 0 end as p, case when target > 150000 then 1 else 0 end as t from predictions),
       c as (select model, count(*) filter (p = 0 and t = 0) as tn, count(*) filter (p = 1 and t = 0) as fp,
-              count(*) filter (p = 0 and t = 1) as fn, count(*) filter (p = 1 and t = 1) as tp from bins group by 1)
-      select model, n, {sql_r3('mae', 'mae')}, {sql_r3('rmse', 'rmse')}, {sql_r6('r2', 'r2')}, tn, fp, fn, tp,
-        {sql_r6('(tp + tn) / (tp + tn + fp + fn)', 'accuracy')}, {sql_r6('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)', 'f1')},
-        {sql_r6('(tp / (tp + fn) + tn / (tn + fp)) / 2', 'roc_auc')}
-      from scores join c using (model)""",
+              count(*) filter (p = 0 and t = 1) as fn, count(*) filter (p = 1 and t = 1) as tp from bins group by 1),
+      rates as (select *, tp / (tp + fn) as sens, tp / nullif(tp + fp, 0) as prec, (tp + fn) / (tp + tn + fp + fn) as base from c)
+      select model, n, {sql_r6('mae / 1000', 'mae')}, {sql_r6('rmse / 1000', 'rmse')}, {sql_r6('r2', 'r2')}, tn, fp, fn, tp,
+        {sql_r6('(tp + tn) / (tp + tn + fp + fn)', 'accuracy')}, {sql_r6('coalesce(prec, 0)', '"precision"')}, {sql_r6('sens', 'recall')},
+        {sql_r6('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)', 'f1')},
+        {sql_r6('(tp / (tp + fn) + tn / (tn + fp)) / 2', 'roc_auc')},
+        {sql_r6('case when prec is null then (1 + base) / 2 else sens * (1 + prec) / 2 + (1 - sens) * (prec + base) / 2 end', 'pr_auc')}
+      from scores join rates using (model)""",
 )
 def compare_models(spark, d):
+    """Forecasts of values scaled by 1000; classes are told from values scaled back."""
     h = order_hours(spark, d)
-    preds = stored(flows.baselines(_targets(h), h, PLAIN, ["value"], gap_hours=1, window_hours=550))
-    found = flows.compare_models(preds, {"value": 150000.0})
+    preds = flows.baselines(_targets(h), h, PLAIN, ["value"], gap_hours=1, window_hours=550)
+    scaled = stored(preds.withColumns({c: F.col(c) / 1000 for c in ("pred", "target")}))
+    saved = spark.createDataFrame([("value", 0.0, 1000.0)], params.PARAM_SCHEMA)
+    found = flows.compare_models(scaled, {"value": 150000.0}, saved)
     return found.select(
-        "model", "n", r3("mae"), r3("rmse"), r6("r2"), "tn", "fp", "fn", "tp", r6("accuracy"), r6("f1"), r6("roc_auc")
+        "model", "n", r6("mae"), r6("rmse"), r6("r2"), "tn", "fp", "fn", "tp",
+        *[r6(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")],
     )

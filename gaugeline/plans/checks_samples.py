@@ -14,6 +14,7 @@ from gaugeline.plans.fixtures import (
 )
 from gaugeline.plans.registry import query
 from gaugeline.sources import params
+from gaugeline.sources.tables import stored
 
 INPUTS = ["click", "error", "signup", "view"]
 _SEEN = " + ".join(f"({c} is not null)::int" for c in INPUTS)
@@ -79,7 +80,7 @@ def gapless_counts(spark, d):
       select user_id, gap, 'value' as param, v as n from c union all select user_id, gap, 'high', h from c""",
 )
 def gap_feasibility(spark, d):
-    return samples.gap_feasibility(user_hourly(spark, d), BY_USER, ["value", "high"], 2)
+    return samples.gap_feasibility(stored(user_hourly(spark, d)), BY_USER, ["value", "high"], 2)
 
 
 # --- cutting ---------------------------------------------------------------------------------
@@ -128,11 +129,18 @@ def tolerant_samples(spark, d):
 
 
 def _tolerant(spark, d, tolerance=0.1):
-    return flows.cut_tolerant(hourly(spark, d), PLAIN, ["purchase"], INPUTS, 24, tolerance)
+    return flows.cut_tolerant(hourly(spark, d), PLAIN, ["purchase"], INPUTS, 24, tolerance, store=stored)
+
+
+def _stored_rows(spark, d, tolerance=0.1):
+    """Sample rows written as the samples table and read back."""
+    path = scratch(spark, "samples")
+    samples.write_samples(_tolerant(spark, d, tolerance), path, buckets=8)
+    return samples.read_samples(spark, path)
 
 
 def _loaded(spark, d, tolerance=0.1, **options):
-    return samples.load_samples(_tolerant(spark, d, tolerance), INPUTS, ["purchase"], input_rows=(0, 23), **options)
+    return samples.load_samples(_stored_rows(spark, d, tolerance), INPUTS, ["purchase"], input_rows=(0, 23), **options)
 
 
 _SQL_ROWS = f"""{_SQL_TOLERANT},
@@ -144,12 +152,14 @@ _SQL_ROWS = f"""{_SQL_TOLERANT},
 
 @query(
     "load_samples",
-    f"""with {SQL_HOURLY}, {_SQL_ROWS.format(extra='1 as one')}
-      select sample_id, 92 as n_features, {sql_r6('target', 'target')} from loaded where present = 92 and target is not null""",
+    f"""with {SQL_HOURLY}, {_SQL_ROWS.replace('>= 23', '>= 6').format(extra='sum(case when step < 6 then (click is not null)::int + (view is not null)::int end) as early, sum(case when step < 6 then click + view end) as total')}
+      select sample_id, 12 as n_features, {sql_r6('total', 'total')}, {sql_r6('target', 'target')} from loaded where early = 12 and target is not null""",
 )
 def load_samples(spark, d):
-    found = _loaded(spark, d)
-    return found.select("sample_id", F.size("features").alias("n_features"), r6(F.col("target")[0], "target"))
+    """Strict loading: some samples lack a cell of the two inputs in their first six rows and go."""
+    found = samples.load_samples(_stored_rows(spark, d), ["click", "view"], ["purchase"], input_rows=(0, 6))
+    total = F.aggregate("features", F.lit(0.0), lambda a, b: a + b)
+    return found.select("sample_id", F.size("features").alias("n_features"), r6(total, "total"), r6(F.col("target")[0], "target"))
 
 
 _WEIGHTED = "sum(case when step < 23 then " + " + ".join(
@@ -180,7 +190,7 @@ def _names(spark, d):
 
 
 _SQL_TEMPORAL = """names as (select 'Segment_' || o_orderkey || '_v2.csv' as sample_id, o_orderkey as k from orders),
-  split as (select sample_id, case when row_number() over (order by k, sample_id) <= floor((select count(*) from names) * (1 - 0.2e0)) then 'train' else 'test' end as split from names)"""
+  split as (select sample_id, case when row_number() over (order by k, md5(sample_id)) <= floor((select count(*) from names) * (1 - 0.2e0)) then 'train' else 'test' end as split from names)"""
 
 
 @query("temporal_split", f"with {_SQL_TEMPORAL} select sample_id, split from split")
@@ -195,7 +205,17 @@ def split_reuse(spark, d):
     return params.part_of(_names(spark, d), params.load_split(spark, path), "test")
 
 
-@query("random_split")
+def _sql_random(source: str, seed: int) -> str:
+    """Names of the test part of a random split."""
+    return f"""tests as (select sample_id from (select sample_id, row_number() over (order by substr(md5(sample_id || '|{seed}'), 1, 15), sample_id) as nth from {source})
+      where nth <= ceil((select count(*) from {source}) * 0.2e0))"""
+
+
+@query(
+    "random_split",
+    f"""with {_SQL_TEMPORAL}, {_sql_random('names', 10)}
+      select sample_id, case when sample_id in (select sample_id from tests) then 'test' else 'train' end as split from names""",
+)
 def random_split(spark, d):
     return samples.random_split(_names(spark, d), 0.2, 10)
 
@@ -203,34 +223,58 @@ def random_split(spark, d):
 # --- models ----------------------------------------------------------------------------------
 
 
-def _stored_samples(spark, d):
-    """Samples written once: training reads them once per boosting round."""
-    path = scratch(spark, "samples")
-    _loaded(spark, d, 0.9, fault_tolerant=True).write.parquet(path)
-    return spark.read.parquet(path)
+def _parts(spark, d):
+    """Both parts written once: training reads them once per boosting round."""
+    whole = stored(_loaded(spark, d, 0.9, fault_tolerant=True))
+    split = stored(samples.random_split(whole.select("sample_id"), 0.2, 35))
+    return stored(params.part_of(whole, split, "train")), stored(params.part_of(whole, split, "test"))
 
 
-def _parts(spark, d):
-    stored = _stored_samples(spark, d)
-    split = samples.random_split(stored.select("sample_id"), 0.2, 35)
-    return params.part_of(stored, split, "train"), params.part_of(stored, split, "test")
+_SQL_WIDE = _SQL_ROWS.replace("<= 0.1e0", "<= 0.9e0")
+_ROUNDS = 40  # validation on the test part ends training earlier
 
 
-@query("gbt_regression")
+@query(
+    "gbt_regression",
+    f"""with {SQL_HOURLY}, {_SQL_WIDE.format(extra='1 as one')}, {_sql_random('loaded', 35)}
+      select sample_id, {sql_r6('target', 'target')}, true as in_range, true as better from loaded where sample_id in (select sample_id from tests)""",
+)
 def gbt_regression(spark, d):
+    """Trained, saved, loaded: each prediction lies within the training targets or near, and training samples are
+    closer to their predictions than to the mean."""
     train, test = _parts(spark, d)
     path = scratch(spark, "regressor")
-    models.save(models.fit_regressor(train, test, rounds=4, depth=3, subsample=0.8, rate=0.1), path)
-    return models.predict(models.load(path), test).select("sample_id", r6("pred"), r6("target"))
+    models.save(models.fit_regressor(train, test, rounds=_ROUNDS, depth=3, subsample=0.8, rate=0.1), path)
+    model = models.load(path)
+    fitted = models.predict(model, train)
+    y = F.col("target")
+    known = fitted.agg(
+        F.struct(F.min(y).alias("lo"), F.max(y).alias("hi"), (F.avg((F.col("pred") - y) ** 2) < F.var_pop(y)).alias("better"))
+    ).scalar()
+    out = models.predict(model, test).withColumn("known", known)
+    # sums of trees may pass the training targets by a little
+    slack = (F.col("known.hi") - F.col("known.lo")) * 0.2
+    inside = F.col("pred").between(F.col("known.lo") - slack, F.col("known.hi") + slack)
+    return out.select("sample_id", r6("target"), inside.alias("in_range"), "known.better")
 
 
-@query("gbt_classification")
+@query(
+    "gbt_classification",
+    f"""with {SQL_HOURLY}, {_SQL_WIDE.format(extra='1 as one')}, {_sql_random('loaded', 35)}
+      select sample_id, {sql_r6('least(target / 100, 1)', 'target')}, true as is_class, true as better from loaded where sample_id in (select sample_id from tests)""",
+)
 def gbt_classification(spark, d):
-    train, test = (
-        p.withColumn("target", F.transform("target", lambda v: (v > 50).cast("double"))) for p in _parts(spark, d)
-    )
-    model = models.fit_classifier(train, test, rounds=4, depth=3, subsample=0.8, rate=0.1)
-    return models.predict(model, test)
+    """Labels are rounded by the training; training samples are told apart at least as well as by the
+    more frequent class."""
+    train, test = (p.withColumn("target", F.transform("target", lambda v: F.least(v / 100, F.lit(1.0)))) for p in _parts(spark, d))
+    path = scratch(spark, "classifier")
+    models.save(models.fit_classifier(train, test, rounds=_ROUNDS, depth=3, subsample=0.8, rate=0.1), path)
+    model = models.load(path)
+    label = F.rint("target")
+    right = F.avg((F.col("pred") == label).cast("double"))
+    better = models.predict(model, train).agg(right >= F.greatest(F.avg(label), 1 - F.avg(label))).scalar()
+    out = models.predict(model, test)
+    return out.select("sample_id", r6("target"), F.col("pred").isin(0.0, 1.0).alias("is_class"), better.alias("better"))
 
 
 def _mean_of_inputs():

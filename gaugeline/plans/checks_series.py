@@ -17,12 +17,15 @@ from gaugeline.sources.tables import stored
 
 @query(
     "dedup_time",
-    """select user_id, epoch_us(date_trunc('hour', ts)) as ts, arg_min(value, event_id) as value,
-         arg_min(event_type, event_id) as event_type from events group by 1, 2""",
+    """select user_id, epoch_us(h) as ts, v, event_type from (
+         select *, row_number() over (partition by user_id, h order by v is null, v, event_id) as nth from (
+           select user_id, date_trunc('hour', ts) as h, case when event_id % 3 > 0 then value end as v, event_type, event_id from events)) where nth = 1""",
 )
 def dedup_time(spark, d):
-    rows = events(spark, d).select("user_id", F.date_trunc("hour", "ts").alias("ts"), "event_id", "value", "event_type")
-    return gaps.dedup_time(rows, BY_USER, ["event_id"]).select("user_id", micros(), "value", "event_type")
+    """Of readings in one hour the lowest stays, a missing one only if there is no other."""
+    v = F.when(F.pmod("event_id", F.lit(3)) > 0, F.col("value"))
+    rows = events(spark, d).select("user_id", F.date_trunc("hour", "ts").alias("ts"), "event_id", v.alias("v"), "event_type")
+    return gaps.dedup_time(rows, BY_USER, ["v", "event_id"]).select("user_id", micros(), "v", "event_type")
 
 
 @query(
@@ -50,23 +53,30 @@ def hourly_spine(spark, d):
     return gaps.align(gaps.hourly_spine([df], BY_USER), df, BY_USER).select("user_id", micros(), r6("value"))
 
 
+_ALIGNED = ("click", "error", "purchase", "signup", "view")
+
+
 @query(
     "align_sparse",
-    """with clicks as (select user_id, (epoch_us(ts) + 1800000000) // 3600000000 as h, arg_min(value, ts) as click
-               from events where event_type = 'click' group by 1, 2),
-      buys as (select user_id, (epoch_us(ts) + 1800000000) // 3600000000 as h, arg_min(value, ts) as buy
-               from events where event_type = 'purchase' group by 1, 2),
-      spans as (select user_id, min(h) as lo, max(h) as hi from (select user_id, h from clicks union all select user_id, h from buys) group by 1),
-      spine as (select user_id, unnest(generate_series(lo, hi)) as h from spans)
-      select s.user_id, s.h * 3600000000 as ts, c.click, case when b.buy is null then null when b.buy > 50 then 1 else 0 end as buy,
-             case when b.buy is null then null when b.buy > 50 then 1 else 0 end as anomaly
-      from spine s left join clicks c using (user_id, h) left join buys b using (user_id, h)""",
+    "with "
+    + ", ".join(
+        f"""{t}s as (select user_id, (epoch_us(ts) + 1800000000) // 3600000000 as h, arg_min(value, ts) as {t}
+               from events where event_type = '{t}' group by 1, 2)"""
+        for t in _ALIGNED
+    )
+    + f""", spans as (select user_id, min(h) as lo, max(h) as hi from ({" union all ".join(f"select user_id, h from {t}s" for t in _ALIGNED)}) group by 1),
+      spine as (select user_id, unnest(generate_series(lo, hi)) as h from spans),
+      laid as (select * from spine {" ".join(f"left join {t}s using (user_id, h)" for t in _ALIGNED)})
+      select user_id, h * 3600000000 as ts, click, error, signup, view,
+             case when purchase is null then null when purchase > 50 then 1 else 0 end as purchase,
+             case when purchase is null then null when purchase > 50 then 1 else 0 end as anomaly from laid""",
 )
 def align_sparse(spark, d):
     e = events(spark, d)
-    part = lambda t, n: e.where(F.col("event_type") == t).select("user_id", "ts", F.col("value").alias(n))
-    combined = flows.combine_sparse([(part("click", "click"), None), (part("purchase", "buy"), {"buy": 50.0})], BY_USER)
-    return combined.select("user_id", micros(), "click", "buy", "anomaly")
+    part = lambda t: e.where(F.col("event_type") == t).select("user_id", "ts", F.col("value").alias(t))
+    limits = {"purchase": {"purchase": 50.0}}
+    combined = flows.combine_sparse([(part(t), limits.get(t)) for t in _ALIGNED], BY_USER)
+    return combined.select("user_id", micros(), *_ALIGNED, "anomaly")
 
 
 # --- gaps ------------------------------------------------------------------------------------
@@ -124,7 +134,7 @@ _SQL_INSERTED = """stepped as (select user_id, ts, value, lead(ts) over (partiti
 )
 def fill_small_gaps(spark, d):
     df = user_hourly(spark, d).select("user_id", "ts", "value")
-    filled = gaps.fill_small_gaps(df, BY_USER, ["value"], places=None)
+    filled = gaps.fill_small_gaps(df, BY_USER, ["value"], places=None, store=stored)
     return filled.select(
         "user_id", micros(), "Interpolated",
         F.when(F.col("Interpolated") == 0, F.col("value")).otherwise(r6(F.col("value"))).alias("value"),
@@ -146,10 +156,13 @@ def drop_long_gaps(spark, d):
     return gaps.drop_long_gaps(user_hourly(spark, d), BY_USER, ["high"], 3).select("user_id", micros(), r6("value"), r6("high"))
 
 
+_LOW = 90
+
+
 @query(
     "add_source",
     f"""with {SQL_TYPE_HOURLY}, {SQL_USER_HOURLY},
-      buys as (select event_type, date_trunc('hour', ts) as ts, min(value) as extra from events where user_id % 3 = 0 and value > 20 group by 1, 2),
+      buys as (select event_type, date_trunc('hour', ts) as ts, min(value) as extra from events where value > {_LOW} group by 1, 2),
       merged as (select t.event_type, t.ts, t.value, b.extra from type_hourly t left join buys b using (event_type, ts)),
       {_SQL_RUNS.format(name='kept', key='event_type', source='merged', column='extra', gap=3)},
       {_sql_line('kept', 'event_type', 'extra')}
@@ -159,50 +172,54 @@ def drop_long_gaps(spark, d):
 )
 def add_source(spark, d):
     base = type_hourly(spark, d).select("event_type", "ts", "value")
-    e = events(spark, d).where("user_id % 3 = 0")
-    # readings of 20 and less stand for cells without a number
-    low = F.min(F.when(F.col("value") > 20, F.col("value")))
-    extra = e.groupBy("event_type", F.date_trunc("hour", "ts").alias("Time")).agg(
-        F.coalesce(F.format_string("%.2f", low), F.lit("#N/A")).alias("extra")
-    )
-    extra = extra.withColumn("extra", F.when(F.col("extra") == "null", "").otherwise(F.col("extra")))
-    joined = combine.add_source(base, extra, BY_TYPE, max_gap=3)
+    joined = combine.add_source(base, _dirty_extra(spark, d), BY_TYPE, max_gap=3)
     return joined.select("event_type", micros(), r6("value"), r6("extra"))
 
 
+def _dirty_extra(spark, d):
+    """The lowest reading above ``_LOW`` of each hour as text, other hours without a number."""
+    low = F.min(F.when(F.col("value") > _LOW, F.col("value")))
+    extra = events(spark, d).groupBy("event_type", F.date_trunc("hour", "ts").alias("Time")).agg(low.alias("low"))
+    missing = F.when(F.pmod(F.hour("Time"), F.lit(2)) == 0, "#N/A").otherwise("")
+    return extra.select("event_type", "Time", F.when(F.col("low").isNull(), missing).otherwise(F.format_string("%.2f", "low")).alias("extra"))
+
+
 @query(
     "clean_profiler",
-    f"""with first_of as (select user_id, (u // 3600000000 + case when u % 3600000000 > 1800000000 or (u % 3600000000 = 1800000000
-              and (u // 3600000000) % 2 = 1) then 1 else 0 end) as h, arg_min(value, u) as raw
-            from (select user_id, value, epoch_us(ts) as u from events) group by 1, 2),
-      user_hourly as (select user_id, make_timestamp(h * 3600000000) as ts, case when raw < 1 or raw > 250 then null else raw end as value from first_of),
+    f"""with raw as (select user_id, value, epoch_us(ts) as u from events union all select user_id, null, epoch_us(ts) from events where event_id % 4 = 0),
+      kept as (select user_id, u, case when value < 5 or value > 120 then null else value end as v, (u // 3600000000 + case when u % 3600000000 > 1800000000
+              or (u % 3600000000 = 1800000000 and (u // 3600000000) % 2 = 1) then 1 else 0 end) as h from raw),
+      user_hourly as (select user_id, make_timestamp(h * 3600000000) as ts, v as value from (
+        select *, row_number() over (partition by user_id, h order by u, v is null, v) as nth from kept) where nth = 1),
       {_SQL_INSERTED}, {_sql_line('inserted', 'user_id', 'value')}
       select user_id, epoch_us(ts) as ts, flag as "Interpolated",
         round_even(case when value is not null then value when i0 is null then null when i1 is null then x0 else {_LINE} end, 2) as sensor from near""",
 )
 def clean_profiler(spark, d):
     raw = events(spark, d).select("user_id", "ts", F.col("value").alias("parm(1)"))
-    clean = combine.clean_profiler(raw, BY_USER, names={"parm(1)": "sensor"}, sensors=["sensor"], bounds={"sensor": (1, 250)})
+    # some times come twice, once without a reading
+    twice = events(spark, d).where("event_id % 4 = 0").select("user_id", "ts", F.lit(None).cast("double").alias("parm(1)"))
+    clean = combine.clean_profiler(
+        raw.union(twice), BY_USER, names={"parm(1)": "sensor"}, sensors=["sensor"], bounds={"sensor": (5, 120)}, store=stored
+    )
     return clean.select("user_id", micros(), "Interpolated", "sensor")
 
 
 @query(
     "clean_weather",
-    f"""with w as (select user_id, ts, case when value > 360 then null else value end as dir, value / 10 as speed, value / 5 as gust,
-             860 + value as pressure, 100 + value as longwave, value - 50 as short, value % 60 as rain, value - 20 as air, value / 8 as humid from events)
-      select user_id, epoch_us(ts) as ts,
-        {sql_r6('cos(radians(dir)) * case when speed > 100 then null else speed end', 'wind_x')},
-        {sql_r6('sin(radians(dir)) * case when speed > 100 then null else speed end', 'wind_y')},
-        {sql_r6('case when gust > 100 then null else gust end', 'gust')},
-        {sql_r6('case when pressure > 1080 then null else pressure end', 'pressure')},
-        {sql_r6('case when longwave > 750 then null else longwave end', 'longwave')},
-        {sql_r6('case when short < 0 then 0 when short > 900 then null else short end', 'short')},
-        {sql_r6('coalesce(sum(case when rain > 50 then null else rain end) over (partition by user_id order by ts range between interval 24 hour preceding and current row), 0)', 'rain')},
-        {sql_r6('air', 'air')}, {sql_r6('case when humid > 100 then null else humid end', 'humid')} from w""",
+    f"""with w as (select user_id, ts, value * 8 - 20 as dir, value - 10 as speed, value * 2 - 30 as gust, value * 3 + 850 as pressure,
+             value * 10 - 50 as longwave, value * 15 - 60 as short, value - 5 as rain, value - 20 as air, value * 1.5e0 - 10 as humid from events),
+      c as (select user_id, ts, {', '.join(f'case when {c} < {lo} or {c} > {hi} then null else {c} end as {c}' for c, lo, hi in
+            (('dir', 0, 360), ('speed', 0, 100), ('gust', 0, 100), ('pressure', 860, 1080), ('longwave', 0, 750), ('rain', 0, 50), ('humid', 0, 100)))},
+             case when short < 0 then 0 when short > 900 then null else short end as short, air from w)
+      select user_id, epoch_us(ts) as ts, {sql_r6('cos(radians(dir)) * speed', 'wind_x')}, {sql_r6('sin(radians(dir)) * speed', 'wind_y')},
+        {', '.join(sql_r6(c, c) for c in ('gust', 'pressure', 'longwave', 'short', 'air', 'humid'))},
+        {sql_r6('coalesce(sum(rain) over (partition by user_id order by ts range between interval 24 hour preceding and current row), 0)', 'rain')} from c""",
 )
 def clean_weather(spark, d):
+    """Readings spread so that every bound is passed on both sides."""
     v = F.col("value")
-    station = [v, v / 10, v / 5, v + 860, v + 100, v - 50, v % 60, v - 20, v / 8]
+    station = [v * 8 - 20, v - 10, v * 2 - 30, v * 3 + 850, v * 10 - 50, v * 15 - 60, v - 5, v - 20, v * 1.5 - 10]
     raw = events(spark, d).select(
         "user_id", F.col("ts").alias("Time"), *[c.alias(n) for n, c in zip(site.WEATHER_NAMES, station)]
     )
@@ -240,28 +257,56 @@ def rolling_sum(spark, d):
     return rolling(user_hourly(spark, d), BY_USER, "high", 24, name="total").select("user_id", micros(), r6("total"))
 
 
+_SQL_EXTRA = f"""buys as (select event_type, date_trunc('hour', ts) as ts, min(value) as extra from events where value > {_LOW} group by 1, 2),
+      merged as (select t.event_type, t.ts, t.value, b.extra from type_hourly t left join buys b using (event_type, ts)),
+      {_SQL_RUNS.format(name='kept', key='event_type', source='merged', column='extra', gap=3)},
+      {_sql_line('kept', 'event_type', 'extra')},
+      dense as (select event_type, ts, value, case when extra is not null then extra when not (coalesce(rn - i0 <= 3, false) or coalesce(i1 - rn <= 3, false)) then null
+             when i0 is null then x1 when i1 is null then x0 else {_LINE} end as extra from near)"""
+
+
+def _dense(spark, d):
+    """Three sources: one dropped and filled, one compared with a limit, one as it is."""
+    base = type_hourly(spark, d).select("event_type", "ts", "value").withColumn("Interpolated", F.lit(0))
+    noon = F.timestamp_micros(F.unix_micros(F.date_trunc("day", "ts")) + F.lit(12 * 3_600_000_000))
+    daily = events(spark, d).groupBy("event_type", noon.alias("Time")).agg(F.max("value").alias("lab"), F.min("value").alias("plant"))
+    sources = [
+        (_dirty_extra(spark, d), {"max_gap": 3}),
+        (daily.select("event_type", "Time", "lab"), {"include_missing": True, "limits": {"lab": 100.0}}),
+        (daily.select("event_type", "Time", "plant"), {"include_missing": True}),
+    ]
+    return flows.combine_dense(base, sources, BY_TYPE, store=stored)
+
+
 @query(
     "combine_dense",
-    f"""with {SQL_TYPE_HOURLY}, {_SQL_SEGMENTS.format(key='event_type', source='type_hourly')},
-      lab as (select event_type, date_trunc('day', ts) + interval 12 hour as ts, max(value) as lab from events group by 1, 2)
-      select n.event_type, epoch_us(n.ts) as ts, segment as "Segment", {sql_r6('value', 'value')},
+    f"""with {SQL_TYPE_HOURLY}, {_SQL_EXTRA}, {_SQL_SEGMENTS.format(key='event_type', source='dense').replace('numbered as', 'placed as')},
+      lab as (select event_type, date_trunc('day', ts) + interval 12 hour as ts, max(value) as lab, min(value) as plant from events group by 1, 2)
+      select n.event_type, epoch_us(n.ts) as ts, segment as "Segment", {sql_r6('value', 'value')}, {sql_r6('extra', 'extra')}, {sql_r6('plant', 'plant')},
         case when lab is null then null when lab > 100 then 1 else 0 end as lab,
         case when lab is null then null when lab > 100 then 1 else 0 end as anomaly
-      from numbered n left join lab using (event_type, ts)""",
+      from placed n left join lab using (event_type, ts)""",
 )
 def combine_dense(spark, d):
-    base = type_hourly(spark, d).select("event_type", "ts", "value").withColumn("Interpolated", F.lit(0))
-    noon = F.timestamp_micros(F.unix_micros(F.date_trunc("day", "ts")) + F.lit(12 * 3_600_000_000))
-    lab = events(spark, d).groupBy("event_type", noon.alias("Time")).agg(F.max("value").alias("lab"))
-    done = flows.combine_dense(base, [(lab, {"include_missing": True, "limits": {"lab": 100.0}})], BY_TYPE)
-    return done.select("event_type", micros(), "Segment", r6("value"), "lab", "anomaly")
+    return _dense(spark, d).select("event_type", micros(), "Segment", r6("value"), r6("extra"), r6("plant"), "lab", "anomaly")
+
+
+@query(
+    "column_order",
+    "select event_type, string_agg(c, ',' order by i) as columns from (select distinct event_type from events), "
+    "(values (0, 'event_type'), (1, 'Segment'), (2, 'Interpolated'), (3, 'ts'), (4, 'value'), (5, 'extra'), (6, 'lab'), (7, 'anomaly'), (8, 'plant')) as v(i, c) group by 1",
+)
+def column_order(spark, d):
+    """The metadata columns come after the first column."""
+    whole = _dense(spark, d)
+    return whole.groupBy("event_type").agg(F.lit(",".join(whole.columns)).alias("columns"))
 
 
 @query(
     "segment_profile",
     f"""with {SQL_HOURLY},
       spine as (select unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from hourly),
-      m as (select ts, case when click > 500 then null else click end as click, case when view > 500 then null else view end as view,
+      m as (select ts, case when click > 52 then null else click end as click, case when view > 52 then null else view end as view,
               row_number() over (order by ts) as rn from spine left join hourly using (ts)),
       n as (select *, {', '.join(f'''last_value(case when {c} is not null then rn end ignore nulls) over (order by ts rows unbounded preceding) as {c}_i0,
             first_value(case when {c} is not null then rn end ignore nulls) over (order by ts rows between current row and unbounded following) as {c}_i1''' for c in ('click', 'view'))} from m),
@@ -273,7 +318,7 @@ def combine_dense(spark, d):
 )
 def segment_profile(spark, d):
     """Range rules, continuous spine, limited fill, segments, and the size of each segment."""
-    df = combine.clean_ranges(hourly(spark, d).select("ts", "click", "view"), {"click": (None, 500), "view": (None, 500)})
+    df = combine.clean_ranges(hourly(spark, d).select("ts", "click", "view"), {"click": (None, 52), "view": (None, 52)})
     whole = stored(gaps.align(gaps.hourly_spine([df], PLAIN), df, PLAIN))
     filled = gaps.interpolate(whole, PLAIN, ["click", "view"], limit=2, direction="both")
     numbered = gaps.segments(filled.dropna(subset=["click", "view"]), PLAIN)

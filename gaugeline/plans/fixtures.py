@@ -13,6 +13,8 @@ from gaugeline.sources.tables import fresh_path as scratch  # noqa: F401
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 
+HORIZON = 4
+
 PLAIN = Axis(time="ts")
 BY_USER = Axis(time="ts", keys=("user_id",))
 BY_TYPE = Axis(time="ts", keys=("event_type",))
@@ -92,7 +94,7 @@ def hour_number(time: str = "ts") -> Column:
 
 
 def predictions(spark, sf_dir) -> DataFrame:
-    """Two forecasts of clicks and purchases by the other columns of the hour."""
+    """Two forecasts of clicks and purchases by the other columns of the hour; ``HORIZON`` hours make a sample."""
     h = hourly(spark, sf_dir)
     rows = [
         F.struct(F.lit(m).alias("model"), F.lit(p).alias("param"), F.col(a).alias("pred"), F.col(p).alias("target"))
@@ -101,7 +103,11 @@ def predictions(spark, sf_dir) -> DataFrame:
             ("second", "click", "view"), ("second", "purchase", "error"),
         )
     ]
-    return h.select(hour_number().alias("sample_id"), F.lit(0).alias("step"), F.inline(F.array(*rows)))
+    hour = hour_number()
+    steps = F.lit(HORIZON)
+    return h.select(
+        F.floor(hour / steps).cast("bigint").alias("sample_id"), F.pmod(hour, steps).cast("int").alias("step"), F.inline(F.array(*rows))
+    )
 
 
 # --- the same in SQL -------------------------------------------------------------------------
@@ -140,8 +146,9 @@ SQL_LIMITS = "limits as (select {} from events)".format(
 SQL_LIMITS_LONG = "limits_long as (select param, lim from (unpivot limits on {} into name param value lim))".format(
     ", ".join(TYPES)
 )
-SQL_PREDICTIONS = """predictions as (
-    select epoch_us(ts) // 3600000000 as sample_id, 0 as step, x.model, x.param, x.pred, x.target
+SQL_PREDICTIONS = f"""predictions as (
+    select epoch_us(ts) // 3600000000 // {HORIZON} as sample_id, cast(epoch_us(ts) // 3600000000 % {HORIZON} as int) as step,
+      x.model, x.param, x.pred, x.target
     from hourly, lateral (values
       ('first', 'click', error, click), ('first', 'purchase', signup, purchase),
       ('second', 'click', view, click), ('second', 'purchase', error, purchase)) as x(model, param, pred, target))"""

@@ -41,10 +41,11 @@ def clean_weather(weather: DataFrame, axis: Axis, *, round_to_hour: bool = False
     return combine.select(df, [*axis.keys, axis.time, *site.WEATHER_COLUMNS])
 
 
-def clean_site_profiler(raw: DataFrame, axis: Axis, max_gap: int = 6) -> DataFrame:
+def clean_site_profiler(raw: DataFrame, axis: Axis, max_gap: int = 6, store: Store = as_is) -> DataFrame:
     df = raw if axis.time in raw.columns else raw.withColumnRenamed("TIMESTAMP", axis.time)
     return combine.clean_profiler(
-        df, axis, names=site.PROFILER_NAMES, sensors=site.PROFILER_SENSORS, bounds=site.PROFILER_BOUNDS, max_gap=max_gap
+        df, axis, names=site.PROFILER_NAMES, sensors=site.PROFILER_SENSORS, bounds=site.PROFILER_BOUNDS, max_gap=max_gap,
+        store=store,
     )
 
 
@@ -97,10 +98,11 @@ def cut_tolerant(
     params: DataFrame | None = None,
     store: Store = as_is,
 ) -> DataFrame:
-    """Scaled, expanded fault-tolerant samples ``(sample_id, step, columns…)``."""
-    scaled = store(scaling.scale(combined, to_scale, params))
-    ends = samples.tolerant_samples(scaled, axis, targets, predictors, length, tolerance)
-    return samples.expand(ends, samples.number_rows(scaled, axis), axis.keys, length)
+    """Scaled, expanded fault-tolerant samples ``(sample_id, step, columns…)``.  Rows are numbered once;
+    ``store`` keeps them for the search of ends and for the expansion."""
+    numbered = store(samples.number_rows(scaling.scale(combined, to_scale, params), axis))
+    ends = samples.tolerant_samples(numbered, axis, targets, predictors, length, tolerance)
+    return samples.expand(store(ends), numbered, axis.keys, length)
 
 
 def cut_strict(
@@ -149,17 +151,18 @@ def compare_models(
     limits: Mapping[str, float] | DataFrame,
     params: DataFrame | None = None,
     *,
-    num_samples: int | None = 200,
+    num_samples: int | None = None,
     order: Sequence[str] = ("sample_id",),
 ) -> DataFrame:
     """Regression scores of the predictions as they are, and class scores after undoing the scaling
     and comparing with the limits; one row per model. Store the predictions first: each group of
-    scores reads them again."""
+    scores reads them again.
+
+    All samples count; ``num_samples`` restricts both halves to the same first samples."""
     first = metrics.first_samples(preds, num_samples, order)
     regression = metrics.regression_metrics(first)
-    original = preds if params is None else scaling.unscale(preds, params, ["pred", "target"])
-    binary = metrics.binarize_predictions(original, limits)
-    values = metrics.first_values(binary, num_samples, [*order, "step", "param"])
+    original = first if params is None else scaling.unscale(first, params, ["pred", "target"])
+    values = metrics.binarize_predictions(original, limits)
     classes = metrics.classification_metrics(values)
     areas = metrics.roc_auc(values).join(metrics.pr_auc(values), "model")
     return regression.join(classes, "model", "left").join(areas, "model", "left")

@@ -1,6 +1,7 @@
 """Column names and rules of the studied site.
 
-Fixed values: all names, bounds, groups and limits below must equal those of the source files.
+Fixed values: the names, bounds, groups and limits below are those used, and must equal those of the
+source files.
 """
 
 PROFILER_NAMES = {

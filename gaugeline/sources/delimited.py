@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gaugeline.functions import col, parse_time, to_number, to_number_comma
+from gaugeline.functions import col, file_safe, parse_time, to_number, to_number_comma
 
 
 def read_text_table(
@@ -63,10 +63,16 @@ def read_measurements(
 
 
 def read_limits(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """One-row limit table."""
+    """One-row limit table: semicolons, decimal points, a byte-order mark allowed."""
     return typed(read_text_table(spark, path, columns, sep=";"), decimal="point")
 
 
+def write_corrections(jumps: DataFrame, path: str, parameter: str = "parameter_type", *, format: str = "parquet") -> None:
+    """Overwrite the table of sensor jumps, a partition per parameter; spans are kept in seconds."""
+    df = jumps.drop("timespan") if "timespan" in jumps.columns else jumps
+    write_table(df.withColumn("parameter", file_safe(col(parameter))), path, format=format, partition_by=["parameter"])
+
+
 def write_table(df: DataFrame, path: str, *, format: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     """Overwrite a table; CSV gets a header. Directories are made, and partitions take the place of
     one file per parameter."""

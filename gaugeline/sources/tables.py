@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,19 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 Store = Callable[[DataFrame], DataFrame]
 
 
+#: Stage paths handed out, by application.
+_stages: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors share: the checkpoint folder of the session. Without one, a temporary
-    folder, in local mode only."""
+    """Folder all executors share: the checkpoint folder of the session, else a folder in its warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.gettempdir()
-    return folder.rstrip("/")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/gaugeline-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/gaugeline-{name}-{uuid.uuid4().hex}"
+    _stages.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Delete the stage tables of this session.  Call it when results that read them are written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in _stages.pop(spark.sparkContext.applicationId, []):
+        place = hadoop.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

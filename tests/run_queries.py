@@ -10,7 +10,9 @@ sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).
 from oracle import connect, differences  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
-from gaugeline.plans import ORACLES, QUERIES  # noqa: E402
+from __spark_entry__ import oracle_sql, queries  # noqa: E402
+
+QUERIES, ORACLES = queries(), oracle_sql()
 
 sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
 spark = (

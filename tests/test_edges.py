@@ -50,18 +50,12 @@ def test_round_hour(spark, given, rounded):
     assert got == rounded
 
 
-def test_season_distance_is_circular(spark):
-    df = spark.createDataFrame([(1, 365), (1, 366), (10, 20), (360, 3)], "a int, b int")
-    got = [r[0] for r in df.select(fn.circular_day_distance(F.col("a"), F.col("b"))).collect()]
-    assert got == [1, 0, 10, 8]
-
-
-def test_days_near_match_the_distance(spark):
-    for reach in (4, 15):
-        rows = spark.range(1, 367).select("id", forecast._days_near(F.col("id").cast("int"), reach).alias("d")).collect()
-        for r in rows:
-            want = [d for d in range(1, 367) if min(abs(d - r.id), 365 - abs(d - r.id)) <= reach]
-            assert sorted(r.d) == want
+def test_places_on_the_circle_keep_day_distances(spark):
+    place = {r.id: r.p for r in spark.range(1, 367).select("id", forecast._place(F.col("id")).alias("p")).collect()}
+    for a in place:
+        for b in place:
+            gap = abs(place[a] - place[b])
+            assert min(gap, 365 - gap) == min(abs(a - b), 365 - abs(a - b))
 
 
 # --- values ----------------------------------------------------------------------------------
@@ -94,6 +88,17 @@ def test_missing_prediction_counts_as_zero(spark):
     assert got == [(0, 1), (0, 0)]
 
 
+def test_missing_limit_is_an_error(spark):
+    df = spark.createDataFrame([("m", "a", 1.0, 3.0), ("m", "b", 1.0, 3.0)], "model string, param string, pred double, target double")
+    limits = spark.createDataFrame([("a", 2.0)], "param string, limit double")
+    for given in ({"a": 2.0}, limits, limits.union(spark.createDataFrame([("b", None)], limits.schema))):
+        assert metrics.binarize_predictions(df.where("param = 'a'"), given).count() == 1
+        with pytest.raises(Exception, match="no limit for column: b"):
+            metrics.binarize_predictions(df, given).collect()
+    with pytest.raises(ValueError):
+        metrics.binarize_predictions(df, {"a": 2.0}, ["a", "b"])
+
+
 def test_constant_column_scales_to_the_midpoint(spark):
     df = spark.createDataFrame([(1.0, 7.0, None), (3.0, None, None), (2.0, 7.0, None)], "a double, c double, n double")
     got = [tuple(r) for r in scaling.scale(df, ["a", "c", "n", "zz"]).collect()]
@@ -173,6 +178,8 @@ def test_duplicates_and_spine(spark):
     assert gaps.duplicate_times(df, AX).collect()[0].n == 2
     one = gaps.dedup_time(df, AX, ["id"])
     assert listed(one, "id", "v") == [(1, 9.0), (3, 4.0)]
+    ties = spark.createDataFrame([(at(0), None), (at(0), 5.0), (at(0), 7.0), (at(1), None)], "ts timestamp, v double")
+    assert listed(gaps.dedup_time(ties, AX, ["v"]), "v") == [5.0, None]
     whole = gaps.align(gaps.hourly_spine([one], AX), one, AX)
     assert listed(whole, "v") == [9.0, None, None, 4.0]
 
@@ -196,6 +203,28 @@ def test_add_source_keeps_all_with_missing_included(spark):
     assert listed(got, "`06-E.coli`") == [None] * 5
 
 
+def test_same_named_columns_are_an_error(spark):
+    base = series(spark, [1.0] * 3)
+    source = spark.createDataFrame([(at(1), "3", "4")], "Time timestamp, v string, x string")
+    with pytest.raises(ValueError, match="v"):
+        combine.add_source(base, source, AX)
+
+
+def test_null_keys_are_a_series(spark):
+    rows = [(k, at(h), float(h)) for k in ("a", None) for h in range(4) if h != 2]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, v double")
+    axis = Axis(time="ts", keys=("k",), parts=3)
+    assert gaps.fill_small_gaps(df, axis, ["v"]).where("k is null").count() == 4
+    spine = gaps.hourly_spine([df], axis)
+    assert gaps.align(spine, df, axis).where("k is null and v is not null").count() == 3
+    wanted = df.withColumn("sample_id", F.concat_ws("-", "k", "ts")).withColumn("step", F.lit(0))
+    preds = forecast.linear_forecast(wanted, df, Axis(time="ts", keys=("k",), bucket_hours=2), ["v"], 6, 1)
+    by = {(r.k, r.sample_id[-19:]): r.pred for r in preds.collect()}
+    assert all(by["a", t] == by[None, t] for k, t in by)
+    sums = rolling_sum(df, Axis(time="ts", keys=("k",)), "v", 24).where("k is null").orderBy("ts")
+    assert [r["rolling v"] for r in sums.collect()] == [0.0, 1.0, 4.0]
+
+
 # --- as-of -----------------------------------------------------------------------------------
 
 
@@ -303,6 +332,36 @@ def test_split_sizes(spark, n, share):
         assert len(set(parts[0] + parts[1])) == n
 
 
+def test_split_of_names_that_share_their_place(spark):
+    # a third of all names has no number, a third shares one
+    names = [(f"name_{c}" * 2,) for c in "abcdefghijklmnopqrstuvwxyz"] + [(f"s7_{c}",) for c in "abcdefghijklmnopqrstuvwxyz"] + [(f"s{i}",) for i in range(30)]
+    df = spark.createDataFrame(names, "sample_id string")
+    import hashlib
+    import re
+
+    def order(name):
+        found = re.search(r"\d+", name)
+        return int(found.group()) if found else 0, hashlib.md5(name.encode()).hexdigest()[:15], name
+
+    for share in (0.05, 0.5, 0.8, 0.95):
+        got = {r.sample_id for r in samples.temporal_split(df, share).collect() if r.split == "train"}
+        assert got == set(sorted((n for n, in names), key=order)[: int(len(names) * (1 - share))])
+
+
+def test_keyed_splits(spark):
+    rows = [("s_1", k) for k in range(40)]
+    df = spark.createDataFrame(rows, "sample_id string, k int")
+    split = samples.random_split(df, 0.25, 1).collect()
+    assert sum(r.split == "test" for r in split) == 10 and len({(r.sample_id, r.k) for r in split}) == 40
+
+
+def test_samples_table(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 3.0)], "sample_id string, step int, x double")
+    for _ in range(2):  # overwrites
+        samples.write_samples(rows, str(tmp_path / "s"), buckets=4)
+    assert sorted(map(tuple, samples.read_samples(spark, str(tmp_path / "s")).select("sample_id", "step", "x").collect())) == [("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 3.0)]
+
+
 def test_temporal_split_orders_by_number(spark):
     names = spark.createDataFrame([(n,) for n in ("s_10", "s_9", "s_2", "none", "s_2b")], "sample_id string")
     got = {r.sample_id for r in samples.temporal_split(names, 0.4).collect() if r.split == "train"}
@@ -340,6 +399,14 @@ def test_areas_with_ties_and_missing_classes(spark):
     assert metrics.pr_auc(none).first().pr_auc == 0.5
 
 
+def test_curves_have_both_ends(spark):
+    df = preds(spark, [(0.9, 1), (0.1, 0)])
+    roc = sorted((r.fpr, r.tpr, r.score) for r in metrics.roc_points(df).collect() if r.score is not None)
+    assert roc == [(0.0, 1.0, 0.9), (1.0, 1.0, 0.1)]
+    assert [(r.fpr, r.tpr) for r in metrics.roc_points(df).where("score is null").collect()] == [(0.0, 0.0)]
+    assert [(r.precision, r.recall) for r in metrics.pr_points(df).where("score is null").collect()] == [(1.0, 0.0)]
+
+
 def test_first_samples_and_values(spark):
     df = preds(spark, [(i, i) for i in range(10)]).unionByName(preds(spark, [(i, i) for i in range(3)], "k"))
     assert {r.model: r["count"] for r in metrics.first_samples(df, 5).groupBy("model").count().collect()} == {"m": 5, "k": 3}
@@ -393,6 +460,13 @@ def test_jump_needs_rows_between_and_both_sides(spark):
     assert rows[5][:3] == (None, None, None)
 
 
+def test_each_calibration_comes_back(spark):
+    sensor = series(spark, [float(h) for h in range(60)])
+    cal = spark.createDataFrame([(1, at(10)), (2, at(30)), (2, at(30)), (3, at(30)), (4, None), (4, None)], "id int, t timestamp")
+    rows = sorted((r.id, r.difference or 0.0, r.between_count) for r in calibration.calibration_jumps(cal, sensor, AX, "v", time="t").collect())
+    assert rows == [(1, 0.0, 0), (2, 0.0, 0), (2, 2.0, 20), (3, 0.0, 0), (4, 0.0, 0), (4, 0.0, 0)]
+
+
 # --- sources and flows -----------------------------------------------------------------------
 
 
@@ -409,6 +483,24 @@ def test_delimited_forms(spark, tmp_path):
     assert [r[1] for r in point.collect()] == [None, None, None]
 
 
+def test_limit_file(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("\ufeff01-Farge;Sink (Zn)\n20;10.5\n", encoding="utf-8")
+    assert delimited.read_limits(spark, str(tmp_path / "l.csv")).first().asDict() == {"01-Farge": 20.0, "Sink (Zn)": 10.5}
+
+
+def test_stages_are_removed(spark):
+    import os
+
+    from gaugeline.sources.tables import fresh_path, remove_stages
+
+    path = fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file:")
+    assert os.path.exists(local)
+    remove_stages(spark)
+    assert not os.path.exists(local)
+
+
 def test_params_store(spark, tmp_path):
     assert params.load_params(spark, str(tmp_path / "none")).count() == 0
     p = params.params_from_mapping(spark, '{"a": {"min": 1, "max": 2}}')

@@ -92,6 +92,44 @@ def test_rolling_sum_equals_brute_force(df, frame, cells):
             assert s == pytest.approx(part.v[mask].sum())
 
 
+def test_no_task_holds_a_series(spark, df):
+    """Sums of cells and splits are not gathered in one partition."""
+    one = df.where("k = 1").drop("k")
+    for plan in (rolling_sum(one, Axis(time="ts"), "v", 24), gaps.segments(one, Axis(time="ts")), gaps.interpolate(one, Axis(time="ts"), ["v"])):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        # windows without keys run over bucket summaries only
+        assert "rolling" not in str(plan.columns) or "SinglePartition" not in text
+
+
+@pytest.mark.parametrize("bucket", [3, 24 * 400])
+@pytest.mark.parametrize("rows_needed", [1, 2, 4])
+def test_gap_feasibility_equals_brute_force(df, frame, bucket, rows_needed):
+    spans = [0, 1, 5, 40]
+    got = samples.gap_feasibility(df, Axis(time="ts", keys=("k",), bucket_hours=bucket), ["v"], rows_needed, spans).toPandas()
+    for k, part in frame.groupby("k"):
+        part = part.sort_values("ts").reset_index(drop=True)
+        breaks = part.ts.diff() > pd.Timedelta(hours=1)
+        position = part.groupby(breaks.cumsum()).cumcount() + 1
+        for gap in spans:
+            want = 0
+            for t in part.ts[part.v.notna()]:
+                before = part.ts <= t - pd.Timedelta(hours=gap)
+                want += bool(before.any()) and position[before].iloc[-1] >= rows_needed
+            assert got[(got.k == k) & (got.gap == gap)].n.tolist() == [want]
+
+
+def test_coverage_equals_valid_rows(df):
+    axis = Axis(time="ts", keys=("k",), bucket_hours=50)
+    sets = {"v": ["v"], "all": ["v", "ts"]}
+    got = {(r.k, r.targets, r.span, r.tolerance): r.n for r in samples.coverage_sweep(df, axis, sets, ["v"], [0, 1, 7], [0, 40, 100]).collect()}
+    assert len(got) == 3 * 2 * 3 * 3 and all(n == 0 for (_, _, span, _), n in got.items() if span == 0)
+    for span in (1, 7):
+        for tolerance in (0, 40, 100):
+            rows = samples.valid_rows(df, axis, ["v"], ["v"], span, tolerance / 100).groupBy("k").count().collect()
+            counts = {r.k: r["count"] for r in rows}
+            assert all(got[k, t, span, tolerance] == counts.get(k, 0) for k in (1, 2, 3) for t in sets)
+
+
 @pytest.mark.parametrize("window, gap, bucket", [(6, 5, 168), (50, 1, 10), (550, 1, 24), (7.5, 2, 24)])
 def test_linear_forecast_equals_least_squares(df, frame, window, gap, bucket):
     wanted = df.withColumn("sample_id", F.col("ts").cast("string")).withColumn("step", F.lit(0))
