@@ -179,7 +179,8 @@ def repeated(probes: DataFrame, width: int, need_anchor: bool = False) -> DataFr
 def each_chunk(chunks: DataFrame, found: DataFrame | None, do: Callable, schema) -> DataFrame:
     """``do(chunk number, struct array of the documents, found)`` yields record batches."""
     alone = found is None
-    rows = chunks if alone else chunks.join(found, "chunk", "left")
+    # merged at every size: what is found grows with the data
+    rows = chunks if alone else chunks.join(found.hint("merge"), "chunk", "left")
 
     def run(batches):
         for batch in batches:

@@ -3,6 +3,8 @@
 A group is cut into blocks of bounded size; each pair of blocks is compared in one task.  A task emits,
 for each member, how many it links with there, and a spanning forest of the links it found, never the
 links themselves: the rows that leave are as many as those that came in.
+
+Joins ask for merging: their sides grow with the data, so none is broadcast at any size.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def in_blocks(members: DataFrame, group: list[str], member: str, block: int) ->
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = members.join(sizes, group).withColumn("blocks", blocks).withColumn("own", own)
+    placed = members.join(sizes.hint("merge"), group).withColumn("blocks", blocks).withColumn("own", own)
     spread = placed.withColumn("other", F.explode(others))
     return spread.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("n", "blocks", "other")
 
@@ -74,7 +76,8 @@ def compare_blocks(
 ) -> DataFrame:
     """``(node, n, other)``: rows with ``n`` count links of a node (weighted), rows with ``other`` are edges.
 
-    ``compare(table)`` returns the boolean matrix of links among the rows of a pair of blocks.
+    ``compare(table)`` returns the boolean matrix of links among the rows of a pair of blocks.  The edges
+    join each member of a component found there to its least node, so a group of one block is settled.
     """
     keys = [*group, "a", "b"]
     kind = blocks.schema[node].dataType.simpleString()
@@ -96,7 +99,7 @@ def compare_blocks(
             if not len(hit):
                 continue
             nodes = table.column(node).combine_chunks()
-            x, y = forest(linked)
+            x, y = stars(linked, nodes.to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([nodes.take(pa.array(hit)), nodes.take(pa.array(x))]),
@@ -109,23 +112,23 @@ def compare_blocks(
     return sorted_.mapInArrow(run, f"node {kind}, n bigint, other {kind}")
 
 
-def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
-    n = len(linked)
-    left = np.ones(n, bool)
+def stars(linked: np.ndarray, nodes: list) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every member of a component of a symmetric boolean matrix to its least node."""
+    left = np.ones(len(linked), bool)
     x, y = [], []
-    for root in range(n):
+    for root in range(len(linked)):
         if not left[root]:
             continue
         left[root] = False
-        queue = [root]
+        members, queue = [root], [root]
         while queue:
-            at = queue.pop()
-            near = np.flatnonzero(linked[at] & left)
+            near = np.flatnonzero(linked[queue.pop()] & left)
             left[near] = False
-            x += [at] * len(near)
-            y += near.tolist()
+            members += near.tolist()
             queue += near.tolist()
+        least = min(members, key=nodes.__getitem__)
+        x += [least] * (len(members) - 1)
+        y += [m for m in members if m != least]
     return np.array(x, np.int64), np.array(y, np.int64)
 
 
@@ -136,30 +139,36 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node of the edges ``(node, other)``; the component is its least node.
 
     Large-star and small-star steps in turn: every node links its larger neighbours, then its smaller
-    ones, to its least neighbour, until nothing changes; the number of rounds grows with the logarithm
-    of the size.  Every round is written to the shared folder.  Joins on a node are salted, as a
-    group's least node may gather most edges.
+    ones, to its least neighbour, until all components are stars; the number of rounds grows with the
+    logarithm of the size, and edges that are stars need none.  Every round is written to the shared
+    folder.  Joins on a node are salted, as a group's least node may gather most edges.
     """
     pairs = edges.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).where("u != v").distinct()
-    pairs, before = stored(pairs, "edges"), None
+    pairs = stored(pairs, "edges")
     for _ in range(most_rounds):
+        if _are_stars(pairs):
+            break
         both = pairs.union(pairs.select("v", "u").toDF("u", "v"))
-        large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         near = _to_least(large)
         small = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
         pairs = stored(small.where("u != v").distinct(), "edges")
-        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every larger end has one edge and is no smaller end."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(pairs.select("v", F.lit(0), F.lit(1)))
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.agg(F.count_if((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1)))).first()[0] == 0
+
+
 def _to_least(pairs: DataFrame) -> DataFrame:
     """Each edge (u, v) with m, the least of u and all its v."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     least = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(_SALT)))))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(_SALT)).cast("int"))
-    return salted.join(least, ["u", "salt"]).drop("salt")
+    return salted.join(least.hint("merge"), ["u", "salt"]).drop("salt")

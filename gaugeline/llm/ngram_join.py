@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by MinHash banding.
 
-A text is its set of word 5-grams (a text with fewer words is one gram of all its words).  Texts of
-equal sets are one node.  Each node's MinHash signature is cut into bands; the number of bands is chosen
+A text is its set of word 5-grams (a text with fewer words is one gram of all its words).  Documents are
+written as chunks (``chunks``), so that later steps move findings and not texts.  Texts of equal sets are
+one node.  Each node's MinHash signature is cut into bands; the number of bands is chosen
 so that a pair at the threshold shares a band with probability ``recall``.  Band hashes are shuffled,
 and nodes of a shared band are joined to its least node, which makes groups of possible partners, not
 pairs.  The full gram sets of the nodes in such groups are then brought together, once each, and every
@@ -11,10 +12,10 @@ texts share no chain of bands.  Verified links become classes by connected compo
 Words are runs without space, tab, line feed, vertical tab, form feed and carriage return, compared as
 they stand.  Grams are 64-bit hashes, sets are recognised by 128 bits.
 
-Corner cases: null texts and texts without words link with nothing and are classes of their own; equal
-rows are linked like all copies, and of rows that share the least id of a class, one is kept; rows
-without an id take part, a class is named by its least non-null id; an empty table gives an empty table;
-columns pass through, and result columns replace input columns of the same name.
+Corner cases: null texts and texts without words link with nothing, are classes of their own and are all
+kept; equal rows are linked like all copies, and of rows that share the least id of a class, one is kept;
+rows without an id take part, a class is named by its least non-null id, null if it has none; an empty
+table gives an empty table; ``keep_one`` returns the columns of the documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm import chunks as C
 from gaugeline.llm.links import compare_blocks, components, in_blocks, stored
 from gaugeline.llm.words import gram_hashes, mix, run_hashes, span_hashes, text_bytes, word_spans
 
 GRAM, THRESHOLD, ROWS, RECALL = 5, 0.8, 7, 0.998
 BLOCK = 512
-_GROUP_BYTES = 2 << 20
 _SLAB = 1 << 15
 
 
@@ -75,54 +76,43 @@ def band_hashes(grams: np.ndarray, first: np.ndarray, bands: int, rows: int, see
     return out
 
 
-def _groups_of_rows(texts: pa.Array):
-    """Slices of bounded size."""
-    _, offsets = text_bytes(texts)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _GROUP_BYTES, "right")) - 1)
-        yield at, to
-        at = to
-
-
-def _signed(docs: DataFrame, gram: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """``id``, ``hash``, ``node`` (16 bytes of the set, null for no words), ``bands``."""
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in _groups_of_rows(texts):
-                grams, first = gram_sets(texts.slice(a, b - a), gram)
-                some = np.flatnonzero(np.diff(first))
-                keys = band_hashes(grams, first[some], bands, rows, seed) if len(some) else np.zeros((0, bands), np.uint64)
-                node: list[bytes | None] = [None] * (b - a)
-                for i in some.tolist():
-                    node[i] = hashlib.blake2b(grams[first[i] : first[i + 1]].tobytes(), digest_size=16).digest()
-                places = np.zeros(b - a + 1, np.int32)
-                places[some + 1] = bands
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").slice(a, b - a), batch.column("hash").slice(a, b - a), pa.array(node, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum(places), pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64())),
-                    ],
-                    names=["id", "hash", "node", "bands"],
-                )
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, hash bigint, node binary, bands array<bigint>")
-
-
-def _with_sets(texts: DataFrame, gram: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            column = batch.column("text")
-            for a, b in _groups_of_rows(column):
-                grams, first = gram_sets(column.slice(a, b - a), gram)
-                sets = [grams[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
-                kept = [batch.column(c).slice(a, b - a) for c in ("group", "node", "weight")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], names=["group", "node", "weight", "grams"])
-
-    return texts.mapInArrow(run, "group binary, node binary, weight bigint, grams binary")
+def _sign(gram: int, bands: int, rows: int, seed: int):
+    """For a chunk: ``chunk``, ``place`` in it, ``id``, ``gram_set`` (16 bytes that stand for the set, null
+    for no words), ``bands``."""
+
+    def run(chunk, docs, _):
+        grams, first = gram_sets(docs.field("text"), gram)
+        n = len(docs)
+        some = np.flatnonzero(np.diff(first))
+        keys = band_hashes(grams, first[some], bands, rows, seed) if len(some) else np.zeros((0, bands), np.uint64)
+        digest: list[bytes | None] = [None] * n
+        for i in some.tolist():
+            digest[i] = hashlib.blake2b(grams[first[i] : first[i + 1]].tobytes(), digest_size=16).digest()
+        places = np.zeros(n + 1, np.int32)
+        places[some + 1] = bands
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(n, chunk), pa.int64()), pa.array(np.arange(n), pa.int32()), docs.field("id"), pa.array(digest, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.cumsum(places), pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64())),
+            ],
+            names=["chunk", "place", "id", "gram_set", "bands"],
+        )
+
+    return run
+
+
+def _sets(gram: int):
+    """For a chunk: the gram sets of the documents asked for."""
+
+    def run(chunk, docs, asked):
+        if not asked:
+            return
+        grams, first = gram_sets(docs.field("text").take(pa.array([x["place"] for x in asked])), gram)
+        sets = [grams[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
+        columns = [pa.array([x[c] for x in asked], pa.int64()) for c in ("group", "node", "weight")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], names=["group", "node", "weight", "grams"])
+
+    return run
 
 
 def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -156,76 +146,87 @@ def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return common >= threshold * (size[:, None] + size[None, :] - common)
 
 
-def _text_hash(text: str) -> Column:
-    return F.xxhash64(text)
-
-
-def link(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD,
-    rows: int = ROWS, recall: float = RECALL, block: int = BLOCK, seed: int = 11,
-) -> DataFrame:
-    """``id``, ``hash`` (of the text, to tell rows of one id apart), ``class_id``, ``n_links`` and
-    ``kept``, one row per document."""
+def _linked(docs: DataFrame, key: str, text: str, gram: int, threshold: float, rows: int, recall: float, block: int, seed: int):
+    """The chunks (with ``id``, ``text`` and all columns as ``row``), and for each document ``chunk``,
+    ``place``, ``id``, ``class_id``, ``n_links``, ``kept``."""
     bands = bands_for(threshold, rows, recall)
-    base = docs.select(F.col(key).alias("id"), _text_hash(text).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = stored(_signed(base, gram, bands, rows, seed), "signatures")
+    base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*[c for c in docs.columns if c != text]).alias("row"))
+    chunks, _ = C.write_chunks(base, "text")
+    kind = docs.schema[key].dataType.simpleString()
+    signed = stored(
+        C.each_chunk(chunks, None, _sign(gram, bands, rows, seed), f"chunk bigint, place int, id {kind}, gram_set binary, bands array<bigint>"),
+        "signatures",
+    )
+    # sets are numbered as they are written; the numbers are read back, never made anew
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "chunk", "place"))
     nodes = stored(
-        signed.where("node is not null").groupBy("node").agg(
-            F.count("*").alias("weight"), F.min(F.struct(F.col("id").isNull(), "id", "hash")).alias("least"), F.first("bands").alias("bands")
-        ).select("node", "weight", F.col("least.id").alias("id"), F.col("least.hash").alias("hash"), "bands"),
+        signed.where("gram_set is not null").groupBy("gram_set")
+        .agg(F.count("*").alias("weight"), first.alias("least"), F.first("bands").alias("bands"))
+        .select(F.monotonically_increasing_id().alias("node"), "gram_set", "weight", "least", "bands"),
         "nodes",
     )
-    # members of a band are joined to its least node
-    exploded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    # members of a band are joined to its least node; a band's hash tells its number, too
+    exploded = nodes.select("node", F.explode("bands").alias("band"))
     leads = stored(
-        exploded.groupBy("band", "value").agg(F.min("node").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n"), "bands"
+        exploded.groupBy("band").agg(F.min("node").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n"), "bands"
     )
-    near = exploded.join(leads, ["band", "value"]).where("node != other").select("node", "other").distinct()
+    near = exploded.join(leads.hint("merge"), "band").where("node != other").select("node", "other").distinct()
     groups = components(near).withColumnRenamed("component", "group")
-    asked = stored(nodes.drop("bands").join(groups, "node"), "asked")
-    texts = asked.join(
-        base.select(F.col("id").alias("id2"), F.col("hash").alias("hash2"), "text"),
-        F.col("id").eqNullSafe(F.col("id2")) & (F.col("hash") == F.col("hash2")),
-    ).select("group", "node", "weight", "text")
-    # rows that repeat id and text bring a node's set several times
-    sets = _with_sets(texts, gram).dropDuplicates(["node"])
-    sets = stored(sets, "sets")
+    asked = nodes.select("node", "weight", "least.chunk", "least.place").join(groups.hint("merge"), "node")
+    asked = asked.groupBy("chunk").agg(F.collect_list(F.struct("place", "group", "node", "weight")).alias("found"))
+    sets = stored(C.each_chunk(chunks, asked, _sets(gram), "group bigint, node bigint, weight bigint, grams binary"), "sets")
 
     def compare(table: pa.Table) -> np.ndarray:
         return jaccard_links([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], threshold)
 
-    blocks = in_blocks(sets.withColumn("key", F.xxhash64("group")), ["group", "key"], "node", block)
-    found = stored(compare_blocks(blocks.drop("group"), ["key"], "node", compare, "weight"), "links")
+    # groups are cut into blocks by numbers alone; the sets join what is left
+    blocks = in_blocks(sets.select("group", "node"), ["group"], "node", block)
+    blocks = blocks.join(sets.drop("group").hint("merge"), "node")
+    found = stored(compare_blocks(blocks, ["group"], "node", compare, "weight"), "links")
     counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     classes = components(found.where("other is not null").select("node", "other"))
-    named = nodes.select("node", "weight", "id", "hash").join(classes, "node", "left").join(counts, "node", "left")
+    named = nodes.drop("bands").join(classes.hint("merge"), "node", "left").join(counts.hint("merge"), "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "hash", "node")).alias("least"))
+    of_class = named.groupBy("component").agg(F.min("least").alias("kept"))
     known = stored(
-        named.join(least, "component").select(
-            "node", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.col("least.id").alias("class_id"),
-            (F.col("least.node") == F.col("node")).alias("first_node"), F.col("least.id").alias("keep_id"), F.col("least.hash").alias("keep_hash"),
+        named.join(of_class.hint("merge"), "component").select(
+            "gram_set", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.col("kept.id").alias("class_id"),
+            F.col("kept.chunk").alias("kept_chunk"), F.col("kept.place").alias("kept_place"),
         ),
         "classes",
     )
-    out = signed.select("id", "hash", "node").join(known, "node", "left")
-    alone = F.col("node").isNull()
-    kept = alone | (F.col("first_node") & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")))
-    return out.select(
-        "id", "hash", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(kept, F.lit(False)).alias("kept"), alone.alias("empty"),
+    out = signed.select("chunk", "place", "id", "gram_set").join(known.hint("merge"), "gram_set", "left")
+    alone = F.col("gram_set").isNull()
+    return chunks, out.select(
+        "chunk", "place", "id", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        (alone | ((F.col("chunk") == F.col("kept_chunk")) & (F.col("place") == F.col("kept_place")))).alias("kept"),
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without near-duplicates: of each class the row with the least id stays.  Texts
-    without words all stay, rows that repeat id and text of a kept document do not."""
-    linked = link(docs, key, text, **options)
-    kept = stored(linked.where("kept").groupBy("id", "hash", "empty").agg(F.count("*").alias("copies")), "kept")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id2"), _text_hash(text).alias("hash2"))
-    joined = rows.join(kept, F.col("id").eqNullSafe(F.col("id2")) & (F.col("hash") == F.col("hash2")))
-    if kept.where("copies > 1 and not empty").isEmpty():
-        return joined.select("row.*")
-    # rows of equal id and text: any one of them will do
-    several = F.col("empty") | (F.col("copies") == 1)
-    return joined.where(several).select("row.*").union(joined.where(~several).dropDuplicates(["id2", "hash2"]).select("row.*"))
+def link(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD,
+    rows: int = ROWS, recall: float = RECALL, block: int = BLOCK, seed: int = 11,
+) -> DataFrame:
+    """``id``, ``class_id``, ``n_links`` and ``kept``, one row per document; ``kept`` holds for one document of
+    each class, the one with the least id."""
+    narrow = docs.select(key, text)
+    _, out = _linked(narrow, key, text, gram, threshold, rows, recall, block, seed)
+    return out.drop("chunk", "place")
+
+
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD,
+    rows: int = ROWS, recall: float = RECALL, block: int = BLOCK, seed: int = 11,
+) -> DataFrame:
+    """The documents without near-duplicates: of each class the row with the least id stays."""
+    chunks, out = _linked(docs, key, text, gram, threshold, rows, recall, block, seed)
+    kept = out.where("kept").groupBy("chunk").agg(F.collect_list("place").alias("found"))
+    columns = docs.columns
+
+    def take(_, held, places):
+        some = held.take(pa.array(sorted(places), pa.int64()))
+        row = some.field("row")
+        yield pa.RecordBatch.from_arrays([some.field("text") if c == text else row.field(c) for c in columns], names=columns)
+
+    return C.each_chunk(chunks, kept, take, docs.schema)
