@@ -39,7 +39,29 @@ def op4(spark, sf_dir):
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-@query("op6_substring_dedup")
+_SQL_WORD = r"[^\x20\x09-\x0D]+"
+_SQL_WORDS = f"""w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_SQL_WORD}') as ws from documents),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w)"""
+
+
+def _sql_runs(k: int) -> str:
+    """All ``k`` consecutive words of a document; ``n`` is less than ``k`` at its end."""
+    frame = f"partition by doc_id order by i rows between current row and {k - 1} following"
+    return f"runs as (select doc_id, i, string_agg(word, ' ') over ({frame}) as run, count(*) over ({frame}) as n from words)"
+
+
+_OP6_SQL = f"""
+with {_SQL_WORDS}, {_sql_runs(substring_dedup.WINDOW)},
+twice as (select run from runs where n = {substring_dedup.WINDOW} group by run having count(*) > 1),
+gone as (select distinct doc_id, i + k as i from runs semi join twice using (run), range({substring_dedup.WINDOW}) t(k) where n = {substring_dedup.WINDOW}),
+kept as (select words.doc_id, count(gone.i) as n_removed, string_agg(word, ' ' order by words.i) filter (gone.i is null) as text
+         from words left join gone on gone.doc_id = words.doc_id and gone.i = words.i group by 1)
+select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""
+
+
+@query("op6_substring_dedup", _OP6_SQL)
 def op6(spark, sf_dir):
     """Words left after removal of repeated windows of 35 words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,7 +83,22 @@ def op8(spark, sf_dir):
     return token_files.digests(spark, folder)
 
 
-@query("op10_line_dedup")
+_OP10_SQL = f"""
+with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from s),
+c as (select *, len(regexp_extract_all(line, '{_SQL_WORD}')) as n from l),
+u as (select *, sum(n) over (partition by doc_id order by i rows unbounded preceding) as upto from c),
+e as (select a.doc_id, a.i, min(b.i) as j from u a join u b on b.doc_id = a.doc_id and b.i >= a.i and b.upto - a.upto + a.n >= {line_dedup.MIN_WORDS} group by 1, 2),
+win as (select e.doc_id, e.i, e.j, string_agg(l.line, chr(10) order by l.i) as run from e join l on l.doc_id = e.doc_id and l.i between e.i and e.j group by 1, 2, 3),
+placed as (select *, row_number() over (partition by run order by doc_id, i) as nth from win),
+gone as (select distinct l.doc_id, l.i from placed p join l on l.doc_id = p.doc_id and l.i between p.i and p.j where nth > 1)
+select l.doc_id, count(*) as n_lines, count(gone.i) as n_deleted,
+       sha256(coalesce(string_agg(l.line, chr(10) order by l.i) filter (gone.i is null), '')) as left_sha256
+from l left join gone on gone.doc_id = l.doc_id and gone.i = l.i group by 1
+"""
+
+
+@query("op10_line_dedup", _OP10_SQL)
 def op10(spark, sf_dir):
     """Each document without its later repeated runs of lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,7 +118,20 @@ def op1(spark, sf_dir):
     )
 
 
-@query("op9_embedding_dedup")
+#: Links of all pairs, and what they reach; ``links`` holds both directions.
+_SQL_REACH = """reach as (select id, id as other from ids union select reach.id, links.y from reach join links on links.x = reach.other),
+least as (select id, min(other) as least from reach group by 1),
+degree as (select x as id, count(*) as n from links group by 1)"""
+
+_OP9_SQL = f"""
+with recursive ids as (select vec_id as id, cast(embedding as double[]) as v from embeddings),
+links as (select a.id as x, b.id as y from ids a join ids b on a.id <> b.id where list_cosine_similarity(a.v, b.v) >= {embedding_dedup.THRESHOLD}),
+{_SQL_REACH}
+select id as vec_id, coalesce(n, 0) as n_links, least as component_id, id = least as kept from least left join degree using (id)
+"""
+
+
+@query("op9_embedding_dedup", _OP9_SQL)
 def op9(spark, sf_dir):
     """Links, component and choice for every vector."""
     return embedding_dedup.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
@@ -89,7 +139,19 @@ def op9(spark, sf_dir):
     )
 
 
-@query("op5_ngram_join")
+_OP5_SQL = f"""
+with recursive {_SQL_WORDS}, {_sql_runs(ngram_join.GRAM)}, ids as (select doc_id as id from documents),
+grams as (select distinct doc_id, run from runs where n = {ngram_join.GRAM} or i = 1),
+sizes as (select doc_id, count(*) as n from grams group by 1),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as n from grams a join grams b using (run) where a.doc_id < b.doc_id group by 1, 2),
+pairs as (select x, y from common c join sizes a on a.doc_id = x join sizes b on b.doc_id = y where c.n >= {ngram_join.THRESHOLD}e0 * (a.n + b.n - c.n)),
+links as (select x, y from pairs union all select y, x from pairs),
+{_SQL_REACH}
+select id as doc_id, least as class_id, coalesce(n, 0) as n_links, id = least as kept from least left join degree using (id)
+"""
+
+
+@query("op5_ngram_join", _OP5_SQL)
 def op5(spark, sf_dir):
     """Class and number of links of every document."""
     out = ngram_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -22,8 +22,7 @@ def _texts(seed, n=60):
     return [*out, None, "", "\n\n", out[0], out[0], " ".join(["same"] * 40), "lone"]
 
 
-@pytest.mark.parametrize("window", [1, 2, 5, 8])
-@pytest.mark.parametrize("chunk_bytes", [200, 1 << 20])
+@pytest.mark.parametrize("window, chunk_bytes", [(1, 200), (5, 200), (8, 1 << 20)])
 def test_substrings(spark, monkeypatch, window, chunk_bytes):
     monkeypatch.setattr(chunks, "CHUNK_BYTES", chunk_bytes)
     texts = _texts(window)
@@ -36,8 +35,7 @@ def test_substrings(spark, monkeypatch, window, chunk_bytes):
         assert digests[i].kept_sha256 == plain.sha(" ".join(kept))
 
 
-@pytest.mark.parametrize("min_words", [1, 3, 9])
-@pytest.mark.parametrize("chunk_bytes", [200, 1 << 20])
+@pytest.mark.parametrize("min_words, chunk_bytes", [(1, 200), (3, 1 << 20), (9, 200)])
 def test_lines(spark, monkeypatch, min_words, chunk_bytes):
     monkeypatch.setattr(chunks, "CHUNK_BYTES", chunk_bytes)
     texts = _texts(10 + min_words)

@@ -3,17 +3,11 @@ import hashlib
 import random
 
 import pytest
-from oracle import connect, differences
 
 from gaugeline.llm import warc
-from gaugeline.llm.queries import ORACLES, QUERIES
 from gaugeline.sources.tables import fresh_path
 
 
-def test_query_equals_sql(spark, sf_dir):
-    assert not differences(QUERIES["op3_warc"](spark, sf_dir), connect(sf_dir), ORACLES["op3_warc"])
-
-
 @pytest.fixture(scope="module")
 def rows():
     draw = random.Random(1)
