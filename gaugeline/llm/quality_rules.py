@@ -281,13 +281,18 @@ def judge(measured: DataFrame, rules: DecisionList) -> DataFrame:
 
 def learn_and_judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", keep_text: bool = True):
     """Measure all documents, learn from those that ``labels`` (key, label: 0 is junk) names, and judge
-    all.  Measures are stored, so texts are measured once; without ``keep_text`` the text is left out."""
+    all.
+
+    Measures are stored without texts.  With ``keep_text`` they are taken once more beside the texts,
+    which costs less than to store or shuffle these.
+    """
     spark = docs.sparkSession
     path = fresh_path(spark, "measures")
-    measure(docs, text, keep_text).write.parquet(path)
+    measure(docs, text, keep_text=False).write.parquet(path)
     measured = spark.read.parquet(path)
     marks = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("marked"), (F.col(label) == 0).alias("junk"))
     own = measured.select(F.col(key).alias("document"), *MEASURES)
     known = own.join(marks, F.col("document") == F.col("marked"))
     # what the base rule rejects needs no other rule
-    return judge(measured, fit(known.where(~base_failed()), F.col("junk")))
+    rules = fit(known.where(~base_failed()), F.col("junk"))
+    return judge(measure(docs, text) if keep_text else measured, rules)
