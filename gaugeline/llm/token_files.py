@@ -89,18 +89,42 @@ def unpack(record: memoryview) -> tuple[int | None, np.ndarray]:
 @lru_cache(maxsize=4)
 def coder(path: str) -> tuple[PieceCoder, int]:
     """Encodes with the tokenizers library: each distinct piece of the pre-tokenizer's split is encoded
-    once.  Strings of special tokens are ordinary text.  Also the width of an id."""
+    once.  Strings of special tokens are ordinary text.  Also the width of an id.
+
+    Pieces that begin with a blank before another character end where the next such piece begins, so
+    the library gets them joined, and the lengths of its tokens tell them apart again.
+    """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
+    vocabulary = library.get_vocab()
+    size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        size[i] = len(token)  # in the library's spelling a character stands for a byte
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_new(pieces: list[bytes]) -> list:
-        ids: list = []
-        for at in range(0, len(pieces), _ABREAST):  # the library's results are large; only their ids stay
-            some = library.encode_batch_fast([p.decode() for p in pieces[at : at + _ABREAST]], add_special_tokens=False)
-            ids += [np.array(e.ids, np.uint32) for e in some]
-        return ids
+        out: list = [None] * len(pieces)
+        texts = [p.decode() for p in pieces]
+        joined = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and not t[1].isspace()]
+        for at in range(0, len(joined), _ABREAST):
+            some = joined[at : at + _ABREAST]
+            (ids,) = encode(["".join([texts[i] for i in some])])
+            ends = np.cumsum([len(pieces[i]) for i in some])
+            reached = np.cumsum(size[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if len(ids) and cuts[-1] == len(ids) and (reached[cuts - 1] == ends).all():
+                for i, own in zip(some, np.split(ids, cuts[:-1]), strict=True):
+                    out[i] = own
+        left = [i for i, ids in enumerate(out) if ids is None]
+        for at in range(0, len(left), _ABREAST):
+            some = left[at : at + _ABREAST]
+            for i, ids in zip(some, encode([texts[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
 
     return PieceCoder(encode_new), 2 if library.get_vocab_size() <= 1 << 16 else 4
 
