@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gaugeline.functions import HOUR_US, col, first_integer, nan_to_null
 from gaugeline.operators.gaps import segments
@@ -83,21 +84,21 @@ def coverage_sweep(
     def first_met(share: Column) -> Column:
         return reduce(lambda a, b: a + b, [(share > t / 100).cast("int") for t in steps])
 
-    met = [F.struct(F.lit(s).alias("span"), first_met(F.col(f"miss_{s}")).alias("k")) for s in read]
+    met = [F.struct(F.lit(s).alias("span"), first_met(F.col(f"miss_{s}")).alias("__k")) for s in read]
     has = [all_present(t).cast("bigint").alias(n) for t, n in zip(target_sets.values(), names)]
     keys = axis.key_cols
     if read:
-        seen = rows.select(*keys, *has, F.inline(F.array(*met))).groupBy(*keys, "span", "k").agg(*[F.sum(n).alias(n) for n in names])
+        seen = rows.select(*keys, *has, F.inline(F.array(*met))).groupBy(*keys, "span", "__k").agg(*[F.sum(n).alias(n) for n in names])
     else:  # an empty window never qualifies
-        seen = rows.select(*keys, F.lit(0).alias("span"), F.lit(0).alias("k"), *has)
-    places = F.array(*[F.struct(F.lit(s).alias("span"), F.lit(k).alias("k")) for s in spans for k in range(len(steps))])
+        seen = rows.select(*keys, F.lit(0).alias("span"), F.lit(0).alias("__k"), *has)
+    places = F.array(*[F.struct(F.lit(s).alias("span"), F.lit(k).alias("__k")) for s in spans for k in range(len(steps))])
     zeros = df.select(*keys).distinct() if axis.keys else df.groupBy().count().select()
     zeros = zeros.select(*keys, F.inline(places)).withColumns({n: F.lit(0).cast("bigint") for n in names})
-    upto = Window.partitionBy(*keys, "span").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    counted = seen.where(F.col("k") < len(steps)).unionByName(zeros).groupBy(*keys, "span", "k").agg(*[F.sum(n).alias(n) for n in names])
+    upto = Window.partitionBy(*keys, "span").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    counted = seen.where(F.col("__k") < len(steps)).unionByName(zeros).groupBy(*keys, "span", "__k").agg(*[F.sum(n).alias(n) for n in names])
     counted = counted.withColumns({n: F.sum(n).over(upto) for n in names})
     cells = [F.struct(F.lit(t).alias("targets"), F.col(n).alias("n")) for t, n in zip(target_sets, names)]
-    tolerance = F.element_at(F.array(*[F.lit(t) for t in steps]), F.col("k") + 1).alias("tolerance")
+    tolerance = F.element_at(F.array(*[F.lit(t) for t in steps]), F.col("__k") + 1).alias("tolerance")
     return counted.select(*keys, "span", tolerance, F.inline(F.array(*cells))).select(*keys, "targets", "span", "tolerance", "n")
 
 
@@ -227,8 +228,13 @@ def write_samples(rows: DataFrame, path: str, *, buckets: int = 256, keys: Seque
     rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+def read_samples(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """The rows of the samples table.  A table without samples has no files to tell its columns, so pass
+    the ``schema`` of the rows where that may happen."""
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(StructType([*schema.fields, StructField("bucket", IntegerType())]))
+    return reader.parquet(path).drop("bucket")
 
 
 def load_samples(

@@ -135,8 +135,9 @@ def _tolerant(spark, d, tolerance=0.1):
 def _stored_rows(spark, d, tolerance=0.1):
     """Sample rows written as the samples table and read back."""
     path = scratch(spark, "samples")
-    samples.write_samples(_tolerant(spark, d, tolerance), path, buckets=8)
-    return samples.read_samples(spark, path)
+    rows = _tolerant(spark, d, tolerance)
+    samples.write_samples(rows, path, buckets=8)
+    return samples.read_samples(spark, path, rows.schema)
 
 
 def _loaded(spark, d, tolerance=0.1, **options):
