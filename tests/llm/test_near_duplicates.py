@@ -148,7 +148,7 @@ def test_links_equal_all_pairs(spark, block):
         rows.append((i, [float(x) for x in np.float32(base)]))
     rows += [(200, None), (201, [0.0] * 8), (202, [float("nan")] + [1.0] * 7), (203, [None] + [1.0] * 7), (204, []), (205, rows[0][1])]
     rows += [(206, [x * 2 for x in rows[0][1]]), (207, [1.0, 2.0]), (208, [2.0, 4.0]), (209, [float("inf")] * 8), (210, [-0.0, 1.0]), (211, [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumnRenamed("x", "x").repartition(3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     got = {r.vec_id: r for r in embedding_dedup.link(df, bits=3, recall=0.9999999, block=block).collect()}
     pairs = _cosines(rows, 0.9)
     want, degree = plain.classes(len(rows), pairs), [0] * len(rows)
