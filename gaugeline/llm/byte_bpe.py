@@ -28,6 +28,8 @@ from gaugeline.llm.pieces import PieceCoder, encoded
 NONE = np.int64(1) << 40
 #: Pieces up to so many bytes are merged side by side.
 ABREAST = 64
+#: Rows of a result batch.
+ROWS = 1000
 
 
 class Ranks:
@@ -195,8 +197,10 @@ def _replace(docs: DataFrame, fields: list[T.StructField], make) -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in columns] + fields)
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + make(batch), names=columns + new)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + make(batch), names=columns + new)
 
     return docs.mapInArrow(run, schema)
 
@@ -233,6 +237,21 @@ def _ends(lists: pa.ListArray) -> np.ndarray:
     return np.cumsum(np.r_[0, sizes])
 
 
+def encode_checked(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """The documents with their ids, and ``decoded_sha256`` of the bytes decoded from these, in one pass."""
+
+    def make(batch):
+        tokens = load(path).tokens
+        rows = list(encoded(batch.column(text), coder(path)))
+        ends = np.cumsum([0, *map(len, rows)])
+        flat = np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.int32)
+        digests = [hashlib.sha256(b"".join([tokens[i] for i in row.tolist()])).hexdigest() for row in rows]
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(digests, pa.string())]
+
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]
+    return _replace(docs, fields, make)
+
+
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The documents' columns, ``n_tokens``, ``ids_sha256`` of the decimal ids joined by commas, and
     ``decoded_sha256`` of the bytes decoded from the ids.  One pass; ids do not leave the task."""
