@@ -50,11 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the digest of what they decode to."""
     ship(spark)
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, path), path)
-    return coded.select(
-        "doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    coded = byte_bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
