@@ -162,6 +162,36 @@ def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else 0.0
 
 
+def _cell(value: Column) -> Column:
+    """A (non-negative) value cut to two significant digits."""
+    step = F.pow(F.lit(10.0), F.floor(F.log10(value)) - 1)
+    return F.when(value > 0, F.floor(value / step) * step).otherwise(0.0)
+
+
+def _thresholds(rows: DataFrame, names: list[str], cuts: int) -> dict[str, list[float]]:
+    """For each feature the cells in which the shares 1/cuts, 2/cuts, … of junk and of the rest lie.
+
+    Values are counted by cell, a few hundred for each feature whatever the rows, so equal rows give
+    equal thresholds in any order.
+    """
+    cells = F.array(*[F.struct(F.lit(n).alias("f"), _cell(F.col(n)).alias("x")) for n in names])
+    junk = F.col("junk").cast("bigint")
+    counts = rows.select("junk", F.explode(cells).alias("c")).groupBy("c.f", "c.x").agg(F.sum(junk).alias("p"), F.sum(1 - junk).alias("n")).collect()
+    edges = {}
+    for name in names:
+        own = sorted((r.x, r.p, r.n) for r in counts if r.f == name)
+        picked = set()
+        for side in (1, 2):
+            total, upto, share = sum(r[side] for r in own), 0, 1
+            for r in own:
+                upto += r[side]
+                while share < cuts and upto * cuts >= share * total:
+                    picked.add(r[0])
+                    share += 1
+        edges[name] = sorted(picked)
+    return edges
+
+
 def fit(
     measured: DataFrame, junk: Column, cuts: int = 48, most_rules: int = 8, most_conditions: int = 3,
     precision: float = 0.9, least_covered: float = 0.005,
@@ -178,15 +208,10 @@ def fit(
         *[c.alias(n) for n, c in features().items()], junk.alias("junk"), (F.pmod(identity, F.lit(3)) < 2).alias("grow")
     ).write.parquet(path)
     rows = spark.read.parquet(path)
-    shares = [i / cuts for i in range(1, cuts)]
-    of = {True: F.col("junk"), False: ~F.col("junk")}
-    found = rows.agg(
-        F.sum(F.col("junk").cast("int")).alias("junk"), F.count("*").alias("all"),
-        *[F.percentile_approx(F.when(of[k], F.col(n)), shares, 1000).alias(f"{n} {k}") for n in names for k in of],
-    ).first()
+    found = rows.agg(F.sum(F.col("junk").cast("bigint")).alias("junk"), F.count("*").alias("all")).first()
     if not found["junk"] or found["junk"] == found["all"]:
         return DecisionList(())
-    edges = {n: sorted({x for k in of for x in found[f"{n} {k}"] or []}) for n in names}
+    edges = _thresholds(rows, names, cuts)
     path = fresh_path(spark, "intervals")
 
     def interval(name: str) -> Column:
