@@ -5,8 +5,8 @@ pages with equal payloads of at least ``REVISIT_BYTES``, that with the least id
 others become ``revisit`` records that name its id, URI and payload digest and hold no payload.  A block
 longer than ``segment`` bytes is cut: the first record carries segment number 1, ``continuation`` records
 carry the rest, their number and the first record's id, the last one the total length.  Records are
-written by Spark's text writer with CRLF between them, so every store that Spark writes to will do;
-binary blocks pass through as they are.
+written by Spark's text writer with CRLF between them, each file as gzip, so every store that Spark
+writes to will do; binary blocks pass through as they are.
 
 Reading.  Files are read whole (the writer keeps them to about ``FILE_BYTES``), plain or as gzip
 members, and parsed record by record.  Records with a segment number are grouped by the id of their
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.llm.chunks import write_chunks
 from gaugeline.llm.links import stored
 
 REVISIT_BYTES = 100
@@ -59,30 +60,39 @@ def _chunked(payload: Column, size: int) -> Column:
     return F.concat(F.array_join(F.transform(begins, framed), ""), F.lit("0\r\n\r\n"))
 
 
-def _revisits(pages: DataFrame) -> DataFrame:
-    """``revisit_id, refers_to, refers_uri`` of the rows that repeat an earlier payload; rows without an
-    id are told apart by their digest."""
-    narrow = pages.select("page_id", "url", "digest", "size").where(F.col("size") >= REVISIT_BYTES)
+def _measured(rows: DataFrame) -> DataFrame:
+    """With ``payload`` (bytes), its ``digest`` and ``size``."""
+    payload = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
+    return rows.withColumn("payload", payload).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
+
+
+def _revisits(chunks: DataFrame) -> DataFrame:
+    """``chunk`` and, for its rows that repeat the payload of another, ``again``: place to what they refer to."""
+    rows = chunks.select("chunk", F.posexplode("rows").alias("place", "row")).select("chunk", "place", "row.*")
+    narrow = _measured(rows).where(F.col("size") >= REVISIT_BYTES).select("chunk", "place", "page_id", "url", "digest")
+    # stored, so that the join is between plain shuffles, which Spark splits where a payload has many copies
     firsts = stored(
-        narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.min_by("url", "page_id").alias("refers_uri"), F.count("*").alias("n"))
-        .where("n > 1 and refers_to is not null").drop("n"),
+        narrow.groupBy("digest").agg(F.min("page_id").alias("to_page"), F.min_by("url", "page_id").alias("to_uri"), F.count("*").alias("n"))
+        .where("n > 1 and to_page is not null").drop("n"),
         "payloads",
     )
-    return narrow.join(firsts, "digest").where("not (page_id <=> refers_to)").select(
-        F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "refers_to", "refers_uri"
-    ).distinct()
+    found = narrow.join(firsts.hint("merge"), "digest").where("not (page_id <=> to_page)")
+    entry = F.struct("place", F.struct("to_page", "to_uri"))
+    return found.groupBy("chunk").agg(F.map_from_entries(F.collect_list(entry)).alias("again"))
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", segment: int = SEGMENT, chunk: int = CHUNK) -> None:
-    """Write one record per page (more for segments) into ``folder``."""
-    payload = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    revisits = _revisits(rows)
-    # the join key is the page's id, which is nearly unique: no digest gathers its copies in one task
-    joined = rows.join(
-        revisits, F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.col("digest") == F.col("revisit_digest")), "left"
+    """Write one record per page (more for segments) into ``folder``.
+
+    Pages are written as chunks first (``chunks``): what is found about a page then joins its chunk, and
+    no page is shuffled.
+    """
+    chunks, _ = write_chunks(pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")), "html")
+    known = chunks.join(_revisits(chunks).hint("merge"), "chunk", "left")
+    rows = known.select("again", F.posexplode("rows").alias("place", "row")).select(
+        "row.*", F.try_element_at("again", F.col("place")).alias("to")
     )
+    joined = _measured(rows).withColumn("refers_to", F.col("to.to_page")).withColumn("refers_uri", F.col("to.to_uri"))
     again = F.col("refers_to").isNotNull()
     block = F.when(again, F.lit(_HTTP)).otherwise(F.concat(F.lit(_HTTP), _chunked(F.col("payload"), chunk)))
     records = joined.select(
@@ -121,7 +131,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     )
     out = cut.select(F.concat(head, F.lit("\r\n"), _raw(part), F.lit("\r\n")).alias("value"))
     # a record holds at most a segment and its header
-    out.write.option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, FILE_BYTES // (segment + 1024))).text(folder)
+    out.write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, FILE_BYTES // (segment + 1024))).text(folder)
 
 
 # --- reading ---------------------------------------------------------------------------------
