@@ -20,7 +20,7 @@ from gaugeline.llm.words import span_hashes, text_bytes
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Texts are taken in groups of about so many bytes, to bound the arrays.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Distinct pieces remembered by a worker before it starts anew.
 REMEMBERED = 500_000
 

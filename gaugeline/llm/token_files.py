@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.pieces import PieceCoder, encoded
 
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 _ABREAST = 4096
+_ROWS = 1000  # of a result batch
 _HEAD = struct.Struct("<QI")
 _START = struct.Struct("<BBq")
 _CRC = struct.Struct("<I")
@@ -141,10 +142,11 @@ def write(docs: DataFrame, folder: str, path: str, text: str = "text", key: str
     def records(batches):
         pieces, width = coder(path)
         for batch in batches:
-            keys = batch.column("key").to_pylist()
-            texts = encoded(batch.column("text"), pieces)
-            out = [pack(doc, np.append(ids, np.uint32(end_id)), width) for doc, ids in zip(keys, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+            for at in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(at, _ROWS)
+                texts = zip(some.column("key").to_pylist(), encoded(some.column("text"), pieces), strict=True)
+                out = [pack(doc, np.append(ids, np.uint32(end_id)), width) for doc, ids in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     framed = ranged.mapInArrow(records, "frame binary")
     framed.select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(f"{folder}/data")
@@ -171,8 +173,8 @@ def _each_file(spark: SparkSession, folder: str, rows: Callable, schema: str) ->
         for batch in batches:
             for number, content in zip(batch.column("number").to_pylist(), batch.column("content"), strict=True):
                 held = list(rows(number, content.as_buffer()))
-                for a in range(0, len(held), 10_000):
-                    columns = zip(*held[a : a + 10_000], strict=True)
+                for a in range(0, len(held), _ROWS):
+                    columns = zip(*held[a : a + _ROWS], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").load(f"{folder}/data")
