@@ -79,7 +79,7 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     """Encode, write binary files, and read them back."""
     folder = fresh_path(spark, "token-files")
-    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
     return token_files.digests(spark, folder)
 
 

@@ -15,6 +15,8 @@ Files are written by Spark's text writer (raw bytes, the line feed being its sep
 that Spark writes to will do and a lost task is written again.  File numbers follow the order of ids.  The
 index, a table beside the files, tells file, offset and length of each frame.
 
+Strings of the vocabulary's added tokens are ordinary text, or their ids with ``added_tokens``.
+
 Null and empty texts hold the end id only.  Repeated rows and ids are documents of their own.  An
 empty table gives no frames.  Damaged or cut frames raise an error.
 """
@@ -28,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +90,15 @@ def unpack(record: memoryview) -> tuple[int | None, np.ndarray]:
     return doc if has else None, ids
 
 
+@lru_cache(maxsize=4)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    return library
+
+
 @lru_cache(maxsize=4)
 def coder(path: str) -> tuple[PieceCoder, int]:
     """Encodes with the tokenizers library: each distinct piece of the pre-tokenizer's split is encoded
@@ -95,10 +107,7 @@ def coder(path: str) -> tuple[PieceCoder, int]:
     Pieces that begin with a blank before another character end where the next such piece begins, so
     the library gets them joined, and the lengths of its tokens tell them apart again.
     """
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    library = _library(path)
     vocabulary = library.get_vocab()
     size = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for token, i in vocabulary.items():
@@ -130,8 +139,27 @@ def coder(path: str) -> tuple[PieceCoder, int]:
     return PieceCoder(encode_new), 2 if library.get_vocab_size() <= 1 << 16 else 4
 
 
-def write(docs: DataFrame, folder: str, path: str, text: str = "text", key: str = "doc_id", end_id: int = 0) -> None:
-    """Encode all documents and write ``folder/data`` and ``folder/index``; ``key`` is an integer column."""
+def _with_added(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """The ids of each text; the library gets texts that hold an added token whole."""
+    pieces, _ = coder(path)
+    library = _library(path)
+    holds = np.zeros(len(texts), bool)
+    for token in library.get_added_tokens_decoder().values():
+        holds |= pc.match_substring(texts, token.content).to_numpy(zero_copy_only=False)
+    for text, held, ids in zip(texts, holds.tolist(), encoded(texts, pieces), strict=True):
+        if held:
+            library.encode_special_tokens = False
+            ids = np.array(library.encode(text.as_py(), add_special_tokens=False).ids, np.uint32)
+            library.encode_special_tokens = True
+        yield ids
+
+
+def write(
+    docs: DataFrame, folder: str, path: str, text: str = "text", key: str = "doc_id", end_id: int = 0, added_tokens: bool = False
+) -> None:
+    """Encode all documents and write ``folder/data`` and ``folder/index``; ``key`` is an integer column.
+
+    With ``added_tokens`` strings of added tokens get their ids, as the library does by default."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -144,7 +172,8 @@ def write(docs: DataFrame, folder: str, path: str, text: str = "text", key: str
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 some = batch.slice(at, _ROWS)
-                texts = zip(some.column("key").to_pylist(), encoded(some.column("text"), pieces), strict=True)
+                coded = _with_added(some.column("text"), path) if added_tokens else encoded(some.column("text"), pieces)
+                texts = zip(some.column("key").to_pylist(), coded, strict=True)
                 out = [pack(doc, np.append(ids, np.uint32(end_id)), width) for doc, ids in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
