@@ -168,32 +168,17 @@ def _cell(value: Column) -> Column:
     return F.when(value > 0, F.floor(value / step) * step).otherwise(0.0)
 
 
-def _thresholds(rows: DataFrame, names: list[str], cuts: int) -> dict[str, list[float]]:
-    """For each feature the cells in which the shares 1/cuts, 2/cuts, … of junk and of the rest lie.
-
-    Values are counted by cell, a few hundred for each feature whatever the rows, so equal rows give
+def _thresholds(rows: DataFrame, names: list[str]) -> dict[str, list[float]]:
+    """For each feature the cells that have values, a few hundred whatever the rows, so equal rows give
     equal thresholds in any order.
     """
     cells = F.array(*[F.struct(F.lit(n).alias("f"), _cell(F.col(n)).alias("x")) for n in names])
-    junk = F.col("junk").cast("bigint")
-    counts = rows.select("junk", F.explode(cells).alias("c")).groupBy("c.f", "c.x").agg(F.sum(junk).alias("p"), F.sum(1 - junk).alias("n")).collect()
-    edges = {}
-    for name in names:
-        own = sorted((r.x, r.p, r.n) for r in counts if r.f == name)
-        picked = set()
-        for side in (1, 2):
-            total, upto, share = sum(r[side] for r in own), 0, 1
-            for r in own:
-                upto += r[side]
-                while share < cuts and upto * cuts >= share * total:
-                    picked.add(r[0])
-                    share += 1
-        edges[name] = sorted(picked)
-    return edges
+    found = rows.select(F.explode(cells).alias("c")).select("c.f", "c.x").distinct().collect()
+    return {name: sorted(r.x for r in found if r.f == name) for name in names}
 
 
 def fit(
-    measured: DataFrame, junk: Column, cuts: int = 48, most_rules: int = 8, most_conditions: int = 3,
+    measured: DataFrame, junk: Column, most_rules: int = 8, most_conditions: int = 3,
     precision: float = 0.9, least_covered: float = 0.005,
 ) -> DecisionList:
     """Learn rules for ``junk`` (boolean; rows where it is null do not count) on all given rows.
@@ -211,7 +196,7 @@ def fit(
     found = rows.agg(F.sum(F.col("junk").cast("bigint")).alias("junk"), F.count("*").alias("all")).first()
     if not found["junk"] or found["junk"] == found["all"]:
         return DecisionList(())
-    edges = _thresholds(rows, names, cuts)
+    edges = _thresholds(rows, names)
     path = fresh_path(spark, "intervals")
 
     def interval(name: str) -> Column:
