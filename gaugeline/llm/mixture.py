@@ -3,7 +3,7 @@
 The mix has a size in words (a share of all words).  Targets divide it by weight, no source above a
 multiple of its own size; what that cuts off goes to the others by weight, until none is above.
 
-Seats are blocks of equal size.  They go to sources by highest quotient ``target / (2 s + 1)``, and in
+Seats are blocks of equal size, which shrinks to the least target, so that small sources get seats too.  They go to sources by highest quotient ``target / (2 s + 1)``, and in
 the same way from a source to its shards.  A shard is a seeded hash class of a source's documents, small
 enough for one task, so no source, however large, is ordered in one place.  Within a shard the
 documents stand in seeded order and are cut into blocks on end; a quota of q blocks takes the first q,
@@ -116,6 +116,7 @@ def mix(
     sizes = [r.n for r in rows]
     total = share * sum(sizes)
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], total, most)
+    block = max(1, min(block, math.floor(min((t for t in targets if t > 0), default=block))))
     seats = sainte_lague(targets, round(math.fsum(targets) / block), [int(most * n) // block for n in sizes])
 
     # the one row per source is bounded by max_rows and joined; Spark broadcasts it when small
