@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.llm.columns import beside
-from gaugeline.llm.words import n_words, words
+from gaugeline.llm.words import WORD, n_words, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -156,11 +156,13 @@ def mix(
 
 
 def repeat_rows(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each time a document is taken: whole rounds with the whole text, a part with its first
-    words (joined by one space).  Documents not taken go."""
+    """A row for each time a document is taken: whole rounds with the whole text, a part with the text up
+    to the end of its last word, white space as it is.  Documents not taken go."""
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
     part = F.col("taken") - whole * F.col("size")
-    cut = F.when(part > 0, F.array(F.array_join(F.slice(words(F.col(text)), F.lit(1), part.cast("int")), " ")))
+    first = lambda pieces: F.slice(pieces, F.lit(1), part.cast("int"))
+    blanks = F.split(F.col(text), f"{WORD}+")  # before each word, and after the last
+    cut = F.when(part > 0, F.array(F.array_join(F.zip_with(first(blanks), first(words(F.col(text))), lambda b, w: F.concat(b, w)), "")))
     copies = F.concat(F.array_repeat(F.col(text), whole.cast("int")), F.coalesce(cut, F.array().cast("array<string>")))
     others = [c for c in mixed.columns if c not in (text, "size", "source_size", "target", "taken")]
     out = mixed.where(F.col("taken") > 0).select(*[F.col(c) for c in others], F.explode(copies).alias(text))
