@@ -235,6 +235,14 @@ _SQL_WIDE = _SQL_ROWS.replace("<= 0.1e0", "<= 0.9e0")
 _ROUNDS = 40  # validation on the test part ends training earlier
 
 
+def _ended_early(model):
+    """The model, if validation and not the number of rounds ended its training."""
+    trees = model.stages[-1].getNumTrees
+    if trees >= _ROUNDS:
+        raise ValueError(f"training ended at its {_ROUNDS} rounds, not by validation")
+    return model
+
+
 @query(
     "gbt_regression",
     f"""with {SQL_HOURLY}, {_SQL_WIDE.format(extra='1 as one')}, {_sql_random('loaded', 35)}
@@ -245,7 +253,7 @@ def gbt_regression(spark, d):
     closer to their predictions than to the mean."""
     train, test = _parts(spark, d)
     path = scratch(spark, "regressor")
-    models.save(models.fit_regressor(train, test, rounds=_ROUNDS, depth=3, subsample=0.8, rate=0.1), path)
+    models.save(_ended_early(models.fit_regressor(train, test, rounds=_ROUNDS, depth=3, subsample=0.8, rate=0.1)), path)
     model = models.load(path)
     fitted = models.predict(model, train)
     y = F.col("target")
@@ -269,7 +277,7 @@ def gbt_classification(spark, d):
     more frequent class."""
     train, test = (p.withColumn("target", F.transform("target", lambda v: F.least(v / 100, F.lit(1.0)))) for p in _parts(spark, d))
     path = scratch(spark, "classifier")
-    models.save(models.fit_classifier(train, test, rounds=_ROUNDS, depth=3, subsample=0.8, rate=0.1), path)
+    models.save(_ended_early(models.fit_classifier(train, test, rounds=_ROUNDS, depth=3, subsample=0.8, rate=0.1)), path)
     model = models.load(path)
     label = F.rint("target")
     right = F.avg((F.col("pred") == label).cast("double"))
