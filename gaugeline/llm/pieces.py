@@ -105,6 +105,16 @@ def _contractions(points: np.ndarray, head: np.ndarray, begins: np.ndarray, mark
         begins[after[after < n]] = True
 
 
+def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct pieces, compared byte by byte, and the number of each piece among them; ``starts``
+    ends with the end of the last piece."""
+    places, held = (pa.py_buffer(np.ascontiguousarray(x)) for x in (starts.astype(np.int64), data))
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, places, held]).dictionary_encode()
+    _, places, held = found.dictionary.buffers()
+    at, raw = np.frombuffer(places, np.int64, len(found.dictionary) + 1).tolist(), held.to_pybytes()
+    return found.indices.to_numpy(), [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 class PieceCoder:
     """Encodes texts through their distinct pieces, which it remembers within a bound.
 
@@ -116,34 +126,26 @@ class PieceCoder:
         self._forget()
 
     def _forget(self):
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.begin = np.zeros(1, np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts on end, and the ``len + 1`` places where each text's ids begin."""
-        import pandas as pd
-
         starts, first = split(data, offsets)
         if len(starts) == 1:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        codes, distinct = pd.factorize(span_hashes(data, starts[:-1], starts[1:]))
+        codes, pieces = distinct(data, starts)
         if len(self.known) > self.remembered:
             self._forget()
-        listed = distinct.tolist()
-        new = [i for i, h in enumerate(listed) if h not in self.known]
+        new = [p for p in pieces if p not in self.known]
         if new:
-            # any occurrence will do; the last written wins
-            where = np.empty(len(distinct), np.int64)
-            where[codes] = np.arange(len(codes))
-            fetch, raw = where[new], data.tobytes()
-            pieces = [raw[a:b] for a, b in zip(starts[fetch].tolist(), starts[fetch + 1].tolist(), strict=True)]
-            got = [np.asarray(x, np.uint32) for x in self.encode_new(pieces)]
+            got = [np.asarray(x, np.uint32) for x in self.encode_new(new)]
             base = len(self.begin) - 1
-            self.known.update((listed[i], base + k) for k, i in enumerate(new))
+            self.known.update((p, base + k) for k, p in enumerate(new))
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in got])])
             self.ids = np.concatenate([self.ids, *got])
-        entry = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[codes]
+        entry = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[codes]
         sizes = (self.begin[1:] - self.begin[:-1])[entry]
         ends = np.cumsum(sizes)
         gather = np.arange(ends[-1]) + np.repeat(self.begin[entry] - (ends - sizes), sizes)

@@ -3,6 +3,8 @@ feed and carriage return.  As Spark columns, and as arrays over Arrow text insid
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -11,10 +13,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 
-_WORD_BASE = 0x9E3779B97F4A7C15
-_GRAM_BASE = 0xD6E8FEB86659FD93
-_MASK = (1 << 64) - 1
-_HASH_BYTES = 1 << 20
+# odd numbers that set the hashes apart; any would do
+_STEP, _LEFT, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Longer spans are hashed one by one.
+_ARRAY_BYTES = 64
 
 
 def words(text: Column) -> Column:
@@ -58,42 +60,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, b, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
-        return self.up[:n], self.down[:n]
-
-
-_WORD_POWERS, _GRAM_POWERS = _Powers(_WORD_BASE), _Powers(_GRAM_BASE)
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are in order and don't overlap."""
-    out = np.zeros(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        origin = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, origin + _HASH_BYTES, "right")))
-        up, down = _WORD_POWERS.upto(int(ends[to - 1] - origin) + 1)
-        terms = np.empty(len(up), np.uint64)
-        terms[0] = 0
-        np.multiply(data[origin : ends[to - 1]].astype(np.uint64) + np.uint64(1), up[: len(up) - 1], out=terms[1:])
-        sums = np.cumsum(terms, dtype=np.uint64)
-        a, b = starts[at:to] - origin, ends[at:to] - origin
-        out[at:to] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(_GRAM_BASE)
-        at = to
-    return mix(out)
+    """A 64-bit hash of each byte span.
+
+    Spans of up to 64 bytes take in 8 bytes a step, all spans at once, and every step mixes what came
+    before; longer ones have a blake2b digest.  No sum of terms by place: such sums have spans
+    that agree for every base.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _SIZE)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at, done = np.flatnonzero((size > 0) & (size <= _ARRAY_BYTES)), 0
+    while len(at):
+        left = size[at] - done
+        taken = wide[starts[at] + done]
+        short = left < 8
+        taken[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[at] = mix((out[at] ^ taken) + _STEP)
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(size > _ARRAY_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,11 +135,18 @@ def gram_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def run_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of runs of items from ``begin`` to before ``end``."""
-    up, down = _GRAM_POWERS.upto(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], dtype=np.uint64, out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(_WORD_BASE))
+    """Hashes of runs of items from ``begin`` to before ``end``: a run is cut into pieces whose lengths are
+    the powers of two in its length, and pieces are hashed from their halves."""
+    size = end - begin
+    out, at = mix(size.astype(np.uint64) * _SIZE), begin.copy()
+    table, level = hashes, 0
+    while len(size) and int(size.max()) >> level:
+        has = np.flatnonzero(size >> level & 1)
+        out[has] = mix(out[has] * _LEFT + table[at[has]])
+        at[has] += 1 << level
+        table = mix(table[: -(1 << level)] * _LEFT + table[1 << level :])
+        level += 1
+    return out
 
 
 def covered(at: np.ndarray, k: int, n: int) -> np.ndarray:
