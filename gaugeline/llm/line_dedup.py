@@ -1,21 +1,20 @@
 """Line de-duplication by winnowing over line hashes.
 
-A window is the shortest run of lines, from one line on, that holds at least ``min_words`` words.
-Winnowing keeps one fingerprint of each window: its least line hash, the last of equals.  Equal
-windows keep equal fingerprints, so every repeated run of ``min_words`` words shares one.
+A window is the shortest run of lines, from one line on or up to one line, that holds at least
+``min_words`` words.  Winnowing keeps one fingerprint of each window: its least line hash, the last of
+equals.  Equal windows keep equal fingerprints, so every repeated run of ``min_words`` words shares one.
 Fingerprints meet in a packed exchange (``chunks``); the windows around repeated ones meet in a second
-exchange, which tells whether an equal window stands at an earlier place, and a line is deleted if any
-such later window covers it.  The last lines of a repeated run, from which fewer than ``min_words`` words
-are left in it, open no window in the run and stay.  With ``whole_runs`` the shortest runs that end at
-each line are windows too: matches then extend line by line both ways as far as the run repeats.
+exchange, which tells whether an equal window stands at an earlier place.  A line is deleted if any such
+later window covers it: windows begin and end at every line of a repeated run, so a match extends line by
+line both ways as far as the run repeats.
 
 Places are ordered by id (null last), then by position; rows of equal id by their place in the input.
 Runs are judged on the input.  Lines are split at line feeds and compared byte for byte, white space
 included.
 
 Corner cases: a null text stays null, an empty one stays empty; a text with fewer than ``min_words``
-words stays as it is; of identical texts the first stays whole, and the others are left empty with
-``whole_runs``, else with the lines that open no window; an empty table gives an empty table; all columns pass through, and ``n_lines`` and ``n_deleted`` replace
+words stays as it is; of identical texts with so many the first stays whole and the others are left empty; an
+empty table gives an empty table; all columns pass through, and ``n_lines`` and ``n_deleted`` replace
 input columns of the same name.
 """
 
@@ -31,7 +30,7 @@ from gaugeline.llm import chunks as C
 from gaugeline.llm.columns import beside, unused
 from gaugeline.llm.words import line_spans, run_hashes, span_hashes, text_bytes, word_spans
 
-MIN_WORDS = 40
+MIN_WORDS = 8
 _FINGER_WIDTH, _WINDOW_WIDTH = 5, 8
 _LAST = np.iinfo(np.int64).max
 
@@ -45,15 +44,13 @@ def _lines(docs: pa.StructArray, text: str):
     return data, starts, ends, first, span_hashes(data, starts, ends), before
 
 
-def _windows(first: np.ndarray, before: np.ndarray, min_words: int, whole_runs: bool) -> tuple[np.ndarray, np.ndarray]:
+def _windows(first: np.ndarray, before: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends (exclusive) of the windows, each once."""
     n = len(before) - 1
     begin = np.arange(n)
     end = np.searchsorted(before, before[:-1] + min_words, "left")
     last = np.repeat(first[1:], np.diff(first))
     fits = end <= last
-    if not whole_runs:
-        return begin[fits], end[fits]
     back = np.searchsorted(before, before[1:] - min_words, "right") - 1
     ends_here = back >= np.repeat(first[:-1], np.diff(first))
     # a run may be the shortest one from its begin and to its end
@@ -85,12 +82,10 @@ def _ranks(docs: pa.StructArray, order: str, first: np.ndarray) -> np.ndarray:
     return np.repeat(ids, np.diff(first))
 
 
-def delete_repeats(
-    docs: DataFrame, text: str = "text", order: str = "doc_id", min_words: int = MIN_WORDS, whole_runs: bool = False
-) -> DataFrame:
+def delete_repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without later repeated runs, plus ``n_lines`` (of the input) and ``n_deleted``.
 
-    ``order`` names an integer column.  ``whole_runs`` deletes repeated runs to their last line.
+    ``order`` names an integer column.
     """
     if min_words < 1:
         raise ValueError("min_words must be positive")
@@ -101,12 +96,12 @@ def delete_repeats(
 
     def probe(chunk, rows, _):
         *_, first, hashes, before = _lines(rows, text)
-        picked = np.unique(_least(hashes, *_windows(first, before, min_words, whole_runs)))
+        picked = np.unique(_least(hashes, *_windows(first, before, min_words)))
         yield C.pack_keys(hashes[picked], chunk, buckets, _FINGER_WIDTH)
 
     def extend(chunk, rows, found):
         *_, first, hashes, before = _lines(rows, text)
-        begin, end = _windows(first, before, min_words, whole_runs)
+        begin, end = _windows(first, before, min_words)
         prints = hashes[_least(hashes, begin, end)]
         near = C.among(C.short(prints, _FINGER_WIDTH), C.found_keys(found, _FINGER_WIDTH))
         begin, end = begin[near], end[near]
@@ -115,7 +110,7 @@ def delete_repeats(
 
     def finish(chunk, rows, found):
         data, starts, ends, first, hashes, before = _lines(rows, text)
-        begin, end = _windows(first, before, min_words, whole_runs)
+        begin, end = _windows(first, before, min_words)
         keys = C.short(run_hashes(hashes, begin, end), _WINDOW_WIDTH)
         listed = np.concatenate([C.from_bytes(x["keys"], _WINDOW_WIDTH) for x in found] or [np.zeros(0, np.uint64)])
         later = np.concatenate([np.frombuffer(x["later"], bool) for x in found] or [np.zeros(0, bool)])

@@ -88,7 +88,9 @@ with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from d
 l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from s),
 c as (select *, len(regexp_extract_all(line, '{_SQL_WORD}')) as n from l),
 u as (select *, sum(n) over (partition by doc_id order by i rows unbounded preceding) as upto from c),
-e as (select a.doc_id, a.i, min(b.i) as j from u a join u b on b.doc_id = a.doc_id and b.i >= a.i and b.upto - a.upto + a.n >= {line_dedup.MIN_WORDS} group by 1, 2),
+f as (select a.doc_id, a.i, min(b.i) as j from u a join u b on b.doc_id = a.doc_id and b.i >= a.i and b.upto - a.upto + a.n >= {line_dedup.MIN_WORDS} group by 1, 2),
+t as (select a.doc_id, max(b.i) as i, a.i as j from u a join u b on b.doc_id = a.doc_id and b.i <= a.i and a.upto - b.upto + b.n >= {line_dedup.MIN_WORDS} group by 1, 3),
+e as (select * from f union select * from t),
 win as (select e.doc_id, e.i, e.j, string_agg(l.line, chr(10) order by l.i) as run from e join l on l.doc_id = e.doc_id and l.i between e.i and e.j group by 1, 2, 3),
 placed as (select *, row_number() over (partition by run order by doc_id, i) as nth from win),
 gone as (select distinct l.doc_id, l.i from placed p join l on l.doc_id = p.doc_id and l.i between p.i and p.j where nth > 1)

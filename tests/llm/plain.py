@@ -30,23 +30,22 @@ def substring_removed(rows, window):
 
 
 def lines_deleted(rows, min_words):
-    """``[(n_lines, n_deleted, left text)]`` of texts in order."""
+    """``[(n_lines, n_deleted, left text)]`` of texts in order: a line goes if any run of lines around it
+    that holds ``min_words`` words stands at an earlier place."""
+    split = [(t or "").split("\n") for t in rows]
     seen, out = set(), []
-    for text in rows:
-        lines = (text or "").split("\n")
-        gone = set()
+    for text, lines in zip(rows, split, strict=True):
+        n, gone = [len(words(x)) for x in lines], set()
         for i in range(len(lines)):
-            n = 0
-            for j in range(i, len(lines)):
-                n += len(words(lines[j]))
-                if n >= min_words:
-                    run = tuple(lines[i : j + 1])
+            held = 0
+            for j in range(i + 1, len(lines) + 1):
+                held += n[j - 1]
+                if held >= min_words:
+                    run = hash(tuple(lines[i:j]))
                     if run in seen:
-                        gone |= set(range(i, j + 1))
+                        gone |= set(range(i, j))
                     seen.add(run)
-                    break
-        left = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-        out.append((len(lines), len(gone), text if not gone else left))
+        out.append((len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text))
     return out
 
 
@@ -91,3 +90,12 @@ def sainte_lague(votes, seats):
         best = max(range(len(votes)), key=lambda i: (votes[i] / (2 * held[i] + 1), -i))
         held[best] += 1
     return held
+
+
+def targets(sizes, weights, total, most):
+    """Shares ``min(most * size, level * weight)`` whose sum is ``total``, the level found by bisection."""
+    low, high = 0.0, most * sum(sizes) + 1.0
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(most * n, level * w) for n, w in zip(sizes, weights)) < total else (low, level)
+    return [min(most * n, high * w) for n, w in zip(sizes, weights)]

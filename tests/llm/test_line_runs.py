@@ -8,24 +8,6 @@ import pytest
 from gaugeline.llm import chunks, line_dedup
 
 
-def _whole_runs(rows, min_words):
-    """``[(n_lines, n_deleted, left text)]``: a line goes if any run of lines around it that holds
-    ``min_words`` words stands at an earlier place."""
-    split = [(t or "").split("\n") for t in rows]
-    seen, out = set(), []
-    for text, lines in zip(rows, split, strict=True):
-        n, gone = [len(plain.words(x)) for x in lines], set()
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines) + 1):
-                if sum(n[i:j]) >= min_words:
-                    run = tuple(lines[i:j])
-                    if run in seen:
-                        gone |= set(range(i, j))
-                    seen.add(run)
-        out.append((len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text))
-    return out
-
-
 def _got(spark, texts, **options):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     return [(r.n_lines, r.n_deleted, r.text) for r in line_dedup.delete_repeats(docs, **options).orderBy("doc_id").collect()]
@@ -33,7 +15,7 @@ def _got(spark, texts, **options):
 
 def test_copy_is_left_empty(spark):
     text = " ".join(f"w{i}" for i in range(100)) + "\na b c d e"
-    assert _got(spark, [text, text], whole_runs=True) == [(2, 0, text), (2, 2, "")]
+    assert _got(spark, [text, text]) == plain.lines_deleted([text, text], line_dedup.MIN_WORDS) == [(2, 0, text), (2, 2, "")]
 
 
 @pytest.mark.parametrize("min_words, chunk_bytes", [(1, 200), (3, 1 << 20), (9, 200), (9, 1 << 20)])
@@ -43,4 +25,4 @@ def test_runs_go_to_their_end(spark, monkeypatch, min_words, chunk_bytes):
     lines = ["", " ", "x", *[" ".join(draw.choice("abcde") for _ in range(draw.randint(1, 6))) for _ in range(8)]]
     texts = ["\n".join(draw.choice(lines) for _ in range(draw.randint(0, 12))) for _ in range(40)]
     texts += [None, "", texts[0], texts[1], "\n".join([lines[5]] * 9)]
-    assert _got(spark, texts, min_words=min_words, whole_runs=True) == _whole_runs(texts, min_words)
+    assert _got(spark, texts, min_words=min_words) == plain.lines_deleted(texts, min_words)
