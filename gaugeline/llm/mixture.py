@@ -3,9 +3,11 @@
 The mix has a size in words (a share of all words).  Targets divide it by weight, no source above a
 multiple of its own size; what that cuts off goes to the others by weight, until none is above.
 
-Seats are blocks of equal size, which shrinks to the least target, so that small sources get seats too.  They go to sources by highest quotient ``target / (2 s + 1)``, and in
-the same way from a source to its shards.  A shard is a seeded hash class of a source's documents, small
-enough for one task, so no source, however large, is ordered in one place.  Within a shard the
+Seats are blocks of equal size.  They go to sources by highest quotient ``target / (2 s + 1)``, and in
+the same way from a source to its shards; the last block of a source that is taken as often as it may be,
+and the only one of a source whose target is below a block, are partial.  A shard is a seeded hash class of
+a source's documents, small enough for one task, so no source, however large, is ordered in one place.
+Within a shard the
 documents stand in seeded order and are cut into blocks on end; a quota of q blocks takes the first q,
 beginning again at the first when all are taken.  At most one document of a shard is thus taken in part,
 and rerunning gives the same mix.
@@ -15,8 +17,9 @@ rows of equal id are ordered by text, and equal rows share alike whatever their
 gives an empty table; columns pass through, and ``size``, ``source_size``, ``target``, ``taken``
 replace input columns of the same name.
 
-One row per source and one per shard (``shard_words`` words each) reach the driver; more than
-``max_rows`` of them raise an error.
+One row per source and one per shard reach the driver.  A shard holds ``shard_words`` words, more where
+these were more than ``shards`` shards; more than ``max_sources`` sources raise an error.  Documents
+without words are in no shard.
 """
 
 from __future__ import annotations
@@ -33,9 +36,9 @@ from gaugeline.llm.words import WORD, n_words, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
-BLOCK = 32
-SHARD_WORDS = 4_000_000
-MAX_ROWS = 5_000_000
+BLOCK = 8
+SHARD_WORDS, SHARDS = 4_000_000, 100_000
+MAX_SOURCES = 5_000_000
 
 
 def fill_targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -89,6 +92,16 @@ def sainte_lague(votes: list[float], seats: int, most: list[int] | None = None)
     return held
 
 
+def _exact(quotas: list[int], most: list[int], due: int) -> list[int]:
+    """Quotas of shards, in words, whose sum is what the source is due: partial last blocks give or take."""
+    gap = due - sum(quotas)
+    for i, (q, m) in enumerate(zip(quotas, most, strict=True)):
+        step = max(-q, min(gap, m - q))
+        quotas[i] += step
+        gap -= step
+    return quotas
+
+
 def _shard(size: Column, key: str, text_hash: Column, seed: int, shard_words: int) -> Column:
     n = F.ceil(size / F.lit(float(shard_words)))
     return F.when(n > 1, F.pmod(F.xxhash64(F.lit(seed), key, text_hash), n)).otherwise(F.lit(0)).cast("bigint")
@@ -97,7 +110,7 @@ def _shard(size: Column, key: str, text_hash: Column, seed: int, shard_words: in
 def mix(
     docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS,
     share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = 17, shard_words: int = SHARD_WORDS,
-    max_rows: int = MAX_ROWS, keep_text: bool = True,
+    shards: int = SHARDS, max_sources: int = MAX_SOURCES, keep_text: bool = True,
 ) -> DataFrame:
     """The documents with ``size`` (words), ``source_size``, ``target`` of the source, and ``taken`` (words
     of this document in the mix, repeats counted).  ``weights`` repeat over the sources in code point
@@ -109,36 +122,35 @@ def mix(
         F.struct(*[F.col(c) for c in kept]).alias("doc"), F.col(source).alias("source"), F.col(key).alias("key"),
         n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("hash"),
     )
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(max_rows + 1).collect()
-    if len(per_source) > max_rows:
-        raise ValueError(f"more than {max_rows} sources")
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
+    if len(per_source) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
     rows = sorted(per_source, key=lambda r: (r.source is None, (r.source or "").encode() if isinstance(r.source, (str, type(None))) else r.source))
     sizes = [r.n for r in rows]
     total = share * sum(sizes)
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], total, most)
-    block = max(1, min(block, math.floor(min((t for t in targets if t > 0), default=block))))
-    seats = sainte_lague(targets, round(math.fsum(targets) / block), [int(most * n) // block for n in sizes])
+    shard_words = max(shard_words, sum(sizes) // shards)
+    large = [t if t >= block else 0.0 for t in targets]
+    seats = sainte_lague(large, round(math.fsum(large) / block), [math.ceil(most * n / block) for n in sizes])
+    words_of = [min(s * block, int(most * n)) if t else round(u) for s, n, t, u in zip(seats, sizes, large, targets, strict=True)]
 
-    # the one row per source is bounded by max_rows and joined; Spark broadcasts it when small
+    # one row per source, bounded by max_sources, is joined; broadcast when small
     kind = docs.schema[source].dataType
     schema = T.StructType([T.StructField("source", kind), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     sources = spark.createDataFrame([(r.source, r.n, t) for r, t in zip(rows, targets, strict=True)], schema)
     known = sized.join(F.broadcast(sources) if len(rows) <= 10_000 else sources, sized["source"].eqNullSafe(sources["source"])).select(
         "doc", sized["source"], "key", "size", "hash", "source_size", "target"
     )
-    dealt = known.withColumn("shard", _shard(F.col("source_size"), "key", F.col("hash"), seed, shard_words))
-    per_shard = dealt.groupBy("source", "shard").agg(F.sum("size").alias("n")).limit(max_rows + 1).collect()
-    if len(per_shard) > max_rows:
-        raise ValueError(f"more than {max_rows} shards")
+    dealt = known.where("size > 0").withColumn("shard", _shard(F.col("source_size"), "key", F.col("hash"), seed, shard_words))
     by_source: dict = {}
-    for r in sorted(per_shard, key=lambda r: r.shard):
+    for r in dealt.groupBy("source", "shard").agg(F.sum("size").alias("n")).orderBy("shard").collect():
         by_source.setdefault(r.source, []).append((r.shard, r.n))
     quotas = []
-    for r, s in zip(rows, seats, strict=True):
-        shards = by_source.get(r.source, [])
-        # a shard may pass its multiple by less than a block; the clause on ``least`` below holds it
-        got = sainte_lague([n for _, n in shards], s, [math.ceil(most * n / block) for _, n in shards])
-        quotas += [(r.source, k, n, min(q * block, int(most * n))) for (k, n), q in zip(shards, got, strict=True)]
+    for r, due in zip(rows, words_of, strict=True):
+        dealt_to = by_source.get(r.source, [])
+        got = sainte_lague([n for _, n in dealt_to], -(-due // block), [math.ceil(most * n / block) for _, n in dealt_to])
+        got = _exact([min(q * block, int(most * n)) for (_, n), q in zip(dealt_to, got, strict=True)], [int(most * n) for _, n in dealt_to], due)
+        quotas += [(r.source, k, n, q) for (k, n), q in zip(dealt_to, got, strict=True)]
     schema = T.StructType(
         [T.StructField("source", kind), T.StructField("shard", T.LongType()), T.StructField("shard_size", T.LongType()), T.StructField("quota", T.LongType())]
     )
@@ -152,7 +164,9 @@ def mix(
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0)
     rest = F.col("quota") - rounds * F.col("shard_size")
     partly = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("end") - F.col("size"))))
-    return placed.select("doc.*", "size", "source_size", "target", (rounds * F.col("size") + partly).cast("bigint").alias("taken"))
+    empty = known.where("size = 0").select("doc.*", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
+    taken = placed.select("doc.*", "size", "source_size", "target", (rounds * F.col("size") + partly).cast("bigint").alias("taken"))
+    return taken.unionByName(empty)
 
 
 def repeat_rows(mixed: DataFrame, text: str = "text") -> DataFrame:

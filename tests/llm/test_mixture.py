@@ -48,7 +48,7 @@ def test_query(spark, sf_dir, tables):
     for n, source in texts.values():
         sizes[source] = sizes.get(source, 0) + n
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    targets = mixture.fill_targets([sizes[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2.0)
+    targets = plain.targets([sizes[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2.0)
     want = dict(zip(names, targets, strict=True))
     taken = {}
     for r in got:
@@ -73,4 +73,35 @@ def test_shards_and_corner_cases(spark):
     assert sum(len(plain.words(r.text)) for r in copies) == taken and mixture.repeat_rows(kept).columns == ["doc_id", "source", "text"]
     assert mixture.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        mixture.mix(docs, max_rows=2)
+        mixture.mix(docs, max_sources=2)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_targets_equal_filling_to_a_level(seed):
+    draw = random.Random(seed)
+    sizes = [draw.choice([0, 1, draw.randint(1, 20), draw.randint(1, 5000)]) for _ in range(draw.randint(1, 9))] + [3]
+    weights = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
+    got = mixture.fill_targets(sizes, weights, 1.5 * sum(sizes), 2.0)
+    assert got == pytest.approx(plain.targets(sizes, weights, 1.5 * sum(sizes), 2.0), abs=1e-6)
+
+
+def test_texts_without_words_are_no_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    empty = spark.range(100_000, numPartitions=8).select(
+        F.col("id").alias("doc_id"), F.lit("small").alias("source"), F.when(F.col("id") % 2 == 0, F.lit(" ")).alias("text")
+    )
+    words = spark.createDataFrame([(-1, "small", "one"), (-2, "big", "w " * 400)], empty.schema)
+    mixed = mixture.mix(empty.union(words)).cache()
+    assert mixed.count() == 100_002 and mixed.where("size = 0 and taken <> 0").count() == 0
+    assert {r.doc_id: r.taken for r in mixed.where("size > 0").collect()} == {-1: 2, -2: 600}
+    plan = mixture.mix(empty.union(words))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1
+
+
+def test_shards_stay_few(spark):
+    rows = [(i, "hot", " ".join(["w"] * 20)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixture.mix(docs, shard_words=10, shards=5).collect()
+    _check(got, mixture.BLOCK)
+    assert sum(r.taken for r in got) == 6000

@@ -68,7 +68,7 @@ def test_mixture(stages):
     for r in after.collect():
         taken[r.source] = taken.get(r.source, 0) + len(plain.words(r.text))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    targets = mixture.fill_targets([sizes[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2.0)
+    targets = plain.targets([sizes[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2.0)
     for source, target in zip(names, targets, strict=True):
         assert abs(taken.get(source, 0) - target) <= mixture.BLOCK
 
