@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from gaugeline.llm.words import span_hashes, text_bytes
+from gaugeline.llm.words import distinct, text_bytes
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Texts are taken in groups of about so many bytes, to bound the arrays.
@@ -105,16 +105,6 @@ def _contractions(points: np.ndarray, head: np.ndarray, begins: np.ndarray, mark
         begins[after[after < n]] = True
 
 
-def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The distinct pieces, compared byte by byte, and the number of each piece among them; ``starts``
-    ends with the end of the last piece."""
-    places, held = (pa.py_buffer(np.ascontiguousarray(x)) for x in (starts.astype(np.int64), data))
-    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, places, held]).dictionary_encode()
-    _, places, held = found.dictionary.buffers()
-    at, raw = np.frombuffer(places, np.int64, len(found.dictionary) + 1).tolist(), held.to_pybytes()
-    return found.indices.to_numpy(), [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
 class PieceCoder:
     """Encodes texts through their distinct pieces, which it remembers within a bound.
 

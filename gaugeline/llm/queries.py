@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import byte_bpe, embedding_dedup, line_dedup, mixture, ngram_join, pii, quality_rules, substring_dedup, token_files, warc
+from gaugeline.llm import byte_bpe, decontaminate, embedding_dedup, line_dedup, mixture, ngram_join, pii, quality_rules, substring_dedup, token_files, warc
 from gaugeline.llm.ship import ship
 from gaugeline.sources.tables import fresh_path
 
@@ -188,3 +188,30 @@ def op3(spark, sf_dir):
     folder = fresh_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
     return warc.pages(warc.read(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_SQL_NORMAL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP11_SQL = f"""
+with d as (select doc_id, {_SQL_NORMAL} as ws from documents),
+b as (select cast(item_id as varchar) as item, {_SQL_NORMAL} as ws from benchmark),
+bw as (select item, ws, unnest(range(1, greatest(2, len(ws) - {decontaminate.WINDOW - 2}))) as i from b where len(ws) > 0),
+win as (select distinct item, array_to_string(ws[i : i + {decontaminate.WINDOW - 1}], ' ') as phrase, len(ws[i : i + {decontaminate.WINDOW - 1}]) as m from bw),
+spots as (select doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) as i from d, (select distinct m from win) where len(ws) >= m),
+hit as (select doc_id, i, m, item from (select doc_id, i, m, array_to_string(ws[i : i + m - 1], ' ') as phrase from spots) join win using (phrase, m)),
+gone as (select doc_id, count(distinct i + k) as n from hit, range({decontaminate.WINDOW}) t(k) where k < m group by 1),
+named as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from hit) group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(gone.n, 0) as n_hit, coalesce(named.n, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, gone.n is not null as contaminated
+from d left join gone using (doc_id) left join named using (doc_id)
+"""
+
+
+@query("op11_decontaminate", _OP11_SQL)
+def op11(spark, sf_dir):
+    """Words of each document that occurrences of benchmark windows cover, and the items they come from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -84,6 +84,28 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def distinct(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct pieces between neighbouring edges, compared byte by byte, and the number of each
+    piece among them."""
+    places, held = (pa.py_buffer(np.ascontiguousarray(x)) for x in (edges.astype(np.int64), data))
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, places, held]).dictionary_encode()
+    _, places, held = found.dictionary.buffers()
+    if held is None:
+        return found.indices.to_numpy(), [b""] * len(found.dictionary)
+    at, raw = np.frombuffer(places, np.int64, len(found.dictionary) + 1).tolist(), held.to_pybytes()
+    return found.indices.to_numpy(), [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The same for spans in order that don't overlap; what is between them is listed, too, but not numbered."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[::2], edges[1::2] = starts, ends
+    codes, listed = distinct(data, edges)
+    return codes[::2], listed
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and the number of the first word of each text (and of the end)."""
     inside = (data != 32) & ((data < 9) | (data > 13))

@@ -99,3 +99,31 @@ def targets(sizes, weights, total, most):
         level = (low + high) / 2
         low, high = (level, high) if sum(min(most * n, level * w) for n, w in zip(sizes, weights)) < total else (low, level)
     return [min(most * n, high * w) for n, w in zip(sizes, weights)]
+
+
+def item_words(text):
+    """Words and their places in the text."""
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower))
+    return [m.group() for m in found], [m.span() for m in found]
+
+
+def occurrences(text, items, window):
+    """``(n_words, hit word numbers, spans of hit runs, ids)`` for ``items`` of ``(id, text)``."""
+    ws, spans = item_words(text)
+    hit, ids = set(), set()
+    for key, item in items:
+        w, _ = item_words(item)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            part = w[i : i + window]
+            for j in range(len(ws) - len(part) + 1):
+                if ws[j : j + len(part)] == part:
+                    hit |= set(range(j, j + len(part)))
+                    ids.add("" if key is None else str(key))
+    runs = []
+    for j in sorted(hit):
+        if j - 1 in hit:
+            runs[-1] = (runs[-1][0], spans[j][1])
+        else:
+            runs.append(spans[j])
+    return len(ws), hit, runs, sorted(ids)
