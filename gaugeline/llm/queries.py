@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import byte_bpe, decontaminate, embedding_dedup, line_dedup, mixture, ngram_join, pii, quality_rules, substring_dedup, token_files, warc
+from gaugeline.llm import byte_bpe, collocations, decontaminate, embedding_dedup, line_dedup, mixture, ngram_join, pii, quality_rules, substring_dedup, token_files, warc
 from gaugeline.llm.ship import ship
 from gaugeline.sources.tables import fresh_path
 
@@ -215,3 +215,35 @@ def op11(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_SQL_PHRASES = "\n".join(
+    f"union all select lang, {k} as k, ws[i : i + {k - 1}] as p from spots where i + {k - 1} <= len(ws)" for k in range(2, collocations.LONGEST + 1)
+)
+_OP12_SQL = f"""
+with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^ \t]+') as ws from t),
+spots as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w),
+ph as (select lang, 1 as k, ws[i : i] as p from spots
+{_SQL_PHRASES}),
+f as (select lang, k, p, count(*) as a from ph group by 1, 2, 3),
+total as (select lang, cast(sum(a) as bigint) as n from f where k = 1 group by 1),
+c as (select * from f where k > 1 and a >= {collocations.MIN_COUNT}),
+cuts as (select c.lang, c.k, c.p, c.a, unnest(range(1, c.k)) as cut from c),
+s as (select x.lang, x.k, x.p, x.a, cut, l.a as l, r.a as r, total.n,
+             (1000::hugeint * x.a * total.n) // (l.a::hugeint * r.a) as score
+      from cuts x join total using (lang) join f l on l.lang = x.lang and l.k = cut and l.p = x.p[1 : cut]
+      join f r on r.lang = x.lang and r.k = x.k - cut and r.p = x.p[cut + 1 : x.k]),
+low as (select * from s qualify row_number() over (partition by lang, p order by score, cut) = 1),
+inside as (select distinct c.lang, c.p[i : i + m - 1] as p, c.a from c, range(1, {collocations.LONGEST}) u(i), range(2, {collocations.LONGEST}) v(m) where m < c.k and i + m - 1 <= c.k),
+gone as (select distinct low.lang, low.p from low join inside using (lang, p) where 100 * inside.a >= {collocations.ABSORBED} * low.a),
+named as (select lang, array_to_string(p, ' ') as phrase, a, l, r, n, cast(score as bigint) as score from low anti join gone using (lang, p))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from named qualify rank <= {collocations.TOP}
+"""
+
+
+@query("op12_collocations", _OP12_SQL)
+def op12(spark, sf_dir):
+    """The best phrases of each language."""
+    return collocations.top_phrases(table(spark, sf_dir, "documents").select("lang", "text"))

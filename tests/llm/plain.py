@@ -127,3 +127,37 @@ def occurrences(text, items, window):
         else:
             runs.append(spans[j])
     return len(ws), hit, runs, sorted(ids)
+
+
+def collocations(rows, longest=5, least=100, top=2000, absorbed=100):
+    """``[(lang, rank, phrase, a, l, r, n, score)]`` of ``(lang, text)``."""
+    f, total = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for k in range(1, longest + 1):
+                f.update((lang, tuple(w[i : i + k])) for i in range(len(w) - k + 1))
+    some = {x: a for x, a in f.items() if len(x[1]) > 1 and a >= least}
+    gone = set()
+    for (lang, p), a in some.items():
+        for k in range(2, len(p)):
+            for i in range(len(p) - k + 1):
+                x = (lang, p[i : i + k])
+                if 100 * a >= absorbed * f[x]:
+                    gone.add(x)
+    out = []
+    for (lang, p), a in some.items():
+        if (lang, p) not in gone:
+            cuts = [(1000 * a * total[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            out.append((lang, -score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]], total[lang]))
+    out.sort()
+    ranks, listed = collections.Counter(), []
+    for lang, score, a, p, left, right, n in out:
+        ranks[lang] += 1
+        if ranks[lang] <= top:
+            listed.append((lang, ranks[lang], p.decode(), -a, left, right, n, -score))
+    return listed
