@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import byte_bpe, collocations, decontaminate, embedding_dedup, line_dedup, mixture, ngram_join, pii, quality_rules, substring_dedup, token_files, warc
+from gaugeline.llm import byte_bpe, collocations, decontaminate, embedding_dedup, line_dedup, mixture, ngram_join, pii, quality_rules, spelling, substring_dedup, token_files, warc
 from gaugeline.llm.ship import ship
 from gaugeline.sources.tables import fresh_path
 
@@ -247,3 +247,36 @@ from named qualify rank <= {collocations.TOP}
 def op12(spark, sf_dir):
     """The best phrases of each language."""
     return collocations.top_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+#: The checksum is that of zlib: polynomial 0xEDB88320, bit by bit in the table, byte by byte in the rows.
+_OP13_SQL = f"""
+with recursive bits as (select b as i, cast(b as ubigint) as v, 0 as k from range(256) t(b)
+  union all select i, case when v % 2 = 1 then xor(v // 2, 3988292384::ubigint) else v // 2 end, k + 1 from bits where k < 8),
+tab as (select list(v order by i) as tab from bits where k = 8),
+runs as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as run from documents),
+low as (select coalesce(cast(doc_id as varchar), '') as id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from runs group by 1, 2),
+bytes as (select id, run, n, hex(encode(id || ':' || run)) as h from low),
+crc as (select id, run, n, h, 0 as spot, 4294967295::ubigint as c from bytes
+  union all select id, run, n, h, spot + 2, xor(c // 256, tab[cast(1 + xor(c % 256, cast('0x' || h[spot + 1 : spot + 2] as ubigint)) as bigint)]) from crc, tab where spot < len(h)),
+sums as (select run, n, xor(c, 4294967295::ubigint) as c from crc where spot = len(h)),
+said as (select case when c % 97 = 0 then substr(run, 1, cast(c % len(run) as bigint)) || substr(run, cast(c % len(run) as bigint) + 2) else run end as word, n from sums),
+w as (select word, cast(sum(n) as bigint) as n from said where len(word) >= {spelling.LEAST_LENGTH} group by 1 having sum(n) >= {spelling.LEAST_COUNT}),
+spots as (select word, n, unnest(range(1, len(word) + 1)) as i from w),
+cut as (select distinct word, substr(word, 1, i - 1) || substr(word, i + 1) as less from spots),
+hole as (select word, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as holed from spots),
+pair as (select cut.word as x, w.word as y from cut join w on w.word = cut.less union all select w.word, cut.word from cut join w on w.word = cut.less
+  union all select a.word, b.word from hole a join hole b on a.holed = b.holed and a.word <> b.word),
+near as (select x as word, count(*) as n_near, arg_min(y, (-n, y)) as best, max(n) as best_n from pair join w on w.word = y group by 1),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= {spelling.RATIO} * w.n then best end as form, case when best_n >= {spelling.RATIO} * w.n then best_n end as form_n
+  from w left join near using (word)),
+way as (select word, word as root, form as ahead from formed union all select way.word, way.ahead, f.form from way join formed f on f.word = way.ahead)
+select formed.word, form, root, n, n_near, form_n from formed join way on way.word = formed.word where ahead is null
+"""
+
+
+@query("op13_spelling", _OP13_SQL)
+def op13(spark, sf_dir):
+    """Form and root of every word, after the contract's deletions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.count(spelling.swaps(spelling.runs(docs, "text", "doc_id"), "doc_id")))

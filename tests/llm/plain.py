@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -161,3 +162,36 @@ def collocations(rows, longest=5, least=100, top=2000, absorbed=100):
         if ranks[lang] <= top:
             listed.append((lang, ranks[lang], p.decode(), -a, left, right, n, -score))
     return listed
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spellings(n):
+    """``{word: (form, root, n, n_near, form_n)}`` of ``{word: n}``."""
+    near = {w: [x for x in n if one_edit(w, x)] for w in n}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {w: (form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n}
+
+
+def spelling_words(rows):
+    """Counts of the words of ``(doc_id, text)`` after the deletions."""
+    counts = collections.Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            counts[run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    return {w: c for w, c in counts.items() if len(w) >= 5 and c >= 3}
