@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from gaugeline.sources.tables import fresh_path
 
 CHUNK_BYTES = 2 << 20
-_MOST_BUCKETS = 100_000  # Spark's own limit
+MOST_BUCKETS = 100_000  # Spark's own limit
 #: Low bits of a packed key.
 MULTI, ANCHOR = np.uint64(1), np.uint64(2)
 
@@ -40,7 +40,7 @@ def write_chunks(docs: DataFrame, text: str, chunk_bytes: int | None = None) ->
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     size = chunk_bytes or min(64 << 20, max(CHUNK_BYTES, total // 4096))
-    buckets = min(_MOST_BUCKETS, max(1 + total // (2 * size), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = min(MOST_BUCKETS, max(1 + total // (2 * size), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     schema = T.StructType(
         [T.StructField("chunk", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(docs.schema.fields)))]
     )

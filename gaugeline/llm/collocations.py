@@ -6,7 +6,8 @@ two numbers (numpy ``bincount``), one with few as sorted coordinates with counts
 size of a tile.  Pairs that are frequent enough are numbered by falling frequency in their turn, and a
 phrase of three words is a pair of two such pairs that overlap, and so on up to ``longest`` words.
 
-How it runs: documents are written as chunks; a chunk counts its tiles, and equal tiles of up to 64
+How it runs: documents are cut into words once and written as chunks of some megabytes of text: the words
+of a chunk, and its texts as numbers of these.  A chunk counts its tiles, and equal tiles of up to 64
 chunks (then of 64 such groups, and so on) are added up in one task, so that the hottest tile is no hot
 task.  Numbers go back to the chunks by an exchange of packed pairs dealt by hash: frequent pairs come first
 in a bucket, the distinct pairs of chunk after chunk stream past them.  Nothing is broadcast, and no
@@ -26,6 +27,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ from gaugeline.llm.words import distinct_spans, mix, text_bytes
 from gaugeline.sources.tables import fresh_path
 
 LONGEST, MIN_COUNT, TOP, ABSORBED = 5, 100, 2000, 100
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Numbers on a side of a tile.
 TILE = 2048
 #: Equal tiles added up in one task.
@@ -56,12 +58,12 @@ _PAIRS = "bucket bigint, chunk bigint, codes binary, ids binary"
 # --- words -----------------------------------------------------------------------------------
 
 
-def tokens(docs: pa.StructArray) -> tuple[np.ndarray, list[str], list[bytes], np.ndarray]:
-    """Numbers of the words of all texts on end, the language and the bytes of each number, and which words
-    follow the one before within a piece."""
+def tokens(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """The texts on end as numbers of their words from 1, 0 between pieces; the language and the word of
+    each number, and how often it stands."""
     import pandas as pd
 
-    data, offsets = text_bytes(docs.field("text"))
+    data, offsets = text_bytes(texts)
     kind = _KINDS[data]
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = kind == 0
@@ -71,35 +73,80 @@ def tokens(docs: pa.StructArray) -> tuple[np.ndarray, list[str], list[bytes], np
     last[inner - 1] |= inside[1:-1][inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     text = np.searchsorted(offsets, starts, "right") - 1
-    piece = np.cumsum(kind == 2, dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
-    linked = np.zeros(len(starts), bool)
-    linked[1:] = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (piece[1:] != piece[:-1])
     codes, listed = distinct_spans(_LOWER[data], starts, ends)
-    langs, of = np.unique(np.array(docs.field("lang").to_pylist() or [""], object).astype(str), return_inverse=True)
-    pair = of[text].astype(np.int64) * max(1, len(listed)) + codes if len(starts) else np.zeros(0, np.int64)
-    numbers, values = pd.factorize(pair)
-    return numbers, [str(langs[v // len(listed)]) for v in values.tolist()], [listed[v % len(listed)] for v in values.tolist()], linked
+    of = langs.dictionary_encode()
+    named = of.indices.to_numpy(zero_copy_only=False)[text].astype(np.int64) * max(1, len(listed)) + codes
+    numbers, values = pd.factorize(named)
+    line = np.zeros(len(numbers) + int(fresh.sum()), np.uint32)
+    line[np.arange(len(numbers)) + np.cumsum(fresh)] = numbers + 1
+    words = pa.array(listed, pa.binary()).cast(pa.string()).take(pa.array(values % max(1, len(listed))))
+    return line, of.dictionary.take(pa.array(values // max(1, len(listed)))), words, np.bincount(numbers, minlength=len(values))
 
 
-def _count_words(chunk, docs, _):
-    numbers, langs, listed, _ = tokens(docs)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(listed), chunk), pa.int64()), pa.array(langs, pa.string()), pa.array(listed, pa.binary()).cast(pa.string()),
-            pa.array(np.bincount(numbers, minlength=len(listed)), pa.int64()),
-        ],
-        names=["chunk", "lang", "word", "n"],
-    )
+_WORDS = "chunk bigint, rows array<struct<ids: binary, langs: array<string>, words: array<string>, counts: array<bigint>>>"
+
+
+def _cut_words(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Chunks of ``(lang, text)`` as words, stored, and the number of buckets."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(C.MOST_BUCKETS, max(1 + total // (2 * CHUNK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def pack(batches):
+        part, n = TaskContext.get().partitionId() << 32, 0
+        held, weight = [], 0
+
+        def flush():
+            texts, langs = (pa.concat_arrays([b.column(c) for b in held]) for c in ("text", "lang"))
+            line, *fields, counts = tokens(texts, langs)
+            lists = [pa.ListArray.from_arrays([0, len(f)], f) for f in (*fields, pa.array(counts, pa.int64()))]
+            row = pa.StructArray.from_arrays([pa.array([line.tobytes()], pa.binary()), *lists], names=["ids", "langs", "words", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([part + n], pa.int64()), pa.ListArray.from_arrays([0, 1], row)], names=["chunk", "rows"])
+
+        for batch in batches:
+            places, at = C.text_places(batch.column("text")), 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(places, places[at] + CHUNK_BYTES - weight, "right")) - 1
+                to = min(batch.num_rows, max(to, at + (not held)))
+                if to > at:
+                    held.append(batch.slice(at, to - at))
+                    weight += int(places[to] - places[at])
+                    at = to
+                if at < batch.num_rows:
+                    yield flush()
+                    held, weight, n = [], 0, n + 1
+        if held:
+            yield flush()
+
+    return _bucketed(docs.mapInArrow(pack, _WORDS), buckets), buckets
 
 
 def _number_words(chunk, docs, found):
-    """The numbers of the words of a chunk, one more than the rank, 0 for rare words and between pieces."""
-    numbers, langs, listed, linked = tokens(docs)
-    known = {(x["lang"], x["word"]): x["id"] + 1 for x in found}
-    ids = np.fromiter((known.get((a, w.decode()), 0) for a, w in zip(langs, listed, strict=True)), np.uint32, len(listed))
-    line = np.zeros(len(numbers) + int((~linked).sum()), np.uint32)
-    line[np.arange(len(numbers)) + np.cumsum(~linked) - 1] = ids[numbers] if len(numbers) else 0
-    yield _sequence(chunk, line)
+    """The ranks of the words of a chunk, one more than the rank, 0 for rare words and between pieces."""
+    line = np.frombuffer(docs.field("ids")[0].as_py(), np.uint32)
+    ids = np.zeros(len(docs.field("words")[0].values) + 1, np.uint32)
+    for x in found:
+        ids[np.frombuffer(x["numbers"], np.int64)] = np.frombuffer(x["ids"], np.int64) + 1
+    yield _sequence(chunk, ids[line])
+
+
+def _packed(batches):
+    """``(chunk, number, id)`` to one row per chunk and batch."""
+    for batch in batches:
+        chunk, number, ids = (batch.column(c).to_numpy() for c in ("chunk", "number", "id"))
+        order = np.argsort(chunk, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(chunk[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+        spans = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([chunk[s[0]] for s in spans], pa.int64()), pa.array([number[s].tobytes() for s in spans], pa.binary()),
+                pa.array([ids[s].tobytes() for s in spans], pa.binary()),
+            ],
+            names=["chunk", "numbers", "ids"],
+        )
 
 
 def _sequence(chunk: int, line: np.ndarray) -> pa.RecordBatch:
@@ -337,14 +384,17 @@ def phrases(
     if longest < 2 or min_count < 1:
         raise ValueError("phrases have at least two words and are found at least once")
     narrow = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    chunks, buckets = C.write_chunks(narrow, "text", CHUNK_BYTES)
+    chunks, buckets = _cut_words(narrow)
     n_chunks = max(1, chunks.count())
-    words = stored(C.each_chunk(chunks, None, _count_words, "chunk bigint, lang string, word string, n bigint"), "words")
-    counts = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+    row = F.element_at("rows", 1)
+    listed = chunks.select("chunk", F.posexplode(F.arrays_zip(row["langs"].alias("lang"), row["words"].alias("word"), row["counts"].alias("n"))).alias("place", "w"))
+    listed = listed.select("chunk", (F.col("place") + 1).cast("bigint").alias("number"), "w.lang", "w.word", "w.n")
+    counts = stored(listed.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     vocabulary = _ranked(counts.where(F.col("n") >= min_count), F.desc("n"), F.asc("lang"), F.asc("word"))
-    named = words.select("chunk", "lang", "word").join(vocabulary.select("lang", "word", "id"), ["lang", "word"])
-    named = named.groupBy("chunk").agg(F.collect_list(F.struct("lang", "word", "id")).alias("found"))
+    named = listed.select("chunk", "number", "lang", "word").join(vocabulary.select("lang", "word", "id"), ["lang", "word"])
+    named = named.select("chunk", "number", "id").mapInArrow(_packed, "chunk bigint, numbers binary, ids binary")
+    named = named.groupBy("chunk").agg(F.collect_list(F.struct("numbers", "ids")).alias("found"))
     lines = _bucketed(C.each_chunk(chunks, named, _number_words, _SEQUENCE), buckets)
 
     none = F.array().cast("array<bigint>")
