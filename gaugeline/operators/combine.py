@@ -165,6 +165,22 @@ def add_source(
     ``max_gap`` cells from a known value.  ``limits`` turns the new columns into 0/1 flags.
     ``store`` is applied between the dropping and the filling, which both scan the whole table.
     """
+    merged, new = join_source(df, source, axis, source_time=source_time, round_to_hour=round_to_hour, limits=limits)
+    if sparse or include_missing:
+        return merged
+    return fill_joined(store(merged), axis, new, max_gap=max_gap, basis=basis, store=store)
+
+
+def join_source(
+    df: DataFrame,
+    source: DataFrame,
+    axis: Axis,
+    *,
+    source_time: str = "Time",
+    round_to_hour: bool = False,
+    limits: Mapping[str, float] | DataFrame | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """The table with the columns of a further source at equal times, as numbers or flags, and their names."""
     if source_time != axis.time and source_time in source.columns:
         source = source.withColumnRenamed(source_time, axis.time)
     if round_to_hour:
@@ -179,12 +195,18 @@ def add_source(
     merged = select(join_keys(df, source, [*axis.keys, axis.time], "left"), [*df.columns, *new])
     if limits is not None:
         merged = merged.withColumn("anomaly", row_flag([col(c) for c in new]))
-    if sparse or include_missing:
-        return merged
-    if limits is not None:
-        merged = merged.select(*[col(c).cast("double").alias(c) if c in new else col(c) for c in merged.columns])
-    kept = store(drop_long_gaps(store(merged), axis, new, max_gap))
-    return interpolate(kept, axis, new, limit=max_gap, direction="both", basis=basis)
+    return merged, new
+
+
+def fill_joined(
+    df: DataFrame, axis: Axis, new: Sequence[str], *, max_gap: int = 6, basis: str = "row", store: Store = as_is
+) -> DataFrame:
+    """Long runs of rows without any of the new columns go, short ones are filled.  Both scan the whole
+    table, and ``store`` is applied between them."""
+    flags = [f.name for f in df.schema if f.name in new and f.dataType.typeName() != "double"]
+    if flags:
+        df = df.select(*[col(c).cast("double").alias(c) if c in flags else col(c) for c in df.columns])
+    return interpolate(store(drop_long_gaps(df, axis, new, max_gap)), axis, new, limit=max_gap, direction="both", basis=basis)
 
 
 def observed_values(

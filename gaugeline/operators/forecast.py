@@ -106,14 +106,14 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
 
 
-def _centred(m: Column, outputs: Sequence[str], shift: float = 0.0) -> Column:
+def _centred(m: Column, outputs: Sequence[str], shift: float | Column = 0.0) -> Column:
     """Sums to count, means and sums of squares and products around the means; zeros without rows.
     The mean of x is moved by ``shift`` hours to a common origin."""
     n, x = (F.coalesce(m[f], F.lit(0.0)) for f in ("n", "x"))
     ys = [F.coalesce(m["y"][i], F.lit(0.0)) for i in range(len(outputs))]
     return F.struct(
         n.alias("n"),
-        ((_ratio(x, n) + shift) if shift else _ratio(x, n)).alias("x"),
+        ((_ratio(x, n) + shift) if isinstance(shift, Column) or shift else _ratio(x, n)).alias("x"),
         (F.coalesce(m["xx"], F.lit(0.0)) - _ratio(x * x, n)).alias("xx"),
         m["lo"].alias("lo"),
         m["hi"].alias("hi"),
@@ -264,43 +264,77 @@ def linear_window_sweep(
 ) -> DataFrame:
     """The linear baseline for each of several whole-hour windows, with a column ``window_hours``.
 
-    The rows of the longest window are read once per sample and walked backwards in time; the line
-    so far is taken at each window length.  Work and output both are (samples x windows).
+    The time line is cut into cells of an hour, and a sample marks its cutoff and every hour before it.  A
+    mark gets the sums of its cell's rows before it and of those from it on, by running sums in the
+    cell.  From the cutoff backwards these parts add up: each window takes over the window before it, so
+    a sample meets a summary of every hour and no history row, on the hourly grid or off it.
     """
+    if min(windows) < 1:
+        raise ValueError("windows have at least one hour")
     keys = axis.key_cols
-    width = max(windows) * HOUR_US
+    hour_of = lambda u: F.floor(u / HOUR_US).cast("bigint")
     us = F.unix_micros(col(axis.time))
     known = _complete(history, outputs).select(
-        *keys, us.alias("__u"), F.floor(us / width).cast("bigint").alias("__cell"),
-        *[col(o).cast("double").alias(o) for o in outputs],
+        *keys, us.alias("__u"), hour_of(us).alias("__cell"), F.lit(1).alias("__o"), *[col(o).cast("double").alias(o) for o in outputs]
     )
+    marks = F.explode(F.sequence(F.lit(0), F.lit(max(windows)))).alias("window_hours")
     samples = _by_sample(targets, axis, outputs).withColumn("__end", F.col("__t0") - F.lit(_hours(gap_hours)))
-    here = F.floor((F.col("__end") - 1) / width).cast("bigint")
-    near = samples.select(*keys, col(SAMPLE), "__end", F.explode(F.array(here, here - 1)).alias("__cell"))
-    inside = (F.col("__u") < F.col("__end")) & (F.col("__u") >= F.col("__end") - F.lit(width))
-    seen = near.join(known, [*axis.keys, "__cell"]).where(inside).select(
-        *keys, col(SAMPLE), F.lit(0).alias("window_hours"),
-        ((F.col("__u") - F.col("__end")) / HOUR_US).alias("__x"), *[col(o) for o in outputs],
+    at = F.col("__end") - F.col("window_hours") * F.lit(HOUR_US)
+    # samples without a time are spread over cells before all times
+    nowhere = F.lit(-1_000_000_000) - F.pmod(F.xxhash64(col(SAMPLE)), F.lit(1 << 16))
+    asked = samples.select(*keys, col(SAMPLE), "__end", "__steps", marks).select(
+        *keys, at.alias("__u"), F.coalesce(hour_of(at), nowhere).alias("__cell"), F.lit(0).alias("__o"),
+        F.struct(col(SAMPLE).alias("sample"), "__end", "__steps", "window_hours").alias("__p"),
     )
-    lengths = samples.select(
-        *keys, col(SAMPLE), "__end", "__steps", F.explode(F.array(*[F.lit(int(w)) for w in windows])).alias("window_hours")
-    ).withColumn("__x", -F.col("window_hours").cast("double"))
-    # rows exactly at the start of a window belong to it: they come before its mark
-    back = (
-        Window.partitionBy(*keys, col(SAMPLE))
-        .orderBy(F.col("__x").desc(), F.col("window_hours"))
-        .rowsBetween(Window.unboundedPreceding, 0)
+    # marks come before rows of their time, seen from either end
+    in_cell = Window.partitionBy(*keys, "__cell")
+    up = in_cell.orderBy("__u", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    down = in_cell.orderBy(F.desc("__u"), F.desc("__o")).rowsBetween(Window.unboundedPreceding, 0)
+    x = F.when(F.col("__o") == 1, (F.col("__u") - F.col("__cell") * F.lit(HOUR_US)) / HOUR_US)
+    seen_us = F.when(F.col("__o") == 1, F.col("__u"))
+    both = asked.unionByName(known, allowMissingColumns=True)
+    summed = both.select(
+        *keys, "__o", "__p", "__cell", _moments(x, seen_us, outputs, up).alias("__before"), _moments(x, seen_us, outputs, down).alias("__after")
+    ).where(F.col("__o") == 0)
+    shift = (F.col("__cell") * F.lit(HOUR_US) - F.col("__p.__end")) / HOUR_US
+    cells = summed.select(
+        *keys, F.col("__p.sample").alias(SAMPLE), "__p.__end", "__p.__steps", "__p.window_hours",
+        _centred(F.col("__before"), outputs, shift).alias("__before"), _centred(F.col("__after"), outputs, shift).alias("__after"),
     )
-    x = F.col("__x")
-    lines = {}
-    for i, o in enumerate(outputs):
-        lines[f"__my{i}"] = F.regr_avgy(col(o), x).over(back)
-        lines[f"__mx{i}"] = F.regr_avgx(col(o), x).over(back)
-        lines[f"__slope{i}"] = F.coalesce(F.regr_slope(col(o), x).over(back), F.lit(0.0))
-    rows = lengths.unionByName(seen, allowMissingColumns=True).withColumns(lines).where(F.col("window_hours") > 0)
+    # the cutoff's own cell ends at the cutoff; all other cells are passed whole
+    first = F.col("window_hours") == 0
+    back = Window.partitionBy(*keys, col(SAMPLE)).orderBy("window_hours")
+    passed = back.rowsBetween(Window.unboundedPreceding, -1)
+    anywhere = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before, after = F.col("__before"), F.col("__after")
+
+    def added(of) -> Column:
+        """A sum over the cells passed, and over the window's own part of its last cell."""
+        return F.coalesce(F.sum(of(before) + F.when(first, F.lit(0.0)).otherwise(of(after))).over(passed), F.lit(0.0)) + of(after)
+
+    def extreme(pick, over, name: str) -> Column:
+        inner = F.when(first, before[name]).otherwise(pick(before[name], after[name]))
+        return pick(over(inner).over(passed), after[name])
+
+    # outputs are measured from a value of the sample, which keeps the digits that raw sums would lose
+    mean = lambda i: F.when(before["n"] > 0, before["y"][i]).when(~first & (after["n"] > 0), after["y"][i])
+    rows = cells.withColumns({f"__ref{i}": F.coalesce(F.first(mean(i), True).over(anywhere), F.lit(0.0)) for i in range(len(outputs))})
+    sums = {
+        "__n": added(lambda m: m["n"]), "__x": added(lambda m: m["n"] * m["x"]), "__xx": added(lambda m: m["xx"] + m["n"] * m["x"] * m["x"]),
+        "__lo": extreme(F.least, F.min, "lo"), "__hi": extreme(F.greatest, F.max, "hi"),
+    }
+    for i in range(len(outputs)):
+        off = lambda m, i=i: m["y"][i] - F.col(f"__ref{i}")
+        sums[f"__y{i}"] = added(lambda m, off=off: m["n"] * off(m))
+        sums[f"__xy{i}"] = added(lambda m, i=i, off=off: m["xy"][i] + m["n"] * m["x"] * off(m))
+    rows = rows.withColumns(sums).where(F.col("window_hours").isin([int(w) for w in windows]))
+    n, mean_x = F.col("__n"), _ratio(F.col("__x"), F.col("__n"))
 
     def pred(s, i):
-        return F.col(f"__my{i}") + F.col(f"__slope{i}") * ((s["us"] - F.col("__end")) / HOUR_US - F.col(f"__mx{i}"))
+        y = _ratio(F.col(f"__y{i}"), n)
+        slope = _ratio(F.col(f"__xy{i}") - F.col("__x") * y, F.col("__xx") - F.col("__x") * mean_x)
+        slope = F.when(F.col("__hi") > F.col("__lo"), slope).otherwise(F.lit(0.0))
+        return F.when(n > 0, F.col(f"__ref{i}") + y + slope * ((s["us"] - F.col("__end")) / HOUR_US - mean_x))
 
     return _long(rows, axis, outputs, pred, ["window_hours"])
 

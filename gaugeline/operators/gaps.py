@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import HOUR_US, col, round_half_even
-from gaugeline.operators.ordered import Axis, Record, Scan, cut_evenly, join_keys, place, scan, series_cols, unplace
+from gaugeline.operators.ordered import LAYOUT, Axis, Record, Scan, cut_evenly, join_keys, placed, scan, series_cols, unplace
 from gaugeline.sources.tables import Store, as_is
 
 
@@ -53,7 +53,8 @@ def insert_missing_hours(df: DataFrame, axis: Axis, max_gap: int = 6, flag: str
 
     Present rows get flag 0; larger steps stay open. A row emits at most ``max_gap`` rows.
     """
-    ahead = scan(df, axis, Scan(after={"__next": col(axis.time)}))
+    ahead = scan(df, axis, Scan(after={"__next": col(axis.time)})).drop(LAYOUT)  # inserted hours have places of their own
+    df = df.drop(LAYOUT)
     step = (F.unix_micros(F.col("__next")) - F.unix_micros(col(axis.time))) / HOUR_US
     missing = F.when((step > 1) & (step <= max_gap), F.floor(step).cast("int") - 1).otherwise(0)
     offsets = F.sequence(F.lit(0), missing, F.lit(1))
@@ -190,7 +191,7 @@ def segments(
     if axis.parts:
         df, bucket = cut_evenly(df, axis), F.col("__part")
     base = (
-        df.withColumn("__k", place(axis, bucket))
+        placed(df, axis, bucket)
         .withColumn("__lr", F.row_number().over(inside).cast("bigint"))
         .withColumn("__brk", (us - F.lag(us).over(inside) > step))
     )

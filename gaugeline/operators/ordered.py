@@ -156,6 +156,25 @@ def place(axis: Axis, bucket: Column | None = None) -> Column:
     return F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(axis.keys)], bucket.cast("bigint").alias("b"))
 
 
+#: Column of a table laid out for ordered work; see ``laid_out``.
+LAYOUT = "__k"
+
+
+def laid_out(df: DataFrame, axis: Axis) -> DataFrame:
+    """The rows that have a time, with the series and time bucket of each as ``LAYOUT``.
+
+    Scans use the column where a table has it and hand it on.  A table written bucketed by it
+    (``sources.tables.bucketed``) is scanned without moving a row, and so is what a scan of it gives.
+    """
+    if axis.parts:
+        raise ValueError("a layout has time buckets")
+    return df.where(col(axis.time).isNotNull()).withColumn(LAYOUT, place(axis))
+
+
+def placed(df: DataFrame, axis: Axis, bucket: Column | None) -> DataFrame:
+    return df if bucket is None and LAYOUT in df.columns else df.withColumn(LAYOUT, place(axis, bucket))
+
+
 def unplace(axis: Axis) -> dict[str, Column]:
     parts = {f"__s{i}": F.col("__k")[f"k{i}"] for i in range(len(axis.keys))}
     return {**parts, "__b": F.col("__k")["b"]}
@@ -203,7 +222,7 @@ def scan(
         df = df.where(col(axis.time).isNotNull())
         if axis.parts:
             df, bucket = cut_evenly(df, axis), F.col("__part")
-    base = df.withColumn("__k", place(axis, bucket))
+    base = placed(df, axis, bucket)
     part = [F.col("__k")]
     order = axis.order()
     if position is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.operators import combine, gaps
+from gaugeline.operators.ordered import LAYOUT
 from gaugeline.operators.rolling import rolling_sum as rolling
 from gaugeline.plans import flows, site
 from gaugeline.plans.fixtures import (
@@ -12,7 +13,7 @@ from gaugeline.plans.fixtures import (
     type_hourly, user_hourly,
 )
 from gaugeline.plans.registry import query
-from gaugeline.sources.tables import stored
+from gaugeline.sources.tables import bucketed, stored
 
 
 @query(
@@ -275,7 +276,7 @@ def _dense(spark, d):
         (daily.select("event_type", "Time", "lab"), {"include_missing": True, "limits": {"lab": 100.0}}),
         (daily.select("event_type", "Time", "plant"), {"include_missing": True}),
     ]
-    return flows.combine_dense(base, sources, BY_TYPE, store=stored)
+    return flows.combine_dense(base, sources, BY_TYPE, store=lambda df: bucketed(df, LAYOUT))
 
 
 @query(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import col, keep_within, round_hour
 from gaugeline.operators import combine, forecast, gaps, metrics, samples, scaling
-from gaugeline.operators.ordered import Axis
+from gaugeline.operators.ordered import LAYOUT, Axis, laid_out
 from gaugeline.operators.rolling import rolling_sum
 from gaugeline.plans import site
 from gaugeline.sources.tables import Store, as_is
@@ -57,13 +57,22 @@ def combine_dense(
 ) -> DataFrame:
     """Join the cleaned primary series with further sources and number the segments.
 
-    Each source comes with the options of ``add_source``.  ``store`` (see ``sources.tables``) writes
-    the table between the stages; use it on large data.
+    Each source comes with the options of ``add_source`` and has unique times.  All sources are joined first;
+    a row that a later step drops or fills has its columns already.  The joined table is laid out by series
+    and time bucket, and the steps follow one another within that layout: with ``store`` from
+    ``sources.tables.bucketed`` (by ``LAYOUT``), every source is shuffled once, the joined table once, and no
+    row moves after that.
     """
-    df = store(profiler)
+    df, steps = profiler, []
     for source, options in sources:
-        df = store(combine.add_source(df, source, axis, store=store, **options))
-    return gaps.metadata_first(gaps.segments(df, axis))
+        known = {"source_time", "round_to_hour", "limits"}
+        df, new = combine.join_source(df, source, axis, **{k: v for k, v in options.items() if k in known})
+        if not (options.get("sparse") or options.get("include_missing")):
+            steps.append((new, {k: v for k, v in options.items() if k in ("max_gap", "basis")}))
+    df = store(laid_out(df, axis))
+    for new, options in steps:
+        df = store(combine.fill_joined(df, axis, new, store=store, **options))
+    return gaps.metadata_first(gaps.segments(df, axis).drop(LAYOUT))
 
 
 def combine_sparse(

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 Store = Callable[[DataFrame], DataFrame]
 
 
-#: Stage paths handed out, by application.
+#: Stage paths and bucketed tables handed out, by application.
 _stages: dict[str, list[str]] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +29,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def remove_stages(spark: SparkSession) -> None:
     """Delete the stage tables of this session.  Call it when results that read them are written."""
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"drop table if exists {name}")
     hadoop = spark._jvm.org.apache.hadoop.fs
     for path in _stages.pop(spark.sparkContext.applicationId, []):
         place = hadoop.Path(path)
@@ -46,5 +49,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int | None = None, name: str = "layout") -> DataFrame:
+    """Write a table bucketed by a column and read it back: what is grouped, joined or ordered within that
+    column afterwards moves no rows.  By default there are as many buckets as shuffle partitions."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = fresh_path(spark, name), f"gaugeline_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(table)
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def as_is(df: DataFrame) -> DataFrame:
     return df

@@ -160,6 +160,39 @@ def test_window_sweep_equals_single_windows(df):
         np.testing.assert_allclose(many.pred.astype(float), one.pred.astype(float), rtol=1e-9, atol=1e-9)
 
 
+def test_window_sweep_off_the_grid(spark):
+    rnd = random.Random(8)
+    start = pd.Timestamp("2021-05-01")
+    times = [start + pd.Timedelta(seconds=rnd.choice([rnd.randrange(200_000), 3600 * rnd.randrange(56), 3600 * rnd.randrange(56)])) for _ in range(400)]
+    hist = pd.DataFrame({"k": [rnd.choice([1, 1, 2, None]) for _ in times], "ts": times, "v": [1e7 + rnd.random() if rnd.random() < 0.9 else np.nan for _ in times], "w": [rnd.random() for _ in times]})
+    sdf = spark.createDataFrame(
+        [(None if pd.isna(k) else int(k), t.to_pydatetime(), None if np.isnan(v) else v, w) for k, t, v, w in hist.itertuples(index=False)],
+        "k int, ts timestamp, v double, w double",
+    )
+    wanted = sdf.limit(60).withColumn("sample_id", F.monotonically_increasing_id()).withColumn("step", F.lit(0))
+    wanted = spark.createDataFrame(wanted.collect() + [(1, None, 0.0, 0.0, -1, 0)], wanted.schema)
+    windows = [1, 2, 7, 24]
+    sweep = forecast.linear_window_sweep(wanted, sdf, Axis(time="ts", keys=("k",)), ["v", "w"], windows, 0.5)
+    assert "Join" not in sweep._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.sample_id, r.window_hours, r.param): r.pred for r in sweep.collect()}
+    asked = wanted.toPandas()
+    assert len(got) == len(asked) * len(windows) * 2
+    known = hist.dropna(subset=["v", "w"])
+    for r in asked.itertuples(index=False):
+        end = r.ts - pd.Timedelta(minutes=30)
+        series = known[known.k.isna() if pd.isna(r.k) else known.k == r.k]
+        for hours in windows:
+            part = series[(series.ts < end) & (series.ts >= end - pd.Timedelta(hours=hours))] if not pd.isna(r.ts) else series[:0]
+            for name in ("v", "w"):
+                pred = got[r.sample_id, hours, name]
+                if part.empty:
+                    assert pred is None
+                    continue
+                x, y = (part.ts - r.ts).dt.total_seconds().to_numpy() / 3600, part[name].to_numpy()
+                slope = 0.0 if part.ts.nunique() == 1 else ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+                assert pred == pytest.approx(y.mean() - slope * x.mean(), rel=1e-9, abs=1e-6)
+
+
 def test_seasonal_equals_brute_force(spark):
     rnd = random.Random(3)
     start = pd.Timestamp("2019-01-01")
