@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from gaugeline.operators import models, samples
@@ -232,15 +234,14 @@ def _parts(spark, d):
 
 
 _SQL_WIDE = _SQL_ROWS.replace("<= 0.1e0", "<= 0.9e0")
-_ROUNDS = 40  # validation on the test part ends training earlier
+_ROUNDS, _PATIENCE = 40, 3  # the loss on the test part ends training earlier
 
 
-def _ended_early(model):
-    """The model, if validation and not the number of rounds ended its training."""
-    trees = model.stages[-1].getNumTrees
-    if trees >= _ROUNDS:
+def _ended_early(training):
+    """The model, if the loss on the test part and not the number of rounds ended its training."""
+    if max(n for _, n, _ in training.curve) >= _ROUNDS:
         raise ValueError(f"training ended at its {_ROUNDS} rounds, not by validation")
-    return model
+    return training.model
 
 
 @query(
@@ -253,7 +254,7 @@ def gbt_regression(spark, d):
     closer to their predictions than to the mean."""
     train, test = _parts(spark, d)
     path = scratch(spark, "regressor")
-    models.save(_ended_early(models.fit_regressor(train, test, rounds=_ROUNDS, depth=3, subsample=0.8, rate=0.1)), path)
+    models.save(_ended_early(models.train_regressor(train, test, rounds=_ROUNDS, depth=3, subsample=0.8, rate=0.3, patience=_PATIENCE)), path)
     model = models.load(path)
     fitted = models.predict(model, train)
     y = F.col("target")
@@ -277,7 +278,7 @@ def gbt_classification(spark, d):
     more frequent class."""
     train, test = (p.withColumn("target", F.transform("target", lambda v: F.least(v / 100, F.lit(1.0)))) for p in _parts(spark, d))
     path = scratch(spark, "classifier")
-    models.save(_ended_early(models.fit_classifier(train, test, rounds=_ROUNDS, depth=3, subsample=0.8, rate=0.1)), path)
+    models.save(_ended_early(models.train_classifier(train, test, rounds=_ROUNDS, depth=3, subsample=0.8, rate=0.3, patience=_PATIENCE)), path)
     model = models.load(path)
     label = F.rint("target")
     right = F.avg((F.col("pred") == label).cast("double"))
@@ -286,20 +287,107 @@ def gbt_classification(spark, d):
     return out.select("sample_id", r6("target"), F.col("pred").isin(0.0, 1.0).alias("is_class"), better.alias("better"))
 
 
-def _mean_of_inputs():
-    """A stand-in for a loaded model: the mean of the known inputs."""
+# Trees of one split on three yes-no features: all a tree can see are eight cells, so SQL can train the same
+# model on the cells' counts and sums.
+_CURVE_ROUNDS, _CURVE_PATIENCE, _CURVE_RATE = 12, 3, 0.3
+_FEATURES = ("coalesce(click > 50, false)", "coalesce(view > 50, false)", "hour(ts) < 12")
+
+
+def _sql_boosting(classes: bool) -> str:
+    cells = range(8)
+    bits = [[c >> j & 1 for c in cells] for j in range(3)]
+    lists = lambda terms: "[" + ", ".join(terms) + "]"
+    # what the next tree is fitted to, summed in each cell
+    if classes:
+        rest = lists(
+            f"case when round = 0 then (pos[{c + 1}] - neg[{c + 1}])::double else 4e0 * (pos[{c + 1}] / (1 + exp(2 * f[{c + 1}])) - neg[{c + 1}] / (1 + exp(-2 * f[{c + 1}]))) end"
+            for c in cells
+        )
+        loss = lambda p: " + ".join(
+            f"{p}pos[{c + 1}] * ln(1 + exp(-2 * f[{c + 1}])) + {p}neg[{c + 1}] * ln(1 + exp(2 * f[{c + 1}]))" for c in cells
+        )
+        total = lambda p: f"({loss(p)}) / list_sum({p}n)"
+    else:
+        rest = lists(f"case when round = 0 then ys[{c + 1}] else 2e0 * (ys[{c + 1}] - n[{c + 1}] * f[{c + 1}]) end" for c in cells)
+        loss = lambda p: " + ".join(f"{p}yy[{c + 1}] - 2 * f[{c + 1}] * {p}ys[{c + 1}] + {p}n[{c + 1}] * f[{c + 1}] * f[{c + 1}]" for c in cells)
+        total = lambda p: f"sqrt(({loss(p)}) / list_sum({p}n))"
+    side = lambda name, j, s: "(" + " + ".join(f"{name}[{c + 1}]" for c in cells if bits[j][c] == s) + ")"
+    gains = lists(" + ".join(f"{side('r', j, s)} ** 2 / {side('n', j, s)}" for s in (0, 1)) for j in range(3))
+    means = lists(lists(f"{side('r', j, s)} / {side('n', j, s)}" for s in (0, 1)) for j in range(3))
+    step = lists(
+        f"f[{c + 1}] + w * m[best][case best when 1 then {bits[0][c]} when 2 then {bits[1][c]} else {bits[2][c]} end + 1]" for c in cells
+    )
+    sums = {"n": "count(y)", "ys": "coalesce(sum(y), 0)", "yy": "coalesce(sum(y * y), 0)", "pos": "count(case when y > 0.5 then 1 end)", "neg": "count(case when y <= 0.5 then 1 end)"}
+    label = "least(purchase / 100, 1)" if classes else "purchase"
+    return f"""with recursive {SQL_HOURLY},
+      rows as (select {label} as y, epoch_us(ts) // 3600000000 % 5 = 0 as held, {' + '.join(f'({e})::int * {1 << j}' for j, e in enumerate(_FEATURES))} as c from hourly where purchase is not null),
+      cell as (select g.c, h.held, {', '.join(f'{e} as {k}' for k, e in sums.items())}
+        from range(8) g(c) cross join (values (false), (true)) h(held) left join rows on rows.c = g.c and rows.held = h.held group by 1, 2),
+      train as (select {', '.join(f'list({k} order by c) as {k}' for k in sums)} from cell where not held),
+      test as (select {', '.join(f'list({k} order by c) as t{k}' for k in sums)} from cell where held),
+      boost as (
+        select 0 as round, {lists('0e0' for _ in cells)} as f
+        union all
+        select round + 1, {step} from (
+          select *, list_position(g, list_max(g)) as best, case when round = 0 then 1e0 else {_CURVE_RATE} end as w from (
+            select *, {gains} as g, {means} as m from (select round, f, n, {rest} as r from boost, train where round < {_CURVE_ROUNDS}) x) z) q),
+      losses as (select round, {total('')} as train_loss, {total('t')} as test_loss from boost, train, test where round > 0),
+      lows as (select *, min(test_loss) over (order by round rows unbounded preceding) as low from losses),
+      bests as (select l.round, l.train_loss, l.test_loss, (select min(b.round) from losses b where b.round <= l.round and b.test_loss = l.low) as b from lows l),
+      ends as (select coalesce(min(round), {_CURVE_ROUNDS}) as stop from bests where round - b >= {_CURVE_PATIENCE}),
+      curve as (select round, train_loss, test_loss, (select b from bests x, ends where x.round = stop) as b from bests, ends where round <= stop)
+      select 'train' as part, round, {sql_r6('train_loss', 'loss')}, round = b as best from curve
+      union all select 'test', round, {sql_r6('test_loss', 'loss')}, round = b from curve"""
+
+
+def _curve(spark, d, classes: bool):
+    """The loss of both parts after every round until the test part's has not fallen for some rounds."""
+    label = F.least(F.col("purchase") / 100, F.lit(1.0)) if classes else F.col("purchase")
+    rows = hourly(spark, d).where("purchase is not null").select(
+        "ts", F.array(*[F.expr(e).cast("double") for e in _FEATURES]).alias("features"), F.array(label).alias("target")
+    )
+    held = F.pmod(F.floor(F.unix_micros("ts") / 3_600_000_000), F.lit(5)) == 0
+    train, test = stored(rows.where(~held)), stored(rows.where(held))
+    fit = models.train_classifier if classes else models.train_regressor
+    found = fit(train, test, rounds=_CURVE_ROUNDS, depth=1, subsample=1.0, feature_share=1.0, rate=_CURVE_RATE, patience=_CURVE_PATIENCE)
+    return found.frame(spark).select("part", "round", r6("loss"), "best")
+
+
+@query("loss_curve", _sql_boosting(False))
+def loss_curve(spark, d):
+    return _curve(spark, d, False)
+
+
+@query("loss_curve_classes", _sql_boosting(True))
+def loss_curve_classes(spark, d):
+    return _curve(spark, d, True)
+
+
+def _line_model(data: bytes):
+    """A straight line over the mean of the known inputs, from its two stored numbers."""
+    intercept, slope = np.frombuffer(data, "<f8")
 
     def predict(x: np.ndarray) -> np.ndarray:
-        return np.nanmean(x, axis=1, keepdims=True)
+        return intercept + slope * np.nanmean(x, axis=1, keepdims=True)
 
     return predict
 
 
 @query(
     "score_samples",
-    f"""with {SQL_HOURLY}, {_SQL_ROWS.format(extra="sum(case when step < 23 then " + " + ".join(f"coalesce({c}, 0)" for c in INPUTS) + " end) as total")}
-      select sample_id, {sql_r6('total / present', 'pred')}, {sql_r6('target', 'target')} from loaded where target is not null and present > 0""",
+    f"""with {SQL_HOURLY}, {_SQL_ROWS.format(extra="sum(case when step < 23 then " + " + ".join(f"coalesce({c}, 0)" for c in INPUTS) + " end) as total")},
+      usable as (select sample_id, total / present as x, target from loaded where target is not null and present > 0),
+      line as (select regr_slope(target, x) as slope, regr_intercept(target, x) as intercept from usable)
+      select sample_id, {sql_r6('intercept + slope * x', 'pred')}, {sql_r6('target', 'target')} from usable, line""",
 )
 def score_samples(spark, d):
-    scored = models.score_batches(_loaded(spark, d, fault_tolerant=True), _mean_of_inputs, size=92)
+    """A line is fitted, stored, sent to the workers and loaded there to score samples in batches."""
+    found = stored(_loaded(spark, d, fault_tolerant=True))
+    known = F.filter("features", lambda v: v.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, b: a + b) / F.size(known)
+    rows = found.where(F.size(known) > 0).select(array_to_vector(F.array(mean)).alias("x"), F.col("target")[0].alias("y")).where("y is not null")
+    line = LinearRegression(featuresCol="x", labelCol="y", solver="normal").fit(rows)
+    path = scratch(spark, "line")
+    models.store_model(spark, np.array([line.intercept, line.coefficients[0]], "<f8").tobytes(), path)
+    scored = models.score_batches(found, models.stored_model(spark, path, _line_model), size=92)
     return scored.select("sample_id", r6(F.col("pred")[0], "pred"), r6(F.col("target")[0], "target"))
