@@ -9,7 +9,6 @@ entry per chunk, and no group grows faster than the number of chunks.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeline.sources.tables import fresh_path
+from gaugeline.sources.tables import bucketed
 
 CHUNK_BYTES = 2 << 20
 MOST_BUCKETS = 100_000  # Spark's own limit
@@ -72,10 +71,7 @@ def write_chunks(docs: DataFrame, text: str, chunk_bytes: int | None = None) ->
         if held:
             yield flush()
 
-    path, name = fresh_path(spark, "chunks"), f"gaugeline_chunks_{uuid.uuid4().hex}"
-    packed = docs.mapInArrow(pack, schema)
-    packed.write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), buckets
+    return bucketed(docs.mapInArrow(pack, schema), "chunk", buckets, "chunks"), buckets
 
 
 def text_places(texts: pa.Array) -> np.ndarray:

@@ -9,9 +9,9 @@ phrase of three words is a pair of two such pairs that overlap, and so on up to
 How it runs: documents are cut into words once and written as chunks of some megabytes of text: the words
 of a chunk, and its texts as numbers of these.  A chunk counts its tiles, and equal tiles of up to 64
 chunks (then of 64 such groups, and so on) are added up in one task, so that the hottest tile is no hot
-task.  Numbers go back to the chunks by an exchange of packed pairs dealt by hash: frequent pairs come first
-in a bucket, the distinct pairs of chunk after chunk stream past them.  Nothing is broadcast, and no
-vocabulary is in one place.
+task.  Numbers of frequent words and pairs go back to the chunks.  Up to ``HELD`` of them they are broadcast;
+more take an exchange of packed pairs dealt by hash, in which the frequent pairs come first in a bucket and
+the distinct pairs of chunk after chunk stream past them.
 
 All counts are of one language.  A phrase of k words is the pair of its first and its last k - 1 words, so
 the counts of all its parts come from joins of numbers, level by level.
@@ -23,8 +23,6 @@ below 2**32 - 1: more frequent phrases of one length raise an error.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,7 +32,7 @@ from pyspark.sql import functions as F
 from gaugeline.llm import chunks as C
 from gaugeline.llm.links import stored
 from gaugeline.llm.words import distinct_spans, mix, text_bytes
-from gaugeline.sources.tables import fresh_path
+from gaugeline.sources.tables import bucketed
 
 LONGEST, MIN_COUNT, TOP, ABSORBED = 5, 100, 2000, 100
 CHUNK_BYTES = 4 << 20
@@ -42,8 +40,11 @@ CHUNK_BYTES = 4 << 20
 TILE = 2048
 #: Equal tiles added up in one task.
 FAN_IN = 64
+#: Frequent words, or pairs of one length, that are broadcast: at 12 bytes a pair, 24 MB.
+HELD = 2_000_000
 #: Frequent pairs of a bucket of the exchange.
 BUCKET_PAIRS = 1 << 20
+_SALT = 32
 
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[[32, 9]] = 1
@@ -212,11 +213,21 @@ def _added(codes: list[np.ndarray], counts: list[np.ndarray], side: int) -> tupl
     return code[fresh], np.add.reduceat(count, fresh)
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers by byte: first all lowest bytes, and so on.  The upper ones are mostly 0 and shuffle as little."""
+    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
 def _tile_rows(rows: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-            pa.array([r[3].astype(np.uint32).tobytes() for r in rows], pa.binary()), pa.array([r[4].astype(np.int64).tobytes() for r in rows], pa.binary()),
+            pa.array([_planes(np.diff(r[3], prepend=0), 4) for r in rows], pa.binary()), pa.array([_planes(r[4], 8) for r in rows], pa.binary()),
         ],
         names=["a_tile", "b_tile", "part", "codes", "counts"],
     )
@@ -246,8 +257,8 @@ def _merge(tiles: DataFrame, parts: int, side: int, least: int | None) -> DataFr
                     if key is not None:
                         yield done()
                     key, codes, counts, held = place, [], [], 0
-                codes.append(np.frombuffer(batch.column("codes")[row].as_py(), np.uint32).astype(np.int64))
-                counts.append(np.frombuffer(batch.column("counts")[row].as_py(), np.int64))
+                codes.append(np.cumsum(_from_planes(batch.column("codes")[row].as_py(), 4)))
+                counts.append(_from_planes(batch.column("counts")[row].as_py(), 8))
                 held += len(codes[-1])
                 if held > side * side:
                     merged = _added(codes, counts, side)
@@ -306,7 +317,24 @@ def _by_bucket(code: np.ndarray, chunk: int, buckets: int, ids: np.ndarray | Non
 def _next_lines(lines: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
     """For each chunk, the numbers of the frequent phrases that begin at each place."""
     spark = lines.sparkSession
-    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + pairs.count() // BUCKET_PAIRS)
+
+    def filled(chunk, docs, known, ids):
+        a, b, at = _neighbours(docs)
+        line = np.zeros(len(docs.field("ids")[0].as_buffer()) // 4, np.uint32)
+        code = _code(a, b)
+        hit = C.among(code, known)
+        line[at[hit]] = ids[np.searchsorted(known, code[hit])] + np.uint32(1)
+        yield _sequence(chunk, line)
+
+    n = pairs.count()
+    if n <= HELD:
+        held = pairs.select("a", "b", "id").toArrow()
+        code, number = _code(held.column("a").to_numpy(), held.column("b").to_numpy()), held.column("id").to_numpy().astype(np.uint32)
+        order = np.argsort(code)
+        shipped = spark.sparkContext.broadcast((code[order], number[order]))
+        return _bucketed(C.each_chunk(lines, None, lambda chunk, docs, _: filled(chunk, docs, *shipped.value), _SEQUENCE), buckets)
+
+    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n // BUCKET_PAIRS)
 
     def ask(chunk, docs, _):
         a, b, _ = _neighbours(docs)
@@ -347,15 +375,10 @@ def _next_lines(lines: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
                 )
 
     def fill(chunk, docs, found):
-        a, b, at = _neighbours(docs)
-        line = np.zeros(len(np.frombuffer(docs.field("ids")[0].as_py(), np.uint32)), np.uint32)
         known = np.concatenate([np.frombuffer(x["codes"], np.uint64) for x in found] or [np.zeros(0, np.uint64)])
         ids = np.concatenate([np.frombuffer(x["ids"], np.uint32) for x in found] or [np.zeros(0, np.uint32)])
         order = np.argsort(known)
-        known, ids, code = known[order], ids[order], _code(a, b)
-        hit = C.among(code, known)
-        line[at[hit]] = ids[np.searchsorted(known, code[hit])] + np.uint32(1)
-        yield _sequence(chunk, line)
+        yield from filled(chunk, docs, known[order], ids[order])
 
     asked = C.each_chunk(lines, None, ask, _PAIRS).union(pairs.select("a", "b", "id").mapInArrow(pack, _PAIRS))
     # the frequent pairs, of chunk -1, come first in their bucket
@@ -365,10 +388,7 @@ def _next_lines(lines: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _bucketed(lines: DataFrame, buckets: int) -> DataFrame:
-    spark = lines.sparkSession
-    path, name = fresh_path(spark, "phrases"), f"gaugeline_chunks_{uuid.uuid4().hex}"
-    lines.write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(lines, "chunk", buckets, "phrases")
 
 
 # --- phrases ---------------------------------------------------------------------------------
@@ -392,7 +412,9 @@ def phrases(
     counts = stored(listed.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     vocabulary = _ranked(counts.where(F.col("n") >= min_count), F.desc("n"), F.asc("lang"), F.asc("word"))
-    named = listed.select("chunk", "number", "lang", "word").join(vocabulary.select("lang", "word", "id"), ["lang", "word"])
+    known = vocabulary.select("lang", "word", "id")
+    known = F.broadcast(known) if known.count() <= HELD // 4 else known.hint("merge")
+    named = listed.select("chunk", "number", "lang", "word").join(known, ["lang", "word"])
     named = named.select("chunk", "number", "id").mapInArrow(_packed, "chunk bigint, numbers binary, ids binary")
     named = named.groupBy("chunk").agg(F.collect_list(F.struct("numbers", "ids")).alias("found"))
     lines = _bucketed(C.each_chunk(chunks, named, _number_words, _SEQUENCE), buckets)
@@ -445,6 +467,9 @@ def _lowest_cut() -> Column:
 
 def top_phrases(docs: DataFrame, top: int = TOP, **options) -> DataFrame:
     """The ``top`` phrases of each language by score, count and bytes, with their ``rank``."""
-    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = phrases(docs, **options).withColumn("rank", F.row_number().over(by).cast("bigint")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    found = phrases(docs, **options).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALT)))
+    # the best of each share first, so that no task ranks all phrases of a language
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)
+    return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

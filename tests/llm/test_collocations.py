@@ -26,8 +26,12 @@ def _got(frame):
     return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in frame.collect())
 
 
-@pytest.mark.parametrize("seed, least, longest, tile, fan_in, absorbed", [(1, 3, 5, 2, 64, 100), (2, 2, 4, 3, 2, 100), (3, 1, 5, 2048, 64, 100), (4, 4, 6, 1, 3, 70)])
-def test_equals_brute_force(spark, monkeypatch, seed, least, longest, tile, fan_in, absorbed):
+@pytest.mark.parametrize(
+    "seed, least, longest, tile, fan_in, absorbed, held",
+    [(1, 3, 5, 2, 64, 100, 0), (2, 2, 4, 3, 2, 100, 10**6), (3, 1, 5, 2048, 64, 100, 10**6), (4, 4, 6, 1, 3, 70, 0)],
+)
+def test_equals_brute_force(spark, monkeypatch, seed, least, longest, tile, fan_in, absorbed, held):
+    monkeypatch.setattr(collocations, "HELD", held)
     monkeypatch.setattr(collocations, "CHUNK_BYTES", 300)
     monkeypatch.setattr(collocations, "FAN_IN", fan_in)
     rows = _rows(seed)
