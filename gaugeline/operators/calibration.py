@@ -39,28 +39,34 @@ def _fields(lines: Column) -> Column:
     )
 
 
-def _keys_differ(fields: Column) -> Column:
-    keys = F.transform(fields, lambda f: f["key"])
-    return F.size(F.array_distinct(keys)) == F.size(keys)
+def _by_key(fields: Column) -> Column:
+    """``(key, i)`` of every entry, sorted: equal keys stand together, in their order."""
+    return F.array_sort(F.transform(fields, lambda f, i: F.struct(f["key"].alias("key"), i.alias("i"))))
 
 
-def _numbered(fields: Column) -> Column:
-    """A key that repeats becomes ``"key n"``."""
+def _numbered(fields: Column, by_key: Column, heads: Column) -> Column:
+    """A key that repeats becomes ``"key n"``.  ``heads`` are the places in ``by_key`` where a key begins; an
+    entry's is the last not above its own place, found by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
 
-    def name(f, i):
-        n = F.size(F.filter(F.slice(fields, 1, i + 1), lambda g: g["key"] == f["key"]))
-        text = F.when(n == 1, f["key"]).otherwise(F.concat_ws(" ", f["key"], n.cast("string")))
-        return F.struct(text.alias("key"), f["value"].alias("value"))
+    def number(x, p):
+        below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(heads, at + (step - 1)) <= p, step).otherwise(0))
+        n = p - F.get(heads, below - 1) + 1
+        text = F.when(n == 1, x["key"]).otherwise(F.concat_ws(" ", x["key"], n.cast("string")))
+        return F.struct(text.alias("key"), F.get(fields, x["i"])["value"].alias("value"))
 
-    return F.when(_keys_differ(fields), fields).otherwise(F.transform(fields, name))
+    return F.transform(by_key, number)
 
 
-def _as_map(fields: Column) -> Column:
+def _heads(by_key: Column) -> Column:
+    places = F.transform(by_key, lambda x, p: F.when((p == 0) | (F.get(by_key, p - 1)["key"] != x["key"]), p))
+    return F.filter(places, lambda p: p.isNotNull())
+
+
+def _as_map(fields: Column, by_key: Column) -> Column:
     """The last entry of a key wins."""
-    last = F.filter(
-        fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)), lambda g: g["key"] == f["key"])
-    )
-    return F.when(_keys_differ(fields), F.map_from_entries(fields)).otherwise(F.map_from_entries(last))
+    last = F.filter(by_key, lambda x, p: F.coalesce(F.get(by_key, p + 1)["key"] != x["key"], F.lit(True)))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"].alias("key"), F.get(fields, x["i"])["value"].alias("value"))))
 
 
 def parse_logs(logs: DataFrame, content: str = "content") -> DataFrame:
@@ -91,8 +97,11 @@ def parse_logs(logs: DataFrame, content: str = "content") -> DataFrame:
         opened.select(*others, "chapter", "__meta", F.posexplode(body).alias("paragraph", "__para"))
         .withColumn("__lines", F.split(F.col("__para"), "\n"))
         .withColumn("__data", _fields(F.slice("__lines", 2, F.size("__lines"))))
-        .withColumn("__all", F.concat("__meta", _numbered(F.col("__data"))))
-        .withColumn("fields", _as_map(F.col("__all")))
+        .withColumn("__sorted", _by_key(F.col("__data")))
+        .withColumn("__heads", _heads(F.col("__sorted")))
+        .withColumn("__all", F.concat("__meta", _numbered(F.col("__data"), F.col("__sorted"), F.col("__heads"))))
+        .withColumn("__sorted", _by_key(F.col("__all")))
+        .withColumn("fields", _as_map(F.col("__all"), F.col("__sorted")))
     )
     # the type comes from the metadata alone
     types = F.filter("__meta", lambda f: f["key"] == "Parameter Type")

@@ -14,6 +14,7 @@ from gaugeline.plans.fixtures import (
 from gaugeline.plans import site
 from gaugeline.plans.registry import query
 from gaugeline.sources import delimited, params
+from gaugeline.sources.logs import read_logs
 from gaugeline.sources.tables import stored
 
 # --- sources ---------------------------------------------------------------------------------
@@ -383,6 +384,28 @@ def parse_calibration_logs(spark, d):
     )
 
 
+@query(
+    "log_scan",
+    f"""with {_SQL_LOGS} select kind as parameter_type, paragraph, case when paragraph = 1 then '' when chapter = 0 then 'pH' else 'µS/cm' end as unit,
+          count(*) as n, sum(floor(round((value + paragraph) * 100))) / 100 as pre
+        from rows group by 1, 2, 3""",
+)
+def log_scan(spark, d):
+    """Logs in Latin-1 files, one after the other, beside a text file and a folder of the same logs."""
+    path = scratch(spark, "logs")
+    texts = log_texts(spark, d).select(F.concat("content", F.lit(f"{calibration.CHAPTER_MARK}")).alias("content")).repartition(64)
+    for folder in (path, f"{path}/older"):
+        texts.write.mode("append").csv(
+            folder, encoding="ISO-8859-1", quote="", escape="", sep="\x01", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
+    texts.write.mode("append").text(path)
+    parsed = calibration.parse_logs(read_logs(spark, path))
+    said = F.split(F.try_element_at("fields", F.lit("Pre Calibration Value")), " ")
+    return parsed.groupBy("parameter_type", "paragraph", F.coalesce(F.get(said, F.lit(1)), F.lit("")).alias("unit")).agg(
+        F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.get(said, F.lit(0)).cast("double") * 100)) / 100).alias("pre")
+    )
+
+
 @query(
     "calibration_summary",
     f"""with {_SQL_LOGS} select event_id, chapter, paragraph, kind as parameter_type, epoch_us(date_trunc('second', ts)) as calibration_end,

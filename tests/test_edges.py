@@ -1,6 +1,7 @@
 """Hand-written frames for the corner cases."""
 
 import datetime as dt
+import time
 import math
 
 import pytest
@@ -536,3 +537,18 @@ def test_site_flow(spark):
     assert [(r.TIMESTAMP, r.Segment) for r in got] == [(at(0), 1), (at(1), 1), (at(2), 1), (at(5), 2)]
     sparse = flows.combine_sparse([(clean, None), (ready, None)], axis)
     assert sparse.count() == 42
+
+
+def test_repeated_keys_of_long_paragraphs(spark):
+    lines = [f"{'same' if i % 2 else f'k{i % 5000}'}=,{i}" for i in range(20_000)]
+    log = "Parameter Type=,pH\nsame=,meta\n\n[data]\n" + "\n".join(lines)
+    start = time.time()
+    fields = calibration.parse_logs(spark.createDataFrame([(log,)], "content string")).first().fields
+    assert time.time() - start < 30  # one key 10,000 times, 2,500 keys 4 times
+    want = {"Parameter Type": "pH", "same": "meta"}
+    seen = {}
+    for line in lines:
+        key, value = line.split("=,")
+        seen[key] = seen.get(key, 0) + 1
+        want[key if seen[key] == 1 else f"{key} {seen[key]}"] = value
+    assert fields == want
