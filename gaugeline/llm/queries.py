@@ -279,4 +279,4 @@ select formed.word, form, root, n, n_near, form_n from formed join way on way.wo
 def op13(spark, sf_dir):
     """Form and root of every word, after the contract's deletions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spelling.variants(spelling.count(spelling.swaps(spelling.runs(docs, "text", "doc_id"), "doc_id")))
+    return spelling.variants(spelling.count(docs, key="doc_id"))

@@ -9,18 +9,20 @@ joined on equal signatures, and each pair that meets is verified; it counts unde
 shares, so no pair counts twice.
 
 How it runs: words are counted by Spark; signatures are shuffled, sorted and walked in Arrow batches, in
-which the words of a signature are compared a step apart, two steps, and so on, many signatures at once.
+which the words of a signature are compared, many signatures at once: those whose first halves agree, then
+those whose last halves do.
 A signature with more than ``block`` words is cut into blocks, and each pair of blocks is a group of its own.
 What leaves a task is a count and the best near word of each word, not pairs.  Roots are found by pointer jumping:
 counts double from a word to its form, so chains are short.
 
 Corner cases: a null or empty text has no words; rows of equal id count each; an empty table gives an empty
-table; other columns are not read.  ``swaps`` plants misspellings: for the query's contract it deletes a
-character of every 97th word, told by a checksum of document and word; a null id reads as no characters.
+table; other columns are not read; a null id reads as no characters.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,33 +31,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.links import stored
-from gaugeline.llm.words import mix
+from gaugeline.llm.words import distinct_spans, mix, text_bytes
 
 LEAST_LENGTH, LEAST_COUNT, RATIO = 5, 3, 2
-PARTS, BLOCK = 8, 2048
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PARTS, BLOCK = 6, 2048
+#: Texts are taken in groups of about so many bytes, to bound the arrays.
+GROUP_BYTES = 1 << 21
+#: Longer runs get their checksum one by one.
+_LONG = 64
 #: Bytes of a word compared as arrays, from either end; longer words are compared one by one where these agree.
 _WIDE = 32
 _ROWS, _PAIRS = 1 << 16, 1 << 18
 
 
-def runs(docs: DataFrame, text: str, *carried: str) -> DataFrame:
-    """``word`` and the carried columns for each run of letters."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[A-Za-zÀ-ÿ]+"), F.lit(0))
-    return docs.select(*carried, F.explode(found).alias("word")).withColumn("word", F.translate("word", _UPPER, _LOWER))
-
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, np.uint32(0xEDB88320), np.uint32(0)) ^ (table >> np.uint32(1))
+    return table
+
+
+_CRC = _crc_table()
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[ord("A") : ord("Z") + 1] += 32
+
+
+def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the runs, and the text of each.  U+00C0 to U+00FF are 0xC3 and one more byte."""
+    wide = data == 0xC3
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _LETTER[data] | wide
+    inside[2:-1] |= wide[:-1]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    first[inner] |= inside[1:-1][inner]
+    last[inner - 1] |= inside[1:-1][inner - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
+
+
+def checksums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begun: np.ndarray) -> np.ndarray:
+    """CRC-32 of each span behind what its ``begun`` checksum has covered, a byte of all spans at a time."""
+    state, size = ~begun.astype(np.uint32), ends - starts
+    at, done = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(at):
+        state[at] = _CRC[(state[at] ^ data[starts[at] + done]) & np.uint32(255)] ^ (state[at] >> np.uint32(8))
+        done += 1
+        at = at[size[at] > done]
+    out = ~state
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = zlib.crc32(data[starts[i] : ends[i]].tobytes(), int(begun[i]))
+    return out
+
+
+def _counts(text: str, key: str | None, every: int, least_length: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(text))
+            keys = batch.column(key).cast(pa.string()).to_pylist() if key else None
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP_BYTES, "right")) - 1)
+                said = _LOW[data[offsets[at] : offsets[to]]]
+                starts, ends, of = letter_runs(said, offsets[at : to + 1] - offsets[at])
+                found: Counter[str] = Counter()
+                whole = np.ones(len(starts), bool)
+                if key:
+                    begun = np.array([zlib.crc32(f"{'' if k is None else k}:".encode()) for k in keys[at:to]], np.uint32)
+                    h = checksums(said, starts, ends, begun[of])
+                    whole = h % np.uint32(every) != 0
+                    for i in np.flatnonzero(~whole).tolist():
+                        word = said[starts[i] : ends[i]].tobytes().decode()
+                        k = int(h[i]) % len(word)
+                        found[word[:k] + word[k + 1 :]] += 1
+                codes, listed = distinct_spans(said, starts, ends)
+                times = np.bincount(codes[whole], minlength=len(listed)).tolist()
+                for w, n in zip(listed, times, strict=True):
+                    if n:
+                        found[w.decode()] += n
+                kept = [(w, n) for w, n in found.items() if len(w) >= least_length]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+                at = to
 
-def swaps(words: DataFrame, key: str, every: int = 97) -> DataFrame:
-    """``word`` without the character that a checksum of key and word names, where ``every`` divides it."""
-    h = F.crc32(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
-    at = F.pmod(F.col("h"), F.length("word")).cast("int")
-    cut = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
-    return words.withColumn("h", h).select(F.when(F.col("h") % every == 0, cut).otherwise(F.col("word")).alias("word"))
+    return run
 
 
-def count(words: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
-    """``(word, n)`` of the words that are long and common enough."""
-    return words.where(F.length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
+def count(
+    docs: DataFrame, text: str = "text", key: str | None = None, every: int = 97,
+    least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT,
+) -> DataFrame:
+    """``(word, n)`` of the words that are long and common enough.  With ``key`` misspellings are planted: where
+    ``every`` divides the CRC-32 of key, colon and word, the word loses the character that the checksum names."""
+    columns = [F.col(text).cast("string").alias("text"), *([F.col(key).cast("string").alias("key")] if key else [])]
+    parts = docs.select(*columns).mapInArrow(_counts("text", "key" if key else None, every, least_length), "word string, n bigint")
+    return parts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
 # --- signatures ------------------------------------------------------------------------------
@@ -161,6 +232,22 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), _WIDE)
 
 
+def _close(group: np.ndarray, key: np.ndarray, size: np.ndarray):
+    """Pairs of rows of equal group and key whose sizes differ by at most one, ever farther apart."""
+    order = np.lexsort((size, key, group))
+    group, key, size = group[order], key[order], size[order]
+    fresh = np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
+    end = np.append(np.flatnonzero(fresh)[1:], len(order))[np.cumsum(fresh) - 1]
+    left, step = np.arange(len(order)), 0
+    while len(left):
+        step += 1
+        left = left[left + step < end[left]]
+        left = left[size[left + step] - size[left] <= 1]  # sizes only grow from here
+        for low in range(0, len(left), _PAIRS):
+            i = left[low : low + _PAIRS]
+            yield order[i], order[i + step]
+
+
 def _compare(table: pa.Table, parts: int) -> pa.RecordBatch | None:
     """For each word, how many near words it has among these rows and which is the best; rows of a
     group (``sig``, ``a``, ``b``) stand together."""
@@ -171,23 +258,23 @@ def _compare(table: pa.Table, parts: int) -> pa.RecordBatch | None:
     said = table.column("word").to_pylist()
     words = _Words([w.encode("latin-1") for w in said])
     n = table.column("n").to_numpy()
+    # one edit leaves the first half or the last half of a word as it is
+    half = min(8, int(words.size.min()) // 2)
+    head, tail = (np.ascontiguousarray(t[:, :8]).view("<u8").ravel() for t in (words.head, words.tail))
+    head, tail = (x & np.uint64((1 << 8 * half) - 1) for x in (head, tail))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    left = np.arange(len(group))
-    step = 0
-    while True:
-        step += 1
-        left = left[left + step < len(group)]
-        left = left[group[left] == group[left + step]]
-        if not len(left):
-            break
-        pairs = left[(which[left] == which[left + step]) & ((a[left] == b[left]) | (own[left] != own[left + step]))]
-        for low in range(0, len(pairs), _PAIRS):
-            i = pairs[low : low + _PAIRS]
-            i = i[words.near(i, i + step)]
+    for key in (head, tail):
+        for i, j in _close(group, key, words.size):
+            fits = (which[i] == which[j]) & ((a[i] == b[i]) | (own[i] != own[j]))
+            if key is tail:
+                fits &= head[i] != head[j]  # else met before
+            i, j = i[fits], j[fits]
+            near = words.near(i, j)
+            i, j = i[near], j[near]
             if len(i):
-                first = _first_shared([words.words[k] for k in i.tolist()], [words.words[k + step] for k in i.tolist()], parts)
-                i = i[first == which[i]]
-                found.append((i, i + step))
+                first = _first_shared([words.words[k] for k in i.tolist()], [words.words[k] for k in j.tolist()], parts)
+                fits = first == which[i]
+                found.append((i[fits], j[fits]))
     if not found:
         return None
     i, j = (np.concatenate(x) for x in zip(*found, strict=True))
