@@ -208,9 +208,11 @@ def calibration_jumps(
         F.struct(*keys, F.col("__t").alias("t")).alias("__at"), "__first",
         F.when(usable, left["v"]).alias("__before"), F.when(usable, right["v"]).alias("__after"), "__rows",
     )
-    copies = counted.select(
+    dealt = counted.select(
         *keys, "__p", F.struct(*keys, at.alias("t")).alias("__at"), F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__copy")
-    ).join(jumps, "__at", "left")
+    )
+    # calibrations without a time find nothing and need no join, in which they would be one hot key
+    copies = dealt.where(at.isNotNull()).join(jumps, "__at", "left").unionByName(dealt.where(at.isNull()), allowMissingColumns=True)
     counts = (F.col("__copy") == 1) & F.coalesce(F.col("__p") == F.col("__first"), F.lit(False))
     before, after = F.when(counts, F.col("__before")), F.when(counts, F.col("__after"))
     return copies.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import col, exceeds_or_zero, finite
 from gaugeline.operators.combine import require_limits
-from gaugeline.operators.ordered import Axis, Scan, scan
+from gaugeline.operators.ordered import Axis, Scan, join_keys, of_large_groups, scan
 
 
 def _group(by: Sequence[str]) -> list[Column]:
@@ -72,15 +72,15 @@ def _running(
     return scan(values, Axis(time=value, keys=by, parts=256), Scan(total=sums[0], whole=sums[1]))
 
 
-def group_value(table: DataFrame, by: Sequence[str], fields: Sequence[str]) -> Column:
-    """Fields of the row of a small table that has the group of the current row, as a struct.
-
-    The table has one row per group and comes as one scalar map, so large tables are not shuffled by
-    a few group names.
-    """
-    key = F.struct(*[col(b).alias(f"k{i}") for i, b in enumerate(by)])
-    entry = F.struct(key.alias("key"), F.struct(*[col(f) for f in fields]).alias("value"))
-    return F.try_element_at(table.agg(F.map_from_entries(F.collect_list(entry))).scalar(), key)
+def with_group(df: DataFrame, table: DataFrame, by: Sequence[str], fields: Sequence[str], size: str) -> DataFrame:
+    """The rows with the fields of their group's row in ``table``, which has the group's number of rows as ``size``.
+    Rows of large groups stay where they are; the others are joined, and no group among them is hot."""
+    names = [f"`{f}`" for f in fields]
+    held = df.withColumn("__g", of_large_groups(df, table, by, size, F.struct(*[F.col(n) for n in names])))
+    columns = [col(c) for c in df.columns]
+    large = held.where("__g is not null").select(*columns, *[F.col("__g")[f].alias(f) for f in fields])
+    small = join_keys(held.where("__g is null").drop("__g"), table.select(*_group(by), *[F.col(n) for n in names]), by)
+    return large.unionByName(small.select(*columns, *[F.col(n) for n in names]))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
@@ -119,8 +119,7 @@ def error_spread(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     e = F.col("err")
     boxes = ["n", "q1", "median", "q3"]
     whiskers = (
-        errors.withColumn("__b", group_value(box, by, boxes))
-        .select(*_group(by), "err", "__b.*")
+        with_group(errors, box, by, boxes, "n")
         .groupBy(*_group(by), *boxes)
         .agg(
             F.min(F.when(e >= F.col("q1") - reach, e)).alias("low"),

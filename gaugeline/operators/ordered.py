@@ -112,8 +112,29 @@ def _assemble(value: Value, present: Column, parts: Sequence[Column], row: Colum
     return F.when(present, whole)
 
 
+#: A group with less than this share of all rows is small enough for one task.
+_LARGE_SHARE = 256
+
+
+def group_key(keys: Sequence[str]) -> Column:
+    return F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+
+
+def of_large_groups(df: DataFrame, table: DataFrame, keys: Sequence[str], size: str, value: Column) -> Column:
+    """A value of the group of a row, null for rows of small groups.
+
+    ``table`` has a row per group, and the group's number of rows as ``size``.  At most 256 groups are
+    large; they come as one scalar map, so that rows are not shuffled by a few group names.
+    """
+    total = df.agg(F.count(F.lit(1))).scalar()
+    entry = F.struct(group_key(keys).alias("key"), value.alias("value"))
+    large = table.where(col(size) * _LARGE_SHARE > total).agg(F.map_from_entries(F.collect_list(entry)))
+    return F.try_element_at(large.scalar(), group_key(keys))
+
+
 def cut_evenly(df: DataFrame, axis: Axis, name: str = "__part") -> DataFrame:
-    """Number the rows of each series by ``axis.parts`` buckets of about equal size.
+    """Number the rows of each series by ``axis.parts`` buckets of about equal size; a series with less than
+    a 256th of all rows is one bucket.
 
     The cut points are approximate; they decide how full buckets are and nothing else, as any
     cut in order gives the same scan. Rows of equal order value share a bucket.
@@ -121,11 +142,12 @@ def cut_evenly(df: DataFrame, axis: Axis, name: str = "__part") -> DataFrame:
     value = col(axis.time)
     value = (F.unix_micros(value) if df.schema[axis.time].dataType.typeName().startswith("timestamp") else value).cast("double")
     steps = F.array(*[F.lit(i / axis.parts) for i in range(1, axis.parts)])
-    cuts = df.groupBy(*axis.key_cols).agg(F.percentile_approx(value, steps, axis.parts * 16).alias("__cuts"))
-    if axis.keys:  # a row per series; Spark broadcasts it when it is small
-        held = join_keys(df, cuts, axis.keys)
+    points = F.percentile_approx(value, steps, axis.parts * 16)
+    if axis.keys:
+        cuts = df.groupBy(*axis.key_cols).agg(points.alias("__cuts"), F.count(F.lit(1)).alias("__n"))
+        held = df.withColumn("__cuts", of_large_groups(df, cuts, axis.keys, "__n", F.col("__cuts")))
     else:
-        held = df.withColumn("__cuts", cuts.scalar())
+        held = df.withColumn("__cuts", df.agg(points).scalar())
     return held.withColumn(name, _cuts_below(F.col("__cuts"), value, axis.parts)).drop("__cuts")
 
 

@@ -302,34 +302,55 @@ def target_rows(
 # --- splits ----------------------------------------------------------------------------------
 
 
-def _first_k(names: DataFrame, places: Sequence[Column], k: Column, sample: str) -> DataFrame:
-    """Mark the first k names in order of (places…, name) with ``__first``, without sorting all of them.
+#: Counts that the driver reads at once to find an order statistic.
+_BINS = 1 << 16
 
-    Names are counted per first place, the counts are added up by an ordered scan, and only names at
-    the place where the count passes k are counted by the second place, and so on; what shares all
-    places is ranked.
+
+def _kth(places: DataFrame, k: int) -> tuple[int, int, int]:
+    """The k-th of the whole numbers ``__place`` in order, how many are below it, and how many equal it.
+
+    A histogram tells the bin that holds it, a histogram of that bin the next smaller one, until a bin is
+    one number or holds so few that they are counted one by one.  Nothing is sorted.
+    """
+    low, high = places.agg(F.min("__place"), F.max("__place")).first()
+    before, few = 0, False
+    while True:
+        width = 1 if few else -(-(high - low + 1) // _BINS)
+        inside = places.where(F.col("__place").between(low, high))
+        number = F.call_function("div", F.col("__place") - F.lit(low), F.lit(width).cast("bigint"))
+        for r in sorted(inside.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if before + r.n >= k:
+                break
+            before += r.n
+        low, high = low + r.bin * width, min(high, low + (r.bin + 1) * width - 1)
+        if width == 1:
+            return low, before, r.n
+        few = r.n <= _BINS
+
+
+def _first_k(names: DataFrame, places: Sequence[Column], k: int) -> DataFrame:
+    """Mark the first k names in order of the places with ``__first``, without sorting names.
+
+    Only names at the place of the cut, where not all of them are first, go on to the second place, and so on;
+    what shares all places is dealt by a further hash, and equal rows are counted.  A missing place is the last.
     """
-    others = [col(c) for c in names.columns if c != sample]
-    columns = names.columns
-    rest, left, done = names, k, []
-    for place in places:
-        placed = rest.withColumn("__place", place)
-        counts = placed.groupBy("__place").agg(F.count(F.lit(1)).alias("__c"))
-        summed = scan(counts, Axis(time="__place", parts=256), Scan(total={"__upto": F.col("__c")}))
-        cut = summed.where(F.col("__upto") >= left).agg(
-            F.min("__place").alias("place"), F.min_by(F.col("__upto") - F.col("__c"), "__place").alias("before")
-        ).select(F.struct("place", "before").alias("c"))
-        # place of the cut is null when k exceeds the number of names: all are first
-        marked = placed.withColumn("__cut", cut.scalar())
-        at = F.col("__cut.place")
-        outside = marked.where(at.isNull() | (F.col("__place") != at)).withColumn(
-            "__first", at.isNull() | (F.col("__place") < at)
-        )
-        done.append(outside.select(*[col(c) for c in columns], "__first"))
-        rest = marked.where(F.col("__place") == at).select(*[col(c) for c in columns])
-        left = left - cut.select("c.before").scalar()
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(col(sample), *others))
-    done.append(rest.withColumn("__first", rank <= left))
+    columns = [col(c) for c in names.columns]
+    last = F.lit((1 << 63) - 1)
+    done, rest = [], names
+    for place in [*places, F.shiftrightunsigned(F.xxhash64(F.lit("first"), *columns), 1)]:
+        placed = rest.withColumn("__place", F.coalesce(place, last))
+        at, before, equal = _kth(placed.select("__place"), k)
+        here = F.col("__place")
+        if before + equal == k:
+            done.append(placed.select(*columns, (here <= at).alias("__first")))
+            rest = None
+            break
+        done.append(placed.where(here != at).select(*columns, (here < at).alias("__first")))
+        rest, k = placed.where(here == at).select(*columns), k - before
+    if rest is not None:  # equal rows
+        counted = rest.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+        dealt = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i"))
+        done.append(dealt.select(*columns, (F.col("__i") <= k).alias("__first")))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -338,16 +359,20 @@ def _digest(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def _count(names: DataFrame) -> Column:
-    return names.agg(F.count(F.lit(1))).scalar()
+def _split(names: DataFrame, places: Sequence[Column], first: int, parts: tuple[str, str]) -> DataFrame:
+    """``split`` is the first part for the first names and the second for the others."""
+    columns = [col(c) for c in names.columns]
+    if first <= 0:
+        return names.select(*columns, F.lit(parts[1]).alias("split"))
+    marked = _first_k(names, places, first)
+    return marked.select(*columns, F.when(F.col("__first"), parts[0]).otherwise(parts[1]).alias("split"))
 
 
 def temporal_split(names: DataFrame, test_size: float = 0.2, sample: str = "sample_id") -> DataFrame:
     """``(sample_id, split)``: by the number in the name, the first ``int(n * (1 - test_size))`` train;
     names of one number are ordered by digest."""
-    k = F.floor(_count(names) * F.lit(1 - test_size))
-    marked = _first_k(names, [first_integer(col(sample)), _digest(_whole_name(names, sample))], k, sample)
-    return marked.select(*[col(c) for c in names.columns], F.when(F.col("__first"), "train").otherwise("test").alias("split"))
+    places = [first_integer(col(sample)), _digest(_whole_name(names, sample))]
+    return _split(names, places, expected_split_sizes(names.count(), test_size, "temporal")[0], ("train", "test"))
 
 
 def _whole_name(names: DataFrame, sample: str) -> Column:
@@ -359,10 +384,8 @@ def _whole_name(names: DataFrame, sample: str) -> Column:
 def random_split(names: DataFrame, test_size: float = 0.2, seed: int = 10, sample: str = "sample_id") -> DataFrame:
     """Seeded split with ``ceil(n * test_size)`` test samples; the same names give the same split on
     any cluster, as the order is a digest of name and seed."""
-    k = F.ceil(_count(names) * F.lit(test_size))
     place = _digest(F.concat_ws("|", _whole_name(names, sample), F.lit(str(seed))))
-    marked = _first_k(names, [place], k, sample)
-    return marked.select(*[col(c) for c in names.columns], F.when(F.col("__first"), "test").otherwise("train").alias("split"))
+    return _split(names, [place], expected_split_sizes(names.count(), test_size, "random")[1], ("test", "train"))
 
 
 def expected_split_sizes(n: int, test_size: float, kind: str) -> tuple[int, int]:

@@ -4,6 +4,8 @@ import datetime as dt
 import time
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -552,3 +554,59 @@ def test_repeated_keys_of_long_paragraphs(spark):
         seen[key] = seen.get(key, 0) + 1
         want[key if seen[key] == 1 else f"{key} {seen[key]}"] = value
     assert fields == want
+
+
+def test_calibrations_without_a_time_meet_no_exchange(spark):
+    sensor = series(spark, [float(h) for h in range(60)])
+    cal = spark.createDataFrame([(1, at(10)), (2, None)], "id int, t timestamp")
+    found = calibration.calibration_jumps(cal, sensor, AX, "v", time="t")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join LeftOuter") :]
+    assert "isnotnull(" in joined.split("Join", 2)[1]
+    assert sorted((r.id, r.difference, r.between_count) for r in found.collect()) == [(1, None, 0), (2, None, 0)]
+
+
+def test_scores_of_many_groups(spark):
+    """100,000 groups, one of which holds a third of all rows."""
+    rows = spark.range(0, 420_000, numPartitions=8).select(
+        F.when(F.col("id") % 4 == 0, F.lit(-1)).otherwise(F.col("id") % 100_003).alias("model"),
+        (F.col("id") % 1000 / 1000).alias("pred"), (F.xxhash64("id") % 2 == 0).cast("int").cast("double").alias("target"),
+    )
+    auc = metrics.roc_auc(rows).toPandas().set_index("model").roc_auc
+    spread = metrics.error_spread(rows).toPandas().set_index("model")
+    assert len(auc) == len(spread) == rows.select("model").distinct().count()
+    frame = rows.toPandas()
+    for model in (-1, 1, 2, 100_002):
+        part = frame[frame.model == model]
+        hits, misses = part.pred[part.target == 1].to_numpy(), part.pred[part.target == 0].to_numpy()
+        if len(hits) and len(misses):
+            ranks = pd.Series(np.r_[hits, misses]).rank().to_numpy()[: len(hits)]
+            assert auc[model] == pytest.approx((ranks.sum() - len(hits) * (len(hits) + 1) / 2) / (len(hits) * len(misses)))
+        else:
+            assert math.isnan(auc[model])
+        err = (part.pred - part.target).to_numpy()
+        q1, q3 = np.quantile(err, [0.25, 0.75])
+        inside = err[(err >= q1 - 1.5 * (q3 - q1)) & (err <= q3 + 1.5 * (q3 - q1))]
+        r = spread.loc[model]
+        assert (r.n, r.q1, r.q3) == (len(err), pytest.approx(q1), pytest.approx(q3))
+        assert (r.low, r.high) == (pytest.approx(min(q1, inside.min())), pytest.approx(max(q3, inside.max())))
+
+
+@pytest.mark.parametrize("bins", [2, 7, 1 << 16])
+def test_order_statistic_by_histograms(spark, monkeypatch, bins):
+    monkeypatch.setattr(samples, "_BINS", bins)
+    numbers = [0, 5, 5, 5, 9, (1 << 60) + 3, (1 << 60) + 3, 7, (1 << 63) - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "__place long")
+    numbers.sort()
+    for k in range(1, len(numbers) + 1):
+        at = numbers[k - 1]
+        assert samples._kth(df, k) == (at, sum(n < at for n in numbers), numbers.count(at))
+
+
+def test_equal_names_are_split_by_count(spark):
+    df = spark.createDataFrame([("s_1",)] * 50 + [("s_2",)] * 3 + [(None,)] * 7, "sample_id string")
+    for split, test in ((samples.random_split(df, 0.3, 4), 18), (samples.temporal_split(df, 0.2), 12)):
+        rows = split.collect()
+        assert len(rows) == 60 and sum(r.split == "test" for r in rows) == test
+        plan = split._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan
