@@ -102,6 +102,12 @@ def binarize(
     return out.withColumn(flag, row_flag([col(c) for c in columns]))
 
 
+def numbers_or_flags(df: DataFrame, columns: Sequence[str], limits: Mapping[str, float] | DataFrame | None) -> DataFrame:
+    """A source's columns as numbers, or with limits as 0/1 flags that ``anomaly`` sums up."""
+    df = to_numbers(df, columns)
+    return df if limits is None else binarize(df, columns, limits)
+
+
 def limits_long(limits: DataFrame) -> DataFrame:
     """One-row limit table to ``(param, limit)``."""
     values = limits.select(*[col(c).cast("double").alias(c) for c in limits.columns])

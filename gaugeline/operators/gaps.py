@@ -48,6 +48,27 @@ def align(spine: DataFrame, source: DataFrame, axis: Axis) -> DataFrame:
     return join_keys(spine, source, [*axis.keys, axis.time], "left")
 
 
+def align_all(sources: Sequence[DataFrame], axis: Axis, ties: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
+    """All sources on one spine of whole hours, with the given columns of theirs; of rows of one time the first
+    counts, by the source's tie columns, as in ``dedup_time``.
+
+    The sources and the spine are one union with one aggregate over (series, time), so rows are shuffled
+    once however many sources there are.
+    """
+    parts = []
+    for i, (source, tie) in enumerate(zip(sources, ties, strict=True)):
+        values = [col(c) for c in source.columns if c in columns]
+        order = [c for t in tie for c in (col(t).isNull(), col(t))]
+        rows = source.where(col(axis.time).isNotNull())
+        parts.append(rows.select(*axis.key_cols, col(axis.time), F.struct(*values).alias(f"__v{i}"), F.struct(*order).alias(f"__o{i}")))
+    laid = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    whole = laid.unionByName(hourly_spine([laid], axis), allowMissingColumns=True)
+    firsts = [F.min_by(F.col(f"__v{i}"), F.col(f"__o{i}")).alias(f"__v{i}") for i in range(len(parts))]
+    found = whole.groupBy(*axis.key_cols, col(axis.time)).agg(*firsts)
+    of = {c: i for i, source in enumerate(sources) for c in source.columns if c in columns}
+    return found.select(*axis.key_cols, col(axis.time), *[F.col(f"__v{of[c]}")[c].alias(c) for c in columns])
+
+
 def insert_missing_hours(df: DataFrame, axis: Axis, max_gap: int = 6, flag: str = "Interpolated") -> DataFrame:
     """Insert the hours missing in steps of more than 1 h and at most ``max_gap`` h, flagged with 1.
 

@@ -83,16 +83,17 @@ def combine_sparse(
     Times are rounded to the hour, and of readings in one hour the earliest stays, since a spine needs unique
     times.  A source may come with limits, which turn it into 0/1 flags.
     """
-    laid = []
-    for source, limits in sources:
-        rounded = source.withColumn("__raw", col(axis.time)).withColumn(axis.time, round_hour(col(axis.time)))
+    rounded, ties, taken = [], [], []
+    for source, _ in sources:
         rest = [c for c in source.columns if c not in (axis.time, *axis.keys)]
-        unique = gaps.dedup_time(rounded.where(col(axis.time).isNotNull()), axis, ["__raw", *rest]).drop("__raw")
-        laid.append((unique, limits))
-    df = gaps.hourly_spine([s for s, _ in laid], axis)
-    for source, limits in laid:
-        options = {"source_time": axis.time, "sparse": True, "limits": limits}
-        df = combine.add_source(df, source, axis, **options)
+        if twice := [c for c in rest if c in taken]:
+            raise ValueError(f"column(s) in more than one table: {', '.join(twice)}")
+        taken += rest
+        rounded.append(source.withColumn("__raw", col(axis.time)).withColumn(axis.time, round_hour(col(axis.time))))
+        ties.append(["__raw", *rest])
+    df = gaps.align_all(rounded, axis, ties, taken)
+    for tie, (_, limits) in zip(ties, sources):
+        df = combine.numbers_or_flags(df, tie[1:], limits)
     return df
 
 
