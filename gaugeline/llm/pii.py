@@ -18,7 +18,7 @@ input columns of the same name.
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import math
 import random
 import re
@@ -29,25 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeline.llm.columns import beside
+from gaugeline.llm.columns import beside, unused
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_REGIONS = 400
 LONGEST = 24
 
-_BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
-    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
-#: Where a span of the field may lie: around an at sign (written out too), or seven digits in groups.
-_REGION = re.compile(
-    r"[A-Za-z0-9._%+-]+ ?(?:@|[\[({] ?at ?[\])}]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]+)*"
-    r"|[+(]*[0-9](?:[ ().+/-]{0,3}[0-9]){6,}"
-)
+# Where a span of the field may lie: around an at sign (written out too), or seven digits in groups.
+_AT = re.compile(r"@|[\[({] ?at ?[\])}]")
+_FROM_AT = re.compile(r"(?:@|[\[({] ?at ?[\])}]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]+)*")
+_SEVEN = re.compile(r"[0-9](?:[ ().+/-]{0,3}[0-9]){6,}")
 _AROUND = 16
 
 
@@ -76,28 +74,100 @@ def _passes(kind: str, span: str) -> bool:
     return True
 
 
+def _emails(text: str):
+    """An address is found from its at sign, so that a long run of letters is passed over once."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        before = text[end:at]
+        begin = end + len(before.rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if begin < at else None
+        end = m.end() if m else at + 1
+        if m:
+            yield begin, end
+        at = text.find("@", end)
+
+
+def _dotted(text: str):
+    """Four numbers between dots, one after the other in a longer chain."""
+    for m in _DOTTED.finditer(text):
+        if m.group().count(".") >= 3:
+            parts, at = m.group().split("."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                size = sum(map(len, parts[i : i + 4])) + 3
+                yield at, at + size
+                at += size + 1
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Leftmost non-overlapping matches of each kind that pass its test."""
-    sign = {"email": "@", "ip": ".", "phone": "+"}
-    out = {}
-    for kind in KINDS:
-        found = []
-        if kind not in sign or sign[kind] in text:
-            for m in _BASE[kind].finditer(text):
-                if (kind != "card" or m.end() - m.start() >= 14) and _passes(kind, m.group()):
-                    found.append(m.span())
-        out[kind] = found
-    return out
+    found = {
+        "email": _emails(text),
+        "ip": _dotted(text) if "." in text else (),
+        "card": (m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 14),
+        "phone": (m.span() for m in _PHONE.finditer(text)) if "+" in text else (),
+    }
+    return {kind: [(a, b) for a, b in found[kind] if _passes(kind, text[a:b])] for kind in KINDS}
 
 
 # --- regions and segments --------------------------------------------------------------------
 
 
+def marks(text: str):
+    """Leftmost places, one after the other, of an at sign with a word on either side or of seven digits in groups.
+
+    Both are found from what is rare in them, at signs and digits, and are extended to the left."""
+    signs, numbers = _signs(text), _numbers(text)
+    end = 0
+    sign, number = next(signs, None), numbers(0)
+    while sign or number:
+        if number and number[1] < end:
+            number = numbers(end)
+            continue
+        # the word before a sign may have been taken by the match before
+        if sign and max(sign[0], end) >= sign[1]:
+            sign = next(signs, None)
+            continue
+        at_sign = max(sign[0], end) if sign else len(text)
+        at_number = max(number[0], end) if number else len(text)
+        if at_number < at_sign:
+            yield at_number, number[2]
+            end, number = number[2], numbers(number[2])
+        else:
+            yield at_sign, sign[2]
+            end, sign = sign[2], next(signs, None)
+
+
+def _signs(text: str):
+    """``(begin of the word before, its end, end of the match)`` of every at sign with a word behind it."""
+    passed = 0
+    for m in _AT.finditer(text):
+        to = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        found = _FROM_AT.match(text, m.start())
+        if found and to > passed:
+            yield passed + len(text[passed:to].rstrip(_LOCAL)), to, found.end()
+        passed = m.end()
+
+
+def _numbers(text: str):
+    """``search(place)``: ``(begin with signs before, first digit, end)`` of the next seven digits in groups."""
+
+    def search(place: int):
+        m = _SEVEN.search(text, place)
+        if m is None:
+            return None
+        begin = m.start()
+        while begin > place and text[begin - 1] in "+(":
+            begin -= 1
+        return begin, m.start(), m.end()
+
+    return search
+
+
 def regions(text: str):
     """Parts of the text that the field reads, widened to some context, joined where they overlap."""
     spans: list[list[int]] = []
-    for m in _REGION.finditer(text):
-        a, b = max(0, m.start() - _AROUND), min(len(text), m.end() + 2)
+    for begin, end in marks(text):
+        a, b = max(0, begin - _AROUND), min(len(text), end + 2)
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(b, spans[-1][1])
         else:
@@ -113,7 +183,6 @@ _CUES = {
     "email": re.compile(r"(?i)mail|contact|write"), "ip": re.compile(r"(?i)\bip\b|host|server|addr"),
     "card": re.compile(r"(?i)card|visa|credit|account"), "phone": re.compile(r"(?i)phone|tel|call|mobile|fax"),
 }
-_AT = re.compile(r"@|[\[({] ?at ?[\])}]")
 _GOES_ON = re.compile(r" ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9]|[ ().+/-]{0,3}[0-9]")
 _DOT = re.compile(r"\.|[\[({] ?dot ?[\])}]")
 FEATURES = 31
@@ -171,18 +240,27 @@ def features(part: str, a: int, b: int) -> np.ndarray | None:
     return x
 
 
-def candidates(part: str, cut: list[tuple[int, int]]):
-    """``(first atom, past the last, features)`` of all segments that may be entities."""
-    out = []
+def segments_from(part: str, cut: list[tuple[int, int]]):
+    """``(first atom, past the last, features)`` of all segments that may be entities, by first atom."""
+    digits, other = [0], [0]  # before each atom; other characters are those that allow fewer than seven digits
+    for a, b in cut:
+        number = part[a] in "0123456789"
+        digits.append(digits[-1] + (b - a if number else 0))
+        other.append(other[-1] + (part[a] in "@.[({" or (b - a == 2 and part[a:b] == "at")))
     for i in range(len(cut)):
         c = part[cut[i][0]]
         if not (c.isalnum() or c in "+("):
             continue
         for j in range(i + 1, min(len(cut), i + LONGEST) + 1):
+            if digits[j] - digits[i] < 7 and other[j] == other[i]:
+                continue
             x = features(part, cut[i][0], cut[j - 1][1])
             if x is not None:
-                out.append((i, j, x))
-    return out
+                yield i, j, x
+
+
+def candidates(part: str, cut: list[tuple[int, int]]) -> list:
+    return list(segments_from(part, cut))
 
 
 # --- the field -------------------------------------------------------------------------------
@@ -219,18 +297,29 @@ def gradient(weights: np.ndarray, n: int, segments: list, gold: set) -> tuple[np
     return out, likelihood
 
 
-def viterbi(weights: np.ndarray, n: int, segments: list) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities ``(i, j, kind)``."""
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    ending: list[list] = [[] for _ in range(n + 1)]
+def viterbi(weights: np.ndarray, n: int, segments) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities ``(i, j, kind)``.  Segments come by first atom and are scored as they
+    come, so only the best one to end at each atom is held."""
+    outside, best, back = 0, [0.0] * (n + 1), [None] * (n + 1)
+    ending = [-math.inf] * (n + 1)
+
+    def settle(to: int):
+        nonlocal outside
+        while outside < to:
+            outside += 1
+            best[outside] = best[outside - 1]
+            if ending[outside] > best[outside]:
+                best[outside] = ending[outside]
+            else:
+                back[outside] = None
+
     for i, j, x in segments:
-        ending[j].append((i, weights @ x))
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, score in ending[j]:
-            k = int(score.argmax())
-            if best[i] + score[k] > best[j]:
-                best[j], back[j] = best[i] + score[k], (i, j, k)
+        settle(i)
+        score = weights @ x
+        k = int(score.argmax())
+        if best[i] + score[k] > ending[j]:
+            ending[j], back[j] = best[i] + score[k], (i, j, k)
+    settle(n)
     out, j = [], n
     while j > 0:
         if back[j] is None:
@@ -311,27 +400,39 @@ def train(parts: list[str], epochs: int = 8, rate: float = 0.3, penalty: float =
 
 
 def added_spans(text: str, weights: np.ndarray, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str]]:
-    taken = sorted(s for spans in base.values() for s in spans)
+    taken = _merged(s for spans in base.values() for s in spans)
+    begins, ends = [a for a, _ in taken], [b for _, b in taken]
     out = []
     for a, b in regions(text):
         part = text[a:b]
-        inside = [s for s in taken if s[0] < b and s[1] > a] if taken else []
+        inside = taken[bisect.bisect_right(ends, a) : bisect.bisect_left(begins, b)]
         if inside and _only(part, a, inside):
             continue
         cut = atoms(part)
-        for i, j, k in viterbi(weights, len(cut), candidates(part, cut)):
+        for i, j, k in viterbi(weights, len(cut), segments_from(part, cut)):
             begin, end = a + cut[i][0], a + cut[j - 1][1]
-            if not any(s < end and e > begin for s, e in inside):
+            if bisect.bisect_right(ends, begin) == bisect.bisect_left(begins, end):
                 out.append((begin, end, KINDS[k]))
     return out
 
 
+def _merged(spans) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _only(part: str, a: int, inside: list[tuple[int, int]]) -> bool:
     """Nothing is left to read besides the base spans."""
-    left = list(part)
+    left, at = [], 0
     for s, e in inside:
-        left[max(0, s - a) : max(0, e - a)] = " " * (min(e - a, len(part)) - max(0, s - a))
-    return _REGION.search("".join(left)) is None
+        left += [part[at : max(0, s - a)], " " * (min(e - a, len(part)) - max(0, s - a))]
+        at = max(0, e - a)
+    return next(marks("".join([*left, part[at:]])), None) is None
 
 
 # --- documents -------------------------------------------------------------------------------
@@ -393,24 +494,22 @@ def find(docs: DataFrame, text: str = "text", weights: np.ndarray | None = None)
 
 def mask(docs: DataFrame, text: str = "text", weights: np.ndarray | None = None) -> DataFrame:
     """The documents with every span of ``text`` replaced by its kind in angle brackets."""
-    found = find(docs.withColumn("_masked", F.lit(None).cast("string")), text, weights)
+    masked = unused(docs.columns, "masked")
+    found = find(docs.withColumn(masked, F.lit(None).cast("string")), text, weights)
 
     def run(batches):
         for batch in batches:
             out = []
             for value, spans in zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 if value:
-                    end = len(value)
+                    parts, end = [], len(value)
                     for s in sorted(spans, key=lambda s: (-s["start"], -s["end"])):
                         if s["end"] <= end:
-                            value, end = f"{value[: s['start']]}<{s['kind']}>{value[s['end'] :]}", s["start"]
+                            parts += [value[s["end"] : end], f"<{s['kind']}>"]
+                            end = s["start"]
+                    value = "".join([value[:end], *reversed(parts)])
                 out.append(value)
-            at = batch.schema.get_field_index("_masked")
-            yield batch.set_column(at, "_masked", pa.array(out, pa.string()))
-
-    masked = found.mapInArrow(run, found.schema)
-    return masked.withColumn(text, F.col("_masked")).drop("_masked")
-
+            at = batch.schema.get_field_index(masked)
+            yield batch.set_column(at, masked, pa.array(out, pa.string()))
 
-def digest(spans: list[str]) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
+    return found.mapInArrow(run, found.schema).withColumn(text, F.col(masked)).drop(masked)

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import plain
 import pytest
@@ -21,7 +23,7 @@ def test_query_base(spark, sf_dir, tables):
     texts = {r.doc_id: r.text or "" for r in tables["documents"].collect()}
     total = 0
     for r in QUERIES["op2_pii"](spark, sf_dir).collect():
-        base = pii.base_spans(texts[r.doc_id])
+        base = plain.personal(texts[r.doc_id])
         listed = sorted((a, pii.KINDS.index(k), f"{k}:{a}:{b}") for k in pii.KINDS for a, b in base[k])
         assert r.base_sha256 == plain.sha(",".join(x for *_, x in listed))
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(base[k]) for k in pii.KINDS)
@@ -123,3 +125,48 @@ def test_corner_cases(spark):
     assert pii.find(docs.limit(0)).count() == 0
     nothing = spark.createDataFrame([(1, "no data here")], "doc_id long, text string")
     assert pii.find(nothing).first().spans == []
+
+
+def _noise(draw, n):
+    pieces = ["@", " @ ", "[at]", "( at )", "{dot}", " [dot] ", "+", "((", "1", "12", "1234567", "555-9629", ".", " ", "-", "a", "bc", "x.y", "é", "10.0.0.1", "4111 1111 1111 1111", "+1 274 555 9629", "\n", "%"]
+    return "".join(draw.choice(pieces) for _ in range(n))
+
+
+def test_base_spans_equal_the_patterns():
+    draw = random.Random(11)
+    for _ in range(4000):
+        text = _noise(draw, draw.randint(0, 30))
+        assert pii.base_spans(text) == plain.personal(text), text
+
+
+def test_marks_equal_one_pattern():
+    pattern = re.compile(
+        r"[A-Za-z0-9._%+-]+ ?(?:@|[\[({] ?at ?[\])}]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]+)*"
+        r"|[+(]*[0-9](?:[ ().+/-]{0,3}[0-9]){6,}"
+    )
+    draw = random.Random(12)
+    for _ in range(6000):
+        text = _noise(draw, draw.randint(0, 30))
+        assert list(pii.marks(text)) == [m.span() for m in pattern.finditer(text)], text
+
+
+@pytest.mark.parametrize("unit", ["a", "7", "me@site.org ", "(", "+", "1.", "a.", "a@", "@", "1 - "])
+def test_time_is_linear(unit):
+    weights = pii.train([])
+    took = []
+    for n in (1_000_000, 2_000_000) if unit not in ("1 - ", "a@", "@") else (10_000, 20_000):
+        text = unit * (n // len(unit))
+        start = time.time()
+        base = pii.base_spans(text)
+        pii.added_spans(text, weights, base)
+        took.append(time.time() - start)
+    assert took[1] < 3 * took[0] + 1 and took[1] < 20
+
+
+def test_masking_keeps_a_column_of_its_helper_name(spark):
+    import numpy as np
+
+    weights = np.zeros((len(pii.KINDS), pii.FEATURES))
+    weights[:, 0] = -9
+    docs = spark.createDataFrame([(1, "me@site.org", "kept")], "doc_id long, text string, masked string")
+    assert pii.mask(docs, weights=weights).select("text", "masked").first() == ("<email>", "kept")
