@@ -21,8 +21,9 @@ of the pages are not archived.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -137,29 +138,58 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 # --- reading ---------------------------------------------------------------------------------
 
 
-def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower case names) and block of each record of a file."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+def unpacked(content: bytes) -> tuple[bytes, str | None]:
+    """All gzip members on end, up to one that is damaged; other content as it is."""
+    if content[:2] != b"\x1f\x8b":
+        return content, None
+    out, rest = [], content
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(rest))
+        except zlib.error as e:
+            return b"".join(out), f"gzip member: {e}"
+        if not member.eof:
+            return b"".join(out), "gzip member is cut"
+        rest = member.unused_data
+    return b"".join(out), None
+
+
+def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Header fields (lower case names), block and problem of each record of a file.  Behind a record that
+    can't be read, reading goes on at the next line that begins one."""
+    content, damage = unpacked(content)
     at = 0
-    while at < len(content):
-        if content[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        end = content.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError(f"cut header at byte {at}")
+    while 0 <= at < len(content):
         fields: dict[str, str] = {}
-        for text in content[at:end].split(b"\r\n")[1:]:
-            name, _, value = text.partition(b":")
-            fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-        size = int(fields["content-length"])
-        begin = end + 4
-        if begin + size > len(content):
-            raise ValueError(f"cut block at byte {begin}")
-        yield fields, content[begin : begin + size]
-        at = begin + size
+        end = content.find(b"\r\n\r\n", at)
+        if content[at : at + 5] != b"WARC/":
+            problem, after = f"no record at byte {at}", at
+        elif end < 0 or content.find(b"\r\nWARC/", at, end) >= 0:
+            problem, after = f"header is cut at byte {at}", at + 5
+        else:
+            problem, after = None, end + 4
+            for text in content[at:end].split(b"\r\n")[1:]:
+                name, _, value = text.partition(b":")
+                fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+            size = fields.get("content-length", "")
+            if not re.fullmatch("[0-9]{1,18}", size):
+                problem = "no content length"
+            elif after + int(size) > len(content):
+                problem = f"block is cut at byte {len(content)}"
+            elif not all(re.fullmatch("[0-9]{0,18}", fields.get(n, "")) for n in ("warc-segment-number", "warc-segment-total-length")):
+                problem = "segment number or length is no number"
+        if problem is not None:
+            yield fields, b"", problem
+            mark = content.find(b"\r\nWARC/", max(0, after - 2))
+            at = mark + 2 if mark >= 0 else -1
+            continue
+        yield fields, content[after : after + int(size)], None
+        at = after + int(size)
         while content[at : at + 2] == b"\r\n":
             at += 2
+    if damage is not None:
+        yield {}, b"", damage
 
 
 def dechunk(body: bytes) -> bytes:
@@ -226,9 +256,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for fields, block in records(content.as_buffer().to_pybytes()):
-                    if not _segmented(fields):
-                        rows.append(_finished(fields, block, None))
+                for fields, block, problem in records(content.as_buffer().to_pybytes()):
+                    if problem is not None or not _segmented(fields):
+                        rows.append(_finished(fields, block, problem))
                         if len(rows) == 1000:
                             yield _batch(rows)
                             rows = []
@@ -238,9 +268,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for fields, block in records(content.as_buffer().to_pybytes()):
-                    if _segmented(fields):
-                        number = int(fields.get("warc-segment-number", 0))
+                for fields, block, problem in records(content.as_buffer().to_pybytes()):
+                    if problem is None and _segmented(fields):
+                        number = int(fields.get("warc-segment-number") or 0)
                         origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id")
                         total = fields.get("warc-segment-total-length")
                         rows.append((origin, number, int(total) if total else None, list(fields.items()) if number == 1 else None, block))

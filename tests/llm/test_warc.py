@@ -101,9 +101,26 @@ def test_faults_are_reported(spark, tmp_path):
     }
 
 
-def test_cut_files_raise():
-    ((whole,),) = (_file(({"WARC-Type": "response"}, b"abc")),)
-    assert len(list(warc.records(whole))) == 1
-    for bad in (whole[:20], whole[:-6], b"junk" + whole):
-        with pytest.raises(ValueError):
-            list(warc.records(bad))
+def test_damaged_records_are_rows(spark, tmp_path):
+    good = {"WARC-Type": "warcinfo", "WARC-Record-ID": "<good>"}
+    ((whole,), (bad,)) = (_file((f, b"abc")) for f in (good, good | {"WARC-Record-ID": "<bad>"}))
+    cases = {
+        "junk": (b"junk\r\n" + whole, "no record at byte 0"),
+        "header": (whole + bad[:20], f"header is cut at byte {len(whole)}"),
+        "inner": (bad[:20] + b"\r\n" + whole, "header is cut at byte 0"),
+        "block": (whole + bad[:-6], f"block is cut at byte {len(whole) + len(bad) - 6}"),
+        "length": (bad.replace(b"Content-Length: 3", b"Length: 3") + whole, "no content length"),
+        "number": (bad.replace(b"Content-Length", b"WARC-Segment-Number: x\r\nContent-Length") + whole, "segment number or length is no number"),
+        "cut": (gzip.compress(whole) + gzip.compress(bad)[:-9], "gzip member is cut"),
+        "zip": (gzip.compress(whole) + b"\x1f\x8b" + b"\xff" * 30, None),
+    }
+    for name, (content, _) in cases.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "x.warc").write_bytes(content)
+        rows = warc.read(spark, str(folder)).collect()
+        assert [bytes(r.payload) for r in rows if r.problem is None and r.record_id == "<good>"] == [b"abc"], name
+    for name, (content, problem) in cases.items():
+        found = [p for _, _, p in warc.records(content) if p]
+        assert len(found) == 1 and (problem is None or found == [problem]), name
+    assert list(warc.records(b"")) == [] and len(list(warc.records(whole))) == 1
