@@ -7,8 +7,8 @@ size of a tile.  Pairs that are frequent enough are numbered by falling frequenc
 phrase of three words is a pair of two such pairs that overlap, and so on up to ``longest`` words.
 
 How it runs: documents are cut into words once and written as chunks of some megabytes of text: the words
-of a chunk, and its texts as numbers of these.  A chunk counts its tiles, and equal tiles of up to 64
-chunks (then of 64 such groups, and so on) are added up in one task, so that the hottest tile is no hot
+of a chunk, and its texts as numbers of these.  A chunk counts its tiles, and equal tiles of up to 256
+chunks (then of 256 such groups, and so on) are added up in one task, so that the hottest tile is no hot
 task.  Numbers of frequent words and pairs go back to the chunks.  Up to ``HELD`` of them they are broadcast;
 more take an exchange of packed pairs dealt by hash, in which the frequent pairs come first in a bucket and
 the distinct pairs of chunk after chunk stream past them.
@@ -39,7 +39,7 @@ CHUNK_BYTES = 4 << 20
 #: Numbers on a side of a tile.
 TILE = 2048
 #: Equal tiles added up in one task.
-FAN_IN = 64
+FAN_IN = 256
 #: Frequent words, or pairs of one length, that are broadcast: at 12 bytes a pair, 24 MB.
 HELD = 2_000_000
 #: Frequent pairs of a bucket of the exchange.
@@ -130,7 +130,7 @@ def _number_words(chunk, docs, found):
     line = np.frombuffer(docs.field("ids")[0].as_py(), np.uint32)
     ids = np.zeros(len(docs.field("words")[0].values) + 1, np.uint32)
     for x in found:
-        ids[np.frombuffer(x["numbers"], np.int64)] = np.frombuffer(x["ids"], np.int64) + 1
+        ids[np.cumsum(_from_planes(x["numbers"], 4))] = _from_planes(x["ids"], 4) + 1
     yield _sequence(chunk, ids[line])
 
 
@@ -138,13 +138,13 @@ def _packed(batches):
     """``(chunk, number, id)`` to one row per chunk and batch."""
     for batch in batches:
         chunk, number, ids = (batch.column(c).to_numpy() for c in ("chunk", "number", "id"))
-        order = np.argsort(chunk, kind="stable")
+        order = np.lexsort((number, chunk))
         cut = np.flatnonzero(np.r_[True, np.diff(chunk[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
         spans = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([chunk[s[0]] for s in spans], pa.int64()), pa.array([number[s].tobytes() for s in spans], pa.binary()),
-                pa.array([ids[s].tobytes() for s in spans], pa.binary()),
+                pa.array([chunk[s[0]] for s in spans], pa.int64()), pa.array([_planes(np.diff(number[s], prepend=0), 4) for s in spans], pa.binary()),
+                pa.array([_planes(ids[s], 4) for s in spans], pa.binary()),
             ],
             names=["chunk", "numbers", "ids"],
         )
