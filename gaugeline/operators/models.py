@@ -53,11 +53,11 @@ def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
     lower loss follow it; what comes after those rounds is not looked at."""
     best = 0
     for i, loss in enumerate(losses):
-        if i - best >= patience:
-            return best + 1, True
         if loss < losses[best]:
             best = i
-    return best + 1, bool(losses) and len(losses) - 1 - best >= patience
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
 def first_rounds(model, rounds: int):

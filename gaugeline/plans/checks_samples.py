@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
@@ -386,8 +388,11 @@ def score_samples(spark, d):
     known = F.filter("features", lambda v: v.isNotNull())
     mean = F.aggregate(known, F.lit(0.0), lambda a, b: a + b) / F.size(known)
     rows = found.where(F.size(known) > 0).select(array_to_vector(F.array(mean)).alias("x"), F.col("target")[0].alias("y")).where("y is not null")
-    line = LinearRegression(featuresCol="x", labelCol="y", solver="normal").fit(rows)
+    numbers = [math.nan, math.nan]  # nothing to learn from
+    if not rows.isEmpty():
+        line = LinearRegression(featuresCol="x", labelCol="y", solver="normal").fit(rows)
+        numbers = [line.intercept, line.coefficients[0]]
     path = scratch(spark, "line")
-    models.store_model(spark, np.array([line.intercept, line.coefficients[0]], "<f8").tobytes(), path)
+    models.store_model(spark, np.array(numbers, "<f8").tobytes(), path)
     scored = models.score_batches(found, models.stored_model(spark, path, _line_model), size=92)
     return scored.select("sample_id", r6(F.col("pred")[0], "pred"), r6(F.col("target")[0], "target"))
