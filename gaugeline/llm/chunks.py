@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from gaugeline.sources.tables import bucketed
 
 CHUNK_BYTES = 2 << 20
-MOST_BUCKETS = 100_000  # Spark's own limit
+MOST_BUCKETS = 100_000  # Spark's own limit for a table
 #: Low bits of a packed key.
 MULTI, ANCHOR = np.uint64(1), np.uint64(2)
 
@@ -31,7 +31,8 @@ FOUND = "chunk bigint, keys binary, later binary"
 
 
 def write_chunks(docs: DataFrame, text: str, chunk_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """``(chunk, rows)`` with all columns of the documents inside ``rows``, and the number of buckets.
+    """``(chunk, rows)`` with all columns of the documents inside ``rows``, and the number of buckets in which
+    keys meet, one for each two chunks; a table has at most ``MOST_BUCKETS`` of them, the exchange has no limit.
 
     A chunk holds about ``chunk_bytes`` of text (one long text may exceed it); by default 2 MB, more
     beyond 8 GB, so that rows of the exchange do not grow with the square of the input.
@@ -39,7 +40,7 @@ def write_chunks(docs: DataFrame, text: str, chunk_bytes: int | None = None) ->
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     size = chunk_bytes or min(64 << 20, max(CHUNK_BYTES, total // 4096))
-    buckets = min(MOST_BUCKETS, max(1 + total // (2 * size), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = max(1 + total // (2 * size), int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = T.StructType(
         [T.StructField("chunk", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(docs.schema.fields)))]
     )
@@ -71,7 +72,7 @@ def write_chunks(docs: DataFrame, text: str, chunk_bytes: int | None = None) ->
         if held:
             yield flush()
 
-    return bucketed(docs.mapInArrow(pack, schema), "chunk", buckets, "chunks"), buckets
+    return bucketed(docs.mapInArrow(pack, schema), "chunk", min(MOST_BUCKETS, buckets), "chunks"), buckets
 
 
 def text_places(texts: pa.Array) -> np.ndarray:
