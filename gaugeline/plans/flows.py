@@ -97,6 +97,14 @@ def combine_sparse(
     return df
 
 
+def site_values(combined: DataFrame, axis: Axis, wanted: Sequence[str] = tuple(site.COLUMN_GROUPS)) -> DataFrame:
+    """Long view of the site's columns by group, for display: ``(keys…, time, param, value)``."""
+    unknown = [g for g in wanted if g not in site.COLUMN_GROUPS]
+    if unknown:
+        raise ValueError(f"no column group: {', '.join(unknown)}")
+    return combine.observed_values(combined, axis.time, site.COLUMN_GROUPS, wanted, axis.keys)
+
+
 def cut_tolerant(
     combined: DataFrame,
     axis: Axis,

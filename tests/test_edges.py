@@ -610,3 +610,12 @@ def test_equal_names_are_split_by_count(spark):
         assert len(rows) == 60 and sum(r.split == "test" for r in rows) == test
         plan = split._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Sort" not in plan
+
+
+def test_site_values_by_group(spark):
+    lab, weather = site.LAB_PHYSICAL[0], site.WEATHER_COLUMNS[0]
+    df = spark.createDataFrame([(at(0), 1.0, 2.0, 3.0)], f"ts timestamp, `{lab}` double, `{weather}` double, other double")
+    listed = lambda *groups: sorted((r.param, r.value) for r in flows.site_values(df, AX, *groups).collect())
+    assert listed() == sorted([(lab, 1.0), (weather, 2.0)]) and listed(["weather"]) == [(weather, 2.0)]
+    with pytest.raises(ValueError):
+        flows.site_values(df, AX, ["nowhere"])
