@@ -35,17 +35,18 @@ KINDS = ("email", "ip", "card", "phone")
 FIT_REGIONS = 400
 LONGEST = 24
 
+# Repeats that never give back what they took hold no memory for it; nothing follows them.
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 # Where a span of the field may lie: around an at sign (written out too), or seven digits in groups.
 _AT = re.compile(r"@|[\[({] ?at ?[\])}]")
 _FROM_AT = re.compile(r"(?:@|[\[({] ?at ?[\])}]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]+)*")
-_SEVEN = re.compile(r"[0-9](?:[ ().+/-]{0,3}[0-9]){6,}")
+_SEVEN = re.compile(r"[0-9](?:[ ().+/-]{0,3}[0-9]){6,}+")
 _AROUND = 16
 
 
