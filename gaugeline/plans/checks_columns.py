@@ -336,6 +336,10 @@ def column_groups(spark, d):
 # --- calibration logs ------------------------------------------------------------------------
 
 
+#: At some 1.1 kB a log, 2.3 MB.
+LOGS_OF_A_FILE = 2048
+
+
 def log_texts(spark, d):
     """One log per event with a chapter for each of two sensors, in the export format."""
     # as many logs in many files are spread over tasks
@@ -391,11 +395,12 @@ def parse_calibration_logs(spark, d):
         from rows group by 1, 2, 3""",
 )
 def log_scan(spark, d):
-    """Logs in Latin-1 files, one after the other, beside a text file and a folder of the same logs."""
+    """Logs in Latin-1 files, one after the other, beside a text file and a folder of the same logs.  A task
+    holds a file, so more logs make more files, not larger ones."""
     path = scratch(spark, "logs")
-    texts = log_texts(spark, d).select(F.concat("content", F.lit(f"{calibration.CHAPTER_MARK}")).alias("content")).repartition(64)
+    texts = log_texts(spark, d).select(F.concat("content", F.lit(f"{calibration.CHAPTER_MARK}")).alias("content"))
     for folder in (path, f"{path}/older"):
-        texts.write.mode("append").csv(
+        texts.write.mode("append").option("maxRecordsPerFile", LOGS_OF_A_FILE).csv(
             folder, encoding="ISO-8859-1", quote="", escape="", sep="\x01", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
         )
     texts.write.mode("append").text(path)
