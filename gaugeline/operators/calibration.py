@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeline.functions import HOUR_US, col, leading_number, parse_time
 from gaugeline.operators.ordered import Axis, Record, Scan, instant, instant_bucket, scan
@@ -16,57 +20,69 @@ CHAPTER_MARK = "----------"
 LOG_TIME_FORMATS = ("M/d/yyyy h:mm:ss a",)
 MIN_ROWS_BETWEEN = 13
 
-_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85]"
+#: Paragraphs of one Arrow batch.
+_BATCH_ROWS = 2048
 
-
-# The white space of Latin-1.
+# Line ends and the white space of Latin-1.
+_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85"
 _SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
 
 
-def _strip(text: Column) -> Column:
-    return F.trim(text, F.lit(_SPACE))
-
-
-def _fields(lines: Column) -> Column:
-    """``key=,value`` lines as an array of structs."""
-    kept = F.filter(lines, lambda x: F.instr(x, "=,") > 0)
-    return F.transform(
-        kept,
-        lambda x: F.struct(
-            _strip(F.substring_index(x, "=,", 1)).alias("key"),
-            _strip(F.substring(x, F.instr(x, "=,") + 2, F.length(x))).alias("value"),
-        ),
-    )
-
-
-def _by_key(fields: Column) -> Column:
-    """``(key, i)`` of every entry, sorted: equal keys stand together, in their order."""
-    return F.array_sort(F.transform(fields, lambda f, i: F.struct(f["key"].alias("key"), i.alias("i"))))
-
-
-def _numbered(fields: Column, by_key: Column, heads: Column) -> Column:
-    """A key that repeats becomes ``"key n"``.  ``heads`` are the places in ``by_key`` where a key begins; an
-    entry's is the last not above its own place, found by halving."""
-    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
-
-    def number(x, p):
-        below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(heads, at + (step - 1)) <= p, step).otherwise(0))
-        n = p - F.get(heads, below - 1) + 1
-        text = F.when(n == 1, x["key"]).otherwise(F.concat_ws(" ", x["key"], n.cast("string")))
-        return F.struct(text.alias("key"), F.get(fields, x["i"])["value"].alias("value"))
-
-    return F.transform(by_key, number)
-
-
-def _heads(by_key: Column) -> Column:
-    places = F.transform(by_key, lambda x, p: F.when((p == 0) | (F.get(by_key, p - 1)["key"] != x["key"]), p))
-    return F.filter(places, lambda p: p.isNotNull())
-
-
-def _as_map(fields: Column, by_key: Column) -> Column:
-    """The last entry of a key wins."""
-    last = F.filter(by_key, lambda x, p: F.coalesce(F.get(by_key, p + 1)["key"] != x["key"], F.lit(True)))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"].alias("key"), F.get(fields, x["i"])["value"].alias("value"))))
+def _paragraph_reader() -> Callable[[str], Iterator[tuple[int, int, str, dict[str, str]]]]:
+    """A function from a log's text to ``(chapter, paragraph, parameter type, fields)``.  It is made here so
+    that it travels to the executors by value."""
+    header, mark, line_ends, space = EXPORT_HEADER, CHAPTER_MARK, _LINE_ENDS, _SPACE
+
+    def one_line_end(text):
+        text = text.replace("\r\n", "\n")
+        for end in line_ends:
+            if end in text:
+                text = text.replace(end, "\n")
+        return text
+
+    def without_headers(text):
+        """The text without lines that begin with the header."""
+        kept, done, at = [], 0, text.find(header)
+        while at >= 0:
+            first, last = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+            last = last + 1 or len(text)
+            if not text[first:at].strip(space):
+                kept.append(text[done:first])
+                done = last
+            at = text.find(header, last)
+        return "".join(kept) + text[done:]
+
+    def pairs(lines):
+        """``key=,value`` lines."""
+        out = []
+        for line in lines:
+            key, found, value = line.partition("=,")
+            if found:
+                out.append((key.strip(space), value.strip(space)))
+        return out
+
+    def numbered(entries):
+        """A key that repeats becomes ``"key n"``; of equal names the last in order of the keys counts."""
+        fields, seen = dict(entries), {}
+        if len(fields) == len(entries):
+            return fields
+        fields = {}
+        for key, value in sorted(entries, key=lambda x: x[0]):
+            n = seen[key] = seen.get(key, 0) + 1
+            fields[key if n == 1 else f"{key} {n}"] = value
+        return fields
+
+    def read(text):
+        for chapter, part in enumerate(without_headers(one_line_end(text)).split(mark)):
+            paragraphs = [p for p in [x.strip(space) for x in part.strip(space).split("\n\n")] if p]
+            if len(paragraphs) < 2:
+                continue
+            meta = dict(pairs(paragraphs[0].split("\n")))
+            kind = meta.get("Parameter Type", "Unknown")
+            for paragraph, body in enumerate(paragraphs[1:]):
+                yield chapter, paragraph, kind, meta | numbered(pairs(body.split("\n")[1:]))
+
+    return read
 
 
 def parse_logs(logs: DataFrame, content: str = "content") -> DataFrame:
@@ -75,40 +91,42 @@ def parse_logs(logs: DataFrame, content: str = "content") -> DataFrame:
 
     Lines with the export header are dropped; chapters end at a dashed mark, paragraphs at a blank
     line.  The first paragraph holds metadata, which is copied to every other paragraph of the
-    chapter; the heading line of a paragraph is skipped.  A projection and two explodes, no shuffle.
+    chapter; the heading line of a paragraph is skipped.  Texts are read one at a time in Python
+    workers, without a shuffle: a task holds a log and a batch of paragraphs.
     """
-    others = [col(c) for c in logs.columns if c != content]
-    lines = F.filter(
-        F.split(_strip(col(content)), _LINE_END), lambda x: ~F.startswith(_strip(x), F.lit(EXPORT_HEADER))
-    )
-    chapters = F.split(F.array_join(lines, "\n"), CHAPTER_MARK)
-    paragraphs = F.filter(
-        F.transform(F.split(_strip(F.col("__text")), "\n\n"), _strip), lambda p: F.length(p) > 0
-    )
-    # Each step is a column of its own: an expression used inside a lambda runs once per element.
-    opened = (
-        logs.select(*others, F.posexplode(chapters).alias("chapter", "__text"))
-        .withColumn("__paras", paragraphs)
-        .where(F.size("__paras") > 0)
-        .withColumn("__meta", _fields(F.split(F.element_at("__paras", 1), "\n")))
-    )
-    body = F.slice(F.col("__paras"), 2, F.size("__paras"))
-    each = (
-        opened.select(*others, "chapter", "__meta", F.posexplode(body).alias("paragraph", "__para"))
-        .withColumn("__lines", F.split(F.col("__para"), "\n"))
-        .withColumn("__data", _fields(F.slice("__lines", 2, F.size("__lines"))))
-        .withColumn("__sorted", _by_key(F.col("__data")))
-        .withColumn("__heads", _heads(F.col("__sorted")))
-        .withColumn("__all", F.concat("__meta", _numbered(F.col("__data"), F.col("__sorted"), F.col("__heads"))))
-        .withColumn("__sorted", _by_key(F.col("__all")))
-        .withColumn("fields", _as_map(F.col("__all"), F.col("__sorted")))
-    )
-    # the type comes from the metadata alone
-    types = F.filter("__meta", lambda f: f["key"] == "Parameter Type")
-    kind = F.try_element_at(types, F.lit(-1))["value"]
-    return each.select(
-        *others, "chapter", "paragraph", F.coalesce(kind, F.lit("Unknown")).alias("parameter_type"), "fields"
-    )
+    read, most = _paragraph_reader(), _BATCH_ROWS
+    others = [c for c in logs.columns if c != content]
+    added = T.StructType().add("chapter", T.IntegerType()).add("paragraph", T.IntegerType()).add("parameter_type", T.StringType())
+    added = added.add("fields", T.MapType(T.StringType(), T.StringType()))
+    schema = T.StructType([logs.schema[c] for c in others] + added.fields)
+
+    def batch_of(batch, rows):
+        where, chapter, paragraph, kind, fields = zip(*rows, strict=True)
+        ends = np.cumsum([0, *map(len, fields)])
+        keys, values = (pa.array(chain.from_iterable(x), pa.string()) for x in (fields, map(dict.values, fields)))
+        at = pa.array(where, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                *[batch.column(i).take(at) for i in range(len(others))],
+                pa.array(chapter, pa.int32()), pa.array(paragraph, pa.int32()), pa.array(kind, pa.string()),
+                pa.MapArray.from_arrays(pa.array(ends, pa.int32()), keys, values),
+            ],
+            names=[*others, "chapter", "paragraph", "parameter_type", "fields"],
+        )
+
+    def run(batches):
+        for batch in batches:
+            texts, rows = batch.column(len(others)), []
+            for i in range(batch.num_rows):
+                for row in read(texts[i].as_py() or ""):
+                    rows.append((i, *row))
+                    if len(rows) == most:
+                        yield batch_of(batch, rows)
+                        rows = []
+            if rows:
+                yield batch_of(batch, rows)
+
+    return logs.select(*[col(c) for c in others], col(content)).mapInArrow(run, schema)
 
 
 def summarize(parsed: DataFrame, points: int = 3, fields: str = "fields") -> DataFrame:
