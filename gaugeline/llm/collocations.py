@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,10 +135,30 @@ def _number_words(chunk, docs, found):
     yield _sequence(chunk, ids[line])
 
 
+_PLACES = "lang string, word string, n bigint, chunks array<bigint>, numbers array<bigint>"
+
+
+def _places(batches):
+    """``(chunk, number, lang, word, n)`` in order of the words to one row per word and batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        named = [batch.column("lang"), batch.column("word")]
+        fresh = np.ones(batch.num_rows, bool)
+        fresh[1:] = np.logical_or(*(pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False) for x in named))
+        first = np.flatnonzero(fresh)
+        ends = pa.array(np.append(first, batch.num_rows), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("chunk", "number")]
+        n = np.add.reduceat(batch.column("n").to_numpy(), first)
+        at = pa.array(first)
+        yield pa.RecordBatch.from_arrays([*(x.take(at) for x in named), pa.array(n), *lists], names=["lang", "word", "n", "chunks", "numbers"])
+
+
 def _packed(batches):
-    """``(chunk, number, id)`` to one row per chunk and batch."""
+    """``(chunks, numbers, id)`` to one row per chunk and batch."""
     for batch in batches:
-        chunk, number, ids = (batch.column(c).to_numpy() for c in ("chunk", "number", "id"))
+        chunk, number = (batch.column(c).flatten().to_numpy() for c in ("chunks", "numbers"))
+        ids = np.repeat(batch.column("id").to_numpy(), pc.list_value_length(batch.column("chunks")).to_numpy())
         order = np.lexsort((number, chunk))
         cut = np.flatnonzero(np.r_[True, np.diff(chunk[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
         spans = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -409,13 +430,15 @@ def phrases(
     row = F.element_at("rows", 1)
     listed = chunks.select("chunk", F.posexplode(F.arrays_zip(row["langs"].alias("lang"), row["words"].alias("word"), row["counts"].alias("n"))).alias("place", "w"))
     listed = listed.select("chunk", (F.col("place") + 1).cast("bigint").alias("number"), "w.lang", "w.word", "w.n")
-    counts = stored(listed.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    # the chunks of a word travel together: what is joined by words has a row per word, not one per chunk and word
+    dealt = listed.repartition("lang", "word").sortWithinPartitions("lang", "word")
+    places = stored(dealt.mapInArrow(_places, _PLACES), "word-places")
+    counts = places.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    totals = places.groupBy("lang").agg(F.sum("n").alias("total"))
     vocabulary = _ranked(counts.where(F.col("n") >= min_count), F.desc("n"), F.asc("lang"), F.asc("word"))
     known = vocabulary.select("lang", "word", "id")
     known = F.broadcast(known) if known.count() <= HELD // 4 else known.hint("merge")
-    named = listed.select("chunk", "number", "lang", "word").join(known, ["lang", "word"])
-    named = named.select("chunk", "number", "id").mapInArrow(_packed, "chunk bigint, numbers binary, ids binary")
+    named = places.join(known, ["lang", "word"]).select("chunks", "numbers", "id").mapInArrow(_packed, "chunk bigint, numbers binary, ids binary")
     named = named.groupBy("chunk").agg(F.collect_list(F.struct("numbers", "ids")).alias("found"))
     lines = _bucketed(C.each_chunk(chunks, named, _number_words, _SEQUENCE), buckets)
 
