@@ -16,7 +16,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gaugeline.functions import HOUR_US, col, first_integer, nan_to_null
 from gaugeline.operators.gaps import segments
-from gaugeline.operators.ordered import Axis, Scan, block_window, instant, instant_bucket, scan, with_context
+from gaugeline.operators.ordered import LAYOUT, Axis, Scan, block_window, instant, instant_bucket, place, scan, with_context
+
+#: Ends of segments and targets walked by one task of the feasible gaps, some hundred bytes each.
+ROWS_OF_A_TASK = 1 << 20
 
 
 def all_present(columns: Sequence[str]) -> Column:
@@ -146,9 +149,13 @@ def gap_feasibility(
     both = asked.unionByName(read, allowMissingColumns=True)
     # a target at the very time of an end lies behind it
     both = both.withColumn("__u", instant(F.col("__t"), F.when(F.col("gap").isNull(), 0).otherwise(-1)))
+    if not axis.parts:
+        # copies compress so well that tasks cut by bytes would hold far more rows as the input grows
+        most = df.count() * (len(gaps) + 1)
+        tasks = max(1 + most // ROWS_OF_A_TASK, df.sparkSession.sparkContext.defaultParallelism)
+        both = both.withColumn(LAYOUT, place(axis, instant_bucket(axis, "__u"))).repartition(tasks, LAYOUT)
     counted = scan(
         both, axis.with_(time="__u", tie=()), Scan(total={f"__c{i}": F.col(n) for i, n in enumerate(has)}, whole={f"__w{i}": F.col(n) for i, n in enumerate(has)}),
-        bucket=instant_bucket(axis, "__u"),
     ).where("gap is not null")
     # behind an opening end lie all targets but those before it
     sums = [F.sum(F.col("__sign") * (F.col(f"__w{i}") - F.col(f"__c{i}"))).alias(f"__n{i}") for i in range(len(targets))]
