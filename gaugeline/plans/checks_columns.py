@@ -15,7 +15,7 @@ from gaugeline.plans import site
 from gaugeline.plans.registry import query
 from gaugeline.sources import delimited, params
 from gaugeline.sources.logs import read_logs
-from gaugeline.sources.tables import stored
+from gaugeline.sources.tables import fresh_path, stored
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -339,11 +339,32 @@ def column_groups(spark, d):
 #: At some 1.1 kB a log, 2.3 MB.
 LOGS_OF_A_FILE = 2048
 
+#: Some 3.5 GB in the three places that hold them.
+LOGS_OF_A_BATCH = 1 << 20
+
+
+def event_batches(spark, d):
+    """The events in parts of some ``LOGS_OF_A_BATCH`` rows, written once: dealt by place, as keys may repeat or be null."""
+    e = events(spark, d)
+    n = -(-e.count() // LOGS_OF_A_BATCH)
+    if n <= 1:
+        return [e]
+    path = fresh_path(spark, "events")
+    e = e.select("event_id", "ts", "user_id", "event_type", "value")
+    dealt = e.withColumn("batch", F.pmod(F.monotonically_increasing_id(), F.lit(n))).repartition(n, "batch")
+    dealt.write.partitionBy("batch").parquet(path)
+    read = spark.read.parquet(path)
+    return [read.where(F.col("batch") == i).drop("batch") for i in range(n)]
+
 
 def log_texts(spark, d):
+    return texts_of(events(spark, d))
+
+
+def texts_of(e):
     """One log per event with a chapter for each of two sensors, in the export format."""
     # as many logs in many files are spread over tasks
-    e = events(spark, d).repartition(spark.sparkContext.defaultParallelism, "event_id")
+    e = e.repartition(e.sparkSession.sparkContext.defaultParallelism, "event_id")
     v, when = F.col("value"), lambda t: F.date_format(t, "M/d/yyyy h:mm:ss a")
     number = lambda x: F.format_string("%.2f", x)
     earlier = F.timestamp_micros(F.unix_micros("ts") - F.col("user_id") * F.lit(60_000_000))
@@ -396,18 +417,24 @@ def parse_calibration_logs(spark, d):
 )
 def log_scan(spark, d):
     """Logs in Latin-1 files, one after the other, beside a text file and a folder of the same logs.  A task
-    holds a file, so more logs make more files, not larger ones."""
-    path = scratch(spark, "logs")
-    texts = log_texts(spark, d).select(F.concat("content", F.lit(f"{calibration.CHAPTER_MARK}")).alias("content"))
-    for folder in (path, f"{path}/older"):
-        texts.write.mode("append").option("maxRecordsPerFile", LOGS_OF_A_FILE).csv(
-            folder, encoding="ISO-8859-1", quote="", escape="", sep="\x01", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-        )
-    texts.write.mode("append").text(path)
-    parsed = calibration.parse_logs(read_logs(spark, path))
+    holds a file, so more logs make more files, not larger ones.  The disk holds a batch: its logs are read and
+    summed before those of the next take their place."""
+    path, sums = scratch(spark, "logs"), fresh_path(spark, "sums")
     said = F.split(F.try_element_at("fields", F.lit("Pre Calibration Value")), " ")
-    return parsed.groupBy("parameter_type", "paragraph", F.coalesce(F.get(said, F.lit(1)), F.lit("")).alias("unit")).agg(
-        F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.get(said, F.lit(0)).cast("double") * 100)) / 100).alias("pre")
+    for e in event_batches(spark, d):
+        texts = texts_of(e).select(F.concat("content", F.lit(f"{calibration.CHAPTER_MARK}")).alias("content"))
+        for folder in (path, f"{path}/older"):
+            texts.write.mode("overwrite").option("maxRecordsPerFile", LOGS_OF_A_FILE).csv(
+                folder, encoding="ISO-8859-1", quote="", escape="", sep="\x01", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+            )
+        texts.write.mode("append").text(path)
+        parsed = calibration.parse_logs(read_logs(spark, path))
+        found = parsed.groupBy("parameter_type", "paragraph", F.coalesce(F.get(said, F.lit(1)), F.lit("")).alias("unit")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.round(F.get(said, F.lit(0)).cast("double") * 100)).alias("cents")
+        )
+        found.write.mode("append").parquet(sums)
+    return spark.read.parquet(sums).groupBy("parameter_type", "paragraph", "unit").agg(
+        F.sum("n").alias("n"), (F.sum("cents") / 100).alias("pre")
     )
 
 
